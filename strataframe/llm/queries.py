@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from strataframe.llm.bpe import op2_bpe
 from strataframe.llm.mixing import op6_mix
+from strataframe.llm.quality import op9_quality
 from strataframe.llm.sharding import op10_shard
 from strataframe.llm.simhash import op7_simhash
+from strataframe.llm.spans import op4_spans
+from strataframe.llm.toxicity import op5_toxicity
 
-QUERIES = {"op2_bpe": op2_bpe, "op6_mix": op6_mix, "op7_simhash": op7_simhash, "op10_shard": op10_shard}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op4_spans": op4_spans,
+    "op5_toxicity": op5_toxicity,
+    "op6_mix": op6_mix,
+    "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
+    "op10_shard": op10_shard,
+}
 SQL: dict[str, str] = {}
