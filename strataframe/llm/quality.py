@@ -117,6 +117,11 @@ def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFram
     return statistics(docs.drop("score", "predicted")).withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*STATISTICS)
 
 
+def keep(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with their own columns."""
+    return statistics(docs).where(model.column() >= threshold).select(docs.columns)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), spark)

@@ -8,10 +8,12 @@ from strataframe.llm.quality import op9_quality
 from strataframe.llm.sharding import op10_shard
 from strataframe.llm.simhash import op7_simhash
 from strataframe.llm.spans import op4_spans
+from strataframe.llm.spotsigs import op3_spotsigs
 from strataframe.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_spotsigs": op3_spotsigs,
     "op4_spans": op4_spans,
     "op5_toxicity": op5_toxicity,
     "op6_mix": op6_mix,

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from strataframe.llm.shared import stored, table
 
 RUN = 3
-PIECE_WORDS = 20
-LEAST_WORDS = 20
+PIECE_WORDS = 12
+LEAST_WORDS = 18
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 #: Stands for a null id: after every other document.
