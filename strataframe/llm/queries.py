@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strataframe.llm.ann import op1_near_vectors
 from strataframe.llm.bpe import op2_bpe
 from strataframe.llm.mixing import op6_mix
 from strataframe.llm.quality import op9_quality
@@ -12,6 +13,7 @@ from strataframe.llm.spotsigs import op3_spotsigs
 from strataframe.llm.toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_near_vectors": op1_near_vectors,
     "op2_bpe": op2_bpe,
     "op3_spotsigs": op3_spotsigs,
     "op4_spans": op4_spans,
