@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strataframe.llm.ann import op1_near_vectors
 from strataframe.llm.bpe import op2_bpe
+from strataframe.llm.chat import op8_chats
 from strataframe.llm.mixing import op6_mix
 from strataframe.llm.quality import op9_quality
 from strataframe.llm.sharding import op10_shard
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_mix": op6_mix,
     "op7_simhash": op7_simhash,
+    "op8_chats": op8_chats,
     "op9_quality": op9_quality,
     "op10_shard": op10_shard,
 }
