@@ -37,8 +37,10 @@ def shard(docs: DataFrame, spark: SparkSession, shards: int = 40, seed: int = SE
         F.col("source").alias("s_"), F.col("part").alias("p_"), F.sum("n").over(of_source).alias("of"),
         (F.sum("n").over(of_source.orderBy("part")) - F.col("n")).alias("before"))
     inner = Window.partitionBy("source", "part").orderBy(F.shiftleft("k", 12), "k", *tie)
+    # sources of one size would fall on the same places; each starts at its own
+    phase = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     ranked = rows.withColumn("r", F.row_number().over(inner)).join(offsets, F.expr("source <=> s_ and part = p_"))
-    ranked = ranked.select("doc_id", "source", "size", "text_crc32", "k", ((F.col("before") + F.col("r") - 0.5) / F.col("of")).alias("at"))
+    ranked = ranked.select("doc_id", "source", "size", "text_crc32", "k", ((F.col("before") + F.col("r") - 1 + phase) / F.col("of")).alias("at"))
     ranked = stored(ranked.withColumn("part", F.floor(F.col("at") * PARTS).cast("int")), spark)
     # place in the interleaved order of all rows
     counts = ranked.groupBy("part").agg(F.count("*").alias("n"))
