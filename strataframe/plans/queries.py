@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars, vocab
-from strataframe.operators import aggregates, catalogue, cleaning, compare, filters, paging, quality, reports, retrieval, schema, trends
+from strataframe.operators import aggregates, answers, catalogue, cleaning, compare, filters, paging, quality, reports, retrieval, schema, trends
 from strataframe.plans import binding
 from strataframe.streaming.ingest import event_counts
 
@@ -485,6 +485,35 @@ def content_hashes(spark, sf_dir):
     return binding.table(spark, sf_dir, "documents").select("doc_id", scalars.content_hash(F.col("text")).alias("h"), F.length("text").cast("long").alias("n"))
 
 
+# questions
+
+_ASKED = "q as (select r_regionkey * 10 + k question_id, r_name subsidiary, case k when 0 then '1995-96' when 1 then '1996-97' end as \"year\", case k when 0 then 'production' when 1 then 'target' else 'dispatch' end metric, case k when 0 then 'max' when 1 then 'avg' when 3 then 'min' end aggregation from region, (select unnest([0, 1, 2, 3]) k))"
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.explode(F.array(*map(F.lit, range(4))))
+    q = binding.table(spark, sf_dir, "region").select("r_regionkey", "r_name", k.alias("k"))
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("k") + 1)
+    none = F.lit(None).cast("string")
+    return q.select((F.col("r_regionkey") * 10 + F.col("k")).alias("question_id"), F.col("r_name").alias("subsidiary"), F.when(F.col("k") < 2, pick("1995-96", "1996-97", "", "")).otherwise(none).alias("year"), pick("production", "target", "dispatch", "dispatch").alias("metric"), F.nullif(pick("max", "avg", "", "min"), F.lit("")).alias("aggregation"))
+
+
+@query(f"""with {O}, {_ASKED}, x as (select question_id, q.subsidiary, q."year", q.metric, aggregation, mine, record_id, case q.metric when 'production' then production when 'target' then target else dispatch end v
+  from q join o on o.subsidiary = q.subsidiary and (q."year" is null or o.financial_year = q."year"))
+ select question_id, subsidiary, "year", metric, aggregation, case aggregation when 'max' then max(v) when 'min' then min(v) when 'avg' then round(cast(sum(cast(v as decimal(18,4))) as double) / count(v), 2) else {S('v')} end as "value",
+ case aggregation when 'max' then arg_max(mine, (v, -record_id)) when 'min' then arg_min(mine, (v, record_id)) end mine, count(v) n from x where v is not null group by 1, 2, 3, 4, 5""")
+def answer_batch(spark, sf_dir):
+    return answers.answered(_questions(spark, sf_dir), binding.order_records(spark, sf_dir)).drop("answer")
+
+
+@query(f"""with {O}, {_ASKED}, x as (select question_id, q.subsidiary, q."year", q.metric, aggregation, financial_year fy, case q.metric when 'production' then production when 'target' then target else dispatch end v from q join o on o.subsidiary = q.subsidiary),
+ y as (select question_id, subsidiary, "year", metric, aggregation, round(cast(sum(case when fy < '1995-00' then cast(v as decimal(18,4)) end) as double), 2) past, round(cast(sum(case when fy >= '1995-00' then cast(v as decimal(18,4)) end) as double), 2) "current" from x group by 1, 2, 3, 4, 5)
+ select *, round("current" - past, 2) difference, {_PCT} pct from y""")
+def compare_batch(spark, sf_dir):
+    r = binding.order_records(spark, sf_dir)
+    return answers.compared(_questions(spark, sf_dir), r.where(_PAST), r.where(_NOW))
+
+
 # catalogues and log
 
 
