@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars, vocab
-from strataframe.operators import aggregates, answers, catalogue, cleaning, compare, filters, paging, quality, reports, retrieval, schema, trends
+from strataframe.operators import aggregates, answers, catalogue, cleaning, compare, datasets, filters, paging, quality, reports, retrieval, schema, trends
 from strataframe.plans import binding
 from strataframe.streaming.ingest import event_counts
 
@@ -514,6 +514,47 @@ def compare_batch(spark, sf_dir):
     return answers.compared(_questions(spark, sf_dir), r.where(_PAST), r.where(_NOW))
 
 
+# datasets of key-value rows
+
+_KV = f"""{O}, kv0 as (select record_id, record_id % 50 dataset_id, upper(subsidiary) subsidiary, record_id % 5 l, floor(production) number, case when record_id % 3 = 0 then financial_year end fy from o),
+ kv as (select *, case l when 0 then 'production' when 1 then 'target' when 2 then 'dispatch' when 4 then 'production' end metric, l = 0 summary from kv0 where l <> 3),
+ dt as (select dataset_id, metric, coalesce(round(cast(sum(case when not summary then cast(number as decimal(18,4)) end) as double), 2), round(cast(sum(case when summary then cast(number as decimal(18,4)) end) as double), 2)) total from kv group by 1, 2),
+ dy as (select dataset_id, arg_min(fy, record_id) as "year" from kv0 where fy is not null group by 1)"""
+
+
+@query(f"with {_KV} select metric, {S('number')} total from kv group by 1")
+def key_value_totals(spark, sf_dir):
+    return datasets.key_value_totals(binding.key_values(spark, sf_dir))
+
+
+@query(f"with {_KV} select * from dt")
+def dataset_totals(spark, sf_dir):
+    return datasets.dataset_totals(binding.key_values(spark, sf_dir))
+
+
+@query(f"""with {_KV}, g as (select "year" as period, {S('total')} as "value" from dt join dy using (dataset_id) where metric = 'production' group by 1)
+ select *, case when lag("value") over w > 0 then round(("value" - lag("value") over w) / lag("value") over w * 100, 1) end growth_pct from g window w as (order by period)""")
+def trend_from_datasets(spark, sf_dir):
+    return datasets.trend_from_datasets(binding.key_values(spark, sf_dir))
+
+
+@query(f"""with {_KV}, t as (select {S("case when metric = 'production' then total end")} production, {S("case when metric = 'target' then total end")} target, {S("case when metric = 'dispatch' then total end")} dispatch from dt)
+ select *, case when target > 0 then round(production / target * 100, 2) end achievement_pct from t""")
+def report_aggregates(spark, sf_dir):
+    return datasets.report_aggregates(binding.key_values(spark, sf_dir))
+
+
+@query(f"with {_KV} select subsidiary, metric, arg_max(number, record_id) as \"value\" from kv group by 1, 2")
+def source_profile(spark, sf_dir):
+    return datasets.source_profile(binding.key_values(spark, sf_dir))
+
+
+@query("select count(*) n, min(doc_id) lowest from documents where contains(lower(text), 'pathetic') or contains(lower(text), 'anonea')")
+def rank_candidates(spark, sf_dir):
+    docs = binding.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return datasets.candidates(docs, "pathetic anonea").agg(F.count("*").alias("n"), F.min("doc_id").alias("lowest"))
+
+
 # catalogues and log
 
 

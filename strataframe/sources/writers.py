@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +45,33 @@ def archived(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows with ``is_archived`` set for those of ``ids(document_id)``, reference rows excepted."""
     marked = rows.join(ids.select("document_id", F.lit(True).alias("gone_")).distinct(), "document_id", "left")
     return marked.withColumn("is_archived", F.col("is_archived") | (F.coalesce("gone_", F.lit(False)) & ~F.col("is_reference"))).drop("gone_")
+
+
+def xlsx_bytes(rows: DataFrame, sheet: str = "Data", most: int = 100_000) -> bytes:
+    """A workbook of one sheet with the first ``most`` rows, a page for people: numbers as numbers, all else as text."""
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+    lines = [rows.columns, *rows.limit(most).toLocalIterator()]
+    out = io.BytesIO()
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/></Types>')
+        links = "http://schemas.openxmlformats.org/package/2006/relationships"
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{links}"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{links}"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet[:31])}" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join("<row>" + "".join(map(cell, line)) + "</row>" for line in lines) + "</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> None:
+    """A report's tables as JSON lines, a folder a table."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").json(f"{path}/{name}")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import aggregates, catalogue, cleaning, compare, filters, paging, quality, reports, retrieval, schema, trends
+from strataframe.operators import aggregates, catalogue, cleaning, compare, datasets, filters, paging, quality, reports, retrieval, schema, trends
 
 ROWS = [
     (1, "BCCL", "Jharia OC", "2023-24", "Q1", "G6", 40.0, 45.0, 38.0, False, False),
@@ -155,3 +155,17 @@ def test_catalogue(spark):
     assert (s["mines"], s["total_production"], s["states"]) == (3, 2.92, 2)
     e = spark.createDataFrame([("2024-01-01", "x"), ("2024-01-02", "y")], "timestamp string, event_type string").withColumn("timestamp", F.to_timestamp("timestamp"))
     assert catalogue.audit(e, since="2024-01-02").count() == 1 and catalogue.audit(e, since="nonsense").count() == 2
+
+
+def test_key_value_datasets(spark):
+    """Two datasets of summary rows, the earlier one a reference."""
+    rows = [(1, 1, "Total Production", "1,000.00", "2023-24"), (2, 1, "Total Target", "1,100.00", None), (3, 1, "Total Dispatch", "920.00", None), (4, 2, "Total Production", "1,200.00", "FY 2024-25"), (5, 2, "Total Target", "1,250.00", None), (6, 2, "Total Dispatch", "1,100.00", None)]
+    kv = spark.createDataFrame([(i, i, d, "CIL", a, v, y) for i, d, a, v, y in rows], "record_id long, row_index int, dataset_id int, subsidiary string, label string, value string, financial_year string")
+    assert [(r["period"], r["value"], r["growth_pct"]) for r in datasets.trend_from_datasets(kv).orderBy("period").collect()] == [("2023-24", 1000.0, None), ("2024-25", 1200.0, 20.0)]
+    a = datasets.report_aggregates(kv).first()
+    assert (a["production"], a["target"], a["dispatch"]) == (2200.0, 2350.0, 2020.0)
+    assert {(r["metric"], r["value"]) for r in datasets.source_profile(kv).collect()} == {("production", 1200.0), ("target", 1250.0), ("dispatch", 1100.0)}
+    f = spark.createDataFrame([(1, "Production (MT)"), (1, "Fin Year"), (2, "Note")], "dataset_id int, field string")
+    assert {r["dataset_id"]: (r["has_production"], r["has_financial_year"]) for r in datasets.listing(f).collect()} == {1: (True, True), 2: (False, False)}
+    p = spark.range(10).select(datasets.estimated_page(F.col("id"), F.lit(10), F.lit(3)).alias("p"))
+    assert [r["p"] for r in p.collect()] == [1, 1, 1, 1, 2, 2, 2, 3, 3, 3]

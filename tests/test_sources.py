@@ -60,3 +60,8 @@ def test_stream_and_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(1, False, False), (2, True, False)], "document_id long, is_reference boolean, is_archived boolean")
     assert writers.removed(docs, docs.select("document_id")).count() == 1
     assert [r["is_archived"] for r in writers.archived(docs, docs.select("document_id")).orderBy("document_id").collect()] == [True, False]
+
+
+def test_workbook(spark):
+    df = spark.createDataFrame([("a<b", 1.5, None), ("c", 2.0, "x")], "name string, v double, w string")
+    assert readers.xlsx_tables(writers.xlsx_bytes(df, "S")) == [("S", ["name", "v", "w"], [["a<b", "1.5", ""], ["c", "2.0", "x"]])]
