@@ -224,4 +224,15 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, least: float = 0.93
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"), spark)
+    return near_duplicates(table(spark, sf_dir, "embeddings"), spark).drop("audited_recall")
+
+
+#: All pairs of a label, and their closure.
+SQL = """with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ n as (select *, sqrt(list_dot_product(e, e)) norm from v),
+ p as (select a.vec_id a, b.vec_id b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
+ c as (select a, b from p union select c.a, p.b from c join p on c.b = p.a),
+ l as (select a, count(*) n_links from p group by a), m as (select a, min(b) least_id from c group by a)
+ select vec_id, coalesce(n_links, 0) n_links, least(vec_id, coalesce(least_id, vec_id)) component_id, vec_id = least(vec_id, coalesce(least_id, vec_id)) kept
+ from embeddings left join l on vec_id = l.a left join m on vec_id = m.a"""

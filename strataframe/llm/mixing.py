@@ -106,4 +106,26 @@ def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", share: float =
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), spark)
+    return mix(table(spark, sf_dir, "documents"), spark).drop("rate")
+
+
+def _sql() -> str:
+    """The same mixture in SQL: targets by the level that the sources left reach, a prefix in hash order, four top-ups."""
+    ctes = [
+        """d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size, cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) k from documents)""",
+        """s0 as (select source, cast(sum(size) as bigint) source_size, cast(list_extract([3, 1, 2], cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)) as double) weight from d group by source)""",
+        """s1 as (select *, source_size * 2.0::double most, source_size * 2.0::double / weight full_at, sum(source_size) over () * 1.5::double goal from s0)""",
+        """s2 as (select *, full_at <= (goal - coalesce(sum(most) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) filled from s1 window w as (order by full_at, source nulls last rows between unbounded preceding and 1 preceding))""",
+        """s3 as (select *, case when filled then most else weight * (goal - sum(case when filled then most else 0 end) over ()) / sum(case when not filled then weight end) over () end target from s2)""",
+        """s as (select source, source_size, target, cast(case when source_size > 0 and target > 0 then floor(target / source_size + 1e-9) else 0 end as bigint) base from s3)""",
+        """r0 as (select d.*, s.source_size, s.target, s.base, greatest(0.0::double, s.target - s.base * s.source_size) more, sum(size) over (partition by d.source order by k, doc_id, size rows unbounded preceding) upto from d join s on d.source is not distinct from s.source)""",
+        """e0 as (select *, upto <= more extra from r0)""",
+    ]
+    for i in range(4):
+        ctes.append(f"""g{i} as (select source, max(more) - coalesce(sum(case when extra then size end), 0) gap from e{i} where base < 2 group by source)""")
+        ctes.append(f"""b{i} as (select doc_id from (select e.doc_id, row_number() over (partition by e.source order by size desc, k desc, doc_id desc) r from e{i} e join g{i} g on e.source is not distinct from g.source where not extra and size > 0 and size <= gap) where r = 1)""")
+        ctes.append(f"""e{i + 1} as (select * replace (extra or doc_id in (select doc_id from b{i}) as extra) from e{i})""")
+    return "with " + ",\n ".join(ctes) + "\nselect doc_id, cast(size as bigint) size, source_size, target, cast(least(2, base + cast(extra as int)) as int) copies, cast(size * least(2, base + cast(extra as int)) as bigint) taken from e4"
+
+
+SQL = _sql()

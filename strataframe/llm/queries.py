@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from strataframe.llm import ann, mixing
 from strataframe.llm.ann import op1_near_vectors
 from strataframe.llm.bpe import op2_bpe
 from strataframe.llm.chat import op8_chats
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_shard": op10_shard,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_near_vectors": ann.SQL, "op6_mix": mixing.SQL}
