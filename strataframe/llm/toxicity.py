@@ -13,7 +13,6 @@ margin is linear in its words, so a worker computes each distinct word once and
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +23,11 @@ from pyspark.sql import functions as F
 from strataframe.llm.shared import held_out, table
 
 #: Labelled documents of each class that training may use.
-SAMPLE = 3000
+SAMPLE = 1500
 #: Landmark words: those most enriched in toxic documents, and frequent ones as background.
 LANDMARKS = (144, 48)
+#: Sentences of toxic and of other documents that the machine is trained on.
+SENTENCES = 20_000
 DECAY, SPAN = 0.7, 6
 #: Words whose margins a worker keeps.
 KEPT = 1_000_000
@@ -99,11 +100,11 @@ class Kernel:
     def __call__(self, words: list[str]) -> np.ndarray:
         """A row a word, a column a landmark."""
         out = []
-        for k in range(0, len(words), 2048):
-            own, code, weight = self._entries(words[k : k + 2048])
+        for k in range(0, len(words), 1024):
+            own, code, weight = self._entries(words[k : k + 1024])
             at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
             hit = self.codes[at] == code
-            n = len(words[k : k + 2048])
+            n = len(words[k : k + 1024])
             out.append(np.bincount(own[hit] * len(self.codes) + at[hit], weight[hit], n * len(self.codes)).reshape(n, -1) @ self.table)
         return np.concatenate(out)
 
@@ -118,17 +119,23 @@ class Kernel:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> np.ndarray:
-    """Weights of a linear squared-hinge SVM, bias last, by Newton steps."""
-    x = np.c_[x, np.ones(len(x))]
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1]) / c
+    """Weights of a linear squared-hinge SVM, bias last, by Newton steps; rows are summed some thousands at a time."""
+    n = x.shape[1] + 1
+    w, ridge = np.zeros(n), np.eye(n) / c
     ridge[-1, -1] = 1e-6
     for _ in range(30):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        new = np.linalg.solve(ridge + (xa * wa[:, None]).T @ xa, xa.T @ (wa * y[active]))
-        if np.abs(new - w).max() < 1e-6:
-            break
+        left, right = ridge.copy(), np.zeros(n)
+        for k in range(0, len(x), 8192):
+            some = np.c_[x[k : k + 8192].astype(np.float64), np.ones(len(x[k : k + 8192]))]
+            active = y[k : k + 8192] * (some @ w) < 1
+            some, wa, ya = some[active], weight[k : k + 8192][active], y[k : k + 8192][active]
+            left += (some * wa[:, None]).T @ some
+            right += some.T @ (wa * ya)
+        new = np.linalg.solve(left, right)
+        done = np.abs(new - w).max() < 1e-6
         w = new
+        if done:
+            break
     return w
 
 
@@ -175,44 +182,96 @@ def _features(margin: list[float], top: list[float], words: int) -> tuple:
     return max(margin), best[0], sum(best[:5]) / min(5, len(best)), sum(margin) / (1 + words), np.log1p(words)
 
 
+class _Words:
+    """A sample's texts as numbers: words end to end, where each sentence begins, and where each document's sentences begin."""
+
+    def __init__(self, texts: list[str | None]):
+        self.number: dict[str, int] = {}
+        words, sentence, document = [], [0], [0]
+        for t in texts:
+            for ws in sentences(t):
+                words.append(np.array([self.number.setdefault(w, len(self.number)) for w in ws], np.int32))
+                sentence.append(sentence[-1] + len(ws))
+            document.append(len(sentence) - 1)
+        self.words = np.concatenate(words) if words else np.zeros(0, np.int32)
+        self.sentence, self.document = np.array(sentence), np.array(document)
+        self.vocabulary = list(self.number)
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """Sum of a word value over each sentence."""
+        total = np.r_[0.0, np.cumsum(value[self.words])]
+        return total[self.sentence[1:]] - total[self.sentence[:-1]]
+
+    def images(self, chosen: np.ndarray, kernel: Kernel, whiten: np.ndarray) -> np.ndarray:
+        """Summed images of the chosen sentences' words, by parts of the vocabulary."""
+        size = self.sentence[chosen + 1] - self.sentence[chosen]
+        row = np.repeat(np.arange(len(chosen)), size)
+        at = self.words[np.repeat(self.sentence[chosen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        used, first = np.unique(at, return_index=True)
+        first = np.r_[first, len(at)]
+        out = np.zeros((len(chosen), whiten.shape[1]), np.float32)
+        for k in range(0, len(used), 1024):
+            image = (kernel([self.vocabulary[i] for i in used[k : k + 1024]]) @ whiten).astype(np.float32)
+            lo, hi = first[k], first[min(k + 1024, len(used))]
+            np.add.at(out, row[lo:hi], image[np.searchsorted(used[k : k + 1024], at[lo:hi])])
+        return out
+
+
 def fit(rows: list[tuple[str | None, int]], rounds: int = 3, seed: int = 7) -> Model:
-    """A model of (text, label 0 or 1) rows. With fewer than two labels it gives every text the label's share, without rows 0.5."""
+    """A model of (text, label 0 or 1) rows. With fewer than two labels it gives every text the label's share, without rows 0.5.
+
+    ``SENTENCES`` of each kind at most are trained on.
+    """
     y = np.array([t for _, t in rows], float)
     if len(set(y.tolist())) < 2:
         return Model(None, None, 0.0, np.zeros(6), float(y.mean()) if len(y) else 0.5)
-    docs = [sentences(t) for t, _ in rows]
-    toxic, clean = Counter(), Counter()
-    for s, label in zip(docs, y, strict=True):
-        (toxic if label else clean).update({w for ws in s for w in ws if len(w) > 2})
+    data = _Words([t for t, _ in rows])
+    n, vocabulary = len(data.vocabulary), data.vocabulary
+    of_sentence = np.repeat(np.arange(len(y)), np.diff(data.document))
+    of_word = np.repeat(of_sentence, np.diff(data.sentence))
+    pair = np.unique(of_word.astype(np.int64) * n + data.words)
+    toxic = np.bincount(pair[y[pair // n] > 0] % n, minlength=n)
+    clean = np.bincount(pair[y[pair // n] == 0] % n, minlength=n)
     nt, nc = y.sum(), (1 - y).sum()
-    gain = {w: (n / nt - clean[w] / nc) / np.sqrt((n + clean[w] + 1.0)) for w, n in toxic.items() if n > 2}
-    chosen = sorted(gain, key=lambda w: (-gain[w], w))[: LANDMARKS[0]]
-    chosen += [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0])) if w not in set(chosen)][: LANDMARKS[1]]
+    gain = np.where((toxic > 2) & (np.array([len(w) for w in vocabulary]) > 2), (toxic / nt - clean / nc) / np.sqrt(toxic + clean + 1.0), -np.inf)
+    enriched = sorted(np.flatnonzero(gain > -np.inf).tolist(), key=lambda i: (-gain[i], vocabulary[i]))[: LANDMARKS[0]]
+    frequent = sorted(np.argsort(-clean, kind="stable")[: 2 * sum(LANDMARKS)].tolist(), key=lambda i: (-clean[i], vocabulary[i]))
+    chosen = [vocabulary[i] for i in enriched + [i for i in frequent if i not in set(enriched) and vocabulary[i]][: LANDMARKS[1]]]
+    if not chosen:
+        return Model(None, None, 0.0, np.zeros(6), float(y.mean()))
     kernel = Kernel(chosen)
     values, vectors = np.linalg.eigh(kernel(chosen))
     keep = values > 1e-6 * values.max()
     whiten = vectors[:, keep] / np.sqrt(values[keep])
-    vocabulary = sorted({w for s in docs for ws in s for w in ws})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    image = np.concatenate([kernel(vocabulary[k : k + 20_000]) @ whiten for k in range(0, len(vocabulary), 20_000)]).astype(np.float32)
-    of_doc = np.repeat(np.arange(len(docs)), [len(s) for s in docs])
-    flat = [ws for s in docs for ws in s]
-    x = np.array([image[[number[w] for w in ws]].sum(axis=0) if ws else np.zeros(image.shape[1], np.float32) for ws in flat], np.float64)
-    label = np.where(y[of_doc] > 0, 1.0, -1.0)
     rng = np.random.default_rng(seed)
-    use = np.ones(len(x), bool)
+    label = y[of_sentence] > 0
+    some = lambda i: np.sort(rng.permutation(i)[:SENTENCES])
+    negative = some(np.flatnonzero(~label))
+    positive = some(np.flatnonzero(label))
+    x_negative = data.images(negative, kernel, whiten)
     for r in range(rounds):
-        use &= (label > 0) | (rng.random(len(x)) < 60_000 / len(x))
-        share = np.where(label[use] > 0, 1.0, (label[use] > 0).sum() / max(1, (label[use] < 0).sum()) * 3)
-        w = _svm(x[use], label[use], share, c=1.0)
-        margin = x @ w[:-1] + w[-1]
-        best = np.full(len(docs), -np.inf)
-        np.maximum.at(best, of_doc, margin)
-        use = (label < 0) | (margin >= np.minimum(0.5 * best[of_doc], 1.0)) if r < rounds - 1 else use
-    model = Model(kernel, whiten @ w[:-1], float(w[-1]), np.zeros(6), 0.5)
-    word = image @ w[:-1]
-    f = np.array([_features([float(sum(word[number[a]] for a in ws)) for ws in s], [max((float(word[number[a]]) for a in ws), default=0.0) for ws in s], sum(map(len, s))) for s in docs])
-    model.scale = _platt(f, y)
+        x = np.concatenate([data.images(positive, kernel, whiten), x_negative])
+        side = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
+        w = _svm(x, side, np.where(side > 0, 1.0, 3.0 * len(positive) / max(1, len(negative))), c=1.0)
+        weight = whiten @ w[:-1]
+        line = kernel.along(weight)
+        word = np.concatenate([kernel.sums(vocabulary[k : k + 4096], line) for k in range(0, n, 4096)])
+        margin = data.sums(word) + w[-1]
+        best = np.full(len(y), -np.inf)
+        np.maximum.at(best, of_sentence, margin)
+        if r < rounds - 1:
+            positive = some(np.flatnonzero(label & (margin >= np.minimum(0.5 * best[of_sentence], 1.0))))
+    model = Model(kernel, weight, float(w[-1]), np.zeros(6), 0.5)
+    total = data.sums(word)
+    f = []
+    for d in range(len(y)):
+        a, b = data.document[d], data.document[d + 1]
+        lo, hi = data.sentence[a], data.sentence[b]
+        top = [word[data.words[data.sentence[s] : data.sentence[s + 1]]].max(initial=-np.inf) for s in range(a, b)]
+        f.append(_features(total[a:b].tolist(), [t if t > -np.inf else 0.0 for t in top], int(hi - lo)))
+    model.scale = _platt(np.array(f), y)
     return model
 
 
