@@ -1,13 +1,14 @@
 """Operator 4: substring dedup by sliding sentence spans.
 
-A text is cut into sentences (a sentence of more than ``PIECE_WORDS`` words into pieces of that many, counted from its start). Every run of ``RUN``
-consecutive sentences with ``LEAST_WORDS`` words or more is hashed; hashes join globally; all sentences that a
+A text is cut into sentences, and a sentence of more than ``PIECE_WORDS`` words into pieces that end at words chosen by their hash, so that a passage
+is cut alike wherever it stands in a sentence. Every run of ``RUN`` consecutive sentences with ``LEAST_WORDS`` words or more is hashed; hashes join globally; all sentences that a
 repeated run covers go, except where the run is the first of its hash, by document id and place.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,13 @@ from pyspark.sql import functions as F
 from strataframe.llm.shared import stored, table
 
 RUN = 3
-PIECE_WORDS = 12
-LEAST_WORDS = 18
+PIECE_WORDS = 10
+LEAST_WORDS = 15
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
-#: Stands for a null id: after every other document.
-_LAST = (1 << 63) - 1
-_SPANS = "k_ long, t_ int, p_ int, h1_ long, h2_ long"
+#: Null ids take numbers from here on, by their text: after every other document.
+_NULL_IDS = 1 << 62
+_SPANS = "k_ long, t_ int, p_ int, again_ boolean, h1_ long, h2_ long"
 
 
 def units(text: str | None) -> list[str]:
@@ -41,9 +42,20 @@ def units(text: str | None) -> list[str]:
         elif whole.count(" ") < PIECE_WORDS and len(whole.split()) <= PIECE_WORDS:
             out.append(whole)
         else:
-            ends = [m.end() for m in _WORD.finditer(whole)][PIECE_WORDS - 1 :: PIECE_WORDS]
-            cuts = [0, *ends] if ends and ends[-1] == len(whole) else [0, *ends, len(whole)]
-            out += [whole[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            out += _pieces(whole)
+    return out
+
+
+def _pieces(sentence: str) -> list[str]:
+    """Pieces of ``PIECE_WORDS`` words on average: half as many at least (the last may be shorter), three halves at most."""
+    out, begin, n, least = [], 0, 0, PIECE_WORDS // 2
+    for m in _WORD.finditer(sentence):
+        n += 1
+        if n == 3 * least or (n >= least and zlib.crc32(m[0].rstrip().lower().encode("utf-8", "surrogatepass")) % least == 0):
+            out.append(sentence[begin : m.end()])
+            begin, n = m.end(), 0
+    if begin < len(sentence):
+        out.append(sentence[begin:])
     return out
 
 
@@ -57,26 +69,36 @@ def runs(text: str | None, run: int = RUN, least: int = LEAST_WORDS) -> Iterator
             yield i, xxhash.xxh3_128_digest("\n".join(plain[i : i + run]).encode("utf-8", "surrogatepass"))
 
 
-def _text_key(texts: list[str | None]) -> np.ndarray:
-    """32 bits of each text: with the id they name a row, so that rows with a null or shared id don't mix."""
-    return np.array([xxhash.xxh32_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint32).view(np.int32)
+def _keys(ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, text key) of rows: the id, for a null one a number of the text's; and 32 bits of the text, so that rows that
+    share an id with different texts keep their places apart.
+    """
+    hashes = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+    order = [_NULL_IDS + (h >> 3) if i is None else i for i, h in zip(ids, hashes, strict=True)]
+    return np.array(order, np.int64), (np.array(hashes, np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
 def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """A row for each hashed run: document key (``k_``, ``t_``), place ``p_``, hash (``h1_``, ``h2_``)."""
+    """A row for each hashed run: document key (``k_``, ``t_``), place ``p_``, whether the document had the run before, and its hash (``h1_``, ``h2_``)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 some = b.slice(s, 256)
                 ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
-                found = [list(runs(t, run, least)) for t in texts]
-                n = [len(f) for f in found]
-                hashes = np.frombuffer(b"".join(h for f in found for _, h in f), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([_LAST if i is None else i for i in ids], np.int64), n)), pa.array(np.repeat(_text_key(texts), n)), pa.array(np.array([p for f in found for p, _ in f], np.int32)), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())],
-                    ["k_", "t_", "p_", "h1_", "h2_"],
-                )
+                n, places, again, hashes = [], [], [], []
+                for t in texts:
+                    seen: set[bytes] = set()
+                    before = len(places)
+                    for p, h in runs(t, run, least):
+                        places.append(p)
+                        hashes.append(h)
+                        again.append(h in seen)
+                        seen.add(h)
+                    n.append(len(places) - before)
+                k, t_ = _keys(ids, texts)
+                both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n)), pa.array(np.repeat(t_, n)), pa.array(places, pa.int32()), pa.array(again, pa.bool_()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["k_", "t_", "p_", "again_", "h1_", "h2_"])
 
     return docs.select("doc_id", "text").mapInArrow(make, _SPANS)
 
@@ -84,26 +106,27 @@ def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> Dat
 def repeated(spans: DataFrame) -> DataFrame:
     """(``k_``, ``t_``, ``places_``): starts of each document's runs that are not the first of their hash.
 
-    Hashes are counted with combining before the shuffle and only those seen twice join back, so a passage that a
-    third of the documents share is one row there, and its documents' rows are a join's, which Spark splits.
+    A document's own repeats are known without a shuffle; of the rest, only (hash, smallest document, count) is aggregated, which combines before
+    the shuffle, and only hashes of two documents join back. So a passage that a third of the documents share is
+    one row there, and its documents' rows are a join's, which Spark splits.
     """
-    first = spans.groupBy("h1_", "h2_").agg(F.count("*").alias("n_"), F.min(F.struct("k_", "t_", "p_")).alias("first_")).where("n_ > 1").drop("n_")
-    later = spans.join(first, ["h1_", "h2_"]).where("struct(k_, t_, p_) <> first_")
-    return later.groupBy("k_", "t_").agg(F.collect_set("p_").alias("places_"))  # bounded by one text's sentences
+    own = spans.where("not again_").select("h1_", "h2_", "k_", F.shiftleft(F.col("t_").cast("long"), 32).bitwiseOR(F.col("p_").cast("long")).alias("at_"))
+    first = own.groupBy("h1_", "h2_").agg(F.count("*").alias("n_"), F.min("k_").alias("first_")).where("n_ > 1").drop("n_")
+    later = own.join(first, ["h1_", "h2_"]).where("k_ <> first_").select("k_", F.shiftright("at_", 32).cast("int").alias("t_"), F.col("at_").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p_"))
+    return later.unionByName(spans.where("again_").select("k_", "t_", "p_")).groupBy("k_", "t_").agg(F.collect_set("p_").alias("places_"))  # bounded by one text's sentences
 
 
 def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``text`` rewritten, ``n_chars`` recounted where it exists, and ``n_sentences``, ``n_removed`` added (in place of columns so named).
 
     A row stays a row, with an empty text if everything in it was repeated; null texts stay null. The first of a repeated run
-    is the one of the smallest (doc_id, place); null ids come last. Rows that repeat both id and text are one document
-    and keep the same sentences. Other columns pass through.
+    is the one of the smallest (doc_id, place); null ids come last, by hash of text. Rows that share an id are one document: what
+    only they share stays in each. Other columns pass through.
     """
     docs = docs.drop("n_sentences", "n_removed")
     spans = stored(span_table(docs, run, least), spark)
     names, schema = docs.columns, docs.schema.simpleString()[len("struct<") : -1]
-    keyed = docs.withColumn("k_", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-    keyed = keyed.mapInArrow(_with_text_key(names), f"{schema}, k_ long, t_ int")
+    keyed = docs.mapInArrow(_with_keys(names), f"{schema}, k_ long, t_ int")
     joined = keyed.join(repeated(spans), ["k_", "t_"], "left").select(*names, "places_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +148,11 @@ def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEA
     return joined.mapInArrow(cut, f"{schema}, n_sentences int, n_removed int")
 
 
-def _with_text_key(names: list[str]):
+def _with_keys(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = _text_key(b.column(names.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], [*names, "k_", "t_"])
+            k, t = _keys(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("text")).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k), pa.array(t)], [*names, "k_", "t_"])
 
     return run
 
