@@ -119,7 +119,9 @@ def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFram
 
 def keep(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``threshold`` or more, with their own columns."""
-    return statistics(docs).where(model.column() >= threshold).select(docs.columns)
+    scored = statistics(docs).withColumn("q_score", model.column())
+    # a filter on the score would be pushed below the statistics and repeat them in every rule; rows leave by a generator instead
+    return scored.withColumn("q_keep", F.explode(F.filter(F.array("q_score"), lambda x: x >= threshold))).select(docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
