@@ -1,8 +1,12 @@
 """Operator 4: substring dedup by sliding sentence spans.
 
-A text is cut into sentences, and a sentence of more than ``PIECE_WORDS`` words into pieces that end at words chosen by their hash, so that a passage
-is cut alike wherever it stands in a sentence. Every run of ``RUN`` consecutive sentences with ``LEAST_WORDS`` words or more is hashed; hashes join globally; all sentences that a
-repeated run covers go, except where the run is the first of its hash, by document id and place.
+A text is cut into sentences, and a sentence of more than ``PIECE_WORDS`` words into pieces that end at words chosen by the hashes of the words
+around them alone, so that a passage is cut alike wherever it stands in a sentence. From every sentence on, the shortest run of ``RUN`` or more with
+``LEAST_WORDS`` words or more is hashed; hashes join globally; all sentences that a repeated run covers go, except where the run is the first of its
+hash, by document id and place.
+
+A passage of 51 words that two documents share has a run in both. Piece ends are alike from ``NEAR`` + ``PIECE_WORDS`` words after its begin to as many
+before its end (14 and 14), which leaves 23 words in pieces of ``PIECE_WORDS`` at most: three pieces or more, and over ``LEAST_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from strataframe.llm.shared import stored, table
 RUN = 3
 PIECE_WORDS = 10
 LEAST_WORDS = 15
+#: A piece ends at a word whose hash is the least of ``NEAR`` words on either side, where it is too long of fewer, at last at the least of each ``WINDOW`` words.
+NEAR, WINDOW = 4, 7
 _END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 #: Null ids take numbers from here on, by their text: after every other document.
@@ -47,26 +53,48 @@ def units(text: str | None) -> list[str]:
 
 
 def _pieces(sentence: str) -> list[str]:
-    """Pieces of ``PIECE_WORDS`` words on average: half as many at least (the last may be shorter), three halves at most."""
-    out, begin, n, least = [], 0, 0, PIECE_WORDS // 2
-    for m in _WORD.finditer(sentence):
-        n += 1
-        if n == 3 * least or (n >= least and zlib.crc32(m[0].rstrip().lower().encode("utf-8", "surrogatepass")) % least == 0):
-            out.append(sentence[begin : m.end()])
-            begin, n = m.end(), 0
-    if begin < len(sentence):
-        out.append(sentence[begin:])
+    """Pieces of ``PIECE_WORDS`` words at most; whether one ends at a word depends on the words near by, not on where the one before ended."""
+    ends = [m.end() for m in _WORD.finditer(sentence)]
+    h = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in sentence.lower().split()]
+    cuts = [ends[i] for i in _ends(h, 0, len(h), NEAR)]
+    return [sentence[a:b] for a, b in zip([0, *cuts], [*cuts, len(sentence)], strict=True)]
+
+
+def _ends(h: list[int], begin: int, end: int, near: int) -> list[int]:
+    """Places in ``h[begin:end]``, but for its last, at which a piece ends: the least of ``near`` on either side, and of fewer where that leaves a piece too long."""
+    if end - begin <= PIECE_WORDS:
+        return []
+    if near == 0:  # words that repeat: the last of the least of each window
+        return sorted({max(range(j, j + WINDOW), key=lambda k: (-h[k], k)) for j in range(begin, end - WINDOW + 1)} - {end - 1})
+    mid = [i for i in range(begin + near, end - near - 1) if h[i] < h[i - 1] and h[i] <= h[i + 1] and h[i] < min(h[i - near : i]) and h[i] <= min(h[i + 1 : i + 1 + near])]
+    if not mid:
+        return _ends(h, begin, end, near - 1)
+    out = []
+    for a, b in zip([begin, *(i + 1 for i in mid)], [*(i + 1 for i in mid), end], strict=True):
+        out += [*_ends(h, a, b, near - 1), b - 1]
+    return out[:-1]
+
+
+def reach(size: list[int], run: int = RUN, least: int = LEAST_WORDS) -> list[int]:
+    """For each sentence that begins a run, where the run ends: the first place at which it has ``run`` sentences and ``least`` words."""
+    out, end, words = [], 0, 0
+    for i in range(len(size)):
+        while end < len(size) and (end - i < run or words < least):
+            words += size[end]
+            end += 1
+        if end - i < run or words < least:
+            break
+        out.append(end)
+        words -= size[i]
     return out
 
 
 def runs(text: str | None, run: int = RUN, least: int = LEAST_WORDS) -> Iterator[tuple[int, bytes]]:
-    """(place, 128-bit hash) of each run of sentences that has enough words; case and white space don't count."""
+    """(place, 128-bit hash) of the run from each sentence on, where enough follow; case and white space don't count."""
     words = [u.lower().split() for u in units(text)]
     plain = [" ".join(w) for w in words]
-    size = [len(w) for w in words]
-    for i in range(len(words) - run + 1):
-        if sum(size[i : i + run]) >= least:
-            yield i, xxhash.xxh3_128_digest("\n".join(plain[i : i + run]).encode("utf-8", "surrogatepass"))
+    for i, end in enumerate(reach([len(w) for w in words], run, least)):
+        yield i, xxhash.xxh3_128_digest("\n".join(plain[i:end]).encode("utf-8", "surrogatepass"))
 
 
 def _keys(ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +163,8 @@ def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEA
             texts, n_units, gone = [], [], []
             for text, places in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
                 parts = units(text)
-                covered = {p + i for p in places or () for i in range(run)}
+                ends = reach([len(u.split()) for u in parts], run, least) if places else []
+                covered = {i for p in places or () for i in range(p, ends[p])}
                 n_units.append(len(parts))
                 gone.append(len(covered))
                 texts.append("".join(u for i, u in enumerate(parts) if i not in covered).rstrip() if covered else text)

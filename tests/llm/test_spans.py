@@ -1,3 +1,5 @@
+import random
+
 from strataframe.llm import spans
 from tests.llm.conftest import prose
 
@@ -38,3 +40,43 @@ def test_odd_rows(spark, odd, none):
     assert len({r.text for r in out.where("doc_id = 0").collect()}) == 1
     assert spans.dedup(none, spark).count() == 0
     assert all(r.score == "own" for r in out.collect())
+
+
+def shared(a, b, least=51):
+    """Longest stretches of words, ``least`` or more, that stand in both texts, by brute force: (start in a, length)."""
+    a, b, out, i = a.lower().split(), b.lower().split(), [], 0
+    while i < len(a):
+        n = max((next(k for k in range(len(a) + 1) if i + k >= len(a) or j + k >= len(b) or a[i + k] != b[j + k]) for j in range(len(b)) if b[j] == a[i]), default=0)
+        if n >= least:
+            out.append((i, n))
+        i += max(n, 1) if n >= least else 1
+    return out
+
+
+def test_every_shared_stretch_of_51_words_is_cut(spark, make):
+    r = random.Random(11)
+
+    def some(n, low, high, end):
+        out = []
+        while len(out) < n:
+            k = min(n - len(out), r.randint(low, high))
+            out += [f"w{r.randrange(4000)}" for _ in range(k)]
+            out[-1] += end
+        return " ".join(out)
+
+    passages = [some(51, 1, 1, "\n"), some(60, 1, 3, "\n"), some(155, 1, 1, "\n"), "w " * 51, "one two\n" * 30, some(51, 20, 40, ".")] + [some(51, 200, 200, "") for _ in range(40)] + [some(51, 1, 30, ".") for _ in range(20)]
+    rows = []
+    for k, p in enumerate(passages):
+        for copy in (0, 1):  # begins and ends inside sentences that differ
+            rows.append((2 * k + copy, some(r.randint(0, 60), 90, 90, "") + " " + p + " " + some(r.randint(0, 60), 90, 90, ""), "en", "s", 1))
+    got = {x.doc_id: x.text for x in spans.dedup(make(rows), spark).collect()}
+    for k in range(len(passages)):
+        before, text, after = rows[2 * k][1], rows[2 * k + 1][1], got[2 * k + 1]
+        assert shared(text, before) and len(text.split()) - len(after.split()) >= 15, k
+        assert not shared(after, before), k
+
+
+def test_runs_grow_to_the_least_words():
+    assert spans.reach([1] * 20) == [i + 15 for i in range(6)]
+    assert spans.reach([5, 5, 5, 20]) == [3, 4] and spans.reach([20, 20]) == []
+    assert len(list(spans.runs("word\n" * 20))) == 6
