@@ -1,9 +1,10 @@
 """Operator 1: embedding near-dedup over a robust-pruned flat graph.
 
-Vectors of a label are dealt to overlapping cluster shards (each to its two nearest centroids); each shard's graph is built by itself and
+Vectors of a label are dealt to overlapping cluster shards (each to its ``SPREAD`` nearest centroids); each shard's graph is built by itself and
 a vector's adjacency lists from its shards are united. Every vector is then searched for: greedily from the shard's medoid, expanding
 the range until nothing new is in it, each link verified by its exact cosine in double precision. Recall is audited against
-brute force for a sample of queries over all rows, and the search repeated with a wider beam where it is too low.
+brute force for a sample of queries over all rows, label by label where one has enough pairs; where it is too low, vectors are dealt to twice as many
+shards, up to all, and searched for with twice the beam. If recall stays too low, there is no result but an error.
 
 Equal vectors are one row for all of this. A task holds at most two parts of ``SHARD`` vectors: a larger shard is cut in
 parts by hash, and each part is searched for in each, so nothing is left out. No pair leaves its task: links go out as one count and
@@ -22,14 +23,16 @@ from pyspark.sql import functions as F
 
 from strataframe.llm import graph
 from strataframe.llm.components import connected_components
-from strataframe.llm.shared import stored, table
+from strataframe.llm.shared import dropped, stored, table
 
 #: Vectors a part of a shard aims at; centroids are as many as give such shards, each vector counting twice.
 SHARD = 2048
 #: Bounds of what is fitted on the driver: labels that get centroids (the largest), centroids of all labels, vectors of the k-means sample.
 LABELS, CENTROIDS, SAMPLE = 4096, 8192, 40_000
-#: Queries of a recall audit, and the recall below which the search is repeated with twice the beam.
-AUDIT, RECALL = 256, 0.95
+#: Queries of a recall audit, the recall below which the search is repeated, and the true links from which a label is judged by itself.
+AUDIT, RECALL, JUDGED = 256, 0.95, 40
+#: Shards of a vector at first, and the widest beam.
+SPREAD, WIDEST = 2, 1536
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -75,8 +78,8 @@ def centroids(reps: DataFrame, shard: int = SHARD) -> dict:
     return {key: _kmeans(_unit(v), max(1, min(len(v), int(want[key] / shrink)))) for key, v in rows.items()}
 
 
-def assigned(reps: DataFrame, spark: SparkSession, centers: dict) -> DataFrame:
-    """Adds ``shards``: the numbers of the two nearest centroids of the label (0 where it has none)."""
+def assigned(reps: DataFrame, spark: SparkSession, centers: dict, spread: int = SPREAD) -> DataFrame:
+    """Adds ``shards``: the numbers of the ``spread`` nearest centroids of the label (0 where it has none)."""
     shared = spark.sparkContext.broadcast(centers)
     names = ["label", "dim", "embedding", "rep", "n"]
 
@@ -87,7 +90,7 @@ def assigned(reps: DataFrame, spark: SparkSession, centers: dict) -> DataFrame:
             for key in set(keys) & set(shared.value):
                 at = [i for i, k in enumerate(keys) if k == key]
                 x = _unit(b.column(2).take(pa.array(at)).to_pylist())
-                near = np.argsort(-(x @ shared.value[key].T), axis=1, kind="stable")[:, :2]
+                near = np.argsort(-(x @ shared.value[key].T), axis=1, kind="stable")[:, :spread]
                 for i, c in zip(at, near.tolist(), strict=True):
                     out[i] = c
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*names, "shards"])
@@ -105,7 +108,7 @@ def graphs(parts: DataFrame) -> DataFrame:
         return pd.DataFrame({"rep": ids, "near": [ids[row[row >= 0]] for row in g]})
 
     lists = parts.select("label", "dim", "shard", "part", "rep", "embedding").groupBy("label", "dim", "shard", "part").applyInPandas(build, "rep long, near array<long>")
-    return lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # two lists of `degree` at most
+    return lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # a list of `degree` at most for each shard
 
 
 def _block(rows: pd.DataFrame, least: float, beam: int) -> pd.DataFrame:
@@ -139,11 +142,14 @@ def _block(rows: pd.DataFrame, least: float, beam: int) -> pd.DataFrame:
     a, b = a[a != b], b[a != b]
     if not len(a):
         return empty
-    shards = np.full((len(ids), 2), -1, np.int64)
+    shards = np.full((len(ids), max(map(len, rows["shards"]))), -1, np.int64)
     for k, s in enumerate(rows["shards"]):
         shards[k, : len(s)] = s
-    both = (shards[a][:, :, None] == shards[b][:, None, :]) & (shards[a] >= 0)[:, :, None]
-    first = np.where(both.any(axis=2), shards[a], np.iinfo(np.int64).max).min(axis=1) == here
+    first, step = np.zeros(len(a), bool), max(1, 4_000_000 // shards.shape[1] ** 2)
+    for s in range(0, len(a), step):
+        p, q = shards[a[s : s + step]], shards[b[s : s + step]]
+        both = (p[:, :, None] == q[:, None, :]) & (p >= 0)[:, :, None]
+        first[s : s + step] = np.where(both.any(axis=2), p, np.iinfo(np.int64).max).min(axis=1) == here
     links = np.bincount(a[first], copies[b[first]], len(ids)) + np.bincount(b[first], copies[a[first]], len(ids))
     root = np.arange(len(ids))
     while True:  # the smallest member's number, by hooking and jumping; row numbers follow ids
@@ -170,15 +176,19 @@ def searched(parts: DataFrame, near: DataFrame, least: float, beam: int) -> Data
 
 
 def audit(reps: DataFrame, counts: DataFrame, spark: SparkSession, least: float) -> float:
-    """Recall of the links of ``AUDIT`` seeded queries, found against all rows by brute force in blocks."""
+    """Recall of the links of ``AUDIT`` seeded queries, found against all rows by brute force in blocks: of all, or of the label
+    that has the least among those with ``JUDGED`` true links.
+    """
     asked = reps.orderBy(F.xxhash64(F.lit(17), "rep")).limit(AUDIT).join(counts, "rep", "left").select("label", "dim", "embedding", "rep", F.coalesce("links", F.lit(0)).alias("links")).collect()
     by: dict = {}
     for r in asked:
         by.setdefault((r["label"], r["dim"]), []).append(r)
     shared = spark.sparkContext.broadcast({k: (np.array([r["rep"] for r in v]), _unit([r["embedding"] for r in v])) for k, v in by.items()})
 
+    number = {k: i for i, k in enumerate(by)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        total = [0] * len(number)
         for b in batches:
             keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
             for key in set(keys) & set(shared.value):
@@ -186,11 +196,13 @@ def audit(reps: DataFrame, counts: DataFrame, spark: SparkSession, least: float)
                 some = b.take(pa.array(at))
                 ids, q = shared.value[key]
                 hit = (_unit(some.column(2).to_pylist()) @ q.T >= least) & (some.column(3).to_numpy()[:, None] != ids[None, :])
-                total += int((hit * some.column(4).to_numpy()[:, None]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["total"])
+                total[number[key]] += int((hit * some.column(4).to_numpy()[:, None]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.int64())], ["key", "total"])
 
-    true = reps.select("label", "dim", "embedding", "rep", "n").mapInArrow(run, "total long").agg(F.sum("total")).first()[0] or 0
-    return sum(r["links"] for r in asked) / true if true else 1.0
+    true = {r["key"]: r["total"] for r in reps.select("label", "dim", "embedding", "rep", "n").mapInArrow(run, "key int, total long").groupBy("key").agg(F.sum("total").alias("total")).collect()}
+    got = [(sum(r["links"] for r in v), true.get(number[k], 0)) for k, v in by.items()]
+    judged = [(sum(g for g, _ in got), sum(t for _, t in got)), *(x for x in got if x[1] >= JUDGED)]
+    return min((g / t for g, t in judged if t), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, spark: SparkSession, least: float = 0.93, shard: int = SHARD, beam: int = 48) -> DataFrame:
@@ -201,19 +213,26 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, least: float = 0.93
     empty, zero or has null or non-finite components, link with nothing and are their own component. Rows that repeat an id with its
     vector are one vector. Other columns are ignored. No vectors: no rows.
     """
-    reps = stored(assigned(r := stored(representatives(vectors), spark), spark, centroids(r, shard)), spark)
-    each = reps.select("*", F.explode("shards").alias("shard"))
-    sizes = each.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / F.lit(shard)).alias("of"))
-    parts = each.join(sizes, ["label", "dim", "shard"]).withColumn("part", F.pmod(F.xxhash64(F.lit(23), "rep"), F.col("of")).cast("int"))
-    parts = stored(parts, spark)
-    near = stored(graphs(parts), spark)
-    for _ in range(3):
+    own = stored(representatives(vectors), spark)
+    centers, spread = centroids(own, shard), SPREAD
+    most = max(map(len, centers.values()), default=1)
+    while True:
+        reps = stored(assigned(own, spark, centers, spread), spark)
+        each = reps.select("*", F.explode("shards").alias("shard"))
+        sizes = each.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / F.lit(shard)).alias("of"))
+        parts = each.join(sizes, ["label", "dim", "shard"]).withColumn("part", F.pmod(F.xxhash64(F.lit(23), "rep"), F.col("of")).cast("int"))
+        parts = stored(parts, spark)
+        near = stored(graphs(parts), spark)
         found = stored(searched(parts, near, least, beam), spark)
         counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
         recall = audit(reps, counts, spark, least)
         if recall >= RECALL:
             break
-        beam *= 2
+        if spread >= most and beam >= WIDEST:
+            raise RuntimeError(f"recall {recall:.3f} stays below {RECALL} with every vector in {spread} shards and a beam of {beam}")
+        for t in (reps, parts, near, found):
+            dropped(t, spark)
+        spread, beam = max(SPREAD, min(2 * spread, most)), min(2 * beam, WIDEST)
     groups = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), spark)
     named = reps.join(counts, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select(F.col("label").alias("l_"), F.col("embedding").alias("e_"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "rep").alias("part"))
