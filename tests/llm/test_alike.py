@@ -38,3 +38,12 @@ def test_stage_joins_texts_of_similarity_080(spark, make):
     assert found and {(r.a, r.b) for r in found} <= set(pairs)
     got = corpus_pipeline.near_duplicate_stage(spark, make(rows), "").collect()
     assert sorted(r.doc_id for r in got) == sorted(set(want.values()))
+
+
+def test_rows_of_one_id_with_different_texts_stay(spark, make):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "en", "s", 1), (7, a, "en", "s", 1), (7, b, "en", "s", 1), (7, c, "en", "s", 1), (7, c, "en", "t", 1), (9, b, "en", "s", 1)]
+    got = corpus_pipeline.near_duplicate_stage(spark, make(rows), "").collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, a), (7, b), (7, c)]
+    again = corpus_pipeline.near_duplicate_stage(spark, make(rows[::-1]).repartition(3), "").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
