@@ -1,38 +1,41 @@
 """Operator 1: embedding near-dedup over a robust-pruned flat graph.
 
-Vectors of a label are dealt to overlapping cluster shards (each to its ``SPREAD`` nearest centroids); each shard's graph is built by itself and
-a vector's adjacency lists from its shards are united. Every vector is then searched for: greedily from the shard's medoid, expanding
+Vectors of a label are dealt to overlapping cluster shards (each to its ``SPREAD`` nearest cells of a k-means tree); each shard's graph is built by
+itself and a vector's adjacency lists from its shards are united. Every vector is then searched for: greedily from the shard's medoid, expanding
 the range until nothing new is in it, each link verified by its exact cosine in double precision. Recall is audited against
 brute force for a sample of queries over all rows, label by label where one has enough pairs; where it is too low, vectors are dealt to twice as many
-shards, up to all, and searched for with twice the beam. If recall stays too low, there is no result but an error.
+shards and searched for with twice the beam. If recall stays too low, there is no result but an error.
 
-Equal vectors are one row for all of this. A task holds at most two parts of ``SHARD`` vectors: a larger shard is cut in
-parts by hash, and each part is searched for in each, so nothing is left out. No pair leaves its task: links go out as one count and
-one link of a spanning forest for each vector.
+A label of any size has shards of about ``SHARD`` vectors: cells that hold more are split again, each from a bounded sample of its own, so neither a
+label's centroids nor its vectors ever meet in one task. Only a cell so tight that most of its pairs link is not split; its shard is cut in parts by
+hash, and each part is searched for in each, which is work in proportion to its links. Equal vectors are one row for all of this. No pair leaves its
+task: links go out as one count and one link of a spanning forest for each vector.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataframe.llm import graph
 from strataframe.llm.components import connected_components
 from strataframe.llm.shared import dropped, stored, table
 
-#: Vectors a part of a shard aims at; centroids are as many as give such shards, each vector counting twice.
-SHARD = 2048
-#: Bounds of what is fitted on the driver: labels that get centroids (the largest), centroids of all labels, vectors of the k-means sample.
-LABELS, CENTROIDS, SAMPLE = 4096, 8192, 40_000
-#: Queries of a recall audit, the recall below which the search is repeated, and the true links from which a label is judged by itself.
-AUDIT, RECALL, JUDGED = 256, 0.95, 40
-#: Shards of a vector at first, and the widest beam.
-SPREAD, WIDEST = 2, 1536
+#: Vectors that a shard aims at, each vector counting once for each of its shards; twice as many are one task's.
+SHARD = 512
+#: Children of a cell at most, vectors of the k-means sample for each child, and levels of the tree (64 ** 6 cells).
+FAN, SAMPLE, LEVELS = 64, 64, 6
+#: Queries of a recall audit (so many of all vectors and so many of linked ones), the recall below which the search is repeated, and the true
+#: links from which a label is judged by itself.
+AUDIT, RECALL, JUDGED = 192, 0.95, 40
+#: Shards of a vector at first and at most, and the beams that go with them.
+SPREAD, WIDEST, BEAM, WIDEST_BEAM = 2, 32, 16, 1024
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -42,9 +45,13 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def representatives(vectors: DataFrame) -> DataFrame:
-    """``(label, dim, embedding, rep, n)``: each distinct vector of a label, its smallest id and its number of ids."""
+    """``(label, dim, embedding, rep, first, n)``: each distinct vector of a label, its smallest id, its number of ids, and a number of its own.
+
+    The numbers hold only once the table is written, as a task that is run again may give others.
+    """
     one = valid(vectors).dropDuplicates(["vec_id", "label", "embedding"])
-    return one.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("embedding"))
+    each = one.groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+    return each.select("label", F.size("embedding").alias("dim"), "embedding", F.monotonically_increasing_id().alias("rep"), "first", "n")
 
 
 def _unit(rows) -> np.ndarray:
@@ -53,50 +60,79 @@ def _unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+def _kmeans(x: np.ndarray, k: int, least: float, rounds: int = 6) -> np.ndarray:
+    """Centroids of unit rows; of those whose cells are tight and that are near each other, which would cut a group of near copies, one stays."""
     centers = x[:: max(1, len(x) // k)][:k].copy()
     for _ in range(rounds):
-        at = (x @ centers.T).argmax(axis=1)
+        sim = x @ centers.T
+        at = sim.argmax(axis=1)
         for c in range(len(centers)):
             if (at == c).any():
                 m = x[at == c].mean(axis=0)
                 centers[c] = m / max(np.linalg.norm(m), 1e-12)
-    return centers
-
-
-def centroids(reps: DataFrame, shard: int = SHARD) -> dict:
-    """{(label, dim): centroids} of labels too large for one part, by k-means on a bounded sample."""
-    large = reps.groupBy("label", "dim").count().where(F.col("count") > shard).orderBy(F.desc("count"), "label", "dim").limit(LABELS).collect()
-    want = {(r["label"], r["dim"]): -(-3 * r["count"] // shard) for r in large}
-    shrink = max(1.0, sum(want.values()) / CENTROIDS)
-    if not want:
-        return {}
-    sample = reps.join(F.broadcast(reps.sparkSession.createDataFrame(list(want), "label {}, dim int".format(reps.schema["label"].dataType.simpleString()))), ["label", "dim"])
-    rows: dict = {}
-    for r in sample.orderBy(F.xxhash64(F.lit(5), "rep")).limit(SAMPLE).select("label", "dim", "embedding").collect():
-        rows.setdefault((r["label"], r["dim"]), []).append(r["embedding"])
-    return {key: _kmeans(_unit(v), max(1, min(len(v), int(want[key] / shrink)))) for key, v in rows.items()}
-
-
-def assigned(reps: DataFrame, spark: SparkSession, centers: dict, spread: int = SPREAD) -> DataFrame:
-    """Adds ``shards``: the numbers of the ``spread`` nearest centroids of the label (0 where it has none)."""
-    shared = spark.sparkContext.broadcast(centers)
-    names = ["label", "dim", "embedding", "rep", "n"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            out: list = [[0]] * len(keys)
-            for key in set(keys) & set(shared.value):
-                at = [i for i, k in enumerate(keys) if k == key]
-                x = _unit(b.column(2).take(pa.array(at)).to_pylist())
-                near = np.argsort(-(x @ shared.value[key].T), axis=1, kind="stable")[:, :spread]
-                for i, c in zip(at, near.tolist(), strict=True):
-                    out[i] = c
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*names, "shards"])
-
-    schema = ", ".join(f"{n} {reps.schema[n].dataType.simpleString()}" for n in names)
-    return reps.select(names).mapInArrow(run, f"{schema}, shards array<int>")
+    sim = x @ centers.T
+    at = sim.argmax(axis=1)
+    tight = np.array([(at == c).any() and sim[at == c, c].mean() >= math.sqrt(least) for c in range(len(centers))])
+    stay: list[int] = []
+    for c in range(len(centers)):
+        if not (tight[c] and any(tight[o] and centers[o] @ centers[c] >= least for o in stay)):
+            stay.append(c)
+    return centers[stay]
+
+
+def dealt(own: DataFrame, spark: SparkSession, least: float, spread: int = SPREAD, shard: int = SHARD, fan: int = FAN) -> DataFrame:
+    """``(rep, shards)``: the sorted numbers of the ``spread`` nearest cells of each vector, in the tree of its label and length.
+
+    Each level splits the cells that hold over twice ``shard`` vectors: centroids come from ``SAMPLE`` vectors a child, drawn by hash, and every
+    vector goes down from its nearest cells (at least four), so that it can end beyond its parent's border. Cells are split in groups of
+    bounded size; a level costs one shuffle of the vectors in such cells.
+    """
+    wide = max(4, spread)
+    label = own.schema["label"].dataType.simpleString()
+    at = stored(own.select("rep", "label", "dim", F.lit(0).cast("long").alias("cell"), F.lit(1.0).alias("sim"), F.lit(1).alias("rank"), F.lit(False).alias("whole")), spark)
+    key = ["label", "dim", "cell"]
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep", ignore_index=True)
+        x = _unit(rows["embedding"])
+        found = _kmeans(x, min(int(rows["k"].iat[0]), len(x)), least)
+        return pd.DataFrame({**{c: [rows[c].iat[0]] * len(found) for c in key}, "child": range(len(found)), "center": list(found)})
+
+    def descend(rows: pd.DataFrame, centers: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(centers):
+            return pd.DataFrame({"rep": [], "label": [], "dim": [], "parent": [], "child": [], "sim": []})
+        centers = centers.sort_values("child", ignore_index=True)
+        sim = _unit(rows["embedding"]) @ np.array(centers["center"].tolist()).T
+        m = min(wide, len(centers))
+        near = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+        return pd.DataFrame({"rep": np.repeat(rows["rep"].to_numpy(), m), "label": rows["label"].iat[0], "dim": rows["dim"].iat[0], "parent": rows["cell"].iat[0], "child": near.ravel(), "sim": np.take_along_axis(sim, near, 1).ravel()})
+
+    for _ in range(LEVELS):
+        sizes = at.where("not whole").groupBy(*key).agg(F.count_if(F.col("rank") <= spread).alias("many"), F.count("*").alias("every")).where(F.col("many") > 2 * shard)
+        sizes = stored(sizes.withColumn("k", F.least(F.lit(fan), F.ceil(F.col("many") * F.lit(spread / shard)).cast("int"))), spark)
+        if sizes.isEmpty():
+            break
+        rows = at.where("not whole").join(sizes, key).join(own.select("rep", "label", "dim", "embedding"), ["rep", "label", "dim"])
+        rows = rows.withColumn("h", F.xxhash64(F.lit(5), "rep"))
+        some = rows.where(F.pmod("h", F.lit(1 << 20)) < F.lit(float(SAMPLE << 20)) * F.col("k") / F.col("every"))
+        centers = stored(some.select(*key, "k", "rep", "embedding").groupBy(*key).applyInPandas(fit, f"label {label}, dim int, cell long, child int, center array<double>"), spark)
+        children = centers.groupBy(*key).agg(F.count("*").alias("n"))
+        split = stored(sizes.join(children.where("n > 1").select(key), key), spark)
+        groups = F.ceil(F.col("every") / F.lit(4096)).cast("int")
+        dealt_ = rows.join(split.select(*key), key, "left_semi").withColumn("salt", F.pmod(F.shiftright("h", 20), groups).cast("int")).select(*key, "salt", "rep", "embedding")
+        salted = centers.join(split, key).withColumn("salt", F.explode(F.sequence(F.lit(0), groups - 1))).select(*key, "salt", "child", "center")
+        down = dealt_.groupBy(*key, "salt").cogroup(salted.groupBy(*key, "salt")).applyInPandas(descend, f"rep long, label {label}, dim int, parent long, child int, sim double")
+        # numbers of children are hashes of the parent's and the child's
+        down = down.select("rep", "label", "dim", F.shiftrightunsigned(F.xxhash64("parent", "child"), 1).alias("cell"), "sim", F.lit(False).alias("whole"))
+        marks = split.select(*key, F.lit(True).alias("split_"))
+        whole = sizes.join(children.where("n = 1").select(key), key).select(*key, F.lit(True).alias("tight_"))
+        rest = at.join(marks, key, "left").where("split_ is null").join(whole, key, "left").select("rep", "label", "dim", "cell", "sim", (F.col("whole") | F.coalesce("tight_", F.lit(False))).alias("whole"))
+        best = Window.partitionBy("label", "dim", "rep").orderBy(F.desc("sim"), "cell")
+        after = stored(rest.unionByName(down).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= wide), spark)
+        for t in (at, sizes, centers, split):
+            dropped(t, spark)
+        at = after
+    return at.where(F.col("rank") <= spread).groupBy("label", "dim", "rep").agg(F.array_sort(F.collect_list("cell")).alias("shards"))  # `spread` numbers at most
 
 
 def graphs(parts: DataFrame) -> DataFrame:
@@ -176,50 +212,61 @@ def searched(parts: DataFrame, near: DataFrame, least: float, beam: int) -> Data
 
 
 def audit(reps: DataFrame, counts: DataFrame, spark: SparkSession, least: float) -> float:
-    """Recall of the links of ``AUDIT`` seeded queries, found against all rows by brute force in blocks: of all, or of the label
-    that has the least among those with ``JUDGED`` true links.
+    """Recall of the links of seeded queries, ``AUDIT`` of all vectors and ``AUDIT`` of those with links, found against all rows by brute force in
+    blocks: the least of each sample's share of links, each sample's mean share by query (so that the many links of a large group hide nothing), and
+    the share of any label of the first sample with ``JUDGED`` true links. Where the queries have no true link: 1.
     """
-    asked = reps.orderBy(F.xxhash64(F.lit(17), "rep")).limit(AUDIT).join(counts, "rep", "left").select("label", "dim", "embedding", "rep", F.coalesce("links", F.lit(0)).alias("links")).collect()
+    full = reps.join(counts, "rep", "left").select("label", "dim", "embedding", "rep", F.coalesce("links", F.lit(0)).alias("links"))
+    asked = [(k, r) for k, some in enumerate((full, full.where("links > 0"))) for r in some.orderBy(F.xxhash64(F.lit(17 + k), "rep")).limit(AUDIT).collect()]
     by: dict = {}
-    for r in asked:
-        by.setdefault((r["label"], r["dim"]), []).append(r)
-    shared = spark.sparkContext.broadcast({k: (np.array([r["rep"] for r in v]), _unit([r["embedding"] for r in v])) for k, v in by.items()})
-
-    number = {k: i for i, k in enumerate(by)}
+    for number, (_, r) in enumerate(asked):
+        by.setdefault((r["label"], r["dim"]), []).append((number, r))
+    shared = spark.sparkContext.broadcast({k: (np.array([i for i, _ in v]), np.array([r["rep"] for _, r in v]), _unit([r["embedding"] for _, r in v])) for k, v in by.items()})
+    many = len(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [0] * len(number)
+        total = np.zeros(many, np.int64)
         for b in batches:
-            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-            for key in set(keys) & set(shared.value):
-                at = [i for i, k in enumerate(keys) if k == key]
-                some = b.take(pa.array(at))
-                ids, q = shared.value[key]
+            at: dict = {}
+            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                at.setdefault(key, []).append(i)
+            for key in at.keys() & shared.value.keys():
+                some = b.take(pa.array(at[key]))
+                numbers, ids, q = shared.value[key]
                 hit = (_unit(some.column(2).to_pylist()) @ q.T >= least) & (some.column(3).to_numpy()[:, None] != ids[None, :])
-                total[number[key]] += int((hit * some.column(4).to_numpy()[:, None]).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.int64())], ["key", "total"])
-
-    true = {r["key"]: r["total"] for r in reps.select("label", "dim", "embedding", "rep", "n").mapInArrow(run, "key int, total long").groupBy("key").agg(F.sum("total").alias("total")).collect()}
-    got = [(sum(r["links"] for r in v), true.get(number[k], 0)) for k, v in by.items()]
-    judged = [(sum(g for g, _ in got), sum(t for _, t in got)), *(x for x in got if x[1] >= JUDGED)]
-    return min((g / t for g, t in judged if t), default=1.0)
-
-
-def near_duplicates(vectors: DataFrame, spark: SparkSession, least: float = 0.93, shard: int = SHARD, beam: int = 48) -> DataFrame:
+                total[numbers] += (hit * some.column(4).to_numpy()[:, None]).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(many), pa.int32()), pa.array(total, pa.int64())], ["query", "total"])
+
+    totals = reps.select("label", "dim", "embedding", "rep", "n").mapInArrow(run, "query int, total long").groupBy("query").agg(F.sum("total").alias("total")).collect()
+    true = np.zeros(many)
+    for r in totals:
+        true[r["query"]] = r["total"]
+    got, sample = np.array([r["links"] for _, r in asked], float), np.array([k for k, _ in asked], int)
+    shares = [1.0]
+    for k in (0, 1):
+        some = (sample == k) & (true > 0)
+        if some.any():
+            shares += [got[some].sum() / true[some].sum(), (got[some] / true[some]).mean()]
+    for v in by.values():
+        some = np.array([i for i, _ in v if sample[i] == 0], int)
+        if true[some].sum() >= JUDGED:
+            shares.append(got[some].sum() / true[some].sum())
+    return float(min(shares))
+
+
+def near_duplicates(vectors: DataFrame, spark: SparkSession, least: float = 0.93, shard: int = SHARD, beam: int = BEAM, fan: int = FAN) -> DataFrame:
     """``vectors(vec_id, embedding, label)`` to ``(vec_id, n_links, component_id, kept, audited_recall)``, a row a row.
 
     Vectors of one label (and one length) link at a cosine of ``least`` or more; ``n_links`` counts the other vectors linked directly, equal ones
     included; ``component_id`` is the smallest id reachable. Rows with a null id or label, or a vector that is null,
     empty, zero or has null or non-finite components, link with nothing and are their own component. Rows that repeat an id with its
-    vector are one vector. Other columns are ignored. No vectors: no rows.
+    vector are one vector; with another vector they are another. Other columns are ignored. No vectors: no rows. A recall that stays below ``RECALL`` raises.
     """
-    own = stored(representatives(vectors), spark)
-    centers, spread = centroids(own, shard), SPREAD
-    most = max(map(len, centers.values()), default=1)
+    own, spread = stored(representatives(vectors), spark), SPREAD
     while True:
-        reps = stored(assigned(own, spark, centers, spread), spark)
-        each = reps.select("*", F.explode("shards").alias("shard"))
-        sizes = each.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / F.lit(shard)).alias("of"))
+        reps = stored(own.join(dealt(own, spark, least, spread, shard, fan), ["label", "dim", "rep"]).select("label", "dim", "embedding", "rep", "first", "n", "shards"), spark)
+        each = reps.drop("first").select("*", F.explode("shards").alias("shard"))
+        sizes = each.groupBy("label", "dim", "shard").agg(F.ceil(F.count("*") / F.lit(2 * shard)).alias("of"))
         parts = each.join(sizes, ["label", "dim", "shard"]).withColumn("part", F.pmod(F.xxhash64(F.lit(23), "rep"), F.col("of")).cast("int"))
         parts = stored(parts, spark)
         near = stored(graphs(parts), spark)
@@ -228,14 +275,15 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, least: float = 0.93
         recall = audit(reps, counts, spark, least)
         if recall >= RECALL:
             break
-        if spread >= most and beam >= WIDEST:
+        if spread >= WIDEST and beam >= WIDEST_BEAM:
             raise RuntimeError(f"recall {recall:.3f} stays below {RECALL} with every vector in {spread} shards and a beam of {beam}")
         for t in (reps, parts, near, found):
             dropped(t, spark)
-        spread, beam = max(SPREAD, min(2 * spread, most)), min(2 * beam, WIDEST)
+        spread, beam = min(2 * spread, WIDEST), min(4 * beam, WIDEST_BEAM)
     groups = connected_components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), spark)
-    named = reps.join(counts, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select(F.col("label").alias("l_"), F.col("embedding").alias("e_"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component_id", "rep").alias("part"))
+    named = reps.join(counts, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("part", F.coalesce("component_id", "rep"))
+    names = named.groupBy("part").agg(F.min("first").alias("least"))
+    named = named.join(names, "part").select(F.col("label").alias("l_"), F.col("embedding").alias("e_"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.col("least").alias("part"))
     # only valid vectors have a representative to meet
     out = vectors.select("vec_id", "label", "embedding").join(named, F.expr("vec_id is not null and label = l_ and embedding = e_"), "left")
     component = F.coalesce("part", "vec_id")
@@ -243,15 +291,15 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession, least: float = 0.93
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"), spark).drop("audited_recall")
+    return near_duplicates(table(spark, sf_dir, "embeddings"), spark)
 
 
-#: All pairs of a label, and their closure.
+#: All pairs of a label, and their closure; the recall is 1, as links that equal these leave none out.
 SQL = """with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) e from embeddings
   where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
  n as (select *, sqrt(list_dot_product(e, e)) norm from v),
  p as (select a.vec_id a, b.vec_id b from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93),
  c as (select a, b from p union select c.a, p.b from c join p on c.b = p.a),
  l as (select a, count(*) n_links from p group by a), m as (select a, min(b) least_id from c group by a)
- select vec_id, coalesce(n_links, 0) n_links, least(vec_id, coalesce(least_id, vec_id)) component_id, vec_id = least(vec_id, coalesce(least_id, vec_id)) kept
+ select vec_id, coalesce(n_links, 0) n_links, least(vec_id, coalesce(least_id, vec_id)) component_id, vec_id = least(vec_id, coalesce(least_id, vec_id)) kept, 1.0::double audited_recall
  from embeddings left join l on vec_id = l.a left join m on vec_id = m.a"""

@@ -1,6 +1,6 @@
-"""A flat proximity graph in numpy: batched insertion with robust pruning, and range search. Small helpers of operator 1.
+"""A flat proximity graph in numpy: robust pruning, greedy search and range expansion. Small helpers of operator 1.
 
-Vectors are unit rows in double precision; a graph is an (n, degree) matrix of neighbour numbers, -1 where there is none.
+Vectors are unit rows in double precision, a shard or part of one at most; a graph is an (n, degree) matrix of neighbour numbers, -1 where there is none.
 """
 
 from __future__ import annotations
@@ -37,89 +37,84 @@ def _prune(x: np.ndarray, of: np.ndarray, cand: np.ndarray, degree: int, alpha:
     return out
 
 
-def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy beam search of all queries at once: (numbers, similarities) of each one's best, and what it has seen (a bit a node)."""
+def build(x: np.ndarray, degree: int = 24, near: int = 40, far: int = 8, alpha: float = 1.2, seed: int = 3) -> np.ndarray:
+    """The graph of all rows: each one's candidates are its ``near`` nearest rows, ``far`` seeded ones and the medoid, pruned; then links
+    the other way are offered to each list, which is pruned again. Candidates come from products of 256 rows with all.
+    """
+    n = len(x)
+    if n <= degree + 1:
+        every = np.tile(np.arange(n), (n, 1))
+        return np.where(every == np.arange(n)[:, None], -1, every)
+    graph, root = np.full((n, degree), -1, np.int64), medoid(x)
+    random = np.random.default_rng(seed).integers(0, n, (n, far))
+    for k in range(0, n, 256):
+        some = np.arange(k, min(n, k + 256))
+        sim = x[some] @ x.T
+        sim[np.arange(len(some)), some] = -np.inf
+        nearest = np.argpartition(-sim, min(near, n - 1) - 1, axis=1)[:, :near]
+        graph[some] = _prune(x, some, np.c_[nearest, random[some], np.full(len(some), root)], degree, alpha)
+    source, target = np.repeat(np.arange(n), degree), graph.ravel()
+    source, target = source[target >= 0], target[target >= 0]
+    rank = np.argsort(target, kind="stable")
+    source, target = source[rank], target[rank]
+    column = np.arange(len(target)) - np.searchsorted(target, target)
+    back = np.full((n, int(column.max()) + 1), -1, np.int64)
+    back[target, column] = source
+    out = np.empty_like(graph)
+    for k in range(0, n, 256):
+        some = np.arange(k, min(n, k + 256))
+        cand = np.c_[graph[some], back[some]]
+        if cand.shape[1] > degree + 40:  # a hub: its nearest are enough to prune from
+            sim = np.where(cand >= 0, np.einsum("pd,pcd->pc", x[some], x[cand]), -np.inf)
+            cand = np.take_along_axis(cand, np.argpartition(-sim, degree + 39, axis=1)[:, : degree + 40], 1)
+        out[some] = _prune(x, some, cand, degree, alpha)
+    return out
+
+
+def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int, seen: np.ndarray, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy beam search of all queries at once: (codes, similarities) of every (query, node) pair met; a code is query * len(x) + node.
+
+    ``seen`` is a flat mark a code; what is met is marked in it.
+    """
     n, q = len(x), len(queries)
-    seen = np.zeros((q, n), bool)
     ids, sims, done = np.full((q, beam), -1, np.int64), np.full((q, beam), -np.inf), np.ones((q, beam), bool)
     m = min(start.shape[1], beam)
     ids[:, :m] = start[:, :m]
     ok = ids >= 0
-    row = np.nonzero(ok)
-    sims[ok] = np.einsum("id,id->i", queries[row[0]], x[ids[ok]])
-    seen[row[0], ids[ok]] = True
+    row = np.nonzero(ok)[0]
+    sims[ok] = similar(queries, x, row, ids[ok])
+    met, at = [row * n + ids[ok]], [sims[ok]]
+    seen[met[0]] = True
     done[ok] = False
     live = np.arange(q)
     while len(live):
-        rank = np.argsort(np.where(done[live], np.inf, -sims[live]), axis=1)[:, :width]
+        rank = np.argpartition(np.where(done[live], np.inf, -sims[live]), min(width, beam) - 1, axis=1)[:, :width]
         pick = ~np.take_along_axis(done[live], rank, 1)
-        live_now = pick.any(axis=1)
-        live, rank, pick = live[live_now], rank[live_now], pick[live_now]
+        some = pick.any(axis=1)
+        live, rank, pick = live[some], rank[some], pick[some]
         if not len(live):
             break
         r, c = np.nonzero(pick)
         done[live[r], rank[r, c]] = True
         near = graph[ids[live[r], rank[r, c]]]
-        owner = np.repeat(live[r], near.shape[1])
-        pair = np.unique((owner * n + near.ravel())[near.ravel() >= 0])
-        owner, near = pair // n, pair % n
-        fresh = ~seen[owner, near]
-        owner, near = owner[fresh], near[fresh]
-        if not len(owner):
+        code = (live[r][:, None] * n + near)[near >= 0]
+        code = np.unique(code[~seen[code]])
+        if not len(code):
             continue
-        seen[owner, near] = True
-        sim = np.einsum("id,id->i", queries[owner], x[near])
+        seen[code] = True
+        owner = code // n
+        sim = similar(queries, x, owner, code % n)
+        met.append(code)
+        at.append(sim)
         rows, first, size = np.unique(owner, return_index=True, return_counts=True)
         wide = int(size.max())
-        column = np.arange(len(owner)) - np.repeat(first, size)
-        at = np.repeat(np.arange(len(rows)), size)
+        column, place = np.arange(len(owner)) - np.repeat(first, size), np.repeat(np.arange(len(rows)), size)
         new_ids, new_sims = np.full((len(rows), wide), -1, np.int64), np.full((len(rows), wide), -np.inf)
-        new_ids[at, column], new_sims[at, column] = near, sim
-        all_ids, all_sims = np.c_[ids[rows], new_ids], np.c_[sims[rows], new_sims]
-        all_done = np.c_[done[rows], new_ids < 0]
-        top = np.argsort(-all_sims, axis=1, kind="stable")[:, :beam]
+        new_ids[place, column], new_sims[place, column] = code % n, sim
+        all_ids, all_sims, all_done = np.c_[ids[rows], new_ids], np.c_[sims[rows], new_sims], np.c_[done[rows], new_ids < 0]
+        top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
         ids[rows], sims[rows], done[rows] = (np.take_along_axis(a, top, 1) for a in (all_ids, all_sims, all_done))
-    return ids, sims, seen
-
-
-def build(x: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2, seed: int = 3) -> np.ndarray:
-    """The graph of all rows: batches of growing size are searched in what stands, pruned, and linked both ways."""
-    n = len(x)
-    if n <= degree + 1:
-        every = np.tile(np.arange(n), (n, 1))
-        return np.where(every == np.arange(n)[:, None], -1, every)
-    graph = np.full((n, degree), -1, np.int64)
-    root = medoid(x)
-    order = np.random.default_rng(seed).permutation(n)
-    order = order[order != root]
-    at, size = 0, 8
-    while at < len(order):
-        batch = order[at : at + size]
-        at, size = at + len(batch), min(256, size * 2)
-        found, _, _ = search(x, graph, x[batch], np.full((len(batch), 1), root), beam)
-        mates = x[batch] @ x[batch].T  # rows of one batch can't find each other in the graph
-        np.fill_diagonal(mates, -np.inf)
-        k = min(8, len(batch) - 1)
-        if k:
-            found = np.c_[found, batch[np.argpartition(-mates, k - 1, axis=1)[:, :k]]]
-        graph[batch] = _prune(x, batch, found, degree, alpha)
-        # reverse links
-        source, target = np.repeat(batch, degree), graph[batch].ravel()
-        source, target = source[target >= 0], target[target >= 0]
-        rank = np.argsort(target, kind="stable")
-        source, target = source[rank], target[rank]
-        nodes, first, count = np.unique(target, return_index=True, return_counts=True)
-        column = np.arange(len(target)) - np.repeat(first, count)
-        back = np.full((len(nodes), int(count.max(initial=0))), -1, np.int64)
-        back[np.repeat(np.arange(len(nodes)), count), column] = source
-        for k in range(0, len(nodes), 256):
-            some = nodes[k : k + 256]
-            cand = np.c_[graph[some], back[k : k + 256]]
-            if cand.shape[1] > degree + 64:  # a hub: its nearest are enough to prune from
-                near = np.where(cand >= 0, np.einsum("pd,pcd->pc", x[some], x[cand]), -np.inf)
-                cand = np.take_along_axis(cand, np.argsort(-near, axis=1)[:, : degree + 64], 1)
-            graph[some] = _prune(x, some, cand, degree, alpha)
-    return graph
+    return np.concatenate(met), np.concatenate(at)
 
 
 def _both_ways(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,42 +126,34 @@ def _both_ways(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(code // n, np.arange(n + 1)), code % n
 
 
-def _similar(queries: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def similar(queries: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity of each (query, node) pair, some at a time."""
-    return np.concatenate([np.einsum("id,id->i", queries[a[s : s + 65536]], x[b[s : s + 65536]]) for s in range(0, max(1, len(a)), 65536)])
+    return np.concatenate([np.einsum("id,id->i", queries[a[s : s + 16384]], x[b[s : s + 16384]]) for s in range(0, max(1, len(a)), 16384)])
 
 
 def in_range(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, beam: int, margin: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) pairs of similarity ``least`` or more: a greedy search from the medoid (and, for a query that is a node, from
-    itself), then an expansion of every node found within ``least - margin`` until nothing new is. The expansion follows links both
+    itself), then an expansion of every node met within ``least - margin`` until nothing new is. The expansion follows links both
     ways: the many that pruning left with one shared neighbour are in no list that it has room for.
     """
-    n, found_q, found_n = len(x), [], []
+    n, found = len(x), [np.zeros(0, np.int64)]
     begin, ends = _both_ways(graph)
     root = medoid(x)
     for k in range(0, len(queries), 512):
         q, mine = queries[k : k + 512], own[k : k + 512]
-        start = np.c_[np.full(len(q), root), np.where(mine == root, -1, mine)]
-        _, _, seen = search(x, graph, q, start, beam)
-        edge_q, edge_n = np.nonzero(seen)  # all that the search has met, not only what its beam still holds
-        edge_s = _similar(q, x, edge_q, edge_n)
-        wide = edge_s >= least - margin
-        edge_q, edge_n, edge_s = edge_q[wide], edge_n[wide], edge_s[wide]
-        while len(edge_q):
-            hit = edge_s >= least
-            found_q.append(edge_q[hit] + k)
-            found_n.append(edge_n[hit])
-            pairs = []
-            for s in range(0, len(edge_q), 8192):
-                size = begin[edge_n[s : s + 8192] + 1] - begin[edge_n[s : s + 8192]]
+        seen = np.zeros(len(q) * n, bool)
+        code, sim = search(x, graph, q, np.c_[np.full(len(q), root), np.where(mine == root, -1, mine)], beam, seen)
+        while len(code):
+            found.append(code[sim >= least] + k * n)
+            wide, fresh = code[sim >= least - margin], []
+            for s in range(0, len(wide), 8192):
+                some = wide[s : s + 8192]
+                size = begin[some % n + 1] - begin[some % n]
                 place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                near = ends[np.repeat(begin[edge_n[s : s + 8192]], size) + place]
-                code = np.unique(np.repeat(edge_q[s : s + 8192], size) * n + near)
-                pairs.append(code[~seen[code // n, code % n]])
-                seen[pairs[-1] // n, pairs[-1] % n] = True
-            code = np.concatenate(pairs)
-            edge_q, edge_n = code // n, code % n
-            edge_s = _similar(q, x, edge_q, edge_n)
-            wide = edge_s >= least - margin
-            edge_q, edge_n, edge_s = edge_q[wide], edge_n[wide], edge_s[wide]
-    return (np.concatenate(found_q), np.concatenate(found_n)) if found_q else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                near = np.repeat(some - some % n, size) + ends[np.repeat(begin[some % n], size) + place]
+                fresh.append(np.unique(near[~seen[near]]))
+                seen[fresh[-1]] = True
+            code = np.concatenate(fresh) if fresh else np.zeros(0, np.int64)
+            sim = similar(q, x, code // n, code % n)
+    every = np.concatenate(found)
+    return every // n, every % n

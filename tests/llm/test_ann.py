@@ -79,11 +79,33 @@ def test_pairs_that_two_shards_do_not_hold(spark, monkeypatch):
     rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(np.r_[x, y])]
     links, _ = truth(rows)
     df = spark.createDataFrame(rows, SCHEMA)
-    own = ann.representatives(df)
+    real = ann._kmeans
     c = r.normal(size=(60, 64))
-    monkeypatch.setattr(ann, "centroids", lambda *a: {(0, 64): c / np.linalg.norm(c, axis=1, keepdims=True)})
-    two = {z.rep: set(z.shards) for z in ann.assigned(own, spark, ann.centroids(own, 32), 2).collect()}
-    assert sum(bool(two[i] & two[800 + i]) for i in range(800)) < 0.93 * 800
+    monkeypatch.setattr(ann, "_kmeans", lambda x, k, least: c / np.linalg.norm(c, axis=1, keepdims=True) if len(x) > 200 else real(x, k, least))
+    own = ann.stored(ann.representatives(df), spark)
+    two = {z.rep: set(z.shards) for z in ann.dealt(own, spark, 0.93, shard=64).collect()}
+    number = {z["first"]: z.rep for z in own.collect()}
+    assert max(map(len, two.values())) == 2
+    apart = sum(not two[number[i]] & two[number[800 + i]] for i in range(800))
     got = ann.near_duplicates(df, spark, shard=64).collect()
     assert got[0].audited_recall >= ann.RECALL
-    assert sum(z.n_links for z in got) >= 0.93 * sum(links.values())
+    assert sum(z.n_links for z in got) >= 0.93 * sum(links.values()) and apart > 0
+
+
+def test_levels_of_the_tree(spark):
+    """A label of several levels: every cell within bounds but for the tight one, which is cut in parts."""
+    r = np.random.default_rng(4)
+    x, hub = r.normal(size=(1500, 16)), r.normal(size=16)
+    x = np.r_[x, hub + 0.02 * r.normal(size=(200, 16))]
+    rows = [(i, v.astype(np.float32).tolist(), 0) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    own = ann.stored(ann.representatives(df), spark)
+    cells = [c for z in ann.dealt(own, spark, 0.93, shard=32, fan=4).collect() for c in z.shards]
+    size = {c: cells.count(c) for c in set(cells)}
+    assert len(size) > 4**2 and sorted(size.values())[-3] <= 64
+    check(rows, ann.near_duplicates(df, spark, shard=32, fan=4).collect(), exact=False)
+
+
+def test_one_id_with_two_vectors(spark):
+    got = ann.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (0, [0.01, 1.0], 0)], SCHEMA), spark).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(0, 1, 0), (1, 1, 0), (1, 1, 1), (2, 1, 1)]
