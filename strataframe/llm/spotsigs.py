@@ -21,9 +21,10 @@ ANCHORS = (
     "der die das und ist von mit zu den dem ein eine nicht auf für als auch sich im "
     "el los las del y por con no se para es su al lo como más"
 ).split()
-#: Content words in a chain, the words after an anchor in which they are looked for, and the least share of anchors among
-#: words; in a text with fewer, one word in eight (by hash) is an anchor too.
-CHAIN, REACH, LEAST_SHARE = 2, 8, 0.05
+#: Content words in a chain, and the words after an anchor in which they are looked for.
+CHAIN, REACH = 2, 8
+#: Besides common words, one content word in so many is an anchor, by its hash alone, so that texts in other languages have signatures too.
+ONE_IN = 8
 
 
 def word_codes(text: Column) -> Column:
@@ -31,18 +32,18 @@ def word_codes(text: Column) -> Column:
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,;:!?]+"), lambda w: w != "")
     return F.transform(words, lambda w: F.when(w.isin(ANCHORS), F.xxhash64(w).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(w).bitwiseAND(F.lit(-2))))
 
+
 def with_signatures(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds ``out``: sorted distinct signatures (ints) of column ``text``. Null and blank texts have none, any other one at least.
 
-    The text's start is an anchor.
+    The text's start is an anchor. A signature depends on the anchor and the words after it alone, whatever else the text holds.
     """
     # transform(array(x), name -> ...)[0] names a value: the codes are computed once and stay an array of objects, of which
     # slice() takes a part without copying the whole
     let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
     chain = lambda at: f"slice(filter(slice(c, {at}, {REACH}), y -> y & 1 = 0), 1, {CHAIN})"
-    spots = f"transform(c, (x, i) -> if(x & 1 = 1 or (rare and shiftright(x, 1) & 7 = 0), hash(x, {chain('i + 2')}), null))"
-    every = f"array_sort(array_distinct(array_compact(concat(array(hash(1L, {chain('1')})), {spots}))))"
-    found = let(f"size(filter(c, y -> y & 1 = 1)) < {LEAST_SHARE} * size(c)", "rare", every)
+    spots = f"transform(c, (x, i) -> if(x & 1 = 1 or shiftright(x, 1) & {ONE_IN - 1} = 0, hash(x, {chain('i + 2')}), null))"
+    found = f"array_sort(array_distinct(array_compact(concat(array(hash(1L, {chain('1')})), {spots}))))"
     codes = f"{out}_codes_"
     df = df.withColumn(codes, word_codes(F.col(text)))
     return df.withColumn(out, F.expr(let(codes, "c", f"if(size(c) = 0, cast(array() as array<int>), {found})"))).drop(codes)
@@ -88,23 +89,28 @@ def near_pairs(sets: DataFrame, spark: SparkSession, least: float = 0.8) -> Data
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "likeness")
 
 
-def id_range(docs: DataFrame, rows: int = 500, segments: int = 256, most: int = 64) -> Column:
-    """A number that rises with ``doc_id`` and cuts the rows into ranges, of about ``rows`` each up to ``segments * most`` ranges.
+def id_range(docs: DataFrame, rows: int = 500, segments: int = 256) -> tuple[Column, Column]:
+    """(segment, range): numbers that rise with (``doc_id``, ``h_``) and cut the rows into ranges of about ``rows`` each; ``h_`` is a hash of the text.
 
-    Segments come from quantiles of all ids, so ids may lie in any way; each is cut evenly. Null ids take 4096
-    numbers below all others, by hash of their text.
+    Segments come from quantiles of all ids, so ids may lie in any way, and each is cut evenly. An id that is several quantiles holds many rows; those
+    are cut by ``h_``, as null ids are, which lie below all others.
     """
-    n, bounds = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", [i / segments for i in range(segments)], 10_000)).first()
-    by_text = -1 - F.pmod(F.xxhash64("text"), F.lit(4096))
+    n, nulls, bounds = docs.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull()), F.percentile_approx("doc_id", [i / segments for i in range(segments)], 10_000)).first()
+    share = lambda parts: F.least(parts - 1, F.floor((F.col("h_").cast("double") / float(1 << 64) + 0.5) * parts))
+    below = share(F.lit(math.ceil((nulls + 1) / rows)))
     if not n:
-        return by_text
-    bounds = sorted(set(bounds))
-    parts = min(most, max(1, math.ceil(n / (rows * segments))))
-    array, d = F.array(*[F.lit(b) for b in bounds]), F.col("doc_id")
-    at = F.greatest(F.size(F.filter(array, lambda b: b <= d)), F.lit(1))
-    low, high = F.element_at(array, at), F.coalesce(F.try_element_at(array, at + 1), F.lit(bounds[-1] + max(1, bounds[-1] - bounds[-2 if len(bounds) > 1 else -1])))
-    inner = F.floor((d - low).cast("double") / (high - low).cast("double") * parts)
-    return F.when(d.isNotNull(), at.cast("long") * parts + F.least(F.lit(parts - 1), F.greatest(F.lit(0), inner))).otherwise(by_text)
+        return F.lit(-1), below
+    parts = max(1, math.ceil(n / (rows * segments)))
+    bounds = sorted(bounds)
+    single = sorted(set(bounds))
+    table = F.array(*[F.struct(F.lit(b).alias("low"), F.lit(nxt).alias("high"), F.lit(bounds.count(b) - 1).alias("own")) for b, nxt in zip(single, [*single[1:], single[-1] + max(1, single[-1] - single[-min(2, len(single))])], strict=True)])
+    d = F.col("doc_id")
+    at = F.greatest(F.size(F.filter(F.array(*map(F.lit, single)), lambda b: b <= d)), F.lit(1))
+    here = F.element_at(table, at)
+    hot = (d == here["low"]) & (here["own"] > 0)
+    inner = F.floor((d - here["low"]).cast("double") / (here["high"] - here["low"]).cast("double") * parts)
+    inside = F.when(hot, share((here["own"] * parts).cast("long"))).otherwise(here["own"] * parts + F.least(F.lit(parts - 1), F.greatest(F.lit(0), inner)))
+    return F.when(d.isNull(), -1).otherwise(at), F.when(d.isNull(), below).otherwise(inside).cast("long")
 
 
 def fingerprint(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -113,21 +119,28 @@ def fingerprint(docs: DataFrame, spark: SparkSession) -> DataFrame:
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next document's,
     by descending ``doc_id``; the last document's next is the first, and a single document follows itself. Null texts are empty, and
     an empty text has an empty fingerprint; two empty ones are alike (1). Null ids sort below all others, rows of one id by
-    text hash. Other columns are ignored. No documents: no rows.
+    text hash. Very long texts are taken whole. Other columns are ignored. No documents: no rows.
 
     Texts are shuffled once, by range of ids: a window sees one range, and the lowest document of a range gets the
-    highest of the range below from a table with a row a range (16,384 and the nulls' 4,096 at most).
+    highest of the range below. Which range that is comes from a narrow row a range, ordered segment by segment. Rows that repeat both
+    an id and its text share a range, whatever their number.
     """
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranged = base.withColumn("h_", F.xxhash64("text")).withColumn("r_", id_range(base)).repartition("r_")
-    up = Window.partitionBy("r_").orderBy("doc_id", "h_")
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h_", F.xxhash64("text"))
+    segment, inside = id_range(base)
+    ranged = base.withColumn("g_", segment).withColumn("r_", inside).repartition("g_", "r_")
+    up = Window.partitionBy("g_", "r_").orderBy("doc_id", "h_")
     here = with_signatures(ranged, "text", "sigs").withColumn("below", F.lag(F.struct("text", "sigs")).over(up))
-    tops = ranged.withColumn("above_", F.lead("r_").over(up)).where("above_ is null").drop("above_")
-    tops = stored(with_signatures(tops, "text", "sigs"), spark)
-    steps = tops.select("r_", F.coalesce(F.lag("r_").over(Window.orderBy("r_")), F.max("r_").over(Window.partitionBy())).alias("from_"))
-    over = steps.join(tops.select(F.col("r_").alias("from_"), F.struct("text", "sigs").alias("over_")), "from_").select(F.col("r_").alias("b_"), "over_")
-    # both sides are dealt by range already, so this join moves no text
-    both = here.join(over, F.expr("r_ = b_"), "left").withColumn("below", F.coalesce("below", "over_")).drop("b_", "over_")
+    # the same exchange feeds the highest document of each range
+    tops = ranged.withColumn("above_", F.lead("h_").over(up)).where("above_ is null").drop("above_")
+    ranges = stored(base.select(segment.alias("g_"), inside.alias("r_")).distinct(), spark)
+    inner = ranges.select("g_", "r_", F.lag("r_").over(Window.partitionBy("g_").orderBy("r_")).alias("from_r"))
+    ends = ranges.groupBy("g_").agg(F.max("r_").alias("end_r"))  # a row a segment
+    before = ends.select("g_", F.lag("g_").over(Window.orderBy("g_")).alias("p_g"), F.lag("end_r").over(Window.orderBy("g_")).alias("p_r"), F.max(F.struct("g_", "end_r")).over(Window.partitionBy()).alias("last_"))
+    before = before.select("g_", F.coalesce("p_g", "last_.g_").alias("p_g"), F.coalesce("p_r", "last_.end_r").alias("p_r"))
+    steps = inner.join(before, "g_").select(F.col("g_").alias("to_g"), F.col("r_").alias("to_r"), F.when(F.col("from_r").isNull(), F.col("p_g")).otherwise(F.col("g_")).alias("g_"), F.coalesce("from_r", "p_r").alias("r_"))
+    over = with_signatures(tops, "text", "sigs").select("g_", "r_", F.struct("text", "sigs").alias("over_")).join(steps, ["g_", "r_"]).select("to_g", "to_r", "over_")
+    # both sides are dealt by range already, so this join moves no text but the highest documents'
+    both = here.join(over, F.expr("g_ = to_g and r_ = to_r"), "left").withColumn("below", F.coalesce("below", "over_")).drop("to_g", "to_r", "over_")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     both = both.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("below.text"), F.lit(1), half)))
