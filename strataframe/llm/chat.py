@@ -5,8 +5,9 @@ starts a turn of the output, under its own role or another, or is merged into th
 dynamic programming over the automaton of legal turns finds the cheapest way, and the repaired sequence is rendered.
 
 A turn's effect on the automaton is a min-plus matrix of its role, so long conversations are cut into blocks: a block's matrix is the product of
-its turns', one pass over the blocks backwards gives the cost to go and one forwards the states in which each block starts and ends, and
-blocks are then repaired by themselves. Output is a row a turn; the pieces of a conversation in order are its rendering.
+its turns', one pass over the blocks gives the cost of each state before each block, each block then tells for each state at its end which one it
+began in, one pass backwards picks those, and blocks are repaired by themselves. Ties fall as they do in one piece, whatever the blocks: to the
+lower state, from the end backwards. Output is a row a turn; the pieces of a conversation in order of ``position`` are its rendering.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ _BETWEEN = {
 }
 #: Empty turns that finish a conversation from each state.
 _FINISH = {START: ("user", "assistant"), SYSTEM: ("user", "assistant"), USER: ("assistant",), ASSISTANT: ()}
+_BEGIN = [0.0, _INF, _INF, _INF]
 END_COST = [INSERT * len(_FINISH[s]) for s in range(4)]
 
 
@@ -65,10 +67,9 @@ def role_code(role: str | None) -> int:
     return ROLES.index(role) if role in ROLES else 3
 
 
-def path(codes: list[int], start: int = START, end: int | None = None) -> list[tuple[int, int]]:
-    """(from, to) for each turn on the cheapest path from ``start``: to ``end``, or, without one, to the cheapest finish. Ties: lower states."""
-    cost, back = [_INF] * 4, []
-    cost[start] = 0.0
+def _forward(codes: list[int], cost: list[float]) -> tuple[list[float], list[list[int]]]:
+    """Costs of the states after the turns, from those before them, and for each turn the state before each state. Ties: lower states."""
+    back = []
     for c in codes:
         moves, new, came = MOVES[c], [_INF] * 4, [0] * 4
         for a in range(4):
@@ -79,7 +80,17 @@ def path(codes: list[int], start: int = START, end: int | None = None) -> list[t
                         new[b], came[b] = x, a
         cost = new
         back.append(came)
-    at = min(range(4), key=lambda s: cost[s] + END_COST[s]) if end is None else end
+    return cost, back
+
+
+def _finish(cost: list[float]) -> int:
+    return min(range(4), key=lambda s: cost[s] + END_COST[s])
+
+
+def path(codes: list[int], cost: list[float] | None = None, end: int | None = None) -> list[tuple[int, int]]:
+    """(from, to) for each turn on the cheapest path from the start (or from states of the given costs): to ``end``, or, without one, to the cheapest finish."""
+    after, back = _forward(codes, _BEGIN if cost is None else cost)
+    at = _finish(after) if end is None else end
     out = []
     for came in reversed(back):
         out.append((came[at], at))
@@ -106,8 +117,10 @@ def pieces(codes: list[int], texts: list[str | None], steps: list[tuple[int, int
         yield action, ROLES[b - 1], ",".join(put), cost, piece
 
 
-_KEY = ["conv_id", "tb_", "t2_", "hb_"]
+_KEY = ["conv_id", "tb_", "t2_", "hb_", "ib_"]
 _ORDER = [*_KEY, "t_", "h_", "id_"]
+_K = len(_KEY)
+_KEY_TYPES = [pa.int64()] * _K
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -128,98 +141,123 @@ def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType],
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hold, strict=True), types, strict=True)], names)
 
 
-_OUT = ["conv_id", "turn", "role", "action", "new_role", "inserted", "cost", "rendered"]
-_OUT_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
-_OUT_SCHEMA = "conv_id long, turn long, role string, action string, new_role string, inserted string, cost double, rendered string"
+_OUT = ["conv_id", "position", "turn", "role", "action", "new_role", "inserted", "cost", "rendered"]
+_OUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.string()]
+_OUT_SCHEMA = "conv_id long, position long, turn long, role string, action string, new_role string, inserted string, cost double, rendered string"
 
 
 def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of turns, each with its states (start, end) and whether it is its conversation's last."""
+    """Blocks of turns, each with the costs of the states before it, its end state, its place and whether it is its conversation's last."""
 
     def rows():
-        for key, group in _streamed(batches, 4):
-            start, end, last = group[0][7], group[0][8], group[0][9]
-            codes = [role_code(r[5]) for r in group]
-            steps = path(codes, start, end)
-            for r, out in zip(group, pieces(codes, [r[6] for r in group], steps, last), strict=True):
-                yield (key[0], r[4], r[5], *out)
+        for key, group in _streamed(batches, _K):
+            cost, end, first, last = group[0][_K + 3 :]
+            codes = [role_code(r[_K + 1]) for r in group]
+            steps = path(codes, cost, end)
+            for k, (r, out) in enumerate(zip(group, pieces(codes, [r[_K + 2] for r in group], steps, last), strict=True)):
+                yield (key[0], first + k, r[_K], r[_K + 1], *out)
 
     yield from _batches(rows(), _OUT, _OUT_TYPES)
 
 
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block its matrix and number of turns."""
+
     def rows():
-        for key, group in _streamed(batches, 4):
+        for key, group in _streamed(batches, _K):
             m = np.where(np.eye(4) > 0, 0.0, _INF)
             for r in group:
-                m = (m[:, :, None] + MATRIX[role_code(r[4])][None]).min(axis=1)
-            yield (*key, m.ravel().tolist())
+                m = (m[:, :, None] + MATRIX[role_code(r[_K])][None]).min(axis=1)
+            yield (*key, m.ravel().tolist(), len(group))
 
-    yield from _batches(rows(), [*_KEY, "m_"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())])
+    yield from _batches(rows(), [*_KEY, "m_", "n_"], [*_KEY_TYPES, pa.list_(pa.float64()), pa.int64()])
 
 
-def _to_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks from a conversation's last to its first: adds the cost to go from each state at the block's end."""
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks from a conversation's first to its last: the costs of the states and the number of turns before each."""
 
     def rows():
-        conv, go = object(), np.array(END_COST)
+        conv, cost, first = object(), np.array(_BEGIN), 0
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                last = r[0] != conv
-                if last:
-                    conv, go = r[0], np.array(END_COST)
-                yield (*r, go.tolist(), last)
-                go = (np.array(r[4]).reshape(4, 4) + go[None]).min(axis=1)
+                if r[0] != conv:
+                    conv, cost, first = r[0], np.array(_BEGIN), 0
+                yield (*r[:_K], cost.tolist(), first)
+                cost, first = (cost[:, None] + np.array(r[_K]).reshape(4, 4)).min(axis=0), first + r[_K + 1]
 
-    yield from _batches(rows(), [*_KEY, "m_", "go_", "last_"], [*[pa.int64()] * 4, pa.list_(pa.float64()), pa.list_(pa.float64()), pa.bool_()])
+    yield from _batches(rows(), [*_KEY, "cost_", "first_"], [*_KEY_TYPES, pa.list_(pa.float64()), pa.int64()])
 
 
-def _states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks from a conversation's first to its last: the states between which each runs."""
+def _traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block the state that it begins in for each state at its end, and the state that it ends in if it is the last."""
 
     def rows():
-        conv, at = object(), START
+        for key, group in _streamed(batches, _K):
+            cost, first = group[0][_K + 1 :]
+            after, back = _forward([role_code(r[_K]) for r in group], cost)
+            at = list(range(4))
+            for came in reversed(back):
+                at = [came[s] for s in at]
+            yield (*key, cost, first, at, _finish(after))
+
+    yield from _batches(rows(), [*_KEY, "cost_", "first_", "from_", "finish_"], [*_KEY_TYPES, pa.list_(pa.float64()), pa.int64(), pa.list_(pa.int32()), pa.int32()])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks from a conversation's last to its first: the state that each ends in."""
+
+    def rows():
+        conv, end = object(), 0
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if r[0] != conv:
-                    conv, at = r[0], START
-                end = int((np.array(r[4]).reshape(4, 4)[at] + np.array(r[5])).argmin())
-                yield (*r[:4], at, end, r[6])
-                at = end
+                last = r[0] != conv
+                if last:
+                    conv, end = r[0], r[_K + 3]
+                yield (*r[: _K + 2], end, last)
+                end = r[_K + 2][end]
 
-    yield from _batches(rows(), [*_KEY, "start_", "end_", "last_"], [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.bool_()])
+    yield from _batches(rows(), [*_KEY, "cost_", "first_", "end_", "last_"], [*_KEY_TYPES, pa.list_(pa.float64()), pa.int64(), pa.int32(), pa.bool_()])
 
 
 def format_chats(turns: DataFrame, spark: SparkSession, block: int = BLOCK, heavy: int = HEAVY) -> DataFrame:
-    """``turns(conv_id, turn, role, text)`` to ``(conv_id, turn, role, action, new_role, inserted, cost, rendered)``, a row a turn.
+    """``turns(conv_id, turn, role, text)`` to ``(conv_id, position, turn, role, action, new_role, inserted, cost, rendered)``, a row a turn.
 
-    Turns are in order of ``turn`` (null: last), ties by hash of role and text. ``action`` is keep, relabel or merge; ``inserted`` names the empty turns
-    put in before the turn and, marked ``+``, after a conversation's last. Roles count trimmed and in any case; null or other roles
-    take any role at small cost. Null texts are empty. Rows with a null ``conv_id`` are one conversation. The template's
-    marks inside texts are broken up. Repeated rows are turns of their own. Other columns are ignored. No turns: no rows.
+    Turns are in order of ``turn`` (null: last), ties by hash of role and text, repeated rows in any order, as they are alike; ``position`` counts them from
+    0. ``action`` is keep, relabel or merge; ``inserted`` names the empty turns put in before the turn and, marked ``+``, after a conversation's last. Roles
+    count trimmed and in any case; null or other roles take any role at small cost. Null texts are empty, very long ones are kept whole. Rows with a null
+    ``conv_id`` are one conversation. The template's marks inside texts are broken up. Repeated rows are turns of their own. Other columns are ignored. No
+    turns: no rows. ``block`` and ``heavy`` bound what a task holds and change no result.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     order = F.coalesce("turn", F.lit((1 << 63) - 1))
     rows = rows.withColumns({"t_": order, "h_": F.shiftrightunsigned(F.xxhash64("role", "text"), 1), "tb_": order - F.pmod(order, F.lit(block)), "id_": F.monotonically_increasing_id()})
     rows = stored(rows, spark)  # the number of a row must not change when a task is run again
     sizes = rows.groupBy("conv_id", "tb_").agg(F.count("*").alias("n_"))
-    # too many rows with turn numbers of one block: cut by number, then by hash, then by row
+    # too many rows with turn numbers of one block: cut by number, then by hash, and rows that are alike by row
     cut = sizes.where(F.col("n_") > heavy).select(F.col("conv_id").alias("c_"), F.col("tb_").alias("b_"), F.ceil(F.log2(F.col("n_") / heavy)).cast("int").alias("bits_"))
     rows = rows.join(cut, F.expr("conv_id <=> c_ and tb_ = b_"), "left").withColumns({
         "t2_": F.when(F.col("bits_").isNotNull(), F.col("t_")).otherwise(F.lit(0)).cast("long"),
-        "hb_": F.expr("coalesce(shiftrightunsigned(h_, 63 - bits_), 0L)")}).drop("c_", "b_", "bits_")
+        "low_": F.expr("coalesce(shiftleft(shiftrightunsigned(h_, 63 - bits_), 63 - bits_), 0L)")}).drop("c_", "b_")
+    # a hash of many rows is cut out of its bucket, which goes on behind it, so the order stays that of (turn number, hash, row)
+    alike = rows.where("bits_ is not null").groupBy("conv_id", "t_", "low_", "h_").agg(F.count("*").alias("n_")).where(F.col("n_") > heavy)
+    alike = alike.groupBy("conv_id", "t_", "low_").agg(F.collect_list("h_").alias("hot_")).select(F.col("conv_id").alias("c_"), F.col("t_").alias("at_"), F.col("low_").alias("lo_"), "hot_")  # a hash for each `heavy` rows at most
+    rows = rows.join(alike, F.expr("conv_id <=> c_ and t_ = at_ and low_ = lo_ and bits_ is not null"), "left").withColumns({
+        "hb_": F.expr("greatest(low_, array_max(transform(filter(hot_, g -> g <= h_), g -> if(g = h_, g, g + 1))))"),
+        "ib_": F.when(F.array_contains("hot_", F.col("h_")), F.floor(F.col("id_") / heavy)).otherwise(F.lit(0)).cast("long")}).drop("c_", "at_", "lo_", "low_", "hot_", "bits_")
     several = rows.select(*_KEY).distinct().groupBy("conv_id").agg(F.count("*").alias("n_")).where("n_ > 1").select(F.col("conv_id").alias("c_"))
     long_ = rows.join(several, F.expr("conv_id <=> c_"), "left_semi")
     short = rows.join(several, F.expr("conv_id <=> c_"), "left_anti")
-    columns = [*_KEY, "turn", "role", "text", "start_", "end_", "last_"]
-    single = short.withColumns({"start_": F.lit(START), "end_": F.lit(None).cast("int"), "last_": F.lit(True)})
+    columns = [*_KEY, "turn", "role", "text", "cost_", "end_", "first_", "last_"]
+    single = short.withColumns({"cost_": F.lit(None).cast("array<double>"), "end_": F.lit(None).cast("int"), "first_": F.lit(0).cast("long"), "last_": F.lit(True)})
     single = single.repartition("conv_id").sortWithinPartitions(*_ORDER).select(columns).mapInArrow(_repair, _OUT_SCHEMA)
-    names = "conv_id long, tb_ long, t2_ long, hb_ long"
-    blocks = long_.select(*_ORDER, "role").repartition(*_KEY).sortWithinPartitions(*_ORDER).select(*_KEY, "role").mapInArrow(_matrices, f"{names}, m_ array<double>")
-    down = blocks.repartition("conv_id").sortWithinPartitions("conv_id", *[F.desc(c) for c in _KEY[1:]]).mapInArrow(_to_go, f"{names}, m_ array<double>, go_ array<double>, last_ boolean")
-    states = down.repartition("conv_id").sortWithinPartitions(*_KEY).mapInArrow(_states, f"{names}, start_ int, end_ int, last_ boolean")
+    names = ", ".join(f"{k} long" for k in _KEY)
     on = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in _KEY]
-    part = long_.alias("r").join(states.alias("s"), on).select("r.*", "start_", "end_", "last_")
+    blocks = long_.select(*_ORDER, "role").repartition(*_KEY).sortWithinPartitions(*_ORDER).select(*_KEY, "role").mapInArrow(_matrices, f"{names}, m_ array<double>, n_ long")
+    before = stored(blocks.repartition("conv_id").sortWithinPartitions(*_KEY).mapInArrow(_before, f"{names}, cost_ array<double>, first_ long"), spark)
+    again = long_.select(*_ORDER, "role").alias("r").join(before.alias("s"), on).select("r.*", "cost_", "first_")
+    traces = again.repartition(*_KEY).sortWithinPartitions(*_ORDER).select(*_KEY, "role", "cost_", "first_").mapInArrow(_traces, f"{names}, cost_ array<double>, first_ long, from_ array<int>, finish_ int")
+    ends = stored(traces.repartition("conv_id").sortWithinPartitions("conv_id", *[F.desc(c) for c in _KEY[1:]]).mapInArrow(_ends, f"{names}, cost_ array<double>, first_ long, end_ int, last_ boolean"), spark)
+    part = long_.alias("r").join(ends.alias("s"), on).select("r.*", "cost_", "end_", "first_", "last_")
     part = part.repartition(*_KEY).sortWithinPartitions(*_ORDER).select(columns).mapInArrow(_repair, _OUT_SCHEMA)
     return single.unionByName(part)
 
