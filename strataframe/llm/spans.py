@@ -1,9 +1,11 @@
 """Operator 4: substring dedup by sliding sentence spans.
 
-A text is cut into sentences, and a sentence of more than ``PIECE_WORDS`` words into pieces that end at words chosen by the hashes of the words
-around them alone, so that a passage is cut alike wherever it stands in a sentence. From every sentence on, the shortest run of ``RUN`` or more with
-``LEAST_WORDS`` words or more is hashed; hashes join globally; all sentences that a repeated run covers go, except where the run is the first of its
-hash, by document id and place.
+A text is cut into sentences. From every sentence on, the shortest run of ``RUN`` sentences or more with ``LEAST_WORDS`` words or more is hashed; hashes join
+globally; all sentences that a repeated run covers go, except where the run is the first of its hash, by document id and place.
+
+Sentence spans alone miss a passage that begins or ends inside sentences, or is one long sentence. So a second pass, of piece spans, does the same over
+texts whose sentences of more than ``PIECE_WORDS`` words are cut into pieces, at words chosen by the hashes of the words around them alone, so that a passage
+is cut alike wherever it stands in a sentence. Only runs with a piece of a cut sentence are hashed there: all others are sentence spans already.
 
 A passage of 51 words that two documents share has a run in both. Piece ends are alike from ``NEAR`` + ``PIECE_WORDS`` words after its begin to as many
 before its end (14 and 14), which leaves 23 words in pieces of ``PIECE_WORDS`` at most: three pieces or more, and over ``LEAST_WORDS`` words.
@@ -20,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from strataframe.llm.shared import stored, table
 
@@ -35,8 +38,8 @@ _NULL_IDS = 1 << 62
 _SPANS = "k_ long, t_ int, p_ int, again_ boolean, h1_ long, h2_ long"
 
 
-def units(text: str | None) -> list[str]:
-    """Sentences and sentence pieces with the white space after them; joined they are the text. Null and empty: none."""
+def sentences(text: str | None) -> list[str]:
+    """Sentences and lines with the white space after them; joined they are the text. Null and empty: none."""
     text, out, at = text or "", [], 0
     for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
         if end == at:
@@ -45,13 +48,21 @@ def units(text: str | None) -> list[str]:
         at = end
         if whole.isspace():
             out[-1:] = [out[-1] + whole] if out else [whole]
-        elif whole.count(" ") < PIECE_WORDS and len(whole.split()) <= PIECE_WORDS:
-            out.append(whole)
         else:
-            out += _pieces(whole)
+            out.append(whole)
     return out
 
 
+def units(text: str | None) -> tuple[list[str], list[int]]:
+    """(pieces, sentence of each): sentences of up to ``PIECE_WORDS`` words whole, longer ones in pieces; joined the pieces are the text."""
+    out, of = [], []
+    for k, s in enumerate(sentences(text)):
+        some = [s] if s.count(" ") < PIECE_WORDS and len(s.split()) <= PIECE_WORDS else _pieces(s)
+        out += some
+        of += [k] * len(some)
+    return out, of
+
+
 def _pieces(sentence: str) -> list[str]:
     """Pieces of ``PIECE_WORDS`` words at most; whether one ends at a word depends on the words near by, not on where the one before ended."""
     ends = [m.end() for m in _WORD.finditer(sentence)]
@@ -76,7 +87,7 @@ def _ends(h: list[int], begin: int, end: int, near: int) -> list[int]:
 
 
 def reach(size: list[int], run: int = RUN, least: int = LEAST_WORDS) -> list[int]:
-    """For each sentence that begins a run, where the run ends: the first place at which it has ``run`` sentences and ``least`` words."""
+    """For each sentence (or piece) that begins a run, where the run ends: the first place at which it has ``run`` of them and ``least`` words."""
     out, end, words = [], 0, 0
     for i in range(len(size)):
         while end < len(size) and (end - i < run or words < least):
@@ -89,12 +100,28 @@ def reach(size: list[int], run: int = RUN, least: int = LEAST_WORDS) -> list[int
     return out
 
 
+def covered(size: list[int], of: list[int], run: int = RUN, least: int = LEAST_WORDS) -> dict[int, tuple[int, int]]:
+    """{place: (begin, end)} of every hashed run in pieces of ``size`` words of the sentences ``of``.
+
+    Place 2 p is the sentence span that begins with piece p, place 2 p + 1 the piece span.
+    """
+    first = [i for i, k in enumerate(of) if i == 0 or of[i - 1] != k]
+    begins = [*first, len(of)]
+    out = {2 * first[k]: (first[k], begins[end]) for k, end in enumerate(reach([sum(size[a:b]) for a, b in zip(begins, begins[1:])], run, least))}
+    cut = np.cumsum([0, *(begins[k + 1] - begins[k] > 1 for k in of)])
+    for p, end in enumerate(reach(size, run, least)):
+        if cut[end] > cut[p]:
+            out[2 * p + 1] = (p, end)
+    return out
+
+
 def runs(text: str | None, run: int = RUN, least: int = LEAST_WORDS) -> Iterator[tuple[int, bytes]]:
-    """(place, 128-bit hash) of the run from each sentence on, where enough follow; case and white space don't count."""
-    words = [u.lower().split() for u in units(text)]
+    """(place, 128-bit hash) of each run; case and white space don't count, nor where sentences and pieces end inside it."""
+    some, of = units(text)
+    words = [u.lower().split() for u in some]
     plain = [" ".join(w) for w in words]
-    for i, end in enumerate(reach([len(w) for w in words], run, least)):
-        yield i, xxhash.xxh3_128_digest("\n".join(plain[i:end]).encode("utf-8", "surrogatepass"))
+    for place, (begin, end) in covered([len(w) for w in words], of, run, least).items():
+        yield place, xxhash.xxh3_128_digest(" ".join(plain[begin:end]).encode("utf-8", "surrogatepass"))
 
 
 def _keys(ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +134,7 @@ def _keys(ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, n
 
 
 def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """A row for each hashed run: document key (``k_``, ``t_``), place ``p_``, whether the document had the run before, and its hash (``h1_``, ``h2_``)."""
+    """A row for each hashed run, of sentences or pieces: document key (``k_``, ``t_``), place ``p_``, whether the document had the run before, and its hash (``h1_``, ``h2_``)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,47 +168,48 @@ def repeated(spans: DataFrame) -> DataFrame:
     own = spans.where("not again_").select("h1_", "h2_", "k_", F.shiftleft(F.col("t_").cast("long"), 32).bitwiseOR(F.col("p_").cast("long")).alias("at_"))
     first = own.groupBy("h1_", "h2_").agg(F.count("*").alias("n_"), F.min("k_").alias("first_")).where("n_ > 1").drop("n_")
     later = own.join(first, ["h1_", "h2_"]).where("k_ <> first_").select("k_", F.shiftright("at_", 32).cast("int").alias("t_"), F.col("at_").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p_"))
-    return later.unionByName(spans.where("again_").select("k_", "t_", "p_")).groupBy("k_", "t_").agg(F.collect_set("p_").alias("places_"))  # bounded by one text's sentences
+    return later.unionByName(spans.where("again_").select("k_", "t_", "p_")).groupBy("k_", "t_").agg(F.collect_set("p_").alias("places_"))  # bounded by one text's runs
 
 
 def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with ``text`` rewritten, ``n_chars`` recounted where it exists, and ``n_sentences``, ``n_removed`` added (in place of columns so named).
+    """``docs`` with ``text`` rewritten, ``n_chars`` recounted where it exists, and ``n_sentences`` (pieces counted), ``n_removed`` added (in place of columns so named).
 
     A row stays a row, with an empty text if everything in it was repeated; null texts stay null. The first of a repeated run
     is the one of the smallest (doc_id, place); null ids come last, by hash of text. Rows that share an id are one document: what
-    only they share stays in each. Other columns pass through.
+    only they share stays in each. Very long texts are taken whole. Other columns pass through, whatever their names.
     """
     docs = docs.drop("n_sentences", "n_removed")
     spans = stored(span_table(docs, run, least), spark)
-    names, schema = docs.columns, docs.schema.simpleString()[len("struct<") : -1]
-    keyed = docs.mapInArrow(_with_keys(names), f"{schema}, k_ long, t_ int")
-    joined = keyed.join(repeated(spans), ["k_", "t_"], "left").select(*names, "places_")
+    names, own = docs.columns, [f"c{i}_" for i in range(len(docs.columns))]  # columns go by place, so their names can't clash or need quoting
+    placed = docs.toDF(*own)
+    keyed = placed.mapInArrow(_with_keys(own, names.index("doc_id"), names.index("text")), StructType([*placed.schema.fields, StructField("k_", LongType()), StructField("t_", IntegerType())]))
+    joined = keyed.join(repeated(spans), ["k_", "t_"], "left").select(*own, "places_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
         for b in batches:
             texts, n_units, gone = [], [], []
-            for text, places in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                parts = units(text)
-                ends = reach([len(u.split()) for u in parts], run, least) if places else []
-                covered = {i for p in places or () for i in range(p, ends[p])}
+            for text, starts in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                parts, of = units(text)
+                spans_ = covered([len(u.split()) for u in parts], of, run, least) if starts else {}
+                away = {i for p in starts or () for i in range(*spans_[p])}
                 n_units.append(len(parts))
-                gone.append(len(covered))
-                texts.append("".join(u for i, u in enumerate(parts) if i not in covered).rstrip() if covered else text)
+                gone.append(len(away))
+                texts.append("".join(u for i, u in enumerate(parts) if i not in away).rstrip() if away else text)
             columns = [b.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
             if count is not None:
                 columns[count] = pa.array([n if t is None else len(t) for t, n in zip(texts, columns[count].to_pylist(), strict=True)], columns[count].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_units, pa.int32()), pa.array(gone, pa.int32())], [*names, "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_units, pa.int32()), pa.array(gone, pa.int32())], [*own, "n_sentences", "n_removed"])
 
-    return joined.mapInArrow(cut, f"{schema}, n_sentences int, n_removed int")
+    return joined.mapInArrow(cut, StructType([*placed.schema.fields, StructField("n_sentences", IntegerType()), StructField("n_removed", IntegerType())])).toDF(*names, "n_sentences", "n_removed")
 
 
-def _with_keys(names: list[str]):
+def _with_keys(names: list[str], doc_id: int, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, t = _keys(b.column(names.index("doc_id")).to_pylist(), b.column(names.index("text")).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k), pa.array(t)], [*names, "k_", "t_"])
+            order, short = _keys(b.column(doc_id).to_pylist(), b.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order), pa.array(short)], [*names, "k_", "t_"])
 
     return run
 
