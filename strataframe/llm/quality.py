@@ -15,7 +15,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.shared import held_out, table
+from strataframe.llm.shared import fresh, held_out, table
 
 #: Labelled documents that training may use, the first by a seeded hash of the id.
 SAMPLE = 6000
@@ -29,30 +29,31 @@ COMMON = (
 Rule = tuple[tuple[str, bool, float], ...]
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """Adds statistics of ``text`` (null: empty), all doubles named ``q_...``; an empty text has zeros."""
+def statistics(docs: DataFrame, name: str = "q_") -> DataFrame:
+    """Adds the struct ``name`` of statistics of ``text`` (null: empty), all doubles; an empty text has zeros. ``name`` must be no column's."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("q_words", F.filter(F.split(text, r"\s+"), lambda w: w != "")).withColumn("q_lines", F.split(text, "\n"))
-    n = F.size("q_words").cast("double")
+    words_, lines_ = fresh(docs, f"{name}words_", f"{name}lines_")
+    out = docs.withColumn(words_, F.filter(F.split(text, r"\s+"), lambda w: w != "")).withColumn(lines_, F.split(text, "\n"))
+    n = F.size(words_).cast("double")
     per_word = lambda c: F.when(n > 0, c / n).otherwise(0.0)
     each = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("double")
-    out = out.withColumns({
-        "q_log_words": F.log1p(n),
-        "q_distinct": per_word(F.size(F.array_distinct("q_words"))),
-        "q_word_length": per_word(F.length(text).cast("double")),
-        "q_common": per_word(F.size(F.filter("q_words", lambda w: F.lower(w).isin(COMMON)))),
-        "q_upper": per_word(each(r"\p{Lu}")),
-        "q_symbols": per_word(each(r"[#$%&*|~^<>{}\[\]=_+@\\/]")),
-        "q_exclaim": per_word(each(r"!")),
-        "q_stops": per_word(each(r"[.?](?:\s|$)")),
-        "q_digits": per_word(each(r"[0-9]")),
-        "q_lines_distinct": F.size(F.array_distinct("q_lines")) / F.size("q_lines").cast("double"),
-        "q_lines_per_word": per_word(F.size("q_lines").cast("double")),
-    })
-    return out.drop("q_words", "q_lines")
+    values = {
+        "log_words": F.log1p(n),
+        "distinct": per_word(F.size(F.array_distinct(words_))),
+        "word_length": per_word(F.length(text).cast("double")),
+        "common": per_word(F.size(F.filter(words_, lambda w: F.lower(w).isin(COMMON)))),
+        "upper": per_word(each(r"\p{Lu}")),
+        "symbols": per_word(each(r"[#$%&*|~^<>{}\[\]=_+@\\/]")),
+        "exclaim": per_word(each(r"!")),
+        "stops": per_word(each(r"[.?](?:\s|$)")),
+        "digits": per_word(each(r"[0-9]")),
+        "lines_distinct": F.size(F.array_distinct(lines_)) / F.size(lines_).cast("double"),
+        "lines_per_word": per_word(F.size(lines_).cast("double")),
+    }
+    return out.withColumn(name, F.struct(*[values[s].alias(s) for s in STATISTICS])).drop(words_, lines_)
 
 
-STATISTICS = ("q_log_words", "q_distinct", "q_word_length", "q_common", "q_upper", "q_symbols", "q_exclaim", "q_stops", "q_digits", "q_lines_distinct", "q_lines_per_word")
+STATISTICS = ("log_words", "distinct", "word_length", "common", "upper", "symbols", "exclaim", "stops", "digits", "lines_distinct", "lines_per_word")
 
 
 class RuleModel:
@@ -61,12 +62,14 @@ class RuleModel:
     def __init__(self, constant: float, rules: list[tuple[Rule, float]]):
         self.constant, self.rules = constant, rules
 
-    def column(self) -> Column:
+    def column(self, name: str = "q_") -> Column:
+        """The score as an expression over the struct ``name`` of statistics."""
         margin = F.lit(float(self.constant))
         for rule, weight in self.rules:
             test = None
-            for name, at_most, bound in rule:
-                c = F.col(name) <= F.lit(bound) if at_most else F.col(name) > F.lit(bound)
+            for statistic, at_most, bound in rule:
+                value = F.col(name)[statistic]
+                c = value <= F.lit(bound) if at_most else value > F.lit(bound)
                 test = c if test is None else test & c
             margin = margin + F.when(test, F.lit(float(weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
@@ -88,14 +91,15 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, sample: int =
     """A rule model of ``labels(doc_id, quality)`` over ``docs(doc_id, text)``, from ``sample`` documents at most, none held out."""
     one = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     one = one.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
-    rows = statistics(docs.select("doc_id", "text").join(one, "doc_id").dropDuplicates(["doc_id"])).orderBy("doc_id").select("y", *STATISTICS).collect()  # `sample` rows of numbers
+    rows = statistics(docs.select("doc_id", "text").join(one, "doc_id").dropDuplicates(["doc_id"])).orderBy("doc_id").select("y", "q_.*").collect()  # `sample` rows of numbers
     y = np.array([r.y for r in rows], float)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return RuleModel(math.log((share + 1e-3) / (1 - share + 1e-3)), [])
     x = np.array([[r[s] for s in STATISTICS] for r in rows], float)
-    frame = spark.createDataFrame([(float(a), Vectors.dense(b)) for a, b in zip(y, x, strict=True)], ["label", "features"]).coalesce(1)
+    frame = spark.createDataFrame([(float(a), Vectors.dense(b)) for a, b in zip(y, x, strict=True)], ["label", "features"]).coalesce(1).cache()
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=5, subsamplingRate=0.8, featureSubsetStrategy="4").fit(frame)
+    frame.unpersist()
     rules: dict[bytes, Rule] = {}
     for tree in forest.trees:
         for rule in _paths(tree._call_java("rootNode"), STATISTICS, {}):
@@ -104,24 +108,28 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, sample: int =
                 rules.setdefault(hit.tobytes(), rule)  # rules that pick the same documents are one
     chosen = list(rules.values())
     design = np.array([np.frombuffer(k, bool) for k in rules], float).T
-    frame = spark.createDataFrame([(float(a), Vectors.dense(b)) for a, b in zip(y, design, strict=True)], ["label", "features"]).coalesce(1)
+    frame = spark.createDataFrame([(float(a), Vectors.dense(b)) for a, b in zip(y, design, strict=True)], ["label", "features"]).coalesce(1).cache()
     fitted = LogisticRegression(regParam=lasso, elasticNetParam=1.0, standardization=False, maxIter=100).fit(frame)
+    frame.unpersist()
     return RuleModel(fitted.intercept, [(r, w) for r, w in zip(chosen, fitted.coefficients.toArray().tolist(), strict=True) if abs(w) > 1e-6])
 
 
 def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """``docs`` with ``score`` and ``predicted`` (in place of columns so named), a row a row; other columns pass through.
 
-    Null and empty texts get the score of zeros.
+    Null and empty texts get the score of zeros. Very long texts are counted whole. Repeated rows score alike. No rows: none.
     """
-    return statistics(docs.drop("score", "predicted")).withColumn("score", model.column()).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*STATISTICS)
+    docs = docs.drop("score", "predicted")
+    (q,) = fresh(docs, "q_")
+    return statistics(docs, q).withColumn("score", model.column(q)).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(q)
 
 
 def keep(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with their own columns."""
-    scored = statistics(docs).withColumn("q_score", model.column())
+    """The rows of ``docs`` that score ``threshold`` or more, with their own columns, whatever their names."""
+    q, s, kept = fresh(docs, "q_", "q_score", "q_keep")
+    scored = statistics(docs, q).withColumn(s, model.column(q))
     # a filter on the score would be pushed below the statistics and repeat them in every rule; rows leave by a generator instead
-    return scored.withColumn("q_keep", F.explode(F.filter(F.array("q_score"), lambda x: x >= threshold))).select(docs.columns)
+    return scored.withColumn(kept, F.explode(F.filter(F.array(s), lambda x: x >= threshold))).drop(q, s, kept)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
