@@ -2,7 +2,7 @@
 
 Each batch's distinct words (matches of the split pattern) become rows of byte ids, grouped by length and padded. Every round,
 all rows of a matrix look their adjacent pairs up in a hashed table and merge their leftmost pair of least rank; the row then
-closes up, and finished rows leave. Words over ``LONGEST`` bytes, for which quadratic rounds are too slow, take the
+closes up, and finished rows leave. Words over ``LONGEST`` bytes, for which quadratic rounds are too slow (README has figures), take the
 same merges in the same order from a heap.
 """
 
@@ -215,9 +215,10 @@ def decode(encoded: DataFrame, spark: SparkSession, path: str | None = None) ->
 
 
 def round_trip(docs: DataFrame, spark: SparkSession, path: str | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, n_tokens, n_words, ids_sha256, decoded_sha256)``: encode and decode in one pass.
+    """``docs(doc_id, text)`` to ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encode and decode in one pass.
 
-    The decoded bytes come from the ids alone. Null and empty texts have no tokens and hash as empty strings.
+    The decoded bytes come from the ids alone. Null and empty texts have no tokens and hash as empty strings; very long texts and words are encoded
+    whole. Repeated rows are rows of their own. Other columns are ignored. No documents: no rows.
     """
     raw, pattern = rank_bytes(path)
     shared = spark.sparkContext.broadcast(raw)
