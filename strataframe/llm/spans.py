@@ -1,11 +1,9 @@
 """Operator 4: substring dedup by sliding sentence spans.
 
-A text is cut into sentences. From every sentence on, the shortest run of ``RUN`` sentences or more with ``LEAST_WORDS`` words or more is hashed; hashes join
-globally; all sentences that a repeated run covers go, except where the run is the first of its hash, by document id and place.
-
-Sentence spans alone miss a passage that begins or ends inside sentences, or is one long sentence. So a second pass, of piece spans, does the same over
-texts whose sentences of more than ``PIECE_WORDS`` words are cut into pieces, at words chosen by the hashes of the words around them alone, so that a passage
-is cut alike wherever it stands in a sentence. Only runs with a piece of a cut sentence are hashed there: all others are sentence spans already.
+A text is cut into sentences, and a sentence of more than ``PIECE_WORDS`` words into pieces that end at words chosen by the hashes of the words
+around them alone, so that a passage is cut alike wherever it stands in a sentence. From every sentence or piece on, the shortest run of ``RUN`` or more with
+``LEAST_WORDS`` words or more is hashed; hashes join globally; all sentences that a repeated run covers go, except where the run is the first of its
+hash, by document id and place. Where sentences are short the runs are of sentences alone.
 
 A passage of 51 words that two documents share has a run in both. Piece ends are alike from ``NEAR`` + ``PIECE_WORDS`` words after its begin to as many
 before its end (14 and 14), which leaves 23 words in pieces of ``PIECE_WORDS`` at most: three pieces or more, and over ``LEAST_WORDS`` words.
@@ -38,8 +36,8 @@ _NULL_IDS = 1 << 62
 _SPANS = "k_ long, t_ int, p_ int, again_ boolean, h1_ long, h2_ long"
 
 
-def sentences(text: str | None) -> list[str]:
-    """Sentences and lines with the white space after them; joined they are the text. Null and empty: none."""
+def units(text: str | None) -> list[str]:
+    """Sentences and sentence pieces with the white space after them; joined they are the text. Null and empty: none."""
     text, out, at = text or "", [], 0
     for end in [m.end() for m in _END.finditer(text)] + [len(text)]:
         if end == at:
@@ -48,21 +46,13 @@ def sentences(text: str | None) -> list[str]:
         at = end
         if whole.isspace():
             out[-1:] = [out[-1] + whole] if out else [whole]
-        else:
+        elif whole.count(" ") < PIECE_WORDS and len(whole.split()) <= PIECE_WORDS:
             out.append(whole)
+        else:
+            out += _pieces(whole)
     return out
 
 
-def units(text: str | None) -> tuple[list[str], list[int]]:
-    """(pieces, sentence of each): sentences of up to ``PIECE_WORDS`` words whole, longer ones in pieces; joined the pieces are the text."""
-    out, of = [], []
-    for k, s in enumerate(sentences(text)):
-        some = [s] if s.count(" ") < PIECE_WORDS and len(s.split()) <= PIECE_WORDS else _pieces(s)
-        out += some
-        of += [k] * len(some)
-    return out, of
-
-
 def _pieces(sentence: str) -> list[str]:
     """Pieces of ``PIECE_WORDS`` words at most; whether one ends at a word depends on the words near by, not on where the one before ended."""
     ends = [m.end() for m in _WORD.finditer(sentence)]
@@ -100,28 +90,12 @@ def reach(size: list[int], run: int = RUN, least: int = LEAST_WORDS) -> list[int
     return out
 
 
-def covered(size: list[int], of: list[int], run: int = RUN, least: int = LEAST_WORDS) -> dict[int, tuple[int, int]]:
-    """{place: (begin, end)} of every hashed run in pieces of ``size`` words of the sentences ``of``.
-
-    Place 2 p is the sentence span that begins with piece p, place 2 p + 1 the piece span.
-    """
-    first = [i for i, k in enumerate(of) if i == 0 or of[i - 1] != k]
-    begins = [*first, len(of)]
-    out = {2 * first[k]: (first[k], begins[end]) for k, end in enumerate(reach([sum(size[a:b]) for a, b in zip(begins, begins[1:])], run, least))}
-    cut = np.cumsum([0, *(begins[k + 1] - begins[k] > 1 for k in of)])
-    for p, end in enumerate(reach(size, run, least)):
-        if cut[end] > cut[p]:
-            out[2 * p + 1] = (p, end)
-    return out
-
-
 def runs(text: str | None, run: int = RUN, least: int = LEAST_WORDS) -> Iterator[tuple[int, bytes]]:
-    """(place, 128-bit hash) of each run; case and white space don't count, nor where sentences and pieces end inside it."""
-    some, of = units(text)
-    words = [u.lower().split() for u in some]
+    """(place, 128-bit hash) of the run from each sentence on, where enough follow; case and white space don't count, nor where sentences end inside it."""
+    words = [u.lower().split() for u in units(text)]
     plain = [" ".join(w) for w in words]
-    for place, (begin, end) in covered([len(w) for w in words], of, run, least).items():
-        yield place, xxhash.xxh3_128_digest(" ".join(plain[begin:end]).encode("utf-8", "surrogatepass"))
+    for i, end in enumerate(reach([len(w) for w in words], run, least)):
+        yield i, xxhash.xxh3_128_digest(" ".join(plain[i:end]).encode("utf-8", "surrogatepass"))
 
 
 def _keys(ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +108,7 @@ def _keys(ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, n
 
 
 def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """A row for each hashed run, of sentences or pieces: document key (``k_``, ``t_``), place ``p_``, whether the document had the run before, and its hash (``h1_``, ``h2_``)."""
+    """A row for each hashed run: document key (``k_``, ``t_``), place ``p_``, whether the document had the run before, and its hash (``h1_``, ``h2_``)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,9 +164,9 @@ def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEA
         for b in batches:
             texts, n_units, gone = [], [], []
             for text, starts in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                parts, of = units(text)
-                spans_ = covered([len(u.split()) for u in parts], of, run, least) if starts else {}
-                away = {i for p in starts or () for i in range(*spans_[p])}
+                parts = units(text)
+                ends = reach([len(u.split()) for u in parts], run, least) if starts else []
+                away = {i for p in starts or () for i in range(p, ends[p])}
                 n_units.append(len(parts))
                 gone.append(len(away))
                 texts.append("".join(u for i, u in enumerate(parts) if i not in away).rstrip() if away else text)

@@ -9,8 +9,8 @@ from tests.llm.conftest import prose
 
 
 def plain_units(text):
-    """Pieces of a text and the number of each one's sentence, by the rules as the operator's docstring has them."""
-    out, of, at, k = [], [], 0, -1
+    """Sentences and pieces of a text, by the rules as the operator's docstring has them."""
+    out, at = [], 0
     text = text or ""
     ends = [m.end() for m in re.finditer(r"[.!?]+\s+|\n\s*", text)]
     for end in [*ends, len(text)]:
@@ -20,13 +20,11 @@ def plain_units(text):
         if not s.strip() and out:
             out[-1] += s
             continue
-        k += 1
         words = re.findall(r"\s*\S+\s*", s) if s.strip() else [s]
         cuts = plain_cuts([zlib.crc32(w.strip().lower().encode()) for w in words]) if len(words) > spans.PIECE_WORDS else []
         for a, b in zip([0, *cuts], [*cuts, len(words)]):
             out.append("".join(words[a:b]))
-            of.append(k)
-    return out, of
+    return out
 
 
 def plain_cuts(h):
@@ -49,23 +47,15 @@ def plain_cuts(h):
 
 
 def plain_runs(text):
-    """(begin, end, words) of every hashed run: over whole sentences, then over pieces where a sentence in it is cut; in the operator's order of places."""
-    parts, of = plain_units(text)
-    size = [len(p.split()) for p in parts]
-    whole = {k: [i for i, o in enumerate(of) if o == k] for k in of}
-    found = []
+    """(begin, end, words) of every hashed run, by trying every end."""
+    parts, found = plain_units(text), []
     for p in range(len(parts)):
-        if p == 0 or of[p - 1] != of[p]:
-            for last in sorted({o for o in of if o >= of[p] + spans.RUN - 1}):
-                if sum(size[p : whole[last][-1] + 1]) >= spans.LEAST_WORDS:
-                    found.append((2 * p, p, whole[last][-1] + 1))
-                    break
         for end in range(p + spans.RUN, len(parts) + 1):
-            if sum(size[p:end]) >= spans.LEAST_WORDS:
-                if any(len(whole[of[i]]) > 1 for i in range(p, end)):
-                    found.append((2 * p + 1, p, end))
+            words = "".join(parts[p:end]).lower().split()
+            if len(words) >= spans.LEAST_WORDS:
+                found.append((p, end, tuple(words)))
                 break
-    return [(place, a, b, tuple("".join(parts[a:b]).lower().split())) for place, a, b in sorted(found)]
+    return found
 
 
 def slow(rows):
@@ -74,20 +64,19 @@ def slow(rows):
     order = sorted({(i is None, i or 0, t or "", t) for i, t in rows}, key=lambda x: x[:3])
     for _, i, _, t in order:
         seen[i, t] = plain_runs(t)
-        for place, _, _, words in seen[i, t]:
-            first.setdefault(words, (i, t, place))
+        for a, _, words in seen[i, t]:
+            first.setdefault(words, (i, t, a))
     for _, i, _, t in order:
-        gone = {k for place, a, b, words in seen[i, t] if first[words] != (i, t, place) for k in range(a, b)}
-        u = plain_units(t)[0]
+        gone = {k for a, b, words in seen[i, t] if first[words] != (i, t, a) for k in range(a, b)}
+        u = plain_units(t)
         out[i, t] = "".join(x for k, x in enumerate(u) if k not in gone).rstrip() if gone else t
     return out
 
 
 def test_units_join_to_text():
     for t in ["", None, "   ", "a. b! c?\n\nd", prose(1, 500), "x" * 1000, "\n\n lead. in \n", "w " * 333, "Z.\n" * 40]:
-        assert "".join(spans.units(t)[0]) == (t or "") and "".join(spans.sentences(t)) == (t or "")
-        assert spans.units(t) == tuple(plain_units(t))
-        assert {k: v for k, *v in ((p, a, b) for p, a, b, _ in plain_runs(t))} == {k: list(v) for k, v in spans.covered([len(u.split()) for u in spans.units(t)[0]], spans.units(t)[1]).items()}
+        assert "".join(spans.units(t)) == (t or "") and spans.units(t) == plain_units(t)
+        assert [(a, b) for a, b, _ in plain_runs(t)] == list(enumerate(spans.reach([len(u.split()) for u in spans.units(t)])))
 
 
 def test_against_brute_force(spark, make):
@@ -121,14 +110,6 @@ def test_working_names_and_odd_names(spark, make):
     assert passage not in got[2]["text"] and got[1]["text"] == passage
 
 
-def test_sentence_spans_do_not_depend_on_pieces(spark, make):
-    """Three long sentences that repeat are one sentence span, and its first copy stays."""
-    three = " ".join(prose(k, 30).replace(".", "").rstrip() + "." for k in (1, 2, 3))
-    assert [p for p, _ in spans.runs(three)][0] == 0 and all(p % 2 == 1 for p, _ in list(spans.runs(three))[1:])
-    got = {r.doc_id: r.text for r in spans.dedup(make([(1, three, "en", "s", 1), (2, "Own begin here. " + three + " Own end.", "en", "s", 1)]), spark).collect()}
-    assert got[1] == three and got[2] == "Own begin here. Own end."
-
-
 def shared(a, b, least=51):
     """Longest stretches of words, ``least`` or more, that stand in both texts, by brute force: (start in a, length)."""
     a, b, out, i = a.lower().split(), b.lower().split(), [], 0
