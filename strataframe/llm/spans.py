@@ -33,7 +33,7 @@ _END = re.compile(r"[.!?]+\s+|\n\s*")
 _WORD = re.compile(r"\S+\s*")
 #: Null ids take numbers from here on, by their text: after every other document.
 _NULL_IDS = 1 << 62
-_SPANS = "k_ long, t_ int, p_ int, again_ boolean, h1_ long, h2_ long"
+_SPANS = "k_ long, t_ int, p_ int, again_ boolean, h1_ long, h2_ int"
 
 
 def units(text: str | None) -> list[str]:
@@ -91,11 +91,11 @@ def reach(size: list[int], run: int = RUN, least: int = LEAST_WORDS) -> list[int
 
 
 def runs(text: str | None, run: int = RUN, least: int = LEAST_WORDS) -> Iterator[tuple[int, bytes]]:
-    """(place, 128-bit hash) of the run from each sentence on, where enough follow; case and white space don't count, nor where sentences end inside it."""
+    """(place, 96-bit hash) of the run from each sentence on, where enough follow; case and white space don't count, nor where sentences end inside it."""
     words = [u.lower().split() for u in units(text)]
     plain = [" ".join(w) for w in words]
     for i, end in enumerate(reach([len(w) for w in words], run, least)):
-        yield i, xxhash.xxh3_128_digest(" ".join(plain[i:end]).encode("utf-8", "surrogatepass"))
+        yield i, xxhash.xxh3_128_digest(" ".join(plain[i:end]).encode("utf-8", "surrogatepass"))[:12]
 
 
 def _keys(ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,22 +126,24 @@ def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> Dat
                         seen.add(h)
                     n.append(len(places) - before)
                 k, t_ = _keys(ids, texts)
-                both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n)), pa.array(np.repeat(t_, n)), pa.array(places, pa.int32()), pa.array(again, pa.bool_()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["k_", "t_", "p_", "again_", "h1_", "h2_"])
+                both = np.frombuffer(b"".join(hashes), np.dtype([("a", np.int64), ("b", np.int32)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, n)), pa.array(np.repeat(t_, n)), pa.array(places, pa.int32()), pa.array(again, pa.bool_()), pa.array(both["a"].copy()), pa.array(both["b"].copy())], ["k_", "t_", "p_", "again_", "h1_", "h2_"])
 
     return docs.select("doc_id", "text").mapInArrow(make, _SPANS)
 
 
-def repeated(spans: DataFrame) -> DataFrame:
+def repeated(spans: DataFrame, spark: SparkSession) -> DataFrame:
     """(``k_``, ``t_``, ``places_``): starts of each document's runs that are not the first of their hash.
 
-    A document's own repeats are known without a shuffle; of the rest, only (hash, smallest document, count) is aggregated, which combines before
-    the shuffle, and only hashes of two documents join back. So a passage that a third of the documents share is
-    one row there, and its documents' rows are a join's, which Spark splits.
+    A document's own repeats are known without a shuffle. Of the rest, only 64 bits of each hash are counted, which combines before the shuffle; runs
+    whose 64 bits occur once, most of them, leave in the join with those counts, and the whole hashes of the others name their first document. So a passage
+    that a third of the documents share is one row in each aggregate, and its documents' rows are a join's, which Spark splits.
     """
     own = spans.where("not again_").select("h1_", "h2_", "k_", F.shiftleft(F.col("t_").cast("long"), 32).bitwiseOR(F.col("p_").cast("long")).alias("at_"))
-    first = own.groupBy("h1_", "h2_").agg(F.count("*").alias("n_"), F.min("k_").alias("first_")).where("n_ > 1").drop("n_")
-    later = own.join(first, ["h1_", "h2_"]).where("k_ <> first_").select("k_", F.shiftright("at_", 32).cast("int").alias("t_"), F.col("at_").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p_"))
+    many = own.groupBy("h1_").agg(F.count("*").alias("n_")).where("n_ > 1").select("h1_")
+    some = stored(own.join(many, "h1_"), spark)
+    first = some.groupBy("h1_", "h2_").agg(F.count("*").alias("n_"), F.min("k_").alias("first_")).where("n_ > 1").drop("n_")
+    later = some.join(first, ["h1_", "h2_"]).where("k_ <> first_").select("k_", F.shiftright("at_", 32).cast("int").alias("t_"), F.col("at_").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("p_"))
     return later.unionByName(spans.where("again_").select("k_", "t_", "p_")).groupBy("k_", "t_").agg(F.collect_set("p_").alias("places_"))  # bounded by one text's runs
 
 
@@ -157,7 +159,7 @@ def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEA
     names, own = docs.columns, [f"c{i}_" for i in range(len(docs.columns))]  # columns go by place, so their names can't clash or need quoting
     placed = docs.toDF(*own)
     keyed = placed.mapInArrow(_with_keys(own, names.index("doc_id"), names.index("text")), StructType([*placed.schema.fields, StructField("k_", LongType()), StructField("t_", IntegerType())]))
-    joined = keyed.join(repeated(spans), ["k_", "t_"], "left").select(*own, "places_")
+    joined = keyed.join(repeated(spans, spark), ["k_", "t_"], "left").select(*own, "places_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
