@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,11 +10,17 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import vocab
 
+# Patterns of numbers and financial years.
 NUMBER = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 FY = r"(?i)(?:fy|f\.y\.|financial\s*year)?\s*(\d{2,4})[-/](\d{2,4})"
 _GROUPED = r"[+-]?(?:\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _found(c: Column, pattern: str, group: int = 0) -> Column:
     """The match, or null without one."""
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
@@ -62,26 +69,53 @@ def unit_scale(unit: Column) -> Column:
     return F.when(u.rlike(vocab.UNITS[0][0]), 1.0).when(u.rlike(vocab.UNITS[1][0]), 1e-3).when(u.rlike(vocab.UNITS[2][0]), 1e-6).when(u.rlike(vocab.UNITS[3][0]), 1e-9).otherwise(1.0)
 
 
+def _groups(c: Column) -> Column:
+    return F.struct(_found(c, FY, 1).alias("a"), _found(c, FY, 2).alias("b"))
+
+
+def _years(m: Column) -> Column:
+    start = F.when(F.length(m["a"]) == 2, m["a"].cast("int") + 2000).otherwise(m["a"].cast("int"))
+    short = F.floor(start / 100).cast("int") * 100 + m["b"].cast("int")
+    end = F.when(F.length(m["b"]) == 2, F.when(short < start, short + 100).otherwise(short)).otherwise(m["b"].cast("int"))
+    return F.when(m["a"].isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+
 def financial_year(c: Column) -> Column:
     """struct(start, end) of a financial year's first ``YYYY-YY`` or ``YY/YY``, in four digits; null without one."""
-    a, b = _found(c, FY, 1), _found(c, FY, 2)
-    start = F.when(F.length(a) == 2, a.cast("int") + 2000).otherwise(a.cast("int"))
-    short = F.floor(start / 100).cast("int") * 100 + b.cast("int")
-    end = F.when(F.length(b) == 2, F.when(short < start, short + 100).otherwise(short)).otherwise(b.cast("int"))
-    return F.when(a.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+    return let(_groups(c), _years)
 
 
 def format_financial_year(fy: Column) -> Column:
-    return F.when(fy.isNotNull(), F.concat_ws("-", fy["start"].cast("string"), F.lpad((fy["end"] % 100).cast("string"), 2, "0")))
+    """``YYYY-YY`` of struct(start, end)."""
+    return let(fy, lambda y: F.when(y.isNotNull(), F.concat_ws("-", y["start"].cast("string"), F.lpad((y["end"] % 100).cast("string"), 2, "0"))))
+
+
+def is_financial_year(c: Column, start: int, end: int) -> Column:
+    """Whether a cell's financial year is that one: two comparisons of the digits found, without parsing them."""
+    a = [str(start)] + ([f"{start - 2000:02d}"] if 2000 <= start < 2100 else [])
+    short = start // 100 * 100 + end % 100
+    b = [str(end)] + ([f"{end % 100:02d}"] if end == (short + 100 if short < start else short) else [])
+    return _found(c, FY, 1).isin(*a) & _found(c, FY, 2).isin(*b)
+
+
+def financial_year_of(text: str) -> tuple[int, int] | None:
+    """(start, end) of a plain text, by the same rule."""
+    m = re.search(FY, text, re.ASCII)
+    if not m:
+        return None
+    a, b = m[1], m[2]
+    start = int(a) + 2000 if len(a) == 2 else int(a)
+    short = start // 100 * 100 + int(b)
+    return start, (short + 100 if short < start else short) if len(b) == 2 else int(b)
 
 
 def normalize_financial_year(c: Column) -> Column:
     """``YYYY-YY`` of the first match, taken as it stands (no check of the century)."""
-    a, b = _found(F.trim(c), FY, 1), _found(F.trim(c), FY, 2)
-    return F.when(a.isNotNull(), F.concat(F.when(F.length(a) == 2, F.concat(F.lit("20"), a)).otherwise(a), F.lit("-"), F.right(b, F.lit(2))))
+    long = lambda m: F.when(F.length(m["a"]) == 2, F.concat(F.lit("20"), m["a"])).otherwise(m["a"])
+    return let(_groups(F.trim(c)), lambda m: F.when(m["a"].isNotNull(), F.concat(long(m), F.lit("-"), F.right(m["b"], F.lit(2)))))
 
 
-#: Date patterns in the order in which they are tried, each with the shape a cell must have.
+# Date patterns in the order in which they are tried, each with the shape a cell must have.
 DATES = [
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"), (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^[A-Za-z]{4,9} \d{4}$", "MMMM yyyy"), (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"),

@@ -37,34 +37,60 @@ CONCEPTS = {
 NUMERIC_FIELDS = ("production", "target", "dispatch", "reserve", "resource", "seam_thickness", "borehole_depth", "depth", "count", "value", "amount")
 DIMENSIONS = ("subsidiary", "mine", "coalfield", "block", "project", "state", "district", "financial_year", "reporting_period", "month", "coal_type", "grade", "status", "organization")
 OPTION_FIELDS = ("subsidiary", "mine", "state", "district", "coalfield", "financial_year", "reporting_period", "month", "coal_type", "grade", "project", "status")
-#: Concepts whose cells are normalised to numbers; those that validation checks, and of which a negative one is suspicious.
+# Concepts whose cells are normalised to numbers; those that validation checks, and of which a negative one is suspicious.
 MEASURED = ("production", "target", "dispatch", "resource", "reserve", "seam_thickness", "borehole_depth")
 CHECKED = ("production", "target", "dispatch", "resource", "reserve")
 NON_NEGATIVE = ("production", "target", "dispatch")
 # Unit names, first match wins.
 UNITS = [(r"\bmt\b|million ?tonnes?", "MT"), (r"\bkt\b|000 ?t|thousand ?tonnes?", "MT"), (r"\btonnes?\b|\bt\b", "MT"), (r"\bkg\b", "MT"), (r"\bkm\b", "km"), (r"\bm\b", "m"), (r"%|percent", "%")]
 # Words that ranking ignores.
-RANK_STOP = (
-    "a an the in on at of for to from by with about into through during before after above below under is are was were be been "
-    "being have has had do does did and or but if because as what which who whom this that these those am it its they them their"
-).split()
-# Words that topics ignore, besides those.
-TOPIC_STOP = RANK_STOP + (
-    "we our he she his her will shall may can not no nor also such than then so yet both each more most other some any all "
-    "report chapter page table figure annexure appendix section part year period total overall various number per cent percentage "
-    "up down over out off made given including however therefore accordingly whereas therein thereof herein hereby thus "
-    "viz etc respectively said duly within without along across further due "
-    "one two three four five six seven eight nine ten twenty thirty forty fifty hundred thousand lakh crore million billion"
-).split()
+RANK_STOP = [
+    "a", "an", "the", "in", "on", "at", "of", "for", "to", "from", "by", "with", "about", "into", "through", "during", "before", "after", "above",
+    "below", "under", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "and", "or", "but", "if",
+    "because", "as", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "it", "its", "they", "them", "their",
+]
+# Words that topics ignore.
+TOPIC_STOP = [
+    "a", "an", "the", "in", "on", "at", "of", "for", "to", "from", "by", "with", "about", "into", "through", "during", "before", "after", "above",
+    "below", "under", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "and", "or", "but", "if",
+    "because", "as", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "it", "its", "they", "them", "their", "we", "our", "he",
+    "she", "his", "her", "will", "shall", "may", "can", "not", "no", "nor", "also", "such", "than", "then", "so", "yet", "both", "each", "more",
+    "most", "other", "some", "any", "all", "report", "chapter", "page", "table", "figure", "annexure", "appendix", "section", "part", "year",
+    "period", "total", "overall", "various", "number", "per", "cent", "percentage", "up", "down", "over", "out", "off", "made", "given", "including",
+    "however", "therefore", "accordingly", "whereas", "therein", "thereof", "herein", "hereby", "thus", "viz", "etc", "respectively", "said", "duly",
+    "within", "without", "along", "across", "further", "due", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten",
+    "twenty", "thirty", "forty", "fifty", "hundred", "thousand", "lakh", "crore", "million", "billion",
+]
 # Keywords of each topic.
 TOPICS = {
-    "Geological Exploration": "exploration borehole drilling geological seismic geophysics stratigraphy mapping toposheet survey block reserve resource estimation fsp gsi".split(),
-    "Coal Production": "production mining excavation overburden extraction opencast underground longwall depillaring dispatch raising output tonnes mt".split(),
-    "Coal Quality & Grades": "coking non-coking grade ash moisture gcv washery beneficiation quality thermal power blending washed middling".split(),
-    "Environment & Safety": "environment environmental safety clearance pollution effluent reclamation afforestation subsidence accident rescue rehabilitation impact compliance ecology".split(),
-    "Infrastructure & Projects": "railway transport siding conveyor project capital expenditure investment infrastructure capacity expansion modernisation mechanisation".split(),
-    "Subsidiaries & Operations": "cil cmpdi ecl bccl ccl ncl secl wcl mcl sccl subsidiary coalfield jharia raniganj singrauli talcher korba wardha".split(),
-    "Planning & Policy": "policy regulation ministry parliament committee plan target achievement performance review annual budget allocation".split(),
+    "Geological Exploration": [
+        "exploration", "borehole", "drilling", "geological", "seismic", "geophysics", "stratigraphy", "mapping", "toposheet", "survey", "block",
+        "reserve", "resource", "estimation", "fsp", "gsi",
+    ],
+    "Coal Production": [
+        "production", "mining", "excavation", "overburden", "extraction", "opencast", "underground", "longwall", "depillaring", "dispatch",
+        "raising", "output", "tonnes", "mt",
+    ],
+    "Coal Quality & Grades": [
+        "coking", "non-coking", "grade", "ash", "moisture", "gcv", "washery", "beneficiation", "quality", "thermal", "power", "blending", "washed",
+        "middling",
+    ],
+    "Environment & Safety": [
+        "environment", "environmental", "safety", "clearance", "pollution", "effluent", "reclamation", "afforestation", "subsidence", "accident",
+        "rescue", "rehabilitation", "impact", "compliance", "ecology",
+    ],
+    "Infrastructure & Projects": [
+        "railway", "transport", "siding", "conveyor", "project", "capital", "expenditure", "investment", "infrastructure", "capacity", "expansion",
+        "modernisation", "mechanisation",
+    ],
+    "Subsidiaries & Operations": [
+        "cil", "cmpdi", "ecl", "bccl", "ccl", "ncl", "secl", "wcl", "mcl", "sccl", "subsidiary", "coalfield", "jharia", "raniganj", "singrauli",
+        "talcher", "korba", "wardha",
+    ],
+    "Planning & Policy": [
+        "policy", "regulation", "ministry", "parliament", "committee", "plan", "target", "achievement", "performance", "review", "annual", "budget",
+        "allocation",
+    ],
 }
 # Names by which a question means a subsidiary; the first that occurs wins.
 SUBSIDIARIES = {
@@ -72,6 +98,7 @@ SUBSIDIARIES = {
     "CCL": ["ccl", "central coalfields"], "WCL": ["wcl", "western coalfields"], "SECL": ["secl", "south eastern coalfields"],
     "NCL": ["ncl", "northern coalfields"], "CMPDI": ["cmpdi", "central mine planning"], "CIL": ["cil", "coal india"], "NEC": ["nec", "north eastern coalfields"],
 }
+# Words by which a question asks for an aggregate or a metric, and patterns of its intent.
 AGGREGATIONS = {
     "max": ["highest", "maximum", "max", "most", "top", "peak", "greatest"],
     "min": ["lowest", "minimum", "min", "least", "bottom", "smallest"],
@@ -108,7 +135,7 @@ ORGANIZATION = [
     r"\borganization\b", r"\bhistor\w*\b", r"\bbaseline\b", r"\breference\s+data\b", r"\bpast\s+report\b", r"\bpast\s+data\b", r"\bprevious\s+period\b",
     r"\bprevious\s+year\b", r"\blast\s+year\b", r"\bpichla\s+record\b", r"\bpichle\s+record\b", r"\bsystem\s+me\s+loaded\b",
 ]
-#: Fields a question can ask for, with the patterns that ask for them.
+# Fields a question can ask for, with the patterns that ask for them.
 ASKED = {
     "mine_name": [r"\bmine\s+name\b", r"\bname\s+of\s+(?:the\s+)?mine\b", r"\bmine's\s+name\b", r"\bwhich\s+mine\b"],
     "location": [r"\blocation\b", r"\bwhere\s+(?:is|was)\s+(?:the\s+)?(?:mine|it)\s+located\b", r"\blocated\b", r"\bplace\b", r"\bdistrict\b", r"\bstate\b"],
@@ -130,10 +157,10 @@ ASKED = {
     "reserve": [r"\breserves?\b", r"\bgeological\s+reserve\b", r"\bresources\b"],
     "employee_count": [r"\bemployee\s+count\b", r"\bnumber\s+of\s+employees\b", r"\bemployees?\b", r"\bworkforce\b", r"\bmanpower\b", r"\bheadcount\b"],
 }
-#: Fields that a text describes rather than a table; "all details" asks for these ten.
+# Fields that a text describes rather than a table; "all details" asks for these ten.
 DESCRIPTIVE = ("mine_name", "location", "mine_type", "reserve")
 ALL_DETAILS = [r"\ball(?:\s+available)?\s+mining\s+details\b", r"\ball(?:\s+available)?\s+details\b"]
 ALL_FIELDS = ("mine_name", "location", "mine_type", "production", "production_target", "dispatch", "achievement", "coal_grade", "year", "overburden")
-#: Fields whose all-capitals values are names.
+# Fields whose all-capitals values are names.
 NAME_FIELDS = ("mine", "subsidiary", "organization", "district", "state", "coalfield")
 IMPORTANT_FIELDS = ("production", "financial_year", "mine", "subsidiary", "organization")

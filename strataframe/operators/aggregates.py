@@ -13,8 +13,17 @@ from strataframe.functions import scalars
 FUNCTIONS = ("sum", "avg", "min", "max", "count")
 
 
+#: Sums are of decimals of this type: exact from 1e-8 up to 1e20; a larger value raises.
+EXACT = "decimal(28,8)"
+
+
 def exact_sum(c: Column) -> Column:
-    return F.sum(c.cast("decimal(18,4)")).cast("double")
+    return F.sum(c.cast(EXACT)).cast("double")
+
+
+def rounded_sum(c: Column, digits: int = 2) -> Column:
+    """A sum rounded as a decimal, half up, before it becomes a double: a tie stays one."""
+    return F.round(F.sum(c.cast(EXACT)), digits).cast("double")
 
 
 def measure(function: str, metric: str) -> Column:
@@ -25,7 +34,7 @@ def measure(function: str, metric: str) -> Column:
     if function == "count":
         return F.count("*").cast("double")
     if function == "sum":
-        return F.round(exact_sum(c), 2)
+        return rounded_sum(c)
     if function == "avg":
         return F.round(exact_sum(c) / F.count(c), 2)
     return F.round((F.min if function == "min" else F.max)(c), 2)
@@ -37,9 +46,12 @@ def total(records: DataFrame, function: str, metric: str) -> DataFrame:
     return records.agg(F.coalesce(measure(function, metric), F.lit(0.0)).alias("value"), n)
 
 
-def first_ids(n: int) -> Column:
-    """The group's first ``n`` record ids by row order, as text."""
-    return F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("row_index", "record_id"))), 1, n), lambda x: x["record_id"].cast("string")), ",")
+def first_ids(records: DataFrame, by: str, n: int = 50) -> DataFrame:
+    """(by, ids): each group's first ``n`` record ids by row order, as text. Rows are ranked, and no more than ``n`` of a group collected."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("row_index", "record_id"))
+    first = records.select(by, "row_index", "record_id").withColumn("rank_", rank).where(F.col("rank_") <= n)
+    ordered = F.array_sort(F.collect_list(F.struct("rank_", "record_id")))
+    return first.groupBy(by).agg(F.array_join(F.transform(ordered, lambda x: x["record_id"].cast("string")), ",").alias("ids"))
 
 
 def grouped(records: DataFrame, by: str, function: str, metric: str, sort_by: str = "value", descending: bool = True, limit: int = 50) -> DataFrame:
@@ -49,7 +61,8 @@ def grouped(records: DataFrame, by: str, function: str, metric: str, sort_by: st
     """
     rows = records.withColumn("grp", F.trim(F.col(by).cast("string"))).where("grp is not null and grp <> ''")
     out = rows.groupBy("grp").agg(measure(function, metric).alias("value"), F.count("*").alias("record_count"), F.count(metric).alias("n_"))
-    out = (out if function == "count" else out.where("n_ > 0")).drop("n_").withColumn("total_groups", F.count("*").over(Window.partitionBy()))
+    out = (out if function == "count" else out.where("n_ > 0")).drop("n_")
+    out = out.withColumn("total_groups", out.agg(F.count("*")).scalar())
     key = F.col("value") if sort_by == "value" else (F.coalesce(scalars.financial_year(F.col("grp")), F.struct(F.lit(9999).alias("start"), F.lit(9999).alias("end"))) if by == "financial_year" else F.lower("grp"))
     return out.orderBy(key.desc() if descending else key.asc(), "grp").limit(max(1, min(200, limit)))
 
@@ -61,7 +74,7 @@ def achievement(production: Column, target: Column, digits: int = 1) -> Column:
 def indicators(records: DataFrame) -> DataFrame:
     """One row: totals over valid rows, achievement, distinct counts, and quality counts over all rows."""
     ok = ~F.col("is_error")
-    sums = {f"total_{m}": F.round(exact_sum(F.when(ok, F.col(m))), 2) for m in ("production", "target", "dispatch")}
+    sums = {f"total_{m}": rounded_sum(F.when(ok, F.col(m))) for m in ("production", "target", "dispatch")}
     out = records.agg(
         *[c.alias(k) for k, c in sums.items()],
         F.countDistinct(F.when(ok, F.col("mine"))).alias("mine_count"), F.countDistinct(F.when(ok, F.col("subsidiary"))).alias("subsidiary_count"),
@@ -71,11 +84,12 @@ def indicators(records: DataFrame) -> DataFrame:
 
 def latest_growth(records: DataFrame) -> DataFrame:
     """One row: growth between the last two financial years of production, else dispatch, else target, whichever first has two."""
-    fy = scalars.financial_year(F.col("financial_year"))
-    rows = records.where(~F.col("is_error")).withColumn("fy", scalars.format_financial_year(fy)).where("fy is not null")
-    each = rows.groupBy("fy").agg(*[exact_sum(F.col(m)).alias(m) for m in ("production", "dispatch", "target")])
-    tall = each.unpivot("fy", ["production", "dispatch", "target"], "metric", "value").where("value is not null")
-    ranked = tall.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("fy")))).where("r <= 2")
+    names = ["production", "dispatch", "target"]
+    # years are parsed after the cells' spellings have been grouped; those without one make a null year, which ranks last
+    spelt = records.where(~F.col("is_error")).groupBy("financial_year").agg(*[F.sum(F.col(m).cast(EXACT)).alias(m) for m in names])
+    each = spelt.groupBy(scalars.format_financial_year(scalars.financial_year(F.col("financial_year"))).alias("fy")).agg(*[F.sum(m).cast("double").alias(m) for m in names])
+    tall = each.unpivot("fy", names, "metric", "value").where("value is not null")
+    ranked = tall.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc_nulls_last("fy")))).where("r <= 2")
     two = ranked.groupBy("metric").agg(F.max(F.when(F.col("r") == 1, F.col("fy"))).alias("current_fy"), F.max(F.when(F.col("r") == 1, F.col("value"))).alias("current"), F.max(F.when(F.col("r") == 2, F.col("fy"))).alias("previous_fy"), F.max(F.when(F.col("r") == 2, F.col("value"))).alias("previous"))
     two = two.where("previous_fy is not null and previous > 0").withColumn("rank", F.expr("case metric when 'production' then 1 when 'dispatch' then 2 else 3 end"))
     return two.orderBy("rank").limit(1).select("metric", "previous_fy", "current_fy", "previous", "current", F.round((F.col("current") - F.col("previous")) / F.col("previous") * 100, 4).alias("growth_pct"))
@@ -83,10 +97,10 @@ def latest_growth(records: DataFrame) -> DataFrame:
 
 def breakdown(records: DataFrame, by: str, metric: str = "production", limit: int = 20) -> DataFrame:
     """(grp, value, record_count, share_pct): the largest groups; shares are of what is shown."""
-    value = F.count("*").cast("double") if metric == "count" else F.round(exact_sum(F.col(metric)), 2)
+    value = F.count("*").cast("double") if metric == "count" else rounded_sum(F.col(metric))
     rows = records.where(~F.col("is_error")).withColumn("grp", F.trim(F.col(by).cast("string"))).where("grp is not null and grp <> ''")
     top = rows.groupBy("grp").agg(value.alias("value"), F.count("*").alias("record_count")).where("value is not null").orderBy(F.desc("value"), "grp").limit(max(1, min(100, limit)))
-    every = F.sum(F.col("value").cast("decimal(18,4)")).over(Window.partitionBy()).cast("double")
+    every = F.sum(F.col("value").cast(EXACT)).over(Window.partitionBy()).cast("double")
     return top.withColumn("share_pct", F.when(every > 0, F.round(F.col("value") / every * 100, 1)).otherwise(0.0))
 
 
@@ -101,12 +115,6 @@ def label_value(label: Column, value: Column, metric: str) -> Column:
     return F.when(F.lower(label).contains(metric), scalars.parse_numeric(value))
 
 
-def dataset_total(rows: DataFrame, metric: str) -> DataFrame:
-    """(dataset_id, total): the sum of component rows if a dataset has any, else of its summary rows (``is_summary``)."""
-    part, whole = exact_sum(F.when(~F.col("is_summary"), F.col(metric))), exact_sum(F.when(F.col("is_summary"), F.col(metric)))
-    return rows.groupBy("dataset_id").agg(F.coalesce(part, whole).alias("total"))
-
-
 def best_record(records: DataFrame, metric: str, function: str) -> DataFrame:
     """The winning record of ``max`` or ``min`` (first in row order on ties), or one row with the ``sum`` or ``avg``."""
     if function in ("max", "min"):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.operators.aggregates import exact_sum
+from strataframe.operators.aggregates import exact_sum, rounded_sum
 
 
 def matching(rows: DataFrame, equal: dict[str, str | None] | None = None, within: dict[str, str | None] | None = None, search: str | None = None, search_in: list[str] | None = None) -> DataFrame:
@@ -21,12 +21,12 @@ def matching(rows: DataFrame, equal: dict[str, str | None] | None = None, within
 
 def place_stats(mines: DataFrame) -> DataFrame:
     """One row over ``mines(subsidiary, state, coalfield, production)``."""
-    return mines.agg(F.count("*").alias("mines"), F.round(exact_sum(F.col("production")), 2).alias("total_production"), F.round(exact_sum(F.col("production")) / F.count("production"), 3).alias("avg_production"), F.countDistinct("subsidiary").alias("subsidiaries"), F.countDistinct("state").alias("states"))
+    return mines.agg(F.count("*").alias("mines"), rounded_sum(F.col("production")).alias("total_production"), F.round(exact_sum(F.col("production")) / F.count("production"), 3).alias("avg_production"), F.countDistinct("subsidiary").alias("subsidiaries"), F.countDistinct("state").alias("states"))
 
 
 def counts_by(rows: DataFrame, by: str, value: str | None = None, top: int | None = None) -> DataFrame:
     """(grp, n[, total]), largest first."""
-    more = [F.round(exact_sum(F.col(value)), 2).alias("total")] if value else []
+    more = [rounded_sum(F.col(value)).alias("total")] if value else []
     out = rows.where(F.col(by).isNotNull() & (F.trim(by) != "")).groupBy(F.col(by).alias("grp")).agg(F.count("*").alias("n"), *more)
     return out.orderBy(F.desc("n"), "grp").limit(top) if top else out
 

@@ -21,6 +21,7 @@ def candidates(value: Column, field: Column) -> Column:
     capital = name & (F.length(s) >= 4) & (F.upper(s) == s) & (F.lower(s) != s) & s.contains(" ")
     spelt, spaced = r"(?i)^([-+]?\d+(?:\.\d+)?)\s*(?:percent|pct)$", r"^([-+]?\d+(?:\.\d+)?)\s+%$"
     flat = F.trim(F.regexp_replace(value, r"\s+", " "))
+    # The rules' patterns, names, confidences and order.
     rules = [
         (F.when(flat != value, flat), "whitespace", 1.0),
         (if_like(r"^[-+]?\d{1,3}(?:,\d{2,3})+(?:\.\d+)?$", sub(",", "")), "comma_number", 0.95),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.operators.aggregates import achievement, exact_sum
+from strataframe.operators.aggregates import achievement, exact_sum, rounded_sum
 
 
 def change_pct(past: Column, current: Column) -> Column:
@@ -26,7 +26,7 @@ def aligned(past: DataFrame, current: DataFrame, key: str) -> DataFrame:
 
 def metrics(records: DataFrame, names: list[str]) -> DataFrame:
     """(metric, value) over valid records."""
-    sums = records.where(~F.col("is_error")).agg(*[F.round(exact_sum(F.col(n)), 2).alias(n) for n in names])
+    sums = records.where(~F.col("is_error")).agg(*[rounded_sum(F.col(n)).alias(n) for n in names])
     return sums.unpivot([], names, "metric", "value").where("value is not null")
 
 
@@ -35,7 +35,7 @@ def compare_metrics(past: DataFrame, current: DataFrame, names: list[str]) -> Da
 
 
 def compare_groups(past: DataFrame, current: DataFrame, by: str, metric: str) -> DataFrame:
-    value = lambda df: df.where(~F.col("is_error")).where(F.col(by).isNotNull()).groupBy(F.upper(F.trim(by)).alias(by)).agg(F.round(exact_sum(F.col(metric)), 2).alias("value"))
+    value = lambda df: df.where(~F.col("is_error")).where(F.col(by).isNotNull()).groupBy(F.upper(F.trim(by)).alias(by)).agg(rounded_sum(F.col(metric)).alias("value"))
     return aligned(value(past), value(current), by)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars, vocab
-from strataframe.operators.aggregates import achievement, exact_sum
+from strataframe.operators.aggregates import achievement, rounded_sum
 from strataframe.operators.retrieval import _plain_tokens
 from strataframe.operators.trends import growth
 
@@ -24,14 +24,14 @@ def measured(rows: DataFrame) -> DataFrame:
 
 def key_value_totals(rows: DataFrame) -> DataFrame:
     """(metric, total): what a missing column total falls back to."""
-    return measured(rows).groupBy("metric").agg(F.round(exact_sum(F.col("number")), 2).alias("total"))
+    return measured(rows).groupBy("metric").agg(rounded_sum(F.col("number")).alias("total"))
 
 
 def dataset_totals(rows: DataFrame) -> DataFrame:
     """(dataset_id, metric, total): the sum of a dataset's component rows if it has any, else of its summary rows (label with ``total``)."""
     summary = F.lower("label").contains("total")
-    part, whole = exact_sum(F.when(~summary, F.col("number"))), exact_sum(F.when(summary, F.col("number")))
-    return measured(rows).groupBy("dataset_id", "metric").agg(F.round(F.coalesce(part, whole), 2).alias("total"))
+    part, whole = rounded_sum(F.when(~summary, F.col("number"))), rounded_sum(F.when(summary, F.col("number")))
+    return measured(rows).groupBy("dataset_id", "metric").agg(F.coalesce(part, whole).alias("total"))
 
 
 def dataset_years(rows: DataFrame) -> DataFrame:
@@ -42,14 +42,14 @@ def dataset_years(rows: DataFrame) -> DataFrame:
 
 def trend_from_datasets(rows: DataFrame, metric: str = "production") -> DataFrame:
     """(period, value, growth_pct): datasets' totals by their years, for sources that have only key-value rows."""
-    out = dataset_totals(rows).where(F.col("metric") == metric).join(dataset_years(rows), "dataset_id").groupBy(F.col("year").alias("period")).agg(F.round(exact_sum(F.col("total")), 2).alias("value"))
+    out = dataset_totals(rows).where(F.col("metric") == metric).join(dataset_years(rows), "dataset_id").groupBy(F.col("year").alias("period")).agg(rounded_sum(F.col("total")).alias("value"))
     return out.withColumn("growth_pct", growth(F.col("value"), Window.orderBy("period")))  # a row a year
 
 
 def report_aggregates(rows: DataFrame) -> DataFrame:
     """One row: production, target and dispatch over datasets, and achievement to 2 places."""
     t = dataset_totals(rows)
-    out = t.agg(*[F.round(exact_sum(F.when(F.col("metric") == m, F.col("total"))), 2).alias(m) for m in ("production", "target", "dispatch")])
+    out = t.agg(*[rounded_sum(F.when(F.col("metric") == m, F.col("total"))).alias(m) for m in ("production", "target", "dispatch")])
     return out.withColumn("achievement_pct", achievement(F.col("production"), F.col("target"), 2))
 
 

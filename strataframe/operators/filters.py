@@ -25,8 +25,8 @@ def has_token(c: Column, wanted: str) -> Column:
 
 def same_year(c: Column, wanted: str) -> Column:
     """The same financial year in any spelling; where either is none, the same text."""
-    a, b = scalars.financial_year(c), scalars.financial_year(F.lit(wanted))
-    return F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(F.lower(F.trim(c)) == F.lit(wanted.strip().lower()))
+    year = scalars.financial_year_of(wanted)  # a cell of the same text would hold the same year
+    return scalars.is_financial_year(c, *year) if year else F.lower(F.trim(c)) == F.lit(wanted.strip().lower())
 
 
 def search(columns: list[str], wanted: str) -> Column:
@@ -68,6 +68,11 @@ def by_quality(records: DataFrame, state: str | None) -> DataFrame:
     return records if rule is None else records.where(rule)
 
 
+def quality_counts(records: DataFrame) -> DataFrame:
+    """One row (errors, warnings, clean): how many records each state has, in one pass."""
+    return records.agg(F.count_if("is_error").alias("errors"), F.count_if("is_warning").alias("warnings"), F.count_if(~F.col("is_error") & ~F.col("is_warning")).alias("clean"))
+
+
 def checked_field(name: str, known: list[str]) -> str:
     """``name`` if it is one of the columns; an unknown one raises before anything is planned."""
     if name not in known:

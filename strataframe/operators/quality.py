@@ -56,6 +56,11 @@ def cell_findings(cells: DataFrame) -> list[DataFrame]:
     ]
 
 
+def duplicate_rows(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key..., repeats): how often each row that occurs more than once occurs again."""
+    return rows.groupBy(*key).agg((F.count("*") - 1).alias("repeats")).where("repeats > 0")
+
+
 def flagged(records: DataFrame, findings: DataFrame) -> DataFrame:
     """Adds ``is_error`` and ``is_warning`` from the rows' own validity and open findings (``record_id, severity, status``); both may hold."""
     open_ = findings.where("status = 'open'").groupBy("record_id").agg(F.bool_or(F.col("severity") == "ERROR").alias("e_"), F.bool_or(F.col("severity") == "WARNING").alias("w_"))

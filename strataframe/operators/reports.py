@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars
-from strataframe.operators.aggregates import achievement, exact_sum
+from strataframe.operators.aggregates import EXACT, achievement, rounded_sum
 from strataframe.operators.filters import filter_records
 
-#: Organizations that mean all subsidiaries.
+# Organizations that mean all subsidiaries.
 WHOLE = ("CMPDI (HQ)", "All", "All / CMPDI", "CIL (National)")
 
 
@@ -25,7 +25,7 @@ def scope(records: DataFrame, organization: str | None = None, years: list[str]
 
 
 def _sum(name: str) -> Column:
-    return F.round(F.coalesce(exact_sum(F.col(name)), F.lit(0.0)), 2)
+    return F.coalesce(rounded_sum(F.col(name)), F.lit(0.0))
 
 
 def _first(name: str, n: int) -> Column:
@@ -37,7 +37,7 @@ def _upper(name: str, empty: str) -> Column:
 
 
 def _share(value: str) -> Column:
-    every = F.sum(F.col(value).cast("decimal(18,4)")).over(Window.partitionBy()).cast("double")
+    every = F.sum(F.col(value).cast(EXACT)).over(Window.partitionBy()).cast("double")
     return F.when(every > 0, F.round(F.col(value) / every * 100, 1)).otherwise(0.0)
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars, vocab
+from strataframe.sources.staging import stored
 
 
 def chunk_texts(documents: DataFrame, most: int = 600, overlap: int = 80, least: int = 40) -> DataFrame:
@@ -76,7 +75,8 @@ def changed_documents(documents: DataFrame, indexed: DataFrame) -> DataFrame:
 def bm25(chunks: DataFrame, query: str, top: int = 5, k1: float = 1.5, b: float = 0.75, least: float = 0.1, key: str = "doc_id") -> DataFrame:
     """``chunks(key, content[, section_heading])`` to (key, score), best first.
 
-    Statistics are of all chunks. A token asked for twice counts twice; +0.5 if the query stands in the content as it is, +0.3 if a token
+    Statistics are of all chunks. The texts are read and cut into tokens once, to a stored row of numbers a chunk that holds a token, and one row of
+    statistics. A token asked for twice counts twice; +0.5 if the query stands in the content as it is, +0.3 if a token
     stands in the heading; then the first ``top`` (20 at most), of them those of ``least`` or more.
     """
     heading = F.coalesce("section_heading", F.lit("")) if "section_heading" in chunks.columns else F.lit("")
@@ -86,21 +86,21 @@ def bm25(chunks: DataFrame, query: str, top: int = 5, k1: float = 1.5, b: float
         asked[w] = asked.get(w, 0) + 1
     tokens = F.concat(scalars.rank_tokens(F.col("content")), scalars.rank_tokens(heading))
     rows = chunks.select(F.col(key), F.lower("content").alias("low"), F.lower(heading).alias("head"), tokens.alias("tokens"))
-    rows = rows.select(key, "low", "head", F.size("tokens").alias("dl"), *[_times("tokens", w).alias(f"tf{i}") for i, w in enumerate(asked)])
-    # one row of corpus statistics, made by an aggregate and so bounded
-    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])
-    rows = rows.join(F.broadcast(stats))
+    phrase = " ".join(words)
+    near = F.lit(False)
+    for w in asked:
+        near = near | F.col("head").contains(w)
+    rows = rows.select(key, F.size("tokens").alias("dl"), *[_times("tokens", w).alias(f"tf{i}") for i, w in enumerate(asked)], (F.col("low").contains(phrase) if phrase else F.lit(False)).alias("as_is"), near.alias("in_head"))
+    rows = stored(rows, chunks.sparkSession)
+    stats = rows.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked))])).scalar()
+    rows = rows.withColumn("s_", stats).select("*", "s_.*")
     score = F.lit(0.0)
     for i, times in enumerate(asked.values()):
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         tf = F.col(f"tf{i}").cast("double")
         score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * times).otherwise(0.0)
-    phrase = " ".join(words)
-    bonus = F.when(F.col("low").contains(phrase), 0.5).otherwise(0.0) if phrase else F.lit(0.0)
-    near = F.lit(False)
-    for w in asked:
-        near = near | F.col("head").contains(w)
-    out = rows.select(key, F.when(score > 0, score + bonus + F.when(near, 0.3).otherwise(0.0)).otherwise(0.0).alias("raw")).where("raw > 0")
+    bonus = F.when(F.col("as_is"), 0.5).otherwise(0.0) + F.when(F.col("in_head"), 0.3).otherwise(0.0)
+    out = rows.select(key, F.when(score > 0, score + bonus).otherwise(0.0).alias("raw")).where("raw > 0")
     top = max(1, min(20, top))
     return out.select(key, F.round("raw", 3).alias("score")).orderBy(F.desc("score"), key).limit(top).where(F.col("score") >= least)
 
@@ -134,14 +134,18 @@ def _topic_scores(tokens: Column) -> Column:
 
 
 def topic_distribution(texts: DataFrame, column: str = "text") -> DataFrame:
-    """(topic, matched, score, pct): over all texts together, the keywords of each topic that occur, and its percent of all scores."""
+    """(topic, matched, score, pct, keywords): over all texts together, the keywords of each topic that occur, its percent of all scores, and its five
+    most frequent keywords, the earlier in the topic's list first on ties. Topics without any are left out; percents round half to even.
+    """
     all_ = vocab.TOPICS
-    pairs = texts.sparkSession.createDataFrame([(t, w) for t, k in all_.items() for w in k], "topic string, w string")
+    pairs = texts.sparkSession.createDataFrame([(t, w, i) for t, k in all_.items() for i, w in enumerate(k)], "topic string, w string, place int")
     seen = texts.select(F.explode(scalars.topic_tokens(F.col(column))).alias("w")).join(F.broadcast(pairs.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
-    out = pairs.join(F.broadcast(seen), "w", "left").groupBy("topic").agg(F.count("n").alias("matched"), F.count("*").alias("of"))
-    out = out.withColumn("score", F.col("matched") / F.col("of"))
-    every = F.sum(F.col("score").cast("decimal(18,6)")).over(Window.partitionBy()).cast("double")
-    return out.select("topic", "matched", F.round("score", 4).alias("score"), F.when(every > 0, F.floor(F.round(F.col("score") / every * 100, 6)).cast("int")).otherwise(0).alias("pct"))
+    found = F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct((-F.col("n")).alias("n"), "place", "w"))))  # a topic's keywords
+    out = pairs.join(F.broadcast(seen), "w", "left").groupBy("topic").agg(F.count("n").alias("matched"), F.count("*").alias("of"), found.alias("found"))
+    out = out.withColumn("score", F.col("matched") / F.col("of")).where("matched > 0")
+    every = F.sum(F.col("score").cast("decimal(18,12)")).over(Window.partitionBy()).cast("double")  # a row a topic
+    pct = F.bround(F.round(F.col("score") / every * 100, 9), 0).cast("int")
+    return out.select("topic", "matched", F.round("score", 4).alias("score"), pct.alias("pct"), F.array_join(F.transform(F.slice("found", 1, 5), lambda x: x["w"]), ",").alias("keywords"))
 
 
 def dominant_topics(texts: DataFrame, key: str = "doc_id", column: str = "text", keywords: int = 6) -> DataFrame:
@@ -195,8 +199,3 @@ def best_sentence(chunks: DataFrame, query: str, key: str = "doc_id") -> DataFra
     each = chunks.select(key, F.posexplode(scalars.sentences(F.col("content"))).alias("pos", "sentence"))
     hits = sum((F.lower("sentence").contains(w).cast("int") for w in words), F.lit(0))
     return each.withColumn("hits", hits).where("hits > 0").groupBy(key).agg(F.max_by("sentence", F.struct("hits", -F.col("pos"))).alias("sentence"))
-
-
-def log_odds(n: int, df: int) -> float:
-    """The weight of a token that ``df`` of ``n`` chunks hold."""
-    return math.log(1 + (n - df + 0.5) / (df + 0.5))

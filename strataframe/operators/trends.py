@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars
-from strataframe.operators.aggregates import achievement, exact_sum
+from strataframe.operators.aggregates import EXACT, achievement
 
 
 def growth(value: Column, order: Window, digits: int = 1) -> Column:
@@ -21,9 +21,12 @@ def trend(records: DataFrame, metric: str = "production", period: str = "financi
     Growth goes by rounded values; target and achievement only where a target is above 0, dispatch likewise.
     """
     by = by or []
-    key = F.coalesce(scalars.format_financial_year(scalars.financial_year(F.col(period))), F.trim(F.col(period).cast("string")))
-    rows = records.where(~F.col("is_error")).withColumn("period", key).where("period is not null and period <> ''")
-    out = rows.groupBy(*by, "period").agg(F.round(F.coalesce(exact_sum(F.col(metric)), F.lit(0.0)), 2).alias("value"), F.count(metric).alias("record_count"), F.round(exact_sum(F.col("target")), 2).alias("target"), F.round(exact_sum(F.col("dispatch")), 2).alias("dispatch"))
+    # periods are parsed after the cells' spellings have been grouped
+    rows = records.where(~F.col("is_error")).withColumn("spelt_", F.trim(F.col(period).cast("string"))).where("spelt_ is not null and spelt_ <> ''")
+    spelt = rows.groupBy(*by, "spelt_").agg(*[F.sum(F.col(c).cast(EXACT)).alias(n) for n, c in (("value", metric), ("target", "target"), ("dispatch", "dispatch"))], F.count(metric).alias("record_count"))
+    key = F.coalesce(scalars.format_financial_year(scalars.financial_year(F.col("spelt_"))), F.col("spelt_"))
+    total = lambda c: F.round(F.sum(c), 2).cast("double")
+    out = spelt.groupBy(*by, key.alias("period")).agg(F.coalesce(total("value"), F.lit(0.0)).alias("value"), F.sum("record_count").alias("record_count"), total("target").alias("target"), total("dispatch").alias("dispatch"))
     out = out.where("record_count > 0 or target is not null or dispatch is not null")
     out = out.withColumn("target", F.when(F.col("target") > 0, F.col("target"))).withColumn("dispatch", F.when(F.col("dispatch") > 0, F.col("dispatch")))
     return out.withColumn("achievement_pct", achievement(F.col("value"), F.col("target"))).withColumn("growth_pct", growth(F.col("value"), Window.partitionBy(*by).orderBy("period")))

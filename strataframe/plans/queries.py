@@ -41,7 +41,7 @@ C = """c as (select o_orderkey record_id, case o_orderkey % 3 when 0 then 'produ
 
 def S(c: str) -> str:
     """Sum to 2 places, by decimals."""
-    return f"round(cast(sum(cast({c} as decimal(18,4))) as double), 2)"
+    return f"cast(round(sum(cast({c} as decimal(28,8))), 2) as double)"
 
 
 def Z(c: str) -> str:
@@ -65,7 +65,7 @@ def query(sql: str | None = None):
 # aggregates
 
 
-@query(f"with {B} select {S('production')} s, round(cast(sum(cast(production as decimal(18,4))) as double) / count(production), 2) a, min(production) lo, max(production) hi, cast(count(*) as double) n from v")
+@query(f"with {B} select {S('production')} s, round(cast(sum(cast(production as decimal(28,8))) as double) / count(production), 2) a, min(production) lo, max(production) hi, cast(count(*) as double) n from v")
 def agg_global(spark, sf_dir):
     r = filters.filter_records(binding.records(spark, sf_dir))
     m = aggregates.measure
@@ -77,7 +77,7 @@ def grouped_sum_by_region(spark, sf_dir):
     return aggregates.grouped(filters.filter_records(binding.records(spark, sf_dir)), "subsidiary", "sum", "production")
 
 
-@query(f"with {B}, g as (select mine grp, round(cast(sum(cast(target as decimal(18,4))) as double) / count(target), 2) value, count(*) record_count from v group by 1), t as (select *, count(*) over () total_groups from g) select * from t order by value desc, grp limit 7")
+@query(f"with {B}, g as (select mine grp, round(cast(sum(cast(target as decimal(28,8))) as double) / count(target), 2) value, count(*) record_count from v group by 1), t as (select *, count(*) over () total_groups from g) select * from t order by value desc, grp limit 7")
 def grouped_avg_top(spark, sf_dir):
     return aggregates.grouped(filters.filter_records(binding.records(spark, sf_dir)), "mine", "avg", "target", limit=7)
 
@@ -93,14 +93,14 @@ def kpi_bundle(spark, sf_dir):
     return aggregates.indicators(binding.records(spark, sf_dir))
 
 
-@query(f"""with {B}, g as (select financial_year fy, cast(sum(cast(production as decimal(18,4))) as double) v from v group by 1), r as (select *, row_number() over (order by fy desc) r from g)
+@query(f"""with {B}, g as (select financial_year fy, cast(sum(cast(production as decimal(28,8))) as double) v from v group by 1), r as (select *, row_number() over (order by fy desc) r from g)
  select 'production' metric, p.fy previous_fy, c.fy current_fy, p.v previous, c.v "current", round((c.v - p.v) / p.v * 100, 4) growth_pct from r c join r p on c.r = 1 and p.r = 2""")
 def kpi_latest_growth(spark, sf_dir):
     return aggregates.latest_growth(binding.records(spark, sf_dir))
 
 
 @query(f"""with {B}, t as (select mine grp, {S('production')} value, count(*) record_count from v group by 1 order by value desc, grp limit 8)
- select *, round(value / cast(sum(cast(value as decimal(18,4))) over () as double) * 100, 1) share_pct from t""")
+ select *, round(value / cast(sum(cast(value as decimal(28,8))) over () as double) * 100, 1) share_pct from t""")
 def breakdown_topn_share(spark, sf_dir):
     return aggregates.breakdown(binding.records(spark, sf_dir), "mine", "production", 8)
 
@@ -118,7 +118,7 @@ def metric_winner(spark, sf_dir):
 @query(f"""with {O}, g as (select mine, record_id, row_number() over (partition by mine order by record_id) r from ov)
  select mine, string_agg(cast(record_id as varchar), ',' order by record_id) ids from g where r <= 50 group by 1""")
 def first_ids_by_group(spark, sf_dir):
-    return filters.filter_records(binding.order_records(spark, sf_dir)).groupBy("mine").agg(aggregates.first_ids(50).alias("ids"))
+    return aggregates.first_ids(filters.filter_records(binding.order_records(spark, sf_dir)), "mine", 50)
 
 
 # trends
@@ -149,7 +149,7 @@ _COUNT = f"select count(*) n, {S('production')} total"
 
 
 def _count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n"), F.round(aggregates.exact_sum(F.col("production")), 2).alias("total"))
+    return df.agg(F.count("*").alias("n"), aggregates.rounded_sum(F.col("production")).alias("total"))
 
 
 @query(f"with {B} {_COUNT} from v where lower(subsidiary) = 'east' or list_contains(string_split_regex(lower(subsidiary), '[\\s\\(\\)\\/,\\.-]+'), 'east')")
@@ -175,9 +175,7 @@ def global_search(spark, sf_dir):
 
 @query(f"with {B} select count(*) filter (where is_error) errors, count(*) filter (where is_warning) warnings, count(*) filter (where not is_error and not is_warning) clean from b")
 def quality_sets(spark, sf_dir):
-    r = binding.records(spark, sf_dir)
-    each = [filters.by_quality(r, s).agg(F.count("*").alias(n)) for s, n in (("with_errors", "errors"), ("with_warnings", "warnings"), ("valid_only", "clean"))]
-    return each[0].join(each[1]).join(each[2])
+    return filters.quality_counts(binding.records(spark, sf_dir))
 
 
 @query("select o_orderstatus, count(*) n from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') group by 1")
@@ -202,10 +200,9 @@ def explorer_page(spark, sf_dir):
     return paging.page(binding.order_records(spark, sf_dir), "production", "numeric", True, 3, 25).select("record_id", "mine", "grade", "production")
 
 
-@query(f"with {O} select record_id, mine, dispatch from o order by dispatch is not null, lower(mine), record_id limit 10")
+@query(f"with {O} select record_id, mine, dispatch from o order by dispatch desc nulls first, record_id limit 10 offset 20")
 def explorer_nulls_first(spark, sf_dir):
-    r = binding.order_records(spark, sf_dir)
-    return r.orderBy(F.col("dispatch").isNotNull(), F.lower("mine"), "record_id").select("record_id", "mine", "dispatch").limit(10)
+    return paging.page(binding.order_records(spark, sf_dir), "dispatch", "numeric", True, 3, 10).select("record_id", "mine", "dispatch")
 
 
 @query("select count(*) total, cast(ceil(count(*) / 40.0) as bigint) pages from orders")
@@ -261,7 +258,7 @@ def report_geological(spark, sf_dir):
     return reports.report("geological", binding.records(spark, sf_dir))
 
 
-@query(f"with {B}, g as (select grade, {_FIRST.format(c='coal_type', n=100)} types, count(*) records, {Z('production')} production, false coking from v group by 1) select *, round(production / cast(sum(cast(production as decimal(18,4))) over () as double) * 100, 1) share_pct from g")
+@query(f"with {B}, g as (select grade, {_FIRST.format(c='coal_type', n=100)} types, count(*) records, {Z('production')} production, false coking from v group by 1) select *, round(production / cast(sum(cast(production as decimal(28,8))) over () as double) * 100, 1) share_pct from g")
 def report_grades(spark, sf_dir):
     return reports.report("grades", binding.records(spark, sf_dir))
 
@@ -277,7 +274,7 @@ def report_exploration(spark, sf_dir):
     return reports.report("exploration", binding.order_records(spark, sf_dir))
 
 
-@query(f"with {B}, g as (select grade, {_FIRST.format(c='coal_type', n=100)} types, {_FIRST.format(c='coalfield', n=2)} coalfields, count(distinct mine) mines, {Z('production')} production from v group by 1) select *, round(production / cast(sum(cast(production as decimal(18,4))) over () as double) * 100, 1) share_pct from g")
+@query(f"with {B}, g as (select grade, {_FIRST.format(c='coal_type', n=100)} types, {_FIRST.format(c='coalfield', n=2)} coalfields, count(distinct mine) mines, {Z('production')} production from v group by 1) select *, round(production / cast(sum(cast(production as decimal(28,8))) over () as double) * 100, 1) share_pct from g")
 def report_coal_seam(spark, sf_dir):
     return reports.report("coal_seam", binding.records(spark, sf_dir))
 
@@ -343,8 +340,7 @@ def validate_cells(spark, sf_dir):
 
 @query("select l_orderkey, l_linenumber, count(*) - 1 repeats from lineitem group by 1, 2 having count(*) > 1")
 def duplicate_rows(spark, sf_dir):
-    t = binding.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
-    return t.groupBy("l_orderkey", "l_linenumber").agg((F.count("*") - 1).alias("repeats")).where("repeats > 0")
+    return quality.duplicate_rows(binding.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("""with t as (select l_orderkey k, count(*) n, count(distinct (l_linenumber, l_quantity)) u from lineitem group by 1)
@@ -362,7 +358,7 @@ def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_ref", F.array(F.lit("Mine"), F.lit("Production (MT)"), F.lit("Mine")).alias("headers"), "rows")
 
 
-@query("select cast(l_orderkey as varchar) source_ref, count(*) n, cast(sum(cast(1 - l_quantity as decimal(18,4))) as double) production, min(cast(l_quantity as varchar)) mine from lineitem group by 1")
+@query("select cast(l_orderkey as varchar) source_ref, count(*) n, cast(sum(cast(1 - l_quantity as decimal(28,8))) as double) production, min(cast(l_quantity as varchar)) mine from lineitem group by 1")
 def normalize_rows(spark, sf_dir):
     data = schema.normalized_rows(_order_tables(spark, sf_dir))
     value = F.col("data.production").try_cast("double")
@@ -414,11 +410,12 @@ def word_cloud(spark, sf_dir):
     return retrieval.word_cloud(binding.table(spark, sf_dir, "documents"))
 
 
-_TOPICS = " union all ".join(f"select '{t}' topic, '{w}' w, {i} ord" for i, (t, k) in enumerate(vocab.TOPICS.items()) for w in k)
+_TOPICS = " union all ".join(f"select '{t}' topic, '{w}' w, {i} ord, {n} place" for i, (t, k) in enumerate(vocab.TOPICS.items()) for n, w in enumerate(k))
 
 
-@query(f"""with {_WORDS}, tp as ({_TOPICS}), s as (select topic, count(distinct k.w) matched, count(distinct tp.w) total from tp left join k on k.w = tp.w group by 1), q as (select topic, matched, matched / cast(total as double) sc from s)
- select topic, matched, round(sc, 4) score, cast(case when sum(sc) over () > 0 then floor(round(sc / cast(sum(cast(sc as decimal(18,6))) over () as double) * 100, 6)) else 0 end as int) pct from q""")
+@query(f"""with {_WORDS}, f as (select w, count(*) n from k group by 1), tp as ({_TOPICS}), s as (select topic, count(f.w) matched, count(*) total, array_to_string(list_slice(list(tp.w order by n desc, place) filter (n is not null), 1, 5), ',') keywords from tp left join f on f.w = tp.w group by 1),
+ q as (select *, matched / cast(total as double) sc from s where matched > 0)
+ select topic, matched, round(sc, 4) score, cast(round_even(round(sc / cast(sum(cast(sc as decimal(18,12))) over () as double) * 100, 9), 0) as int) pct, keywords from q""")
 def topic_distribution(spark, sf_dir):
     return retrieval.topic_distribution(binding.table(spark, sf_dir, "documents"))
 
@@ -487,38 +484,46 @@ def content_hashes(spark, sf_dir):
 
 # questions
 
-_ASKED = "q as (select r_regionkey * 10 + k question_id, r_name subsidiary, case k when 0 then '1995-96' when 1 then '1996-97' end as \"year\", case k when 0 then 'production' when 1 then 'target' else 'dispatch' end metric, case k when 0 then 'max' when 1 then 'avg' when 3 then 'min' end aggregation from region, (select unnest([0, 1, 2, 3]) k))"
+_ASKED = """q as (select r_regionkey * 10 + k question_id, cast(null as varchar) mine, r_name subsidiary, case k when 0 then '1995-96' when 1 then '1996-97' end as "year", case k when 0 then 'production' when 1 then 'target' else 'dispatch' end metric, case k when 0 then 'max' when 1 then 'avg' when 3 then 'min' end aggregation from region, (select unnest([0, 1, 2, 3]) k)
+  union all select r_regionkey * 10 + k, null, null, case k when 4 then '1995-96' when 5 then '1996-97' end, case k when 4 then 'production' when 5 then 'target' else 'dispatch' end, case k when 4 then 'max' when 5 then 'avg' when 7 then 'min' end from region, (select unnest([4, 5, 6, 7]) k)
+  union all select 100 + n_nationkey, n_name, r_name, case when n_nationkey % 2 = 0 then '1994-95' end, 'production', 'sum' from nation join region on n_regionkey = r_regionkey)"""
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.explode(F.array(*map(F.lit, range(4))))
-    q = binding.table(spark, sf_dir, "region").select("r_regionkey", "r_name", k.alias("k"))
-    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("k") + 1)
+    """Of each region what it produced and the like, of all together the same, and of each nation as a mine."""
+    k = F.explode(F.array(*map(F.lit, range(8))))
+    region = binding.table(spark, sf_dir, "region")
+    q = region.select("r_regionkey", "r_name", k.alias("k"))
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("k") % 4 + 1)
+    some = lambda c: F.nullif(c, F.lit(""))
     none = F.lit(None).cast("string")
-    return q.select((F.col("r_regionkey") * 10 + F.col("k")).alias("question_id"), F.col("r_name").alias("subsidiary"), F.when(F.col("k") < 2, pick("1995-96", "1996-97", "", "")).otherwise(none).alias("year"), pick("production", "target", "dispatch", "dispatch").alias("metric"), F.nullif(pick("max", "avg", "", "min"), F.lit("")).alias("aggregation"))
+    asked = q.select((F.col("r_regionkey") * 10 + F.col("k")).alias("question_id"), none.alias("mine"), F.when(F.col("k") < 4, F.col("r_name")).alias("subsidiary"), some(pick("1995-96", "1996-97", "", "")).alias("year"), pick("production", "target", "dispatch", "dispatch").alias("metric"), some(pick("max", "avg", "", "min")).alias("aggregation"))
+    mines = binding.table(spark, sf_dir, "nation").join(region, F.expr("n_regionkey = r_regionkey"))
+    return asked.unionByName(mines.select((100 + F.col("n_nationkey")).alias("question_id"), F.col("n_name").alias("mine"), F.col("r_name").alias("subsidiary"), F.when(F.col("n_nationkey") % 2 == 0, "1994-95").alias("year"), F.lit("production").alias("metric"), F.lit("sum").alias("aggregation")))
 
 
-@query(f"""with {O}, {_ASKED}, x as (select question_id, q.subsidiary, q."year", q.metric, aggregation, mine, record_id, case q.metric when 'production' then production when 'target' then target else dispatch end v
-  from q join o on o.subsidiary = q.subsidiary and (q."year" is null or o.financial_year = q."year"))
- select question_id, subsidiary, "year", metric, aggregation, case aggregation when 'max' then max(v) when 'min' then min(v) when 'avg' then round(cast(sum(cast(v as decimal(18,4))) as double) / count(v), 2) else {S('v')} end as "value",
- case aggregation when 'max' then arg_max(mine, (v, -record_id)) when 'min' then arg_min(mine, (v, record_id)) end mine, count(v) n from x where v is not null group by 1, 2, 3, 4, 5""")
+@query(f"""with {O}, {_ASKED}, x as (select q.*, o.mine as name, record_id, case q.metric when 'production' then production when 'target' then target else dispatch end v
+  from q left join o on (q."year" is null or o.financial_year = q."year") and case when q.mine is not null then o.mine = q.mine when q.subsidiary is not null then o.subsidiary = q.subsidiary else true end),
+ y as (select *, case when mine is not null or subsidiary is not null then 'lookup' else coalesce(aggregation, 'sum') end calculation from x)
+ select question_id, mine, subsidiary, "year", metric, aggregation, calculation, case calculation when 'lookup' then arg_min(v, record_id) filter (where v is not null) when 'max' then max(v) when 'min' then min(v) when 'avg' then round(cast(sum(cast(v as decimal(28,8))) as double) / count(v), 2) else {S('v')} end as "value",
+ case calculation when 'lookup' then arg_min(name, record_id) filter (where v is not null) when 'max' then arg_max(name, (v, -record_id)) filter (where v is not null) when 'min' then arg_min(name, (v, record_id)) filter (where v is not null) end as name, count(v) n from y group by 1, 2, 3, 4, 5, 6, 7""")
 def answer_batch(spark, sf_dir):
     return answers.answered(_questions(spark, sf_dir), binding.order_records(spark, sf_dir)).drop("answer")
 
 
-@query(f"""with {O}, {_ASKED}, x as (select question_id, q.subsidiary, q."year", q.metric, aggregation, financial_year fy, case q.metric when 'production' then production when 'target' then target else dispatch end v from q join o on o.subsidiary = q.subsidiary),
- y as (select question_id, subsidiary, "year", metric, aggregation, round(cast(sum(case when fy < '1995-00' then cast(v as decimal(18,4)) end) as double), 2) past, round(cast(sum(case when fy >= '1995-00' then cast(v as decimal(18,4)) end) as double), 2) "current" from x group by 1, 2, 3, 4, 5)
+@query(f"""with {O}, {_ASKED}, x as (select question_id, q.subsidiary, q."year", q.metric, aggregation, financial_year fy, case q.metric when 'production' then production when 'target' then target else dispatch end v from q join o on o.subsidiary = q.subsidiary where q.mine is null),
+ y as (select question_id, subsidiary, "year", metric, aggregation, {S("case when fy < '1995-00' then v end")} past, {S("case when fy >= '1995-00' then v end")} "current" from x group by 1, 2, 3, 4, 5)
  select *, round("current" - past, 2) difference, {_PCT} pct from y""")
 def compare_batch(spark, sf_dir):
     r = binding.order_records(spark, sf_dir)
-    return answers.compared(_questions(spark, sf_dir), r.where(_PAST), r.where(_NOW))
+    return answers.compared(_questions(spark, sf_dir).where("mine is null and subsidiary is not null").drop("mine"), r.where(_PAST), r.where(_NOW))
 
 
 # datasets of key-value rows
 
 _KV = f"""{O}, kv0 as (select record_id, record_id % 50 dataset_id, upper(subsidiary) subsidiary, record_id % 5 l, floor(production) number, case when record_id % 3 = 0 then financial_year end fy from o),
  kv as (select *, case l when 0 then 'production' when 1 then 'target' when 2 then 'dispatch' when 4 then 'production' end metric, l = 0 summary from kv0 where l <> 3),
- dt as (select dataset_id, metric, coalesce(round(cast(sum(case when not summary then cast(number as decimal(18,4)) end) as double), 2), round(cast(sum(case when summary then cast(number as decimal(18,4)) end) as double), 2)) total from kv group by 1, 2),
+ dt as (select dataset_id, metric, coalesce(round(cast(sum(case when not summary then cast(number as decimal(28,8)) end) as double), 2), round(cast(sum(case when summary then cast(number as decimal(28,8)) end) as double), 2)) total from kv group by 1, 2),
  dy as (select dataset_id, arg_min(fy, record_id) as "year" from kv0 where fy is not null group by 1)"""
 
 
@@ -558,7 +563,7 @@ def rank_candidates(spark, sf_dir):
 # catalogues and log
 
 
-@query(f"with {M} select count(*) mines, {S('production')} total_production, round(cast(sum(cast(production as decimal(18,4))) as double) / count(production), 3) avg_production, count(distinct subsidiary) subsidiaries, count(distinct state) states from m")
+@query(f"with {M} select count(*) mines, {S('production')} total_production, round(cast(sum(cast(production as decimal(28,8))) as double) / count(production), 3) avg_production, count(distinct subsidiary) subsidiaries, count(distinct state) states from m")
 def map_stats(spark, sf_dir):
     return catalogue.place_stats(binding.mines(spark, sf_dir))
 
@@ -584,7 +589,7 @@ def audit_filter(spark, sf_dir):
     return catalogue.slice_of(catalogue.audit(e, "click", since="2024-01-05", until="2024-01-12"), [F.desc("timestamp"), "event_id"], limit=100).select("event_id", "event_type", "user_id")
 
 
-@query("select date_trunc('hour', ts) start, event_type, count(*) n, round(cast(sum(cast(value as decimal(18,4))) as double), 2) total from events group by 1, 2")
+@query("select date_trunc('hour', ts) start, event_type, count(*) n, cast(round(sum(cast(value as decimal(28,8))), 2) as double) total from events group by 1, 2")
 def event_windows(spark, sf_dir):
     return event_counts(binding.table(spark, sf_dir, "events"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from strataframe.operators.aggregates import rounded_sum
 from strataframe.operators.quality import validate
 from strataframe.operators.schema import normalized_rows
 from strataframe.sources.readers import tables
@@ -32,5 +33,5 @@ def ingest(spark: SparkSession, path: str, out: str, checkpoint: str) -> Streami
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) by tumbling window of ``events(ts, event_type, value)``; works on streams, where later rows than ``late`` are left out."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events
-    out = marked.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
-    return out.select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
+    out = marked.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), rounded_sum(F.col("value")).alias("total"))
+    return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")

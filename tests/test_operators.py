@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.operators import aggregates, catalogue, cleaning, compare, datasets, filters, paging, quality, reports, retrieval, schema, trends
+from strataframe.operators import aggregates, answers, catalogue, cleaning, compare, datasets, filters, paging, quality, reports, retrieval, schema, trends
 
 ROWS = [
     (1, "BCCL", "Jharia OC", "2023-24", "Q1", "G6", 40.0, 45.0, 38.0, False, False),
@@ -169,3 +169,50 @@ def test_key_value_datasets(spark):
     assert {r["dataset_id"]: (r["has_production"], r["has_financial_year"]) for r in datasets.listing(f).collect()} == {1: (True, True), 2: (False, False)}
     p = spark.range(10).select(datasets.estimated_page(F.col("id"), F.lit(10), F.lit(3)).alias("p"))
     assert [r["p"] for r in p.collect()] == [1, 1, 1, 1, 2, 2, 2, 3, 3, 3]
+
+
+def test_answers_by_the_order_of_selection(spark):
+    """A named mine first, then a subsidiary's first record, then a whole document's, then the aggregate of all."""
+    rows = [(1, 1, "MCL", "Talcher", "2024-25", 204.5), (2, 2, "MCL", "Lajkura", "2024-25", 300.0), (3, 3, "ECL", "Raniganj", "2023-24", 50.0), (4, 4, None, None, "2023-24", 999.0)]
+    schema_ = "record_id long, row_index int, subsidiary string, mine string, financial_year string, production double"
+    r = spark.createDataFrame(rows, schema_).withColumns({"target": F.lit(None).cast("double"), "dispatch": F.lit(None).cast("double"), "is_reference": F.col("record_id") == 3})
+    q = spark.createDataFrame(
+        [(1, "lajkura", "MCL", None, "production", "max"), (2, None, "mcl", "2024-25", "production", "sum"), (3, None, None, None, "production", "max"), (4, None, None, "2024-25", "production", "max"), (5, None, None, "2024-25", "production", None), (6, None, "NCL", None, "production", None), (7, None, None, "2024-25", "production", "avg")],
+        "question_id int, mine string, subsidiary string, year string, metric string, aggregation string")
+    got = {x.question_id: (x.value, x.name, x.calculation) for x in answers.answered(q, r).collect()}
+    assert got == {1: (300.0, "Lajkura", "lookup"), 2: (204.5, "Talcher", "lookup"), 3: (999.0, None, "document"), 4: (300.0, "Lajkura", "max"), 5: (504.5, None, "sum"), 6: (None, None, "lookup"), 7: (252.25, None, "avg")}
+    assert {x.question_id: x.value for x in answers.reference_answers(q, r).collect()}[3] == 50.0
+
+
+def test_fields_prefer_their_source(spark):
+    t, x = (spark.createDataFrame(rows, "doc_id int, field string, value string") for rows in ([(1, "production", "204.5"), (1, "location", "Odisha")], [(1, "location", "Talcher"), (1, "year", "2024-25"), (1, "production", "200")]))
+    got = {r.field: (r.value, r.origin) for r in answers.resolved_fields(t, x, ["location"]).collect()}
+    assert got == {"production": ("204.5", "table"), "location": ("Talcher", "text"), "year": ("2024-25", "text")}
+
+
+def test_citations(spark):
+    c = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "a"), (2, 1, "a")], "question_id int, rank int, source_ref string")
+    assert sorted((r.question_id, r.rank, r.source_ref, r.n_sources) for r in answers.citations(c).collect()) == [(1, 1, "a", 2), (1, 2, "b", 2), (2, 1, "a", 1)]
+
+
+def test_sums_keep_small_and_large_values(spark):
+    r = spark.createDataFrame([(0.00002,)] * 1000 + [(3e14,)], "production double")
+    assert aggregates.total(r, "sum", "production").first()["value"] == 300000000000000.0 + 0.02
+    tie = spark.createDataFrame([(1.005,), (1.0,)], "production double")
+    assert aggregates.total(tie, "sum", "production").first()["value"] == 2.01
+
+
+def test_topic_percents(spark):
+    """Percents round to the nearest, topics without keywords are left out, keywords go by frequency and then by the list."""
+    t = spark.createDataFrame([("exploration borehole drilling coking ash ash railway",)], "text string")
+    got = {r.topic: (r.matched, r.pct, r.keywords) for r in retrieval.topic_distribution(t).collect()}
+    # 3 of 16 keywords, 2 of 14 and 1 of 13
+    assert got["Coal Quality & Grades"] == (2, round(100 * (2 / 14) / (3 / 16 + 2 / 14 + 1 / 13)), "ash,coking") and got["Geological Exploration"][2] == "exploration,borehole,drilling" and len(got) == 3
+
+
+def test_plain_years_are_the_columns(spark, one):
+    for text in ["FY 2024-25", "1999/00", "98-99", "2024-2025", "99/01", "none", "2024-9", "123-45"]:
+        r = spark.createDataFrame([(text,)], "c string").select(filters.scalars.financial_year(F.col("c")).alias("y")).first()["y"]
+        assert (tuple(r) if r else None) == filters.scalars.financial_year_of(text)
+        if r:
+            assert spark.createDataFrame([(text,)], "c string").where(filters.same_year(F.col("c"), text)).count() == 1
