@@ -214,15 +214,15 @@ def decode(encoded: DataFrame, spark: SparkSession, path: str | None = None) ->
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, data binary")
 
 
-def round_trip(docs: DataFrame, spark: SparkSession, path: str | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encode and decode in one pass.
+def round_trip(docs: DataFrame, spark: SparkSession, path: str | None = None, ids: bool = False) -> DataFrame:
+    """``docs(doc_id, text)`` to ``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` and, where asked for, ``ids array<int>``: encode and decode in one pass.
 
     The decoded bytes come from the ids alone. Null and empty texts have no tokens and hash as empty strings; very long texts and words are encoded
     whole. Repeated rows are rows of their own. Other columns are ignored. No documents: no rows.
     """
     raw, pattern = rank_bytes(path)
     shared = spark.sparkContext.broadcast(raw)
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merges(shared.value)
@@ -230,14 +230,17 @@ def round_trip(docs: DataFrame, spark: SparkSession, path: str | None = None) ->
         decimal = [str(i) for i in range(m.width)]
         for b in batches:
             for some in _slices(b):
-                counts, coded, decoded = [], [], []
-                for ids in coder.encode([t or "" for t in some.column(1).to_pylist()]):
-                    counts.append(len(ids))
-                    coded.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(m.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                counts, coded, decoded, flat = [], [], [], []
+                for found in coder.encode([t or "" for t in some.column(1).to_pylist()]):
+                    counts.append(len(found))
+                    coded.append(hashlib.sha256(",".join(map(decimal.__getitem__, found)).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(m.decode(found)).hexdigest())
+                    if ids:
+                        flat.append(np.array(found, np.int32))
+                columns = [some.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(flat, pa.list_(pa.int32()))] if ids else [])], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""))
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -1,41 +1,11 @@
-"""Tables in the cluster's shared folder, for cutting lineage and reusing narrow intermediates."""
+"""What the operators share: tables, names of working columns, words, and who is held out."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests), a temporary one that is then set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataframe-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation.
-
-    The files go when the application ends.
-    """
-    path = f"{shared_dir(spark).rstrip('/')}/strataframe/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._strataframe_path = path
-    return out
-
-
-def dropped(df: DataFrame, spark: SparkSession) -> None:
-    """Delete a table that ``stored`` wrote and nothing will read again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._strataframe_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from strataframe.sources.staging import dropped, shared_dir, stored  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +24,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column's name for ``F.col``, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 #: A word: a run of anything but space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from strataframe.llm import mixing, simhash
@@ -45,9 +46,30 @@ def test_stages(spark, corpus):
     assert out.count() == mixed.count()
 
 
+def test_two_texts_under_one_id(spark, corpus, make):
+    """Rows of one id with unrelated texts all stay in the near-dedup stage, a copy of one of them goes, and mixing treats them as documents of their own."""
+    rows = [(1, prose(50, 60), "en", "s", 1), (1, prose(51, 60), "en", "s", 1), (2, prose(51, 60), "en", "s", 1), (2, prose(52, 60), "en", "s", 1), (1, prose(50, 60), "en", "s", 1)]
+    stages = dict(corpus_pipeline.STAGES)
+    one = stages["SimHash near-dedup"](spark, make(rows), corpus)
+    assert sorted((r.doc_id, r.text) for r in one.collect()) == sorted([(1, prose(50, 60)), (1, prose(51, 60)), (2, prose(52, 60))])
+    mixed = stages["mixing sources"](spark, make(rows[:2] + rows[3:4]), corpus)
+    assert {r.text for r in mixed.collect()} <= {prose(k, 60) for k in (50, 51, 52)} and mixed.count() >= 3
+
+
+def test_stages_leave_columns_alone(spark, corpus, make):
+    """Columns named as working columns are, and with odd names, go through every stage but the last."""
+    own = {c: F.lit(c) for c in ("row_id_", "text_hash_", "rest_", "group_", "copies_", "copy_", "row_key_", "q_", "k_", "t_", "places_", "component_id", "n_removed", "two words")}
+    docs = make([(i, prose(i, 60), "en", "s", 1) for i in range(4)] + [(9, prose(2, 60), "en", "s", 1)]).withColumns(own)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, corpus)
+        rows = docs.collect()
+        assert rows and all(r[c] == c for r in rows for c in own if c in docs.columns), name
+        assert set(docs.columns) >= set(own) - {"n_removed"}
+
+
 def test_run(spark, corpus):
     rows = corpus_pipeline.run(spark, corpus).collect()
-    assert rows and all(r.n_tokens >= 0 and len(r.ids_sha256) == 64 for r in rows)
+    assert rows and all(r.n_tokens == len(r.ids) and len(r.ids_sha256) == 64 for r in rows)
     assert not {r.doc_id for r in rows} & set(range(300, 320))
 
 
