@@ -24,9 +24,10 @@ CYCLE = (3, 1, 2)
 PARTS = 4096
 
 
-def order_key(doc_id: str, seed: str) -> Column:
-    """32 seeded hash bits of an id, in a form that other SQL engines share (null: of an empty id)."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
+def order_key(doc_id: str, text: str, seed: str) -> Column:
+    """32 seeded hash bits of an id, in a form that other SQL engines share. A null id goes by its text, so that many of them spread."""
+    name = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("#"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 8), 16, 10).cast("long")
 
 
 def source_targets(totals: DataFrame, weights: tuple = CYCLE, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -62,11 +63,14 @@ def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", share: float =
     """``docs(doc_id, text, source)`` to ``(doc_id, size, source_size, target, rate, copies, taken)``, a row a document.
 
     Null texts have size 0; the null source is a source of its own, last. Documents of size 0 take the copies their
-    place in the order gives them and add nothing. Repeated ids stay rows of their own. Reruns agree. No
-    documents: no rows. Other columns are ignored.
+    place in the order gives them and add nothing. Repeated ids stay rows of their own; null ids are placed by their texts. Very long
+    texts are counted whole. Reruns agree. No documents: no rows. Other columns are ignored.
+
+    With one token constraint a source the dual is separable: the rate is constant within a source, and the Newton steps lead to the logarithm of
+    target over size. The table of sources is ranked in one task; it is a catalogue, not a row a document.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = stored(sized.withColumn("k", order_key("doc_id", seed)), spark)
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order_key("doc_id", "text", seed).alias("k"))
+    sized = stored(sized, spark)
     sized = sized.withColumn("part", F.shiftright("k", 20))
     parts = stored(sized.groupBy("source", "part").agg(F.sum("size").alias("part_size")), spark)
     src = tilts(source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, share, most))
@@ -112,7 +116,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The same mixture in SQL: targets by the level that the sources left reach, a prefix in hash order, four top-ups."""
     ctes = [
-        """d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size, cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) k from documents)""",
+        """d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size, cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '#' || md5(coalesce(text, '')))), 1, 8) as bigint) k from documents)""",
         """s0 as (select source, cast(sum(size) as bigint) source_size, cast(list_extract([3, 1, 2], cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)) as double) weight from d group by source)""",
         """s1 as (select *, source_size * 2.0::double most, source_size * 2.0::double / weight full_at, sum(source_size) over () * 1.5::double goal from s0)""",
         """s2 as (select *, full_at <= (goal - coalesce(sum(most) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) filled from s1 window w as (order by full_at, source nulls last rows between unbounded preceding and 1 preceding))""",
