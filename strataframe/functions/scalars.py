@@ -36,6 +36,11 @@ def parse_numeric(c: Column) -> Column:
     return _found(F.regexp_replace(F.trim(c), ",", ""), NUMBER).try_cast("double")
 
 
+def leading_number(c: Column) -> Column:
+    """The first word of a cell, all but digits, dots and minus signs left out, as a number: ``1,250 MT`` is 1250, ``n/a`` null."""
+    return F.regexp_replace(F.split(F.trim(c), r"\s+")[0], r"[^\d.\-]", "").try_cast("double")
+
+
 def numeric_and_unit(c: Column) -> Column:
     """struct(value, unit): a number with any grouping commas, and what stands around it, cleaned, as its unit."""
     s = F.trim(c)

@@ -35,6 +35,17 @@ def block_summary(blocks: DataFrame) -> DataFrame:
     return blocks.agg(F.count("*").alias("total"), F.count_if(F.lower("allocated_to") == "unallocated").alias("unallocated"))
 
 
+def theme_summary(reports: DataFrame) -> DataFrame:
+    """One row over ``reports(theme, region)``: all, and those whose theme names coal or lignite. ``counts_by`` gives the regions."""
+    low = F.lower("theme")
+    return reports.agg(F.count("*").alias("total"), F.count_if(low.contains("coal") | low.contains("lignite")).alias("coal_lignite"))
+
+
+def first_themes(reports: DataFrame, n: int = 30) -> DataFrame:
+    """The first ``n`` distinct themes by name, ``null`` and empty ones left out."""
+    return reports.select("theme").where("theme <> '' and theme <> 'null'").distinct().orderBy("theme").limit(n)
+
+
 def choices(rows: DataFrame, fields: list[str], leave_out: tuple[str, ...] = ("null",)) -> DataFrame:
     """(field, value): distinct non-empty values."""
     tall = rows.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])))

@@ -40,6 +40,22 @@ def dataset_years(rows: DataFrame) -> DataFrame:
     return rows.withColumn("y", year).where("y is not null").groupBy("dataset_id").agg(F.min_by("y", F.struct("row_index", "record_id")).alias("year"))
 
 
+#: Labels of key-value rows that hold a year.
+_YEAR_LABELS = ("year", "financial year", "financial_year", "period")
+
+
+def record_years(rows: DataFrame) -> DataFrame:
+    """``rows(financial_year, year, label, value, title, filename, ...)`` with ``fy``: the row's own financial year, else its ``year``, else the value of a row
+    labelled a year, else the one year that the document's title and file name agree on.
+    """
+    parse = lambda c: scalars.format_financial_year(scalars.financial_year(F.col(c)))
+    labelled = F.when(F.lower(F.trim("label")).isin(*_YEAR_LABELS), parse("value"))
+    title, name = parse("title"), parse("filename")
+    of_document = F.when(title.isNull() | name.isNull() | (title == name), F.coalesce(title, name))
+    own = F.coalesce(F.nullif("financial_year", F.lit("")), F.col("year"))
+    return rows.withColumn("fy", F.coalesce(scalars.format_financial_year(scalars.financial_year(own)), labelled, of_document))
+
+
 def trend_from_datasets(rows: DataFrame, metric: str = "production") -> DataFrame:
     """(period, value, growth_pct): datasets' totals by their years, for sources that have only key-value rows."""
     out = dataset_totals(rows).where(F.col("metric") == metric).join(dataset_years(rows), "dataset_id").groupBy(F.col("year").alias("period")).agg(rounded_sum(F.col("total")).alias("value"))

@@ -80,6 +80,11 @@ def checked_field(name: str, known: list[str]) -> str:
     return name
 
 
+def with_reference(records: DataFrame, owner: str) -> DataFrame:
+    """The owner's rows and all owners' reference rows, archived documents left out: what reports are made of."""
+    return records.where(((F.col("owner") == owner) | F.col("is_reference")) & ~F.col("is_archived"))
+
+
 def in_scope(records: DataFrame, owner: str, scope: str | int = "all") -> DataFrame:
     """Rows the owner may see: ``baseline`` (reference rows), ``uploaded``, ``all``, or one dataset; archived documents never."""
     mine = records.where((F.col("owner") == owner) & ~F.col("is_archived"))

@@ -132,8 +132,8 @@ def tables(found: DataFrame) -> DataFrame:
     return found.where(F.col("extension").isin("csv", "xlsx", "docx")).select("path", "extension", "content").mapInPandas(run, TABLES)
 
 
-def texts(found: DataFrame, most: int = 500_000) -> DataFrame:
-    """(path, raw_text) of text and Word files, ``most`` characters a file at most."""
+def texts(found: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, raw_text) of text and Word files, whole, or ``most`` characters of each where a limit is wanted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

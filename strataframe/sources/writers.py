@@ -6,6 +6,7 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,17 +48,16 @@ def archived(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.withColumn("is_archived", F.col("is_archived") | (F.coalesce("gone_", F.lit(False)) & ~F.col("is_reference"))).drop("gone_")
 
 
-def xlsx_bytes(rows: DataFrame, sheet: str = "Data", most: int = 100_000) -> bytes:
-    """A workbook of one sheet with the first ``most`` rows, a page for people: numbers as numbers, all else as text."""
+def _cell(v) -> str:
+    if v is None:
+        return "<c/>"
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        return f"<c><v>{v}</v></c>"
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
-    def cell(v) -> str:
-        if v is None:
-            return "<c/>"
-        if isinstance(v, (int, float)) and not isinstance(v, bool):
-            return f"<c><v>{v}</v></c>"
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
 
-    lines = [rows.columns, *rows.limit(most).toLocalIterator()]
+def workbook(lines: list, sheet: str) -> bytes:
+    """A workbook of one sheet: numbers as numbers, all else as text."""
     out = io.BytesIO()
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -67,10 +67,40 @@ def xlsx_bytes(rows: DataFrame, sheet: str = "Data", most: int = 100_000) -> byt
         z.writestr("_rels/.rels", f'<Relationships xmlns="{links}"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{links}"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="{escape(sheet[:31])}" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join("<row>" + "".join(map(cell, line)) + "</row>" for line in lines) + "</sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData>' + "".join("<row>" + "".join(map(_cell, line)) + "</row>" for line in lines) + "</sheetData></worksheet>")
     return out.getvalue()
 
 
+def workbooks(rows: DataFrame, order: list[str], sheet: str = "Data", most: int = 100_000) -> DataFrame:
+    """``rows`` in order as files: (path, extension, n, content), a workbook for each ``most`` rows of a range of the order, named by place.
+
+    Rows are dealt to tasks by range and no row passes the driver; every row is in one workbook, each of which begins with the column names.
+    """
+    names = rows.columns
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, number, hold = TaskContext.get().partitionId(), 0, []
+
+        def book():
+            return pa.RecordBatch.from_pylist([{"path": f"{sheet}-{part:06d}-{number:06d}.xlsx", "extension": "xlsx", "n": len(hold), "content": workbook([names, *hold], sheet)}], _BOOKS)
+
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                hold.append(row)
+                if len(hold) == most:
+                    yield book()
+                    number, hold = number + 1, []
+        if hold:
+            yield book()
+
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "path string, extension string, n long, content binary")
+
+
+_BOOKS = pa.schema([("path", pa.string()), ("extension", pa.string()), ("n", pa.int64()), ("content", pa.binary())])
+
+
 def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """A report's tables as JSON lines, a folder a table."""
     for name, rows in tables.items():

@@ -64,4 +64,7 @@ def test_stream_and_sinks(spark, tmp_path):
 
 def test_workbook(spark):
     df = spark.createDataFrame([("a<b", 1.5, None), ("c", 2.0, "x")], "name string, v double, w string")
-    assert readers.xlsx_tables(writers.xlsx_bytes(df, "S")) == [("S", ["name", "v", "w"], [["a<b", "1.5", ""], ["c", "2.0", "x"]])]
+    books = writers.workbooks(df, ["name"], "S", most=1).collect()
+    assert [readers.xlsx_tables(bytes(b.content)) for b in sorted(books, key=lambda b: b.path)] == [[("S", ["name", "v", "w"], [["a<b", "1.5", ""]])], [("S", ["name", "v", "w"], [["c", "2.0", "x"]])]]
+    whole = writers.workbooks(df.coalesce(1), ["name"], "S").agg({"n": "sum"}).first()[0]
+    assert whole == 2
