@@ -148,13 +148,13 @@ def repeated(spans: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with ``text`` rewritten, ``n_chars`` recounted where it exists, and ``n_sentences`` (pieces counted), ``n_removed`` added (in place of columns so named).
+    """``docs`` with ``text`` rewritten, ``n_chars`` recounted where it exists, and ``n_removed`` (sentences and pieces) added, in place of a column so named.
 
     A row stays a row, with an empty text if everything in it was repeated; null texts stay null. The first of a repeated run
     is the one of the smallest (doc_id, place); null ids come last, by hash of text. Rows that share an id are one document: what
     only they share stays in each. Very long texts are taken whole. Other columns pass through, whatever their names.
     """
-    docs = docs.drop("n_sentences", "n_removed")
+    docs = docs.drop("n_removed")
     spans = stored(span_table(docs, run, least), spark)
     names, own = docs.columns, [f"c{i}_" for i in range(len(docs.columns))]  # columns go by place, so their names can't clash or need quoting
     placed = docs.toDF(*own)
@@ -164,21 +164,22 @@ def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEA
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
         for b in batches:
-            texts, n_units, gone = [], [], []
+            texts, gone = [], []
             for text, starts in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
-                parts = units(text)
-                ends = reach([len(u.split()) for u in parts], run, least) if starts else []
-                away = {i for p in starts or () for i in range(p, ends[p])}
-                n_units.append(len(parts))
-                gone.append(len(away))
-                texts.append("".join(u for i, u in enumerate(parts) if i not in away).rstrip() if away else text)
+                if starts:  # most texts have nothing to remove and are not cut again
+                    parts = units(text)
+                    ends = reach([len(u.split()) for u in parts], run, least)
+                    away = {i for p in starts for i in range(p, ends[p])}
+                    text = "".join(u for i, u in enumerate(parts) if i not in away).rstrip()
+                gone.append(len(away) if starts else 0)
+                texts.append(text)
             columns = [b.column(i) for i in range(len(names))]
             columns[at] = pa.array(texts, pa.string())
             if count is not None:
                 columns[count] = pa.array([n if t is None else len(t) for t, n in zip(texts, columns[count].to_pylist(), strict=True)], columns[count].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_units, pa.int32()), pa.array(gone, pa.int32())], [*own, "n_sentences", "n_removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.int32())], [*own, "n_removed"])
 
-    return joined.mapInArrow(cut, StructType([*placed.schema.fields, StructField("n_sentences", IntegerType()), StructField("n_removed", IntegerType())])).toDF(*names, "n_sentences", "n_removed")
+    return joined.mapInArrow(cut, StructType([*placed.schema.fields, StructField("n_removed", IntegerType())])).toDF(*names, "n_removed")
 
 
 def _with_keys(names: list[str], doc_id: int, text: int):
