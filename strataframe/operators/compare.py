@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators.aggregates import achievement, exact_sum, rounded_sum
@@ -39,6 +39,19 @@ def compare_groups(past: DataFrame, current: DataFrame, by: str, metric: str) ->
     return aligned(value(past), value(current), by)
 
 
+def movers(compared: DataFrame) -> DataFrame:
+    """``aligned`` rows that improved or declined, each kind by percent from the highest down (without one: 0), as ``place``."""
+    order = Window.partitionBy("status").orderBy(F.coalesce("pct", F.lit(0.0)).desc(), compared.columns[0])
+    return compared.where(F.col("status").isin("improved", "declined")).withColumn("place", F.row_number().over(order))
+
+
+def chart(compared: DataFrame, most: int = 6) -> DataFrame:
+    """(place, key, past, current): the first rows, by name, that have both values."""
+    key = compared.columns[0]
+    both = compared.where("past is not null and current is not null").select(key, "past", "current").orderBy(key).limit(most)
+    return both.withColumn("place", F.row_number().over(Window.orderBy(key)))  # `most` rows
+
+
 def new_fields(past: DataFrame, current: DataFrame) -> DataFrame:
     """Fields of ``current(field)`` that ``past(field)`` lacks."""
     return current.select("field").distinct().join(past.select("field"), "field", "left_anti")

@@ -63,10 +63,12 @@ def trend_from_datasets(rows: DataFrame, metric: str = "production") -> DataFram
 
 
 def report_aggregates(rows: DataFrame) -> DataFrame:
-    """One row: production, target and dispatch over datasets, and achievement to 2 places."""
+    """One row: production, target and dispatch over datasets, achievement to 2 places, and how many mines and subsidiaries the rows name."""
     t = dataset_totals(rows)
+    named = rows.agg(F.countDistinct(F.nullif(F.trim("mine"), F.lit(""))).alias("mines") if "mine" in rows.columns else F.lit(0).cast("long").alias("mines"), F.countDistinct(F.nullif(F.upper(F.trim("subsidiary")), F.lit(""))).alias("subsidiaries"))
     out = t.agg(*[rounded_sum(F.when(F.col("metric") == m, F.col("total"))).alias(m) for m in ("production", "target", "dispatch")])
-    return out.withColumn("achievement_pct", achievement(F.col("production"), F.col("target"), 2))
+    out = out.withColumn("achievement_pct", achievement(F.col("production"), F.col("target"), 2))
+    return out.withColumn("n_", named.agg(F.first(F.struct("mines", "subsidiaries"))).scalar()).select("*", "n_.*").drop("n_")
 
 
 def source_profile(rows: DataFrame) -> DataFrame:
@@ -100,6 +102,32 @@ def candidates(chunks: DataFrame, query: str, key: str = "doc_id", most: int | N
     return out if most is None else out.orderBy(key).limit(most)
 
 
+def findings_in_order(findings: DataFrame, status: str | None = None, issue_type: str | None = None) -> DataFrame:
+    """Findings by severity from the end of the alphabet (WARNING, INFO, ERROR), then by type; of one status or type where given."""
+    out = findings
+    for c, v in (("status", status), ("issue_type", issue_type)):
+        if v:
+            out = out.where(F.col(c) == v)
+    return out.orderBy(F.desc("severity"), "issue_type")
+
+
+#: Orders that a list of documents may have.
+_LIST_ORDERS = ("created_at", "title", "status", "length")
+
+
+def document_list(documents: DataFrame, owner: str, status: str | None = None, search: str | None = None, order: str = "-created_at") -> DataFrame:
+    """The owner's documents that are not archived, of a status and with ``search`` in title or file name where given. An order that is not allowed is the newest first."""
+    out = documents.where((F.col("owner") == owner) & ~F.col("is_archived"))
+    if status:
+        out = out.where(F.col("status") == status)
+    if search and search.strip():
+        low = search.strip().lower()
+        out = out.where(F.lower("title").contains(low) | F.lower("filename").contains(low))
+    name = order.lstrip("-")
+    key = F.col(name) if name in _LIST_ORDERS else F.col("created_at")
+    return out.orderBy(key.desc() if order.startswith("-") or name not in _LIST_ORDERS else key.asc(), "document_id")
+
+
 def history(rows: DataFrame, owner: str, when: str = "created_at", n: int = 50, **equal: str | None) -> DataFrame:
     """The owner's own rows, newest first: questions asked, reports, findings; other columns by exact value where given."""
     out = rows.where(F.col("owner") == owner)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataframe.functions import scalars
 from strataframe.operators.aggregates import EXACT, achievement, rounded_sum
 from strataframe.operators.filters import filter_records
+from strataframe.operators.trends import trend
 
 # Organizations that mean all subsidiaries.
 WHOLE = ("CMPDI (HQ)", "All", "All / CMPDI", "CIL (National)")
@@ -50,6 +51,11 @@ def top_mines(r: DataFrame, n: int = 10) -> DataFrame:
     return r.groupBy("mine").agg(_sum("production").alias("production")).orderBy(F.desc("production"), "mine").limit(n)
 
 
+def production_years(r: DataFrame) -> DataFrame:
+    """Production, target, dispatch and growth by financial year."""
+    return trend(r).select("period", F.col("value").alias("production"), "target", "dispatch", "growth_pct")
+
+
 def geological(r: DataFrame) -> DataFrame:
     return r.groupBy("coalfield").agg(_first("state", 100).alias("states"), F.countDistinct("mine").alias("mines"), _first("grade", 4).alias("grades"), _sum("production").alias("production"))
 
@@ -94,7 +100,7 @@ def custom(r: DataFrame) -> DataFrame:
 
 
 REPORTS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "production": production, "top_mines": top_mines, "geological": geological, "grades": grades, "mining_performance": mining_performance,
+    "production": production, "production_years": production_years, "top_mines": top_mines, "geological": geological, "grades": grades, "mining_performance": mining_performance,
     "exploration": exploration, "coal_seam": coal_seam, "parliamentary": parliamentary, "administrative": administrative, "custom": custom,
 }
 

@@ -76,4 +76,4 @@ def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, v = F.col("record_id"), F.floor("production").cast("long")
     label = F.element_at(F.array(*map(F.lit, ("Total Production", "Production Target", "Dispatch (MT)", "Remarks", "Coal Production"))), (k % 5 + 1).cast("int"))
     value = F.when(v >= 1000, F.concat(F.floor(v / 1000).cast("string"), F.lit(","), F.lpad((v % 1000).cast("string"), 3, "0"))).otherwise(v.cast("string"))
-    return o.select("record_id", "row_index", (k % 50).alias("dataset_id"), "subsidiary", label.alias("label"), value.alias("value"), F.when(k % 3 == 0, F.col("financial_year")).alias("financial_year"))
+    return o.select("record_id", "row_index", (k % 50).alias("dataset_id"), "subsidiary", "mine", label.alias("label"), value.alias("value"), F.when(k % 3 == 0, F.col("financial_year")).alias("financial_year"))

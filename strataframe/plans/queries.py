@@ -544,7 +544,7 @@ def trend_from_datasets(spark, sf_dir):
 
 
 @query(f"""with {_KV}, t as (select {S("case when metric = 'production' then total end")} production, {S("case when metric = 'target' then total end")} target, {S("case when metric = 'dispatch' then total end")} dispatch from dt)
- select *, case when target > 0 then round(production / target * 100, 2) end achievement_pct from t""")
+ select *, case when target > 0 then round(production / target * 100, 2) end achievement_pct, (select count(distinct mine) from o) mines, (select count(distinct upper(subsidiary)) from o) subsidiaries from t""")
 def report_aggregates(spark, sf_dir):
     return datasets.report_aggregates(binding.key_values(spark, sf_dir))
 

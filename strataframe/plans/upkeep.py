@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars
 from strataframe.operators import answers, catalogue, cleaning, compare, datasets, filters, lifecycle, quality, reports, retrieval, schema
 from strataframe.plans import binding
-from strataframe.plans.queries import C, O, S, query
+from strataframe.plans.queries import B, C, O, S, Z, query
 from strataframe.sources import readers, writers
 from strataframe.sources.staging import shared_dir, stored
 
@@ -326,3 +326,47 @@ def table_chunks(spark, sf_dir):
     row = F.array(F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"), F.col("l_returnflag"))
     t = li.groupBy(F.col("l_orderkey").cast("string").alias("source_ref")).agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("headers", F.array(F.lit("Line number of the order"), F.lit("Quantity"), F.lit("Flag")))
     return retrieval.chunk_tables(t).select("source_ref", "chunk_index", F.size(F.split("content", "\n")).alias("lines"))
+
+
+# comparison, lists and reports in order
+
+_HALVES = f"""p as (select upper(mine) mine, {S('production')} past from o where not is_error and financial_year < '1995-00' group by 1), n as (select upper(mine) mine, {S('production')} "current" from o where not is_error and financial_year >= '1995-00' group by 1),
+ a as (select mine, past, "current", case when past > 0 then round(("current" - past) / past * 100, 2) when past = 0 and "current" > 0 then 100.0 when past = 0 then 0.0 end pct from p full join n using (mine))"""
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = binding.order_records(spark, sf_dir)
+    return compare.compare_groups(r.where("financial_year < '1995-00'"), r.where("financial_year >= '1995-00'"), "mine", "production")
+
+
+@query(f"""with {O}, {_HALVES}, m as (select mine, case when "current" > past then 'improved' when "current" < past then 'declined' end status, pct from a)
+ select mine, status, row_number() over (partition by status order by coalesce(pct, 0) desc, mine) place from m where status is not null""")
+def comparison_movers(spark, sf_dir):
+    return compare.movers(_compared(spark, sf_dir)).select("mine", "status", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""with {O}, {_HALVES} select mine, past, "current", row_number() over (order by mine) place from a where past is not null and "current" is not null order by mine limit 6""")
+def comparison_chart(spark, sf_dir):
+    return compare.chart(_compared(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""with {B}, g as (select financial_year period, {Z('production')} production, {S('target')} t, {S('dispatch')} d from v group by 1)
+ select period, production, case when t > 0 then t end target, case when d > 0 then d end dispatch, case when lag(production) over w > 0 then round((production - lag(production) over w) / lag(production) over w * 100, 1) end growth_pct from g window w as (order by period)""")
+def report_production_years(spark, sf_dir):
+    return reports.report("production_years", binding.records(spark, sf_dir))
+
+
+@query("""with f as (select l_orderkey * 10 + l_linenumber id, case when l_quantity < 10 then 'ERROR' when l_quantity < 25 then 'INFO' else 'WARNING' end severity, l_returnflag issue_type from lineitem where l_linestatus = 'O')
+ select severity, issue_type, count(*) n, row_number() over (order by severity desc, issue_type) place from f group by 1, 2""")
+def findings_in_order(spark, sf_dir):
+    q = F.col("l_quantity")
+    f = binding.table(spark, sf_dir, "lineitem").select(F.when(q < 10, "ERROR").when(q < 25, "INFO").otherwise("WARNING").alias("severity"), F.col("l_returnflag").alias("issue_type"), F.when(F.col("l_linestatus") == "O", "open").otherwise("closed").alias("status"))
+    counts = f.groupBy("severity", "issue_type", "status").agg(F.count("*").alias("n"))
+    listed = datasets.findings_in_order(counts, status="open").select("severity", "issue_type", "n")
+    return listed.withColumn("place", F.row_number().over(Window.orderBy(F.desc("severity"), "issue_type")).cast("long"))  # a row a kind
+
+
+@query(f"""with {_OWNED} select record_id document_id from w where owner = '2-HIGH' and not is_archived and (contains(lower(owner || record_id), '12') or contains(lower('f' || record_id || '.pdf'), '12')) order by o_totalprice desc, record_id limit 30""")
+def document_list(spark, sf_dir):
+    d = _owned(spark, sf_dir).select(F.col("record_id").alias("document_id"), "owner", "is_archived", F.lit("indexed").alias("status"), F.concat("owner", F.col("record_id").cast("string")).alias("title"), F.concat(F.lit("f"), F.col("record_id").cast("string"), F.lit(".pdf")).alias("filename"), F.col("o_totalprice").alias("created_at"))
+    return datasets.document_list(d, "2-HIGH", "indexed", " 12 ", "-nothing").select("document_id").limit(30)
