@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars
-from strataframe.operators import answers, catalogue, cleaning, compare, datasets, filters, lifecycle, quality, reports, retrieval, schema
+from strataframe.operators import aggregates, answers, catalogue, cleaning, compare, datasets, filters, lifecycle, quality, reports, retrieval, schema
 from strataframe.plans import binding
 from strataframe.plans.queries import B, C, O, S, Z, query
 from strataframe.sources import readers, writers
@@ -370,3 +370,9 @@ def findings_in_order(spark, sf_dir):
 def document_list(spark, sf_dir):
     d = _owned(spark, sf_dir).select(F.col("record_id").alias("document_id"), "owner", "is_archived", F.lit("indexed").alias("status"), F.concat("owner", F.col("record_id").cast("string")).alias("title"), F.concat(F.lit("f"), F.col("record_id").cast("string"), F.lit(".pdf")).alias("filename"), F.col("o_totalprice").alias("created_at"))
     return datasets.document_list(d, "2-HIGH", "indexed", " 12 ", "-nothing").select("document_id").limit(30)
+
+
+@query(f"""with {O} select record_id, case when record_id % 5 in (0, 1, 4) then cast(floor(production) as double) end as "value" from o""")
+def metric_reader(spark, sf_dir):
+    kv = binding.key_values(spark, sf_dir)
+    return kv.select("record_id", aggregates.label_value(F.col("label"), F.col("value"), "production").alias("value"))
