@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.shared import table
 
-#: Words whose counts a worker keeps; the memory of a task stays bounded however many distinct words there are.
-KEPT = 400_000
-#: Seams whose test a worker keeps.
-SEAMS = 1_000_000
+#: Totals, tables of prefixes and seams that a worker keeps; the memory of a task stays bounded however many distinct words there are.
+KEPT, TABLES, SEAMS = 800_000, 50_000, 800_000
 #: Characters whose classes and forms are alike in Python and in the library; a text with others is split by the library's own steps.
 _PLAIN = regex.compile(r"[\u0000-ԯ‐-‧€　-〩ぁ-ゖァ-ヺ一-龥가-힣\U0001f300-\U0001f64f]*")
 #: The split of the vocabulary file, a fixed value.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Where a tree of tokens holds a token's id.
+_TOKEN = -1
 #: Contractions that the split takes whole and whose beginnings it takes in two.
 _LONG_ENDINGS = {"'re", "'ve", "'ll"}
 
@@ -67,16 +67,20 @@ class Vocabulary:
             both = name[a], name[b]
             self.rank[both] = r
             self.halves[name[a + b]] = (*both, r)
-        self._seam: dict[tuple[int, int], bool] = {}
+        self._seams: dict[int, bool] = {}
         reached: set[int] = set()
         for i in sorted(name.values(), key=lambda i: self.halves[i][2] if i in self.halves else -1):
             a, b, r = self.halves.get(i, (i, i, None))
             if r is None or (a in reached and b in reached and not self._closes(a, b, r)):
                 reached.add(i)
         # tokens that no string's encoding holds are left out
-        self.inner = {t: i for (t, whole), i in self.ids.items() if i in reached and not whole}
-        self.last = {t: i for (t, whole), i in self.ids.items() if i in reached and whole}
-        self.longest = max(map(len, [*self.inner, *self.last]))
+        self.inner, self.last = ({}, {})
+        for (t, whole), i in self.ids.items():
+            if i in reached:
+                node = self.last if whole else self.inner
+                for byte in reversed(t):
+                    node = node.setdefault(byte, {})
+                node[_TOKEN] = i
         self.counts: dict[str, np.ndarray] = {}
         self.totals: dict[str, int] = {}
 
@@ -101,49 +105,52 @@ class Vocabulary:
                     return True
         return False
 
-    def seam(self, a: int, b: int) -> bool:
+    def apart(self, a: int, b: int) -> bool:
         """Whether ``a`` and ``b`` stay apart where they meet."""
-        found = self._seam.get((a, b))
-        if found is None:
-            if len(self._seam) >= SEAMS:
-                self._seam.clear()
-            found = self._seam[a, b] = not self._closes(a, b, 1 << 40)
+        if len(self._seams) >= SEAMS:
+            self._seams.clear()
+        found = self._seams[a << 20 | b] = not self._closes(a, b, 1 << 40)
         return found
 
+    def _end(self, word: bytes, j: int, node: dict, tail: list[int], many: list[int]) -> tuple[int, int]:
+        """Last token and count of ``word[:j]``: back from its end through the tree of reversed tokens, to the one that stays apart from what precedes it."""
+        seams = self._seams
+        for i in range(j - 1, 0, -1):
+            node = node[word[i]]
+            t = node.get(_TOKEN)
+            if t is not None:
+                apart = seams.get(tail[i] << 20 | t)
+                if self.apart(tail[i], t) if apart is None else apart:
+                    return t, many[i] + 1
+        return node[word[0]][_TOKEN], 1
+
     def prefixes(self, word: bytes) -> tuple[list[int], list[int]]:
-        """Token counts of each prefix of 1 to ``len(word)`` bytes: unfinished, and as a whole word."""
-        n, at, inner, last = len(word), self.longest, self.inner, self.last
-        tail, many, whole = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        for j in range(1, n + 1):
-            for i in range(max(0, j - at), j):
-                t = inner.get(word[i:j])
-                if t is not None and (i == 0 or self.seam(tail[i], t)):
-                    tail[j], many[j] = t, many[i] + 1
-                    break
-            for i in range(max(0, j - at), j):
-                t = last.get(word[i:j])
-                if t is not None and (i == 0 or self.seam(tail[i], t)):
-                    whole[j] = many[i] + 1
-                    break
-        return many[1:], whole[1:]
+        """Last tokens and counts of the prefixes of 0 to ``len(word) - 1`` bytes, as unfinished words."""
+        tail, many = [-1], [0]
+        for j in range(1, len(word)):
+            t, n = self._end(word, j, self.inner, tail, many)
+            tail.append(t)
+            many.append(n)
+        return tail, many
 
     def total(self, word: str) -> int:
         found = self.totals.get(word)
         if found is None:
             if len(self.totals) >= KEPT:
                 self.totals.clear()
-            found = self.totals[word] = self.prefixes(word.encode("utf-8", "replace"))[1][-1]
+            data = word.encode("utf-8", "replace")
+            found = self.totals[word] = self._end(data, len(data), self.last, *self.prefixes(data))[1]
         return found
 
     def word_table(self, word: str) -> np.ndarray:
         """Counts of the text that ends after each character of ``word``, from the word's start on."""
         found = self.counts.get(word)
         if found is None:
-            if len(self.counts) >= KEPT:
+            if len(self.counts) >= TABLES:
                 self.counts.clear()
-            whole = self.prefixes(word.encode("utf-8", "replace"))[1]
-            ends = np.cumsum([len(c.encode("utf-8", "replace")) for c in word])
-            found = np.array([whole[e - 1] for e in ends], np.int64)
+            data = word.encode("utf-8", "replace")
+            known = self.prefixes(data)
+            found = np.array([self._end(data, int(e), self.last, *known)[1] for e in np.cumsum([len(c.encode("utf-8", "replace")) for c in word])], np.int64)
             if word in _LONG_ENDINGS:
                 found[1] = found[0] + self.total(word[1])
             self.counts[word] = found
@@ -203,14 +210,18 @@ class Vocabulary:
         return np.concatenate(out)
 
     def fit(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix of ``limit`` tokens at most: chunk totals lead to where they run out, and only the chunks there need their tables."""
-        before = 0
-        for begin, end in self.chunks(text):
+        """Characters of the longest prefix of ``limit`` tokens at most: totals lead to where they run out, and only what stands there needs its table."""
+        before, plain = 0, self.normal(text)
+        if len(plain) == len(text) and "<|" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text) and _PLAIN.fullmatch(plain)):
+            # each character is normalized to one: words have their places in the text
+            pieces = ((*m.span(), self.total(m.group()), m.group()) for m in self.split.finditer(plain))
+        else:
+            pieces = ((begin, end, self.count(text[begin:end]), None) for begin, end in self.chunks(text))
+        for begin, end, total, word in pieces:
             if before >= limit:  # any character would be one more
                 return begin
-            total = self.count(text[begin:end])
             if before + total > limit:
-                inside = np.flatnonzero(self.chunk_table(text[begin:end]) <= limit - before)
+                inside = np.flatnonzero((self.chunk_table(text[begin:end]) if word is None else self.word_table(word)) <= limit - before)
                 return begin + int(inside[-1]) + 1 if len(inside) else begin
             before += total
         return len(text)
