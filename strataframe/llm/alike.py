@@ -1,8 +1,10 @@
-"""Links of texts by the Jaccard similarity of their word shingles: candidates by MinHash bands, each one checked exactly.
+"""Links of texts by the Jaccard similarity of their word shingles: candidates by MinHash bands, then by prefixes of rare shingles, each one checked exactly.
 
-Two texts of similarity s meet in a band of ``ROWS`` minima with s ** ROWS, so in one of ``BANDS`` with 0.9996 at 0.8. In each bucket every
-text is held against the bucket's least; then, in buckets that are not yet one component, every text against the others of its part of
-``PART`` at most. So a bucket that a third of the texts share costs rows in proportion to its size.
+Two texts of similarity s meet in a bucket of one of ``BANDS`` bands with s ** ``ROWS`` each, so in one at least with 0.9996 at 0.8. In each bucket every text is held against
+the bucket's least, which costs rows in proportion to its size whatever that is, and in most buckets that makes one component. What is left open are
+texts that share a bucket with a text that they are not linked to; among all of those the links are found exactly, without buckets: shingles are ordered from rare to
+common, and two texts as alike as asked share one among the first few of each (prefix filter). Texts of one
+template, which meet in every bucket and are not alike enough, have nothing but their own shingles there.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from strataframe.llm.components import connected_components
 from strataframe.llm.shared import stored
 
-BANDS, ROWS, PART = 20, 5, 64
+BANDS, ROWS = 20, 5
 _R = np.random.default_rng(29)
 _A = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -44,10 +46,12 @@ def _keys(sigs: np.ndarray) -> np.ndarray:
 
 
 def links(texts: DataFrame, spark: SparkSession, least: float = 0.8, n: int = 5) -> DataFrame:
-    """``texts(id, text)`` (longs, an id is one text however often) to ``(a, b)``, a < b: texts of similarity ``least`` or more.
+    """``texts(id, text)`` (longs, each once) to ``(a, b)``, a < b: texts of similarity ``least`` or more.
 
-    Not every such pair: enough of them that texts which meet in a bucket and are linked are in one component.
+    Not every such pair: enough of them that texts which share a bucket and are linked are in one component. Texts without words have no links. Ids that
+    are null are left out; no texts give no links.
     """
+    texts = texts.select("id", "text").where("id is not null")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,34 +63,75 @@ def links(texts: DataFrame, spark: SparkSession, least: float = 0.8, n: int = 5)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), BANDS)), pa.array(flat)], ["id", "key"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    each = stored(texts.mapInArrow(banded, "id long, key long"), spark)
+    heads = each.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1")
+    each = stored(each.join(heads, "key"), spark)  # buckets of two and more
+    first = verified(each.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")), texts, spark, least, n)
+    part = connected_components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), spark).withColumnRenamed("component_id", "p")
+    rest = each.where("many > 2").join(part, "id", "left").select("id", "key", F.coalesce("p", "id").alias("p"))
+    rest = stored(rest, spark)
+    split = rest.groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low < high").select("key")
+    open_ = stored(rest.join(split, "key").groupBy("id").agg(F.min("p").alias("p")), spark)
+    second = verified(rare_candidates(open_, texts, spark, least, n), texts, spark, least, n)
+    return first.unionByName(second)
+
+
+def rare_candidates(open_: DataFrame, texts: DataFrame, spark: SparkSession, least: float, n: int) -> DataFrame:
+    """``open_(id, p)`` to ``(a, b)``: all pairs of different ``p`` whose texts can have similarity ``least``, and some that don't.
+
+    With shingles in one order for all texts, those in which two texts first agree have places i and j, and no more agree than follow: of sizes x <= y, ``least`` needs
+    ceil(least / (1 + least) * (x + y)) of them. So the smaller text is found by its first x - ceil(2 * least / (1 + least) * x) + 1 shingles, among the first
+    y - ceil(least * y) + 1 of the larger one. Most shingles of open texts occur once and come first, so they are counted and not moved again.
+    """
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, n).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "s"])
+            sets = [shingles(t, n).view(np.int64) for t in b.column(2).to_pylist()]
+            size = np.array([len(s) for s in sets], np.int64)
+            ids, parts = (np.repeat(b.column(k).to_numpy(), size) for k in (0, 1))
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids), pa.array(parts), pa.array(np.repeat(size, size).astype(np.int32))], ["s", "id", "p", "n"])
+
+    tokens = stored(open_.join(texts, "id").select("id", "p", "text").mapInArrow(exploded, "s long, id long, p long, n int"), spark)
+    shared = tokens.groupBy("s").agg(F.count("*").alias("f"), F.min("p").alias("low"), F.max("p").alias("high")).where("f > 1")
+    shared = stored(tokens.join(shared, "s").select("s", "id", "p", "n", "f", (F.col("low") < F.col("high")).alias("mixed")), spark)
+    order = F.array_sort(F.collect_list(F.struct("f", "s", "mixed")))  # one text's shingles
+    placed = shared.groupBy("id", "p", "n").agg(order.alias("o")).select("id", "p", "n", F.posexplode("o").alias("k", "e"), (F.col("n") - F.size("o")).alias("own"))
+    at = F.col("own") + F.col("k")
+    share = least / (1 + least)
+    placed = placed.select("id", "p", "n", F.col("e.s").alias("s"), at.alias("at"), "e.mixed").where(f"mixed and at <= n - ceil({least} * n - 1e-9)").drop("mixed")
+    placed = placed.withColumn("few", F.expr(f"at <= n - ceil({2 * share} * n - 1e-9)"))
+    # pairs within a component are not asked for: each shingle's largest component meets the others, not itself
+    most = placed.groupBy("s", "p").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("p", F.struct("c", "p")).alias("most"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    placed = stored(placed.join(most, "s"), spark)
+    x = placed.where("p <> most").select("s", F.col("id").alias("x"), F.col("p").alias("px"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("few").alias("fx"))
+    y = placed.select("s", F.col("id").alias("y"), F.col("p").alias("py"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("few").alias("fy"))
+    can = f"px <> py and ((nx <= ny and fx) or (ny <= nx and fy)) and least(nx, ny) >= {least} * greatest(nx, ny) and least(nx - i, ny - j) >= ceil({share} * (nx + ny) - 1e-9)"
+    return x.join(y, "s").where(can).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, spark: SparkSession, least: float = 0.8, n: int = 5) -> DataFrame:
+    """``pairs(a, b)`` in any order, and repeated, to those ``(a, b)``, a < b, whose texts have similarity ``least`` or more.
+
+    Texts move, which are smaller than their sets of shingles. A text that many pairs name is cut into shingles once a task, as pairs come sorted by it.
+    """
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, y = None, None
         for b in batches:
             good = []
-            for i in range(b.num_rows):
-                x, y = b.column(2)[i].values.to_numpy(), b.column(3)[i].values.to_numpy()
+            for at, (name, text) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                if name != known:
+                    known, y = name, shingles(text, n)
+                x = shingles(b.column(2)[at].as_py(), n)
                 both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                good.append(both >= least * (len(x) + len(y) - both))
+                good.append(both > 0 and both >= least * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), spark)
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        of = stored(texts.join(ends, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, s array<long>").dropDuplicates(["id"]), spark)
-        full = pairs.join(of.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-        return stored(full.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long"), spark)
-
-    each = stored(texts.select("id", "text").mapInArrow(banded, "id long, key long").distinct(), spark)
-    heads = stored(each.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("many")).where("many > 1"), spark)
-    first = checked(each.join(heads, "key").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
-    part = connected_components(first.select(F.col("a").alias("u"), F.col("b").alias("v")), spark).withColumnRenamed("component_id", "p")
-    open_ = each.join(heads.where("many > 2"), "key").join(part, "id", "left").withColumn("p", F.coalesce("p", "id"))
-    split = open_.groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high")).where("low < high").select("key")
-    open_ = open_.join(split, "key").withColumn("sub", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("many") / F.lit(PART))))
-    open_ = stored(open_.select("id", "key", "sub", "p"), spark)
-    other = open_.select(F.col("id").alias("b"), "key", "sub", F.col("p").alias("q"))
-    second = checked(open_.withColumnRenamed("id", "a").join(other, ["key", "sub"]).where("a < b and p <> q").select("a", "b"))
-    return first.unionByName(second)
+    # the lesser id, which heads buckets, is joined last: its pairs are together
+    pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    of = stored(texts.join(ends, "id", "left_semi"), spark)
+    full = pairs.join(of.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    found = full.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    return stored(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), spark)
