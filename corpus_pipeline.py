@@ -16,6 +16,11 @@ def _row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + text)
 
 
+def _digest(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the rule ensemble, trained on the labels that are not held out, scores 0.3 or more.
 
@@ -33,15 +38,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     number, text, rest, group = fresh(docs, "row_id_", "text_hash_", "rest_", "group_")
     others = F.struct(F.col("text").isNull().alias("no_text_"), *[F.col(c) for c in map(quoted, docs.columns) if c not in ("`doc_id`", "`text`")])
-    keyed = docs.withColumns({number: _row_id(), text: F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), rest: F.xxhash64(F.to_json(others))})
-    texts = keyed.select(F.col(text).alias("id"), "text")
-    prints = simhash.near_duplicates(texts.withColumnRenamed("id", "doc_id"), spark).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    keyed = docs.withColumns({number: _row_id(), text: _digest(F.coalesce(F.col("text"), F.lit(""))), rest: _digest(F.to_json(others))})
+    # each text once, under a number of its own
+    texts = keyed.groupBy(F.col(text).alias("h")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
+    texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), spark)
+    prints = simhash.near_duplicates(texts.select(F.col("id").alias("doc_id"), "text"), spark).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     edges = prints.unionByName(alike.links(texts, spark).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    groups = connected_components(edges, spark).withColumnRenamed("id", text)
+    groups = texts.select("h", "id").join(connected_components(edges, spark), "id", "left").select(F.col("h").alias(text), F.coalesce("component_id", "id").alias(group))
     row = [number, text, rest]
-    rows = keyed.select(row).distinct().join(groups, text, "left").withColumn(group, F.coalesce("component_id", text))
-    keep = rows.groupBy(group).agg(F.min(F.struct(row)).alias("least_")).select("least_.*")
-    return keyed.join(keep, row, "left_semi").dropDuplicates(row).drop(*row)
+    keep = keyed.select(row).distinct().join(groups, text).groupBy(group).agg(F.min(F.struct(row)).alias("least_")).select("least_.*")
+    return keyed.dropDuplicates(row).join(keep, row, "left_semi").drop(*row)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
