@@ -6,9 +6,10 @@ tilt of every document of that source; lambda solves the convex dual, whose grad
 only sum(size) and sum(size * rate) of each source. One distributed aggregation gives those, and the
 Newton steps then run on the table of sources as column expressions.
 
-Rates become whole copies without drawing at random for each document: a source gives ``floor(rate)`` copies of
-every document and one more to a prefix, in seeded hash order, whose tokens fill the fractional
-part; a few single documents then top up what is left of it.
+Rates become whole copies without drawing at random for each document: a source gives ``floor(rate)`` copies of every document, and one more to the fractional
+part of its documents of each size. What rounding leaves of the target goes to whole documents, the largest that fit first, until less than
+a document is open; where only a larger one is left and comes nearer, it is taken and smaller ones give way. Which documents of a size
+get the copy is by seeded hash order.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from strataframe.llm.shared import WORD, stored, table
 
 #: Source weights, in order of the source's code points, repeating.
 CYCLE = (3, 1, 2)
-#: Parts of a source's hash order; only the part in which the prefix ends is ordered row by row.
-PARTS = 4096
+#: Documents that a window orders at a time, about.
+PART = 1024
+#: Rounds of filling what is open; each leaves less than half of it.
+ROUNDS = 12
+#: Equal rows that one task writes at a time.
+RUN = 4096
 
 
 def order_key(doc_id: str, text: str, seed: str) -> Column:
@@ -59,54 +64,70 @@ def tilts(targets: DataFrame, steps: int = 60) -> DataFrame:
     return targets.withColumn("rate", F.when((F.col("target") > 0) & (F.col("source_size") > 0), F.exp(newton)).otherwise(0.0))
 
 
-def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", share: float = 1.5, most: float = 2.0, weights: tuple = CYCLE, top_ups: int = 4) -> DataFrame:
+def _round(t: DataFrame) -> DataFrame:
+    """One round over ``t(source, size, m, n, more)``, a row a source and size: ``n`` of ``m`` documents have a copy more, which should hold ``more`` words together.
+
+    What is open goes to the largest documents that fit it, or comes back from them; if none fits, the smallest that brings the source nearer changes sides.
+    """
+    mine, larger = Window.partitionBy("source"), Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("open", F.col("more") - F.sum(F.col("n") * F.col("size")).over(mine)).withColumn("gap", F.abs("open"))
+    t = t.withColumn("can", F.when(F.col("size") > 0, F.when(F.col("open") > 0, F.col("m") - F.col("n")).otherwise(F.col("n"))).otherwise(0))
+    fit = (F.col("can") > 0) & (F.col("size") <= F.col("gap"))
+    t = t.withColumn("before", F.coalesce(F.sum(F.when(fit, F.col("can") * F.col("size"))).over(larger), F.lit(0)))
+    t = t.withColumn("some", F.max(fit).over(mine)).withColumn("over", F.min(F.when((F.col("can") > 0) & (F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")), F.col("size"))).over(mine))
+    filled = F.greatest(F.lit(0), F.least("can", F.floor((F.col("gap") - F.col("before")) / F.col("size"))))
+    moved = F.when(fit, filled).when(~F.col("some") & (F.col("size") == F.col("over")), 1).otherwise(0)
+    return t.withColumn("n", F.col("n") + F.when(F.col("open") > 0, moved).otherwise(-moved)).select("source", "size", "m", "n", "more")
+
+
+def extra_copies(sizes: DataFrame, sources: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``sizes(source, size, m)`` and ``sources(source, source_size, more)`` to ``(source, size, m, n)``: how many of the ``m`` documents of a size get one copy more.
+
+    A window holds a source's sizes, which are numbers of words and not documents; all rounds are windows over the same exchange.
+    """
+    t = sizes.join(sources.select(F.col("source").alias("s_"), "source_size", "more"), F.expr("source <=> s_"))
+    share = F.when(F.col("source_size") > 0, F.col("more") / F.col("source_size")).otherwise(0.0)
+    t = t.withColumn("n", F.least("m", F.floor(F.col("m") * share))).select("source", "size", "m", "n", "more")
+    for _ in range(rounds):
+        t = _round(t)
+    return t.select("source", "size", "m", "n")
+
+
+def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", share: float = 1.5, most: float = 2.0, weights: tuple = CYCLE, rounds: int = ROUNDS) -> DataFrame:
     """``docs(doc_id, text, source)`` to ``(doc_id, size, source_size, target, rate, copies, taken)``, a row a document.
 
-    Null texts have size 0; the null source is a source of its own, last. Documents of size 0 take the copies their
-    place in the order gives them and add nothing. Repeated ids stay rows of their own; null ids are placed by their texts. Very long
-    texts are counted whole. Reruns agree. No documents: no rows. Other columns are ignored.
+    Null texts have size 0; the null source is a source of its own, last. Documents of size 0 take the copies of their source's share and add nothing. Repeated ids
+    stay rows of their own; null ids are placed by their texts. Very long texts are counted whole. Reruns agree. No documents: no rows. Other columns are ignored.
 
     With one token constraint a source the dual is separable: the rate is constant within a source, and the Newton steps lead to the logarithm of
-    target over size. The table of sources is ranked in one task; it is a catalogue, not a row a document.
+    target over size. The table of sources is ranked in one task; it is a catalogue, not a row a document. Rows that are equal in id, text and source are one row with
+    their number until the end, where many of them are written by many tasks.
     """
+    most_ = int(most)
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order_key("doc_id", "text", seed).alias("k"))
-    sized = stored(sized, spark)
-    sized = sized.withColumn("part", F.shiftright("k", 20))
-    parts = stored(sized.groupBy("source", "part").agg(F.sum("size").alias("part_size")), spark)
-    src = tilts(source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, share, most))
-    src = src.withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("more", F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("source_size"))).withColumn("least_copies", F.least(F.col("base"), F.lit(int(most))))
-    src = stored(src, spark)
-    # every part before the one in which the fraction is used up takes one copy more
-    run = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    at = parts.withColumn("before", F.coalesce(F.sum("part_size").over(run), F.lit(0))).withColumnRenamed("source", "s_")
-    at = at.join(src.select(F.col("source").alias("s2_"), "more"), F.expr("s_ <=> s2_")).drop("s2_")
-    at = at.withColumn("state", F.when(F.col("before") + F.col("part_size") <= F.col("more"), "all").when(F.col("before") > F.col("more"), "none").otherwise("some"))
-    rows = sized.join(at.select("s_", F.col("part").alias("p_"), "before", "more", "state"), F.expr("source <=> s_ and part = p_")).drop("s_", "p_")
-    first = rows.where("state = 'some'").withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source", "part").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
-    first = first.withColumn("extra", F.col("upto") <= F.col("more")).select("doc_id", "source", "size", "k", "extra")
-    rows = first.unionByName(rows.where("state <> 'some'").select("doc_id", "source", "size", "k", (F.col("state") == "all").alias("extra")))
-    # what the prefix leaves open is under one document's size; the largest documents that fit fill it
-    rows = stored(rows, spark)
-    picks = None
-    gaps = rows.groupBy("source").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("had")).withColumnRenamed("source", "s_")
-    gaps = gaps.join(src.select("source", "more", "base"), F.expr("source <=> s_")).where(f"base < {int(most)}").select("s_", (F.col("more") - F.col("had")).alias("gap"))
-    for _ in range(top_ups):
-        free = rows.where("not extra and size > 0").join(gaps, F.expr("source <=> s_ and size <= gap"))
-        if picks is not None:
-            free = free.join(picks.select(F.col("source").alias("ps_"), F.col("at.*")).withColumnRenamed("k", "pk_").withColumnRenamed("doc_id", "pd_").select("ps_", "pk_", "pd_"), F.expr("source <=> ps_ and k = pk_ and doc_id <=> pd_"), "left_anti")
-        best = stored(free.groupBy("source").agg(F.max(F.struct("size", "k", "doc_id")).alias("at")), spark)
-        gaps = stored(gaps.join(best.select(F.col("source").alias("b_"), F.col("at.size").alias("got")), F.expr("s_ <=> b_"), "left").select("s_", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap")), spark)
-        picks = best if picks is None else stored(picks.unionByName(best), spark)
-    if picks is not None:
-        picked = picks.select(F.col("source").alias("ps_"), F.col("at.k").alias("pk_"), F.col("at.doc_id").alias("pd_"), F.col("at.size").alias("pz_")).withColumn("topped", F.lit(True))
-        one = Window.partitionBy("source", "k", "doc_id", "size").orderBy("extra")
-        # repeated ids: a top-up goes to one row only
-        chosen = rows.join(picked, F.expr("source <=> ps_ and k = pk_ and doc_id <=> pd_ and size = pz_"), "inner").withColumn("n_", F.row_number().over(one)).withColumn("extra", F.col("extra") | (F.col("n_") == 1)).select("doc_id", "source", "size", "k", "extra")
-        rest = rows.join(picked, F.expr("source <=> ps_ and k = pk_ and doc_id <=> pd_ and size = pz_"), "left_anti")
-        rows = rest.unionByName(chosen)
-    out = rows.join(src.withColumnRenamed("source", "s_"), F.expr("source <=> s_"))
-    out = out.withColumn("copies", F.least(F.lit(int(most)), F.col("base") + F.col("extra").cast("int")).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = stored(sized.groupBy("source", "size", "k", "doc_id").agg(F.count("*").alias("c")), spark)
+    sizes = stored(rows.groupBy("source", "size").agg(F.sum("c").alias("m")), spark)
+    src = tilts(source_targets(sizes.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).alias("source_size")), weights, share, most))
+    src = src.withColumn("base", F.least(F.lit(most_), F.floor(F.col("rate") + 1e-9)))
+    src = stored(src.withColumn("more", F.when(F.col("base") < most_, F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("source_size"))).otherwise(0.0)), spark)
+    want = stored(extra_copies(sizes, src, rounds).withColumn("parts", F.ceil(F.col("m") / PART)), spark)
+    rows = rows.join(want.select(F.col("source").alias("s_"), F.col("size").alias("z_"), "m", "n", "parts"), F.expr("source <=> s_ and size = z_")).drop("s_", "z_")
+    # the first n of each size, in hash order: offsets of its parts, and a window over each part
+    some = rows.where("n > 0 and n < m").withColumn("part", F.shiftright(F.col("k") * F.col("parts"), 32))
+    whole = Window.partitionBy("source", "size").orderBy("part")
+    ahead = some.groupBy("source", "size", "part").agg(F.sum("c").alias("q")).withColumn("ahead", F.sum("q").over(whole) - F.col("q"))
+    some = some.join(ahead.select(F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("part").alias("p_"), "ahead"), F.expr("source <=> s_ and size = z_ and part = p_"))
+    within = Window.partitionBy("source", "size", "part").orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    got = F.greatest(F.lit(0), F.least("c", F.col("n") - F.col("ahead") - F.coalesce(F.sum("c").over(within), F.lit(0))))
+    names = ["doc_id", "source", "size", "c"]
+    rows = some.select(*names, got.alias("x")).unionByName(rows.where("n = 0 or n = m").select(*names, F.when(F.col("n") > 0, F.col("c")).otherwise(0).alias("x")))
+    rows = rows.join(src.withColumnRenamed("source", "s_"), F.expr("source <=> s_"))
+    kinds = F.array(F.struct((F.col("base") + 1).alias("copies"), F.col("x").alias("rows")), F.struct(F.col("base").alias("copies"), (F.col("c") - F.col("x")).alias("rows")))
+    rows = rows.select("doc_id", "size", "source_size", "target", "rate", F.inline(F.filter(kinds, lambda e: e["rows"] > 0)))
+    many = rows.where(f"rows > {RUN}").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(RUN).cast("long"))))
+    many = many.repartition("doc_id", "size", "at").withColumn("rows", F.least(F.lit(RUN), F.col("rows") - F.col("at"))).drop("at")
+    out = rows.where(f"rows <= {RUN}").unionByName(many).withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return out.select("doc_id", "size", "source_size", "target", "rate", F.col("copies").cast("int").alias("copies"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,22 +135,28 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same mixture in SQL: targets by the level that the sources left reach, a prefix in hash order, four top-ups."""
+    """The same mixture in SQL: targets by the level that the sources left reach, shares of each size, the rounds one after another, ranks in hash order."""
     ctes = [
         """d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) size, cast('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), '#' || md5(coalesce(text, '')))), 1, 8) as bigint) k from documents)""",
         """s0 as (select source, cast(sum(size) as bigint) source_size, cast(list_extract([3, 1, 2], cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as int)) as double) weight from d group by source)""",
         """s1 as (select *, source_size * 2.0::double most, source_size * 2.0::double / weight full_at, sum(source_size) over () * 1.5::double goal from s0)""",
         """s2 as (select *, full_at <= (goal - coalesce(sum(most) over w, 0)) / (sum(weight) over () - coalesce(sum(weight) over w, 0)) filled from s1 window w as (order by full_at, source nulls last rows between unbounded preceding and 1 preceding))""",
         """s3 as (select *, case when filled then most else weight * (goal - sum(case when filled then most else 0 end) over ()) / sum(case when not filled then weight end) over () end target from s2)""",
-        """s as (select source, source_size, target, cast(case when source_size > 0 and target > 0 then floor(target / source_size + 1e-9) else 0 end as bigint) base from s3)""",
-        """r0 as (select d.*, s.source_size, s.target, s.base, greatest(0.0::double, s.target - s.base * s.source_size) more, sum(size) over (partition by d.source order by k, doc_id, size rows unbounded preceding) upto from d join s on d.source is not distinct from s.source)""",
-        """e0 as (select *, upto <= more extra from r0)""",
+        """s4 as (select source, source_size, target, cast(case when source_size > 0 and target > 0 then least(2, floor(target / source_size + 1e-9)) else 0 end as bigint) base from s3)""",
+        """s as (select *, case when base < 2 then greatest(0.0::double, target - base * source_size) else 0.0::double end more from s4)""",
+        """t0 as materialized (select d.source, d.size, count(*) m, any_value(more) more, least(count(*), cast(floor(count(*) * any_value(case when source_size > 0 then more / source_size else 0 end)) as bigint)) n from d join s on d.source is not distinct from s.source group by 1, 2)""",
     ]
-    for i in range(4):
-        ctes.append(f"""g{i} as (select source, max(more) - coalesce(sum(case when extra then size end), 0) gap from e{i} where base < 2 group by source)""")
-        ctes.append(f"""b{i} as (select doc_id from (select e.doc_id, row_number() over (partition by e.source order by size desc, k desc, doc_id desc) r from e{i} e join g{i} g on e.source is not distinct from g.source where not extra and size > 0 and size <= gap) where r = 1)""")
-        ctes.append(f"""e{i + 1} as (select * replace (extra or doc_id in (select doc_id from b{i}) as extra) from e{i})""")
-    return "with " + ",\n ".join(ctes) + "\nselect doc_id, cast(size as bigint) size, source_size, target, cast(least(2, base + cast(extra as int)) as int) copies, cast(size * least(2, base + cast(extra as int)) as bigint) taken from e4"
+    for i in range(ROUNDS):
+        ctes += [
+            f"""a{i} as (select *, more - sum(n * size) over (partition by source) as opened from t{i})""",
+            f"""b{i} as (select *, abs(opened) gap, case when size = 0 then 0 when opened > 0 then m - n else n end can from a{i})""",
+            f"""c{i} as (select *, can > 0 and size <= gap fit, case when can > 0 and size > gap and size < 2 * gap then size end bigger from b{i})""",
+            f"""e{i} as (select *, bool_or(fit) over (partition by source) any_fit, min(bigger) over (partition by source) least_bigger,
+  coalesce(sum(case when fit then can * size end) over (partition by source order by size desc rows between unbounded preceding and 1 preceding), 0) before from c{i})""",
+            f"""t{i + 1} as materialized (select source, size, m, more, n + (case when opened > 0 then 1 else -1 end) * (case when fit then greatest(0, least(can, cast(floor((gap - before) / size) as bigint))) when not any_fit and size = least_bigger then 1 else 0 end) n from e{i})""",
+        ]
+    ctes.append(f"""r as (select d.doc_id, d.source, d.size, n, row_number() over (partition by d.source, d.size order by k, doc_id) p from d join t{ROUNDS} t on d.source is not distinct from t.source and d.size = t.size)""")
+    return "with " + ",\n ".join(ctes) + "\nselect doc_id, cast(size as bigint) size, source_size, target, cast(base + (p <= n)::int as int) copies, cast(size * (base + (p <= n)::int) as bigint) taken from r join s on r.source is not distinct from s.source"
 
 
 SQL = _sql()
