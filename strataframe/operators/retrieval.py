@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,61 +14,85 @@ from strataframe.functions import scalars, vocab
 from strataframe.sources.staging import stored
 
 
+def _packs(sizes: list[int], most: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of sentences of these lengths: each takes sentences while they fit ``most``, one at least, and begins with as many whole ones of
+    the run before as ``overlap`` holds.
+    """
+    begin, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > begin and held + n > most:
+            yield begin, i
+            low, begin, held = begin, i, 0
+            while begin > low and held + sizes[begin - 1] <= overlap:
+                begin -= 1
+                held += sizes[begin]
+        held += n
+    yield begin, len(sizes)
+
+
+def _chunks(text: str, most: int, overlap: int, least: int) -> Iterator[tuple[str, str]]:
+    """(content, heading) of each chunk of a text."""
+    sentences, headings, heading = [], [], ""
+    for paragraph in (p.strip() for p in re.split(r"\n\s*\n", text)):
+        if paragraph and len(paragraph) < 80 and "\n" not in paragraph and paragraph[-1] not in ".:;":
+            heading = paragraph
+        found = [s.strip() for s in re.split(r"(?<=[.!?])\s+", paragraph)]
+        sentences += filter(None, found)
+        headings += [heading] * sum(map(bool, found))
+    if not sentences:
+        return
+    made = 0
+    for begin, end in _packs([len(s) for s in sentences], most, overlap):
+        content, last = " ".join(sentences[begin:end]), end == len(sentences)
+        if len(content) >= least or (last and not made):
+            made += 1
+            yield content, headings[min(end, len(sentences) - 1)]
+
+
 def chunk_texts(documents: DataFrame, most: int = 600, overlap: int = 80, least: int = 40) -> DataFrame:
-    """``documents(document_id, text)`` to (document_id, chunk_index, content, section_heading, content_hash).
+    """``documents(document_id, text)`` to (document_id, chunk_index, content, section_heading, content_hash, token_count).
 
-    Paragraphs part at blank lines; a short single line without an end mark is a heading. Sentences are packed up to ``most`` characters, each
-    chunk beginning with the last whole sentences of the one before within ``overlap``; shorter ones than ``least`` go unless alone.
+    Paragraphs part at blank lines; a short single line without an end mark is a heading for what follows, and text like any other. Sentences are packed up to
+    ``most`` characters, each chunk beginning with the last whole sentences of the one before within ``overlap``. A chunk has the heading in force where the next sentence
+    stands. Chunks shorter than ``least`` go, but for the last of a document that would have none, so that no document with text is without a chunk. Null and blank texts have none.
     """
-    import re
-
-    def chunks(text: str) -> list[tuple[str, str]]:
-        out, heading, pack, size = [], "", [], 0
-
-        def flush():
-            if pack:
-                out.append((" ".join(pack), heading))
-
-        for paragraph in re.split(r"\n\s*\n", text or ""):
-            paragraph = paragraph.strip()
-            if not paragraph:
-                continue
-            if len(paragraph) < 80 and "\n" not in paragraph and paragraph[-1] not in ".:;":
-                heading = paragraph
-                continue
-            for s in re.split(r"(?<=[.!?])\s+", paragraph):
-                if pack and size + len(s) > most:
-                    flush()
-                    keep, n = [], 0
-                    for p in reversed(pack):
-                        if n + len(p) > overlap:
-                            break
-                        keep.insert(0, p)
-                        n += len(p)
-                    pack, size = keep, n
-                pack.append(s)
-                size += len(s)
-        flush()
-        long = [c for c in out if len(c[0]) >= least]
-        return long or out[:1]
-
-    def run(frames):
-        for f in frames:
-            rows = [(i, k, c, h) for i, t in zip(f["document_id"], f["text"], strict=True) for k, (c, h) in enumerate(chunks(t))]
-            yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "content", "section_heading"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                some = b.slice(at, 512)
+                found = [list(enumerate(_chunks(t or "", most, overlap, least))) for t in some.column(1).to_pylist()]
+                owner = np.repeat(np.arange(some.num_rows), [len(f) for f in found])
+                rows = [(k, c, h) for f in found for k, (c, h) in f]
+                index, content, heading = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner)), pa.array(index, pa.int32()), pa.array(content, pa.string()), pa.array(heading, pa.string())], ["document_id", "chunk_index", "content", "section_heading"])
 
     kind = documents.schema["document_id"].dataType.simpleString()
-    out = documents.select("document_id", "text").mapInPandas(run, f"document_id {kind}, chunk_index int, content string, section_heading string")
-    return out.withColumn("content_hash", scalars.content_hash(F.col("content")))
+    out = documents.select("document_id", "text").mapInArrow(run, f"document_id {kind}, chunk_index int, content string, section_heading string")
+    return out.withColumn("content_hash", scalars.content_hash(F.col("content"))).withColumn("token_count", F.greatest(F.lit(1), F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))))
 
 
 def chunk_tables(tables: DataFrame, rows: int = 5, least: int = 40) -> DataFrame:
-    """``tables(source_ref, headers, rows)`` to (source_ref, chunk_index, content): a line of headers and ``rows`` rows a chunk."""
-    full = tables.where("size(rows) > 0").withColumn("starts", F.sequence(F.lit(0), F.size("rows") - 1, F.lit(rows)))
-    cut = full.select("source_ref", "headers", "rows", F.posexplode("starts").alias("chunk_index", "at"))
-    line = F.transform(F.slice("rows", F.col("at") + 1, F.lit(rows)), lambda r, i: F.concat(F.format_string("Row %d: ", F.col("at") + i + 1), F.array_join(F.transform(F.arrays_zip("headers", r.alias("cells")), lambda z: F.concat_ws(": ", z["headers"], z["cells"])), " | ")))
-    content = F.concat_ws("\n", F.concat(F.lit("Table: "), F.array_join("headers", ", ")), F.array_join(line, "\n"))
-    return cut.select("source_ref", "chunk_index", content.alias("content")).where(F.length("content") >= least)
+    """``tables(source_ref, headers, rows)`` and, where there are, ``document_id``, ``sheet_name``, ``section_heading``, to (..., chunk_index, content, section_heading, row_start, row_end, content_hash, token_count).
+
+    A line that names the table, its sheet, its section and its columns, and ``rows`` rows a chunk, numbered from 0; empty cells are left out and rows of nothing else; a cell beyond the headers is
+    ``Col`` and its place. Tables without headers or rows have no chunks; chunks shorter than ``least`` go. ``chunk_index`` counts a table's chunks.
+    """
+    text = lambda c: F.coalesce(F.trim(c), F.lit("")) if c in tables.columns else F.lit("")
+    given = [c for c in ("document_id", "source_ref", "sheet_name") if c in tables.columns]
+    full = tables.where("size(rows) > 0 and size(headers) > 0").withColumns({"heading_": text("section_heading"), "sheet_": text("sheet_name")})
+    full = full.withColumn("headers", F.transform(F.filter("headers", lambda h: h.isNotNull()), lambda h: F.trim(h)))
+    cut = full.withColumn("row_start", F.explode(F.sequence(F.lit(0), F.size("rows") - 1, F.lit(rows))))
+    named = lambda i: F.coalesce(F.get("headers", i), F.concat(F.lit("Col"), i.cast("string")))
+    cells = lambda r: F.filter(F.transform(r, lambda v, i: F.when(F.trim(v) != "", F.concat(named(i), F.lit(": "), F.trim(v)))), lambda x: x.isNotNull())
+    lines = F.transform(F.slice("rows", F.col("row_start") + 1, F.lit(rows)), lambda r, i: F.when(F.size(cells(r)) > 0, F.concat(F.lit("Row "), (F.col("row_start") + i).cast("string"), F.lit(": "), F.array_join(cells(r), " | "))))
+    first = F.concat(
+        F.lit("Table "), "source_ref", F.when(F.col("sheet_") != "", F.concat(F.lit(" (Sheet: "), "sheet_", F.lit(")"))).otherwise(""),
+        F.when(F.col("heading_") != "", F.concat(F.lit(" [Section: "), "heading_", F.lit("]"))).otherwise(""), F.lit(": Columns: "), F.array_join("headers", ", "))
+    cut = cut.withColumn("content", F.trim(F.array_join(F.concat(F.array(first), F.filter(lines, lambda x: x.isNotNull())), "\n"))).where(F.length("content") >= least)
+    index = F.row_number().over(Window.partitionBy(*given).orderBy("row_start")) - 1
+    out = cut.withColumn("chunk_index", index).withColumn("row_end", F.least(F.col("row_start") + rows, F.size("rows")) - 1)
+    return out.select(*given, "chunk_index", "content", F.col("heading_").alias("section_heading"), "row_start", "row_end", scalars.content_hash(F.col("content")).alias("content_hash"), F.size(F.split("content", r"\s+")).alias("token_count"))
 
 
 def changed_documents(documents: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -110,8 +138,6 @@ def _times(tokens: str, word: str) -> Column:
 
 
 def _plain_tokens(text: str) -> list[str]:
-    import re
-
     words = [w.strip(".") for w in re.findall(r"[a-zA-Z0-9_\-.]+", text.lower())]
     return [w for w in words if len(w) > 1 and w not in vocab.RANK_STOP]
 

@@ -471,12 +471,31 @@ def route_batch(spark, sf_dir):
     return retrieval.routed(q).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query()
+#: Chunks in SQL: paragraphs, sentences with the heading in force, their running length, and from chunk to chunk by the places where it passes a limit.
+_CHUNKS = r"""pa as (select doc_id, p.ordinality pn, trim(p.x, E' \t\n\r\f\v') x from documents, unnest(regexp_split_to_array(text, '\n\s*\n')) with ordinality p(x, ordinality)),
+ hd as (select *, last_value(case when length(x) < 80 and x <> '' and not contains(x, E'\n') and right(x, 1) not in ('.', ':', ';') then x end ignore nulls) over (partition by doc_id order by pn) h from pa),
+ se as (select doc_id, pn, h, s.ordinality sn, trim(s.y, E' \t\n\r\f\v') y from hd, unnest(string_split(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) with ordinality s(y, ordinality) where trim(s.y, E' \t\n\r\f\v') <> ''),
+ li as materialized (select doc_id, list(y order by pn, sn) y, list(coalesce(h, '') order by pn, sn) h, list_prepend(0, list(c order by pn, sn)) c from (select *, sum(length(y)) over (partition by doc_id order by pn, sn) c from se) group by doc_id),
+ ck as (select doc_id, 0 k, 0::bigint b, greatest(1, len(list_filter(c, lambda v: v <= 600)) - 1) e from li
+  union all select ck.doc_id, k + 1, g.b, greatest(ck.e + 1, len(list_filter(c, lambda v: v <= c[g.b + 1] + 600)) - 1)
+  from ck join li on ck.doc_id = li.doc_id, lateral (select greatest(ck.b, len(list_filter(c, lambda v: v < c[ck.e + 1] - 80))) b) g where ck.e < len(y)),
+ cc as (select ck.doc_id, k, array_to_string(y[b + 1:e], ' ') content, h[least(e + 1, len(h))] heading, e = len(y) ended from ck join li on ck.doc_id = li.doc_id),
+ fi as (select *, count(*) filter (length(content) >= 40) over (partition by doc_id) longs from cc),
+ cs as (select doc_id, row_number() over (partition by doc_id order by k) - 1 chunk_index, content, heading from fi where length(content) >= 40 or (ended and longs = 0))"""
+
+
+@query(f"with recursive {_CHUNKS} select doc_id document_id, count(*) chunks, cast(max(length(content)) as int) longest from cs group by 1")
 def chunk_stats(spark, sf_dir):
     d = binding.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     return retrieval.chunk_texts(d).groupBy("document_id").agg(F.count("*").alias("chunks"), F.max(F.length("content")).alias("longest"))
 
 
+@query(f"with recursive {_CHUNKS} select doc_id document_id, cast(chunk_index as int) chunk_index, sha256(content) content_hash, heading section_heading, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) token_count from cs")
+def chunks(spark, sf_dir):
+    d = binding.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return retrieval.chunk_texts(d).drop("content").withColumn("token_count", F.col("token_count").cast("long"))
+
+
 @query("select doc_id, sha256(trim(text)) h, length(text) n from documents")
 def content_hashes(spark, sf_dir):
     return binding.table(spark, sf_dir, "documents").select("doc_id", scalars.content_hash(F.col("text")).alias("h"), F.length("text").cast("long").alias("n"))

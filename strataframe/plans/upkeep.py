@@ -319,13 +319,23 @@ def organization_answers(spark, sf_dir):
     return answers.reference_answers(q, r).select("question_id", "subsidiary", "value")
 
 
-@query("""with t as (select l_orderkey source_ref, count(*) rows from lineitem group by 1), c as (select source_ref, unnest(range(0, cast(ceil(rows / 5.0) as bigint))) chunk_index, rows from t)
- select cast(source_ref as varchar) source_ref, cast(chunk_index as int) chunk_index, cast(least(5, rows - 5 * chunk_index) + 1 as int) lines from c""")
+_LINE_CELLS = """with r0 as (select l_orderkey, l_linenumber, [cast(l_linenumber as varchar), case when l_linenumber = 3 then ' ' else ' ' || cast(cast(l_quantity as int) as varchar) end, l_returnflag]
+  || case when l_linenumber > 4 then ['', l_linestatus] else [] end cells from lineitem),
+ r as (select *, row_number() over (partition by l_orderkey order by l_linenumber, cells) - 1 n from r0),
+ i as (select *, list_filter(list_transform(range(1, len(cells) + 1), lambda k: case when trim(cells[k]) <> '' then coalesce(['Line number', 'Quantity', 'Flag'][k], 'Col' || (k - 1)) || ': ' || trim(cells[k]) end), lambda x: x is not null) items from r),
+ c as (select l_orderkey, n // 5 chunk_index, min(n) row_start, max(n) row_end, string_agg('Row ' || n || ': ' || array_to_string(items, ' | '), chr(10) order by n) body from i where len(items) > 0 group by 1, 2)"""
+
+
+@query(f"""{_LINE_CELLS} select cast(l_orderkey as varchar) source_ref, cast(chunk_index as int) chunk_index, cast(row_start as int) row_start, cast(row_end as int) row_end,
+ 'Table ' || l_orderkey || case when l_orderkey % 2 = 0 then ' (Sheet: S' || l_orderkey % 4 || ')' else '' end || case when l_orderkey % 3 = 0 then ' [Section: Lines]' else '' end || ': Columns: Line number, Quantity, Flag' || chr(10) || body content from c""")
 def table_chunks(spark, sf_dir):
-    li = binding.table(spark, sf_dir, "lineitem")
-    row = F.array(F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("string"), F.col("l_returnflag"))
-    t = li.groupBy(F.col("l_orderkey").cast("string").alias("source_ref")).agg(F.array_sort(F.collect_list(row)).alias("rows")).withColumn("headers", F.array(F.lit("Line number of the order"), F.lit("Quantity"), F.lit("Flag")))
-    return retrieval.chunk_tables(t).select("source_ref", "chunk_index", F.size(F.split("content", "\n")).alias("lines"))
+    """Line items as the tables of orders: blank cells, cells beyond the headers, sheets and sections."""
+    n, k = F.col("l_linenumber"), F.col("l_orderkey")
+    cells = F.concat(F.array(n.cast("string"), F.when(n == 3, " ").otherwise(F.concat(F.lit(" "), F.col("l_quantity").cast("int").cast("string"))), F.col("l_returnflag")), F.when(n > 4, F.array(F.lit(""), F.col("l_linestatus"))).otherwise(F.array().cast("array<string>")))
+    t = binding.table(spark, sf_dir, "lineitem").groupBy(k).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), cells.alias("cells")))).alias("rows"))
+    t = t.select(k.cast("string").alias("source_ref"), F.transform("rows", lambda r: r["cells"]).alias("rows"), F.array(*map(F.lit, ("Line number", " Quantity", "Flag"))).alias("headers"),
+                 F.when(k % 2 == 0, F.concat(F.lit("S"), (k % 4).cast("string"))).alias("sheet_name"), F.when(k % 3 == 0, "Lines").alias("section_heading"))
+    return retrieval.chunk_tables(t).select("source_ref", "chunk_index", "row_start", "row_end", "content")
 
 
 # comparison, lists and reports in order

@@ -141,11 +141,49 @@ def test_retrieval(spark):
     got = retrieval.bm25(c, "MCL production coal", top=999).collect()
     assert [r["doc_id"] for r in got] == [1, 3] and got[0]["score"] > got[1]["score"]
     assert retrieval.bm25(c, "the", top=5).count() == 0
-    chunks = retrieval.chunk_texts(spark.createDataFrame([(1, "Heading\n\n" + "A sentence of some length here. " * 60), (2, "short"), (3, None)], "document_id int, text string")).collect()
-    assert max(len(r["content"]) for r in chunks) <= 720 and all(r["section_heading"] == "Heading" for r in chunks if r["document_id"] == 1)
-    t = spark.createDataFrame([("a", ["Subsidiary", "FY 2024-25 (MT)"], [[f"S{i}", str(i)] for i in range(7)])], "source_ref string, headers array<string>, rows array<array<string>>")
-    cut = retrieval.chunk_tables(t).orderBy("chunk_index").collect()
-    assert len(cut) == 2 and "Row 6: Subsidiary: S5 | FY 2024-25 (MT): 5" in cut[1]["content"]
+
+
+def plain_chunks(text, most=600, overlap=80, least=40):
+    """The chunks of a text, sentence by sentence: (content, heading)."""
+    import re
+
+    out, held, heading = [], [], ""
+    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text or ""))):
+        if len(paragraph) < 80 and "\n" not in paragraph and not paragraph.endswith((".", ":", ";")):
+            heading = paragraph
+        for sentence in filter(None, (s.strip() for s in re.split(r"(?<=[.!?])\s+", paragraph))):
+            if held and sum(map(len, held)) + len(sentence) > most:
+                out.append((" ".join(held), heading))
+                tail = [k for k in range(len(held) + 1) if sum(map(len, held[k:])) <= overlap]
+                held = held[tail[0]:]
+            held.append(sentence)
+    long = [c for c in out if len(c[0]) >= least]
+    last = " ".join(held)
+    return long + ([(last, heading)] if last and (len(last) >= least or not long) else [])
+
+
+def test_chunks_hold_headings_and_short_documents(spark):
+    import random
+
+    r = random.Random(2)
+    texts = ["Short title", "short", "Heading\n\n" + "A sentence of some length here. " * 60, None, "", " \n\n ", "Only\n\nHeadings\n\nHere", "x" * 2000, "One. " + "y" * 700 + ". Two."]
+    for _ in range(60):
+        texts.append("".join(r.choice(["Title %d\n\n" % r.randrange(9), "Word " * r.randint(1, 40) + ". ", "Why so! ", "a" * r.randint(1, 700) + "? ", "\n \n", "two\nlines\n\n", "no end: \n\n"]) for _ in range(r.randint(1, 30))))
+    got = retrieval.chunk_texts(spark.createDataFrame(list(enumerate(texts)), "document_id int, text string")).collect()
+    for i, text in enumerate(texts):
+        mine = sorted((c for c in got if c.document_id == i), key=lambda c: c.chunk_index)
+        assert [(c.content, c.section_heading) for c in mine] == plain_chunks(text), i
+        assert [c.chunk_index for c in mine] == list(range(len(mine))) and all(c.token_count == max(1, len(c.content.split())) for c in mine)
+        assert bool(mine) == bool((text or "").strip())
+
+
+def test_table_chunks(spark):
+    schema = "document_id int, source_ref string, sheet_name string, section_heading string, headers array<string>, rows array<array<string>>"
+    t = [(1, "a", None, "Output", ["Subsidiary ", None, "FY 2024-25 (MT)"], [[f"S{i}", str(i), "", " x "] for i in range(7)]), (1, "b", "One", None, [], [["1"]]), (1, "c", "One", None, ["H"], []), (1, "d", "S", "", ["Column of some length", "N"], [["", None], ["v", "1"]]), (1, "e", None, None, ["H"], [["1"]])]
+    cut = retrieval.chunk_tables(spark.createDataFrame(t, schema)).orderBy("source_ref", "chunk_index").collect()
+    assert [(c.source_ref, c.chunk_index, c.row_start, c.row_end) for c in cut] == [("a", 0, 0, 4), ("a", 1, 5, 6), ("d", 0, 0, 1)]
+    assert cut[1].content == "Table a [Section: Output]: Columns: Subsidiary, FY 2024-25 (MT)\nRow 5: Subsidiary: S5 | FY 2024-25 (MT): 5 | Col3: x\nRow 6: Subsidiary: S6 | FY 2024-25 (MT): 6 | Col3: x"
+    assert cut[2].content == "Table d (Sheet: S): Columns: Column of some length, N\nRow 1: Column of some length: v | N: 1" and cut[1].section_heading == "Output"
 
 
 def test_catalogue(spark):

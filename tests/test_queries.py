@@ -40,8 +40,3 @@ def test_same_as_sql(spark, con, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
-
-
-def test_no_sql_queries_run(spark):
-    for name in ("chunk_stats",):
-        assert __spark_entry__.queries()[name](spark, SF).count() > 0
