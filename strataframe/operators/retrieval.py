@@ -112,7 +112,7 @@ def bm25(chunks: DataFrame, query: str, top: int = 5, k1: float = 1.5, b: float
     asked: dict[str, int] = {}
     for w in words:
         asked[w] = asked.get(w, 0) + 1
-    tokens = F.concat(scalars.rank_tokens(F.col("content")), scalars.rank_tokens(heading))
+    tokens = F.concat(scalars.rank_tokens(F.coalesce("content", F.lit(""))), scalars.rank_tokens(heading))
     rows = chunks.select(F.col(key), F.lower("content").alias("low"), F.lower(heading).alias("head"), tokens.alias("tokens"))
     phrase = " ".join(words)
     near = F.lit(False)
