@@ -77,19 +77,23 @@ def _round(t: DataFrame) -> DataFrame:
     t = t.withColumn("some", F.max(fit).over(mine)).withColumn("over", F.min(F.when((F.col("can") > 0) & (F.col("size") > F.col("gap")) & (F.col("size") < 2 * F.col("gap")), F.col("size"))).over(mine))
     filled = F.greatest(F.lit(0), F.least("can", F.floor((F.col("gap") - F.col("before")) / F.col("size"))))
     moved = F.when(fit, filled).when(~F.col("some") & (F.col("size") == F.col("over")), 1).otherwise(0)
-    return t.withColumn("n", F.col("n") + F.when(F.col("open") > 0, moved).otherwise(-moved)).select("source", "size", "m", "n", "more")
+    return t.withColumn("n", F.col("n") + F.when(F.col("open") > 0, moved).otherwise(-moved)).select("source", "size", "m", "n", "more", moved.alias("moved"))
 
 
-def extra_copies(sizes: DataFrame, sources: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def extra_copies(sizes: DataFrame, sources: DataFrame, spark: SparkSession, rounds: int = ROUNDS) -> DataFrame:
     """``sizes(source, size, m)`` and ``sources(source, source_size, more)`` to ``(source, size, m, n)``: how many of the ``m`` documents of a size get one copy more.
 
-    A window holds a source's sizes, which are numbers of words and not documents; all rounds are windows over the same exchange.
+    A window holds a source's sizes, which are numbers of words and not documents. Rounds end when nothing moves.
     """
     t = sizes.join(sources.select(F.col("source").alias("s_"), "source_size", "more"), F.expr("source <=> s_"))
     share = F.when(F.col("source_size") > 0, F.col("more") / F.col("source_size")).otherwise(0.0)
     t = t.withColumn("n", F.least("m", F.floor(F.col("m") * share))).select("source", "size", "m", "n", "more")
+    t = stored(t, spark)
     for _ in range(rounds):
-        t = _round(t)
+        t = stored(_round(t), spark)
+        if t.where("moved > 0").isEmpty():
+            break
+        t = t.drop("moved")
     return t.select("source", "size", "m", "n")
 
 
@@ -110,7 +114,7 @@ def mix(docs: DataFrame, spark: SparkSession, seed: str = "mix", share: float =
     src = tilts(source_targets(sizes.groupBy("source").agg(F.sum(F.col("m") * F.col("size")).alias("source_size")), weights, share, most))
     src = src.withColumn("base", F.least(F.lit(most_), F.floor(F.col("rate") + 1e-9)))
     src = stored(src.withColumn("more", F.when(F.col("base") < most_, F.greatest(F.lit(0.0), F.col("target") - F.col("base") * F.col("source_size"))).otherwise(0.0)), spark)
-    want = stored(extra_copies(sizes, src, rounds).withColumn("parts", F.ceil(F.col("m") / PART)), spark)
+    want = stored(extra_copies(sizes, src, spark, rounds).withColumn("parts", F.ceil(F.col("m") / PART)), spark)
     rows = rows.join(want.select(F.col("source").alias("s_"), F.col("size").alias("z_"), "m", "n", "parts"), F.expr("source <=> s_ and size = z_")).drop("s_", "z_")
     # the first n of each size, in hash order: offsets of its parts, and a window over each part
     some = rows.where("n > 0 and n < m").withColumn("part", F.shiftright(F.col("k") * F.col("parts"), 32))

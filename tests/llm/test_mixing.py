@@ -97,7 +97,7 @@ def test_rounds_come_near_the_best(spark):
     sizes = spark.createDataFrame([(k, z, v.count(z)) for k, v in cases.items() for z in set(v)], "source string, size long, m long")
     sources = spark.createDataFrame([(k, sum(v), r.random() * sum(v)) for k, v in cases.items()], "source string, source_size long, more double")
     more = {x.source: x.more for x in sources.collect()}
-    got, left = mixing.extra_copies(sizes, sources).collect(), {}
+    got, left = mixing.extra_copies(sizes, sources, spark).collect(), {}
     assert all(0 <= x.n <= x.m for x in got)
     for x in got:
         left[x.source] = left.get(x.source, more[x.source]) - x.n * x["size"]
