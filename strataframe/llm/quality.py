@@ -15,17 +15,10 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.llm.shared import fresh, held_out, table
+from strataframe.llm.shared import COMMON, fresh, held_out, table
 
 #: Labelled documents that training may use, the first by a seeded hash of the id.
 SAMPLE = 6000
-#: Frequent function words of the corpus' languages (fixed values).
-COMMON = (
-    "the of and to in is that it for on with as was by be at this from are or an a he "
-    "le la les de des du et en un une que qui dans pour par sur pas est au avec "
-    "der die das und ist von mit zu den dem ein eine nicht auf für als auch sich im "
-    "el los las del y por con no se para es su al lo como más"
-).split()
 Rule = tuple[tuple[str, bool, float], ...]
 
 
@@ -88,10 +81,14 @@ def _paths(node, names: tuple[str, ...], above: dict) -> list[Rule]:
 
 
 def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, sample: int = SAMPLE, trees: int = 16, depth: int = 3, lasso: float = 2e-3) -> RuleModel:
-    """A rule model of ``labels(doc_id, quality)`` over ``docs(doc_id, text)``, from ``sample`` documents at most, none held out."""
+    """A rule model of ``labels(doc_id, quality)`` over ``docs(doc_id, text)``, from ``sample`` documents at most, none held out.
+
+    Of several texts under one id, the one of the least hash stands for it, so reruns train on the same rows.
+    """
     one = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     one = one.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
-    rows = statistics(docs.select("doc_id", "text").join(one, "doc_id").dropDuplicates(["doc_id"])).orderBy("doc_id").select("y", "q_.*").collect()  # `sample` rows of numbers
+    texts = docs.select("doc_id", "text").join(one, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = statistics(texts).orderBy("doc_id").select("y", "q_.*").collect()  # `sample` rows of numbers
     y = np.array([r.y for r in rows], float)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5

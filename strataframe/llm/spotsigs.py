@@ -12,15 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataframe.llm.shared import stored, table
-
-#: Anchors: frequent function words of the corpus' languages (fixed values).
-ANCHORS = (
-    "the of and to in is that it for on with as was by be at this from are or an a he "
-    "le la les de des du et en un une que qui dans pour par sur pas est au avec "
-    "der die das und ist von mit zu den dem ein eine nicht auf für als auch sich im "
-    "el los las del y por con no se para es su al lo como más"
-).split()
+from strataframe.llm.shared import COMMON, stored, table
+
+#: Anchors.
+ANCHORS = COMMON
 #: Content words in a chain, and the words after an anchor in which they are looked for.
 CHAIN, REACH = 2, 8
 #: Besides common words, one content word in so many is an anchor, by its hash alone, so that texts in other languages have signatures too.

@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataframe.llm.shared import held_out, table
 
 #: Labelled documents of each class that training may use.
 SAMPLE = 1500
+#: Bytes of their texts that training may use, of each class.
+SAMPLE_BYTES = 32 << 20
 #: Landmark words: those most enriched in toxic documents, and frequent ones as background.
 LANDMARKS = (144, 48)
 #: Sentences of toxic and of other documents that the machine is trained on.
@@ -275,16 +277,23 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 3, seed: int = 7) -> M
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """(doc_id, text, label) of the documents training may learn from: ``sample`` of each label at most, by a seeded hash of the id."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label) of the documents training may learn from: ``sample`` of each label at most, by a seeded hash of the id, and of those as many as ``most_bytes`` of text hold.
+
+    Of several texts under one id, the one of the least hash stands for it, so reruns train on the same rows. Longer texts than ``most_bytes`` are not learnt from, and none from the one on that passes it.
+    """
     one = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    some = [one.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample) for k in (0, 1)]
+    order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
+    some = [one.where(F.col("label") == k).orderBy(*order).limit(sample) for k in (0, 1)]
     chosen = some[0].unionByName(some[1])
-    return docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    fits = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    texts = fits.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy(*order))  # `sample` rows
+    return texts.withColumn("so_far_", so_far).where(F.col("so_far_") <= most_bytes).drop("so_far_")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = labelled(docs, labels, "toxic", sample).orderBy("doc_id").select("text", "label").collect()  # 2 * sample rows at most
+    rows = labelled(docs, labels, "toxic", sample).orderBy("doc_id").select("text", "label").collect()  # 2 * sample rows and 2 * SAMPLE_BYTES at most
     return fit([(r.text, r.label) for r in rows])
 
 
