@@ -24,11 +24,6 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def quoted(name: str) -> str:
-    """A column's name for ``F.col``, whatever characters it holds."""
-    return "`" + name.replace("`", "``") + "`"
-
-
 #: Frequent function words of the corpus' languages (fixed values).
 COMMON = (
     "the of and to in is that it for on with as was by be at this from are or an a he "
