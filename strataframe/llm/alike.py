@@ -130,7 +130,8 @@ def verified(pairs: DataFrame, texts: DataFrame, spark: SparkSession, least: flo
 
     # the lesser id, which heads buckets, is joined last: its pairs are together
     pairs = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), spark)
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    # stored, so that its size is known: where it is small Spark broadcasts it, and texts stay where they are
+    ends = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), spark)
     of = stored(texts.join(ends, "id", "left_semi"), spark)
     full = pairs.join(of.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(of.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     found = full.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
