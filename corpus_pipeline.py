@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from strataframe.llm import alike, bpe, mixing, quality, simhash, spans
 from strataframe.llm.components import connected_components
-from strataframe.llm.shared import fresh, quoted, stored, table
+from strataframe.llm.shared import fresh, stored, table
 
 
-def _row_id() -> Column:
+def _row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
     """The document's id; for a null one a number of its text's, above the ids in use."""
-    text = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + text)
+    number = F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND(F.lit((1 << 61) - 1))
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(1 << 62) + number)
 
 
 def _digest(text: Column) -> Column:
@@ -36,22 +36,26 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows with one id and different texts that are not near stay. Near are fingerprints within 3 bits, and texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
     A row with a null id goes by its text: it stays if no other of its group has an id or a lower number. Rows that are equal in every column are one.
     """
-    number, text, rest, group = fresh(docs, "row_id_", "text_hash_", "rest_", "group_")
-    others = F.struct(F.col("text").isNull().alias("no_text_"), *[F.col(c) for c in map(quoted, docs.columns) if c not in ("`doc_id`", "`text`")])
-    keyed = docs.withColumns({number: _row_id(), text: _digest(F.coalesce(F.col("text"), F.lit(""))), rest: _digest(F.to_json(others))})
-    # each text once, under a number of its own
-    texts = keyed.groupBy(F.col(text).alias("h")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
-    texts = stored(texts.withColumn("id", F.monotonically_increasing_id()), spark)
+    # columns go by place, so their names can't clash; of the rows of one text only the least can stay, so each text is kept once, with that row
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = own[docs.columns.index("doc_id")], own[docs.columns.index("text")]
+    placed = docs.toDF(*own)
+    others = F.struct(F.col(text).isNull().alias("no_text"), *[F.col(c) for c in own if c not in (doc_id, text)])
+    rows = placed.select(_digest(F.coalesce(text, F.lit(""))).alias("h"), F.struct(_row_id(doc_id, text).alias("number"), _digest(F.to_json(others)).alias("rest")).alias("least"), F.struct(*own).alias("row"))
+    rows = rows.groupBy("h").agg(F.min("least").alias("least"), F.min_by("row", "least").alias("row"))
+    rows = stored(rows.select(F.monotonically_increasing_id().alias("id"), F.struct("least.number", "h", "least.rest").alias("least"), "row.*"), spark)
+    texts = rows.select("id", F.coalesce(text, F.lit("")).alias("text"))
     prints = simhash.near_duplicates(texts.select(F.col("id").alias("doc_id"), "text"), spark).select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
     edges = prints.unionByName(alike.links(texts, spark).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    groups = texts.select("h", "id").join(connected_components(edges, spark), "id", "left").select(F.col("h").alias(text), F.coalesce("component_id", "id").alias(group))
-    row = [number, text, rest]
-    keep = keyed.select(row).distinct().join(groups, text).groupBy(group).agg(F.min(F.struct(row)).alias("least_")).select("least_.*")
-    return keyed.dropDuplicates(row).join(keep, row, "left_semi").drop(*row)
+    groups = connected_components(edges, spark).join(rows.select("id", "least"), "id")
+    keep = groups.groupBy("component_id").agg(F.min_by("id", "least").alias("id"))
+    # a text that is near no other is in no group
+    gone = stored(groups.select("id").join(keep.select("id"), "id", "left_anti"), spark)
+    return rows.join(gone, "id", "left_anti").select(own).toDF(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated runs of sentences out of all but their first document. Every row stays; ``n_chars`` is recounted."""
+    """Cuts repeated runs of sentences out of all but their first document. Every row stays; ``n_chars`` is recounted. A column named ``n_removed`` goes."""
     return spans.dedup(docs, spark).drop("n_removed")
 
 
