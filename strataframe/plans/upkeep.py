@@ -11,7 +11,7 @@ from strataframe.functions import scalars
 from strataframe.operators import aggregates, answers, catalogue, cleaning, compare, datasets, filters, lifecycle, quality, reports, retrieval, schema
 from strataframe.plans import binding
 from strataframe.plans.queries import B, C, O, S, Z, query
-from strataframe.sources import readers, writers
+from strataframe.sources import readers, split_csv, writers
 from strataframe.sources.staging import shared_dir, stored
 
 
@@ -30,6 +30,17 @@ def csv_write_and_scan(spark, sf_dir):
     return rows.select(F.col("r")[0].cast("long").alias("s_suppkey"), F.col("r")[1].alias("s_name"), F.col("r")[2].cast("int").alias("s_nationkey"))
 
 
+@query("select o_orderkey, o_orderpriority || chr(10) || '\"' || o_orderstatus || '\", ' || o_custkey note from orders")
+def csv_split_scan(spark, sf_dir):
+    """Orders with quotes, line ends and delimiters in their cells, each file read by as many tasks as it has splits."""
+    path = _folder(spark)
+    note = F.concat("o_orderpriority", F.lit("\n\""), "o_orderstatus", F.lit("\", "), "o_custkey")
+    rows = binding.table(spark, sf_dir, "orders").select("o_orderkey", note.alias("note"))
+    rows.write.option("escape", "\"").csv(path, header=True)
+    found = split_csv.csv_records(spark, path)
+    return found.select(F.col("cells")[0].cast("long").alias("o_orderkey"), F.col("cells")[1].alias("note"))
+
+
 @query("select s_suppkey, s_name, cast(s_acctbal as double) s_acctbal from supplier")
 def xlsx_write_and_scan(spark, sf_dir):
     books = stored(writers.workbooks(binding.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), ["s_suppkey"], most=40), spark)

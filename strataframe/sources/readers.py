@@ -45,15 +45,20 @@ def admitted(found: DataFrame, most: int = 50 << 20) -> tuple[DataFrame, DataFra
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select("path", "extension", "length", "reason")
 
 
+def sniffed(sample: str) -> str:
+    """The delimiter of a sample among comma, semicolon, tab and bar; where the sample as a whole shows none, as with ragged rows, the most frequent of its first line, else a comma."""
+    try:
+        return csv.Sniffer().sniff(sample, delimiters=",;\t|").delimiter
+    except csv.Error:
+        line = next((x for x in sample.splitlines() if x.strip()), "")
+        return max(",;\t|", key=line.count)
+
+
 def csv_table(data: bytes) -> tuple[list[str], list[list[str]]]:
-    """Header and rows, the delimiter guessed from the first line among comma, semicolon, tab and bar; blank rows go, ragged ones stay."""
+    """Header and rows of a whole file, the delimiter sniffed from its first 4,096 characters; blank rows go, ragged ones stay."""
     text = decoded(data)
-    lines = [line for line in text[:4096].splitlines() if line.strip()]
-    # ragged rows and commas in numbers mislead a count over all lines, so the header decides
-    delimiter = max(",;\t|", key=lambda d: lines[0].count(d)) if lines else ","
-    rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text), delimiter=delimiter)]
-    rows = [r for r in rows if any(r)]
-    return (rows[0], rows[1:]) if rows else ([], [])
+    rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text, newline=""), delimiter=sniffed(text[:4096]))]
+    return (rows[0], [r for r in rows[1:] if any(r)]) if rows else ([], [])
 
 
 def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
