@@ -19,9 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from strataframe.llm.shared import stored, table
 
@@ -144,40 +144,41 @@ def reach(bounds: np.ndarray | list[int], run: int = RUN, least: int = LEAST_WOR
     return np.stack([at[start], at[end[start]]], axis=1)
 
 
-def _keys(ids: list[int | None], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, text key) of rows: the id, for a null one a number of the text's; and 64 bits of the text, so that rows that
-    share an id with different texts keep their places apart.
-    """
-    hashes = [xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
-    order = [_NULL_IDS + (h >> 3) if i is None else i for i, h in zip(ids, hashes, strict=True)]
-    return np.array(order, np.int64), np.array(hashes, np.uint64).view(np.int64)
+def _keys(doc_id: str, text: str) -> dict[str, Column]:
+    """What a row goes by: its order, the id or for a null one a number of the text's; and 64 bits of the text, so that rows that share an id with different texts keep their places apart."""
+    t = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return {"k_": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_IDS) + F.shiftrightunsigned(t, 3)), "t_": t}
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that Python's objects of a batch of long texts don't all live at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
     """A row a text that has runs: its key (``k_``, ``t_``) and, run by run, 64 bits of the hash and a number of 32 bits more and the run's place; the second number is -1 where the text had the run before."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 256):
-                some = b.slice(s, 256)
-                texts = some.column(1).to_pylist()
-                k, t_ = _keys(some.column(0).to_pylist(), texts)
-                h1, h2, n = [], [], []
-                for t in texts:
-                    _, found = Layout(t).runs(run, least)
-                    n.append(len(found))
-                    h1.append(found[:, 0].view(np.int64))
-                    more = ((found[:, 1] >> np.uint64(33)) << np.uint64(32) | np.arange(len(found), dtype=np.uint64)).view(np.int64)  # below 2**63
-                    order = np.lexsort((np.arange(len(found)), found[:, 1], found[:, 0]))
-                    again = order[1:][(found[order[1:]] == found[order[:-1]]).all(axis=1)]
-                    more[again] = -1 - again
-                    h2.append(more)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (h1, h2)]
-                out = pa.RecordBatch.from_arrays([pa.array(k), pa.array(t_), *lists], ["k_", "t_", "h1_", "h2_"])
-                yield out.filter(pa.array(np.array(n) > 0))
-
-    return docs.select("doc_id", "text").mapInArrow(make, "k_ long, t_ long, h1_ array<long>, h2_ array<long>")
+        for some in _slices(batches):
+            h1, h2, n = [], [], []
+            for t in some.column(2).to_pylist():
+                _, found = Layout(t).runs(run, least)
+                n.append(len(found))
+                h1.append(found[:, 0].view(np.int64))
+                more = ((found[:, 1] >> np.uint64(33)) << np.uint64(32) | np.arange(len(found), dtype=np.uint64)).view(np.int64)  # below 2**63
+                order = np.lexsort((np.arange(len(found)), found[:, 1], found[:, 0]))
+                again = order[1:][(found[order[1:]] == found[order[:-1]]).all(axis=1)]
+                more[again] = -1 - again
+                h2.append(more)
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (h1, h2)]
+            out = pa.RecordBatch.from_arrays([some.column(0), some.column(1), *lists], ["k_", "t_", "h1_", "h2_"])
+            yield out.filter(pa.array(np.array(n) > 0))
+
+    keys = _keys("doc_id", "text")
+    return docs.select(keys["k_"].alias("k_"), keys["t_"].alias("t_"), "text").mapInArrow(make, "k_ long, t_ long, h1_ array<long>, h2_ array<long>")
 
 
 def repeated(spans: DataFrame, spark: SparkSession) -> DataFrame:
@@ -203,23 +204,28 @@ def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEA
 
     A row stays a row, with an empty text if everything in it was repeated; null texts stay null. The first of a repeated run
     is the one of the smallest (doc_id, hash of text, place); null ids come last, by hash of text. Of rows that are equal in id and text, null ids included, one has what its text is due and the others lose
-    every run; which one that is goes by its place in ``docs``, which should be a scan or a stored table. Texts of fewer than ``run`` sentences and pieces or ``least`` words have no runs and stay. Very long texts are
+    every run. Texts of fewer than ``run`` sentences and pieces or ``least`` words have no runs and stay. Very long texts are
     taken whole. Other columns pass through, whatever their names.
     """
     docs = docs.drop("n_removed")
     spans = stored(span_table(docs, run, least), spark)
     names, own = docs.columns, [f"c{i}_" for i in range(len(docs.columns))]  # columns go by place, so their names can't clash or need quoting
     placed = docs.toDF(*own)
-    extra = [StructField("k_", LongType()), StructField("t_", LongType())]
-    keyed = placed.mapInArrow(_with_keys(own, names.index("doc_id"), names.index("text")), StructType([*placed.schema.fields, *extra])).withColumn("r_", F.monotonically_increasing_id())
-    # equal rows: narrow, and a row a task for each key
-    some = keyed.select("k_", "t_", "r_").groupBy("k_", "t_").agg(F.min("r_").alias("one_"), F.count("*").alias("n_")).where("n_ > 1").drop("n_")
-    marks = repeated(spans, spark).join(some, ["k_", "t_"], "full_outer")
-    joined = keyed.join(marks, ["k_", "t_"], "left").select(*own, "places_", F.coalesce(F.col("r_") != F.col("one_"), F.lit(False)).alias("all_"))
+    keyed = placed.withColumns(_keys(own[names.index("doc_id")], own[names.index("text")]))
+    marks = repeated(spans, spark)
+    equal = stored(keyed.groupBy("k_", "t_").agg(F.count("*").alias("n_")).where("n_ > 1").drop("n_"), spark)
+    if equal.isEmpty():
+        joined = keyed.withColumn("all_", F.lit(False))
+    else:  # stored with numbers, so that one of them is the same one whenever a task runs again
+        same = stored(keyed.join(equal, ["k_", "t_"], "left_semi").withColumn("r_", F.monotonically_increasing_id()), spark)
+        one = same.groupBy("k_", "t_").agg(F.min("r_").alias("one_"))
+        others = same.join(one, ["k_", "t_"]).withColumn("all_", F.col("r_") != F.col("one_")).drop("r_", "one_")
+        joined = keyed.join(equal, ["k_", "t_"], "left_anti").withColumn("all_", F.lit(False)).unionByName(others)
+    joined = joined.join(marks, ["k_", "t_"], "left").select(*own, "places_", "all_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-        for b in batches:
+        for b in _slices(batches):
             texts, gone = [], []
             for text, starts, every in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 n = 0
@@ -242,14 +248,5 @@ def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEA
     return joined.mapInArrow(cut, StructType([*placed.schema.fields, StructField("n_removed", IntegerType())])).toDF(*names, "n_removed")
 
 
-def _with_keys(names: list[str], doc_id: int, text: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            order, short = _keys(b.column(doc_id).to_pylist(), b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order), pa.array(short)], [*names, "k_", "t_"])
-
-    return run
-
-
 def op4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), spark)

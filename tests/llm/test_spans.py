@@ -69,7 +69,8 @@ def plain_runs(text):
 def slow(rows):
     """Kept text of each row (id, text), as a list of (id, text before, kept): every repeated run compared word by word; of equal rows the first is the one that counts."""
     def key(i, t):
-        return (i is None, i or 0, xxhash.xxh64_intdigest((t or "").encode()) >> 3 if i is None else 0, np.uint64(xxhash.xxh64_intdigest((t or "").encode())).astype(np.int64))
+        h = xxhash.xxh64_intdigest((t or "").encode(), 42)
+        return ((1 << 62) + (h >> 3) if i is None else i, np.uint64(h).astype(np.int64))
 
     first, out, done = {}, [], set()
     order = sorted(set(rows), key=lambda r: key(*r))
