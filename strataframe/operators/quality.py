@@ -2,58 +2,54 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars, vocab
+from strataframe.operators.schema import columns_of
+
+_TYPE = "struct<row_index:int,issue_type:string,severity:string,field_name:string,original_value:string>"
 
-_FIELDS = ["source_ref", "row_index", "issue_type", "severity", "field_name", "original_value"]
 
+def _issue(issue: str, severity: str, row: Column | None = None, field: Column | None = None, value: Column | None = None) -> Column:
+    null = lambda c, kind: F.lit(None).cast(kind) if c is None else c.cast(kind)
+    return F.struct(null(row, "int").alias("row_index"), F.lit(issue).alias("issue_type"), F.lit(severity).alias("severity"), null(field, "string").alias("field_name"), null(value, "string").alias("original_value"))
 
-def _finding(df: DataFrame, issue: str, severity: str, row="row_index", field=None, value=None) -> DataFrame:
-    row_ = F.lit(None).cast("int") if row is None else F.col(row).cast("int")
-    text = lambda c: F.lit(None).cast("string") if c is None else F.col(c).cast("string")
-    return df.select("source_ref", row_.alias("row_index"), F.lit(issue).alias("issue_type"), F.lit(severity).alias("severity"), text(field).alias("field_name"), text(value).alias("original_value"))
+
+def cell_issues(row: Column, header: Column, concept: Column, value: Column) -> Column:
+    """The findings of a cell under its column's concept: no number, negative, no coordinate, out of range; null where there is none."""
+    number, at = scalars.numeric_and_unit(value)["value"], scalars.coordinate(value)
+    bound = F.when(concept == "longitude", 180.0).otherwise(90.0)
+    issue = lambda name, severity: _issue(name, severity, row, header, value)
+    return (
+        F.when(F.coalesce(F.trim(value), F.lit("")) == "", None)
+        .when(concept.isin(*vocab.CHECKED), F.when(number.isNull(), issue("invalid_numeric", "ERROR")).when(concept.isin(*vocab.NON_NEGATIVE) & (number < 0), issue("suspicious_value", "WARNING")))
+        .when(concept.isin("latitude", "longitude", "coordinates"), F.when(at.isNull(), issue("coordinate_error", "WARNING")).when(F.abs(at) > bound, issue("coordinate_error", "ERROR")))
+    )
 
 
 def validate(tables: DataFrame, document_fields: list[str] | None = None) -> DataFrame:
-    """Findings over ``tables(source_ref, headers array, rows array<array>)``.
+    """Findings over ``tables(source_ref, headers array, rows array<array>)``: (source_ref, row_index, issue_type, severity, field_name, original_value).
 
     Empty tables; repeated headers; important fields that neither a table nor the document has; rows with more cells than headers;
     repeated rows; and, by concept of the column, cells that are no number, negative, no coordinate or out of range.
+
+    One pass over the tables gives all but the repeated rows, and finds each column's concept once; those compare digests of rows, not rows.
     """
-    full = tables.where("size(headers) > 0 or size(rows) > 0")
-    out = [_finding(tables.where("size(headers) = 0 and size(rows) = 0"), "extraction_failure", "WARNING", row=None)]
-    heads = full.select("source_ref", F.posexplode("headers").alias("pos", "header"))
-    nth = F.row_number().over(Window.partitionBy("source_ref", "header").orderBy("pos"))
-    out.append(_finding(heads.withColumn("n", nth).where("n > 1"), "duplicate", "WARNING", row=None, field="header", value="header"))
-    heads = heads.withColumn("concept", scalars.concept(F.col("header")))
-    wanted = F.explode(F.array(*[F.lit(f) for f in vocab.IMPORTANT_FIELDS if f not in (document_fields or [])] or [F.lit(None).cast("string")]))
-    missing = full.select("source_ref", wanted.alias("field")).where("field is not null").join(heads.select("source_ref", F.col("concept").alias("field")), ["source_ref", "field"], "left_anti")
-    out.append(_finding(missing, "missing_required", "INFO", row=None, field="field"))
-    rows = full.select("source_ref", "headers", F.posexplode("rows").alias("row_index", "cells"))
-    out.append(_finding(rows.where("size(cells) > size(headers) and size(headers) > 0"), "schema_mismatch", "WARNING"))
-    nth = F.row_number().over(Window.partitionBy("source_ref", "cells").orderBy("row_index"))
-    out.append(_finding(rows.withColumn("n", nth).where("n > 1"), "duplicate_record", "WARNING"))
-    cells = rows.select("source_ref", "row_index", F.posexplode(F.arrays_zip("headers", "cells")).alias("pos", "c")).select("source_ref", "row_index", F.col("c.headers").alias("header"), F.col("c.cells").alias("value")).where("header is not null and trim(value) <> ''")
-    cells = cells.withColumn("concept", scalars.concept(F.col("header")))
-    return reduce(DataFrame.unionByName, [*out, *cell_findings(cells)])
-
-
-def cell_findings(cells: DataFrame) -> list[DataFrame]:
-    """Findings over (source_ref, row_index, header, value, concept)."""
-    number = scalars.numeric_and_unit(F.col("value"))["value"]
-    measured = cells.where(F.col("concept").isin(*vocab.CHECKED)).withColumn("number", number)
-    places = cells.where(F.col("concept").isin("latitude", "longitude", "coordinates")).withColumn("at", scalars.coordinate(F.col("value")))
-    bound = F.when(F.col("concept") == "longitude", 180.0).otherwise(90.0)
-    return [
-        _finding(measured.where("number is null"), "invalid_numeric", "ERROR", field="header", value="value"),
-        _finding(measured.where(F.col("concept").isin(*vocab.NON_NEGATIVE)).where("number < 0"), "suspicious_value", "WARNING", field="header", value="value"),
-        _finding(places.where("at is null"), "coordinate_error", "WARNING", field="header", value="value"),
-        _finding(places.where(F.abs("at") > bound), "coordinate_error", "ERROR", field="header", value="value"),
-    ]
+    has = lambda x: x.isNotNull()
+    columns = columns_of(F.col("headers"))
+    full = tables.select("source_ref", "headers", "rows", columns.alias("columns"))
+    empty = F.when((F.size("headers") == 0) & (F.size("rows") == 0), F.array(_issue("extraction_failure", "WARNING")))
+    repeated = F.filter(F.transform("headers", lambda h, i: F.when(F.array_position("headers", h) <= i, _issue("duplicate", "WARNING", None, h, h))), has)
+    wanted = [f for f in vocab.IMPORTANT_FIELDS if f not in (document_fields or [])]
+    missing = F.transform(F.array_except(F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>"), F.transform("columns", lambda c: c["concept"])), lambda f: _issue("missing_required", "INFO", None, f))
+    long = F.filter(F.transform("rows", lambda r, i: F.when((F.size(r) > F.size("headers")) & (F.size("headers") > 0), _issue("schema_mismatch", "WARNING", i))), has)
+    cells = F.filter(F.flatten(F.transform("rows", lambda r, i: F.transform("columns", lambda c, k: cell_issues(i, c["header"], c["concept"], F.get(r, k))))), has)
+    out = full.select("source_ref", F.inline(F.coalesce(empty, F.concat(repeated, missing, long, cells)).cast(f"array<{_TYPE}>")))
+    digests = tables.select("source_ref", F.posexplode("rows").alias("row_index", "cells")).select("source_ref", "row_index", F.md5(F.to_json("cells")).alias("digest"))
+    first = digests.groupBy("source_ref", "digest").agg(F.min("row_index").alias("first_"), F.count("*").alias("n_")).where("n_ > 1")
+    again = digests.join(first, ["source_ref", "digest"]).where("row_index > first_")
+    return out.unionByName(again.select("source_ref", F.inline(F.array(_issue("duplicate_record", "WARNING", F.col("row_index"))).cast(f"array<{_TYPE}>"))))
 
 
 def duplicate_rows(rows: DataFrame, key: list[str]) -> DataFrame:

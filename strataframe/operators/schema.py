@@ -14,19 +14,26 @@ def column_map(headers: DataFrame) -> DataFrame:
     return headers.select("header", c.alias("concept"), F.when(c.isNotNull(), 0.85).otherwise(0.0).alias("confidence"))
 
 
+def columns_of(headers: Column) -> Column:
+    """Array of struct(header, concept, key) of a table's headers: what a column means, found once for all its rows, and the key of its cells."""
+    return F.transform(headers, lambda h: F.struct(h.alias("header"), scalars.concept(h).alias("concept"), F.coalesce(scalars.concept(h), h, F.lit("")).alias("key")))
+
+
 def normalized_rows(tables: DataFrame) -> DataFrame:
     """``tables(source_ref, headers, rows)`` to (source_ref, row_index, data map): keys are concepts or raw names, with ``_original``,
-    ``_unit`` and ``_normalized_unit`` beside them; of two headers with one key the last wins; short rows are padded.
+    ``_unit`` and ``_normalized_unit`` beside them, in the order of the headers; of two headers with one key the last that has a value wins; short rows are padded.
+
+    A row is made from its own table's row: nothing is shuffled.
     """
-    rows = tables.select("source_ref", "headers", F.posexplode("rows").alias("row_index", "cells"))
-    cells = rows.select("source_ref", "row_index", F.posexplode("headers").alias("pos", "header"), "cells")
-    cells = cells.withColumn("value", F.coalesce(F.try_element_at("cells", F.col("pos") + 1), F.lit("")))
-    cells = cells.withColumn("concept", scalars.concept(F.col("header"))).withColumn("n", scalars.normalize_cell(F.col("value"), F.coalesce("concept", F.lit(""))))
-    cells = cells.withColumn("key", F.coalesce("concept", "header"))
-    entry = lambda suffix, c: F.struct(F.concat("key", F.lit(suffix)).alias("key"), c.alias("value"))
-    each = F.array(entry("", F.col("n.value")), entry("_original", F.col("n.original")), entry("_unit", F.col("n.unit")), entry("_normalized_unit", F.col("n.normalized_unit")))
-    last = cells.select("source_ref", "row_index", "pos", F.explode(F.filter(each, lambda e: e["value"].isNotNull())).alias("e")).groupBy("source_ref", "row_index", "e.key").agg(F.max_by("e.value", "pos").alias("value"))
-    return last.groupBy("source_ref", "row_index").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("data"))
+    rows = tables.select("source_ref", columns_of(F.col("headers")).alias("columns"), "rows").select("source_ref", "columns", F.posexplode("rows").alias("row_index", "cells"))
+    value = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
+    normal = F.transform("columns", lambda c, i: F.struct(c["key"].alias("key"), scalars.normalize_cell(value(i), F.coalesce(c["concept"], F.lit(""))).alias("n")))
+    entry = lambda x, suffix, field: F.struct(F.concat(x["key"], F.lit(suffix)).alias("key"), x["n"][field].alias("value"))
+    each = F.flatten(F.transform(normal, lambda x: F.array(entry(x, "", "value"), entry(x, "_original", "original"), entry(x, "_unit", "unit"), entry(x, "_normalized_unit", "normalized_unit"))))
+    rows = rows.select("source_ref", "row_index", F.filter(each, lambda e: e["value"].isNotNull()).alias("e"))
+    keys = F.array_distinct(F.transform("e", lambda e: e["key"]))
+    last = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter("e", lambda e: e["key"] == k), -1)["value"]))
+    return rows.select("source_ref", "row_index", F.when(F.size(keys) == F.size("e"), F.map_from_entries("e")).otherwise(last).alias("data"))
 
 
 def fields(records: DataFrame, rows: int = 100) -> DataFrame:
@@ -64,9 +71,60 @@ def drilldown(records: DataFrame, provenance: DataFrame) -> DataFrame:
     return records.join(every, "record_id", "left").withColumn("provenance_count", F.coalesce("provenance_count", F.lit(0)))
 
 
+# Where a document's year, mine, organization and location are given, in order: names among what is given with it, words of a key in a key-value
+# table (and the one-word heads of such tables' first column), and patterns of its title, file name and text, group 1 of which is the value.
+KEY_HEADS = ("field", "key", "property", "metric", "parameter")
+METADATA = {
+    "financial_year": (("financial_year", "reporting_year", "year", "fy"), ("year", "financial year", "reporting year", "fy"), (
+        r"(?i)(?:Reporting\s+Year|Financial\s+Year|Year|FY)\s*[:\-=]?\s*(FY\s*\d{2,4}[-–/]\d{2,4}|\d{4}[-–/]\d{2,4}|\bFY\d{2,4}\b)", r"(?i)(\b(?:FY\s*20\d{2}[-–/]\d{2,4}|20\d{2}[-–/]\d{2})\b)")),
+    "mine": (("mine", "mine_name", "name_of_mine"), ("mine",), (r"(?i)(?:Mine\s+Name|Name\s+of\s+Mine|Mine)\s*[:\-=]\s*([^\r\n,]+)",)),
+    "organization": (("organization", "company", "subsidiary", "source", "operator", "owner"), ("organization", "company", "subsidiary", "source", "operator"), (
+        r"(?i)(?:Organization|Company|Source|Operator|Owner|Corporation|Ministry)\s*[:\-=]\s*([^\r\n]+)", r"(?i)(\b(?:Coal India(?: Limited)?|CIL|CMPDI|CMPDIL|MCL|NCL|SECL|ECL|CCL|WCL|BCCL|SCCL|NLC|Ministry of Coal)\b)")),
+    "location": (("location", "place", "district", "state"), ("location", "place", "district", "state"), (r"(?i)Location\s*[:\-=]\s*([^\r\n]+)",)),
+}
+ORGANIZATION_HEADERS = ("subsidiary", "organization", "company", "psu")
+
+
+def metadata_evidence(documents: DataFrame) -> DataFrame:
+    """Every piece of evidence for a document's year, mine, organization and location: (document_id, field, source, place, value).
+
+    ``documents(document_id, title, filename, raw_text, given map, tables array<struct<headers, rows>>)``. ``source`` ranks them: 1 given with the document, 2 a key-value table, 3 a pattern of title, file name and
+    text, 4 a table's header (for the organization); ``place`` orders those of one source.
+    """
+    text = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("filename", F.lit("")), F.coalesce("raw_text", F.lit("")))
+    one = lambda source, place, value: F.struct(F.lit(source).alias("source"), F.lit(place).alias("place") if isinstance(place, int) else place.alias("place"), F.nullif(F.trim(value), F.lit("")).alias("value"))
+    low = lambda c: F.lower(F.trim(c))
+    # rows of tables with two columns, the first of which is headed as a key; of rows with one key the last counts, in the place of the first
+    kv = F.filter(F.coalesce("tables", F.array().cast(documents.schema["tables"].dataType)), lambda t: (F.size(t["headers"]) == 2) & low(t["headers"][0]).rlike("|".join(KEY_HEADS)))
+    full = lambda c: F.coalesce(c != "", F.lit(False))
+    pair = lambda r: F.when(full(F.get(r, 0)) & full(F.get(r, 1)), F.struct(low(F.get(r, 0)).alias("key"), F.trim(F.get(r, 1)).alias("value")))
+    pairs = F.filter(F.flatten(F.transform(kv, lambda t: F.transform(t["rows"], lambda r: pair(r)))), lambda p: p.isNotNull())
+    docs = documents.select("document_id", "given", text.alias("text"), pairs.alias("pairs"), F.transform(F.flatten(F.transform("tables", lambda t: t["headers"])), lambda h: F.trim(h)).alias("heads"))
+    docs = docs.withColumn("keys", F.array_distinct(F.transform("pairs", lambda p: p["key"])))
+
+    def of(field: str, names: tuple[str, ...], words: tuple[str, ...], patterns: tuple[str, ...]) -> Column:
+        last = lambda k: F.element_at(F.filter("pairs", lambda p: p["key"] == k), -1)["value"]
+        given = [one(1, i, F.try_element_at("given", F.lit(n))) for i, n in enumerate(names)]
+        shown = [one(3, i, F.regexp_extract("text", p, 1)) for i, p in enumerate(patterns)]
+        every = F.concat(F.array(*given, *shown), F.transform("keys", lambda k, i: F.when(k.rlike("|".join(words)), one(2, i, last(k)))))
+        if field == "organization":
+            every = F.concat(every, F.transform(F.coalesce("heads", F.array().cast("array<string>")), lambda h, i: F.when(F.lower(h).isin(*ORGANIZATION_HEADERS), one(4, i, h))))
+        return F.transform(F.filter(every, lambda x: x["value"].isNotNull()), lambda x: F.struct(F.lit(field).alias("field"), x["source"].alias("source"), x["place"].alias("place"), x["value"].alias("value")))
+
+    found = [of(field, *known) for field, known in METADATA.items()]
+    return docs.select("document_id", F.inline(F.concat(*found)))
+
+
 def document_metadata(documents: DataFrame) -> DataFrame:
-    """(document_id, financial_year, mine, organization) from title, file name and text by pattern."""
-    text = F.concat_ws(" ", "title", "filename", "raw_text")
-    mine = F.nullif(F.trim(F.regexp_extract(text, r"(?i)\bmine\s*(?:name)?\s*[:\-]\s*([A-Za-z][A-Za-z ]{2,40})", 1)), F.lit(""))
-    org = F.nullif(F.upper(F.regexp_extract(text, r"(?i)\b(bccl|ccl|ecl|ncl|secl|wcl|mcl|cmpdi|cil)\b", 1)), F.lit(""))
-    return documents.select("document_id", scalars.format_financial_year(scalars.financial_year(text)).alias("financial_year"), mine.alias("mine"), org.alias("organization"))
+    """(document_id, field, value, origin): the best ranked evidence of each field (``metadata_evidence``), one row a field that has any."""
+    best = F.min(F.struct("source", "place", "value"))
+    out = metadata_evidence(documents).groupBy("document_id", "field").agg(best.alias("best"))
+    origin = F.element_at(F.array(*map(F.lit, ("given", "table", "text", "header"))), F.col("best.source"))
+    return out.select("document_id", "field", F.col("best.value").alias("value"), origin.alias("origin"))
+
+
+def first_seen(records: DataFrame, column: str = "data", order: tuple[str, ...] = ("row_index", "record_id")) -> DataFrame:
+    """(key, place): the keys of the records' maps in the order in which they are first seen, records in ``order`` and keys in that of their map."""
+    at = [c for c in order if c in records.columns]
+    seen = records.select(*at, F.posexplode(F.map_keys(column)).alias("place_", "key")).groupBy("key").agg(F.min(F.struct(*at, "place_")).alias("at_"))
+    return seen.select("key", F.row_number().over(Window.orderBy("at_", "key")).alias("place"))  # a row a key, and keys are a schema

