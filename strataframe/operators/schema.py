@@ -123,8 +123,8 @@ def document_metadata(documents: DataFrame) -> DataFrame:
     return out.select("document_id", "field", F.col("best.value").alias("value"), origin.alias("origin"))
 
 
-def first_seen(records: DataFrame, column: str = "data", order: tuple[str, ...] = ("row_index", "record_id")) -> DataFrame:
-    """(key, place): the keys of the records' maps in the order in which they are first seen, records in ``order`` and keys in that of their map."""
+def first_seen(records: DataFrame, column: str = "data", order: tuple[str, ...] = ("row_index", "record_id"), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., key, place): the keys of the records' maps in the order in which they are first seen, records in ``order`` and keys in that of their map; for each ``by`` where it is given."""
     at = [c for c in order if c in records.columns]
-    seen = records.select(*at, F.posexplode(F.map_keys(column)).alias("place_", "key")).groupBy("key").agg(F.min(F.struct(*at, "place_")).alias("at_"))
-    return seen.select("key", F.row_number().over(Window.orderBy("at_", "key")).alias("place"))  # a row a key, and keys are a schema
+    seen = records.select(*by, *at, F.posexplode(F.map_keys(column)).alias("place_", "key")).groupBy(*by, "key").agg(F.min(F.struct(*at, "place_")).alias("at_"))
+    return seen.select(*by, "key", F.row_number().over(Window.partitionBy(*by).orderBy("at_", "key")).alias("place"))  # a row a key, and keys are a schema

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import scalars
 
-TABLES = "path string, source_ref string, sheet_name string, headers array<string>, rows array<array<string>>"
+TABLES = "path string, source_ref string, sheet_name string, section_heading string, headers array<string>, rows array<array<string>>"
 EXTENSIONS = ("csv", "txt", "xlsx", "docx")
 #: Encodings in the order in which they are tried; the third takes any bytes.
 ENCODINGS = ("utf-8-sig", "utf-8", "latin-1", "cp1252")
@@ -95,30 +95,50 @@ def xlsx_tables(data: bytes) -> list[tuple[str, list[str], list[list[str]]]]:
     return out
 
 
-def docx_content(data: bytes) -> tuple[str, list[tuple[list[str], list[list[str]]]]]:
-    """Paragraphs joined by newlines, and (header, rows) of each table."""
+# Names of the styles that make a paragraph a heading.
+HEADING_STYLES = ("heading 1", "heading 2", "heading 3", "heading 4", "title", "subtitle")
+
+
+def docx_content(data: bytes) -> tuple[str, list[tuple[str, list[str], list[list[str]]]]]:
+    """Paragraphs joined by newlines, and (heading, header, rows) of each table, the heading being the last one above it."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = _xml(z, "word/document.xml")
+        root, styles = _xml(z, "word/document.xml"), _xml(z, "word/styles.xml")
+    value = lambda e: next((v for k, v in e.attrib.items() if _local(k) == "val"), "")
+    name = {}
+    for style in (s for s in styles if _local(s.tag) == "style") if styles is not None else ():
+        name |= {next((v for k, v in style.attrib.items() if _local(k) == "styleId"), ""): value(e) for e in style if _local(e.tag) == "name"}
     text = lambda e: "".join(t.text or "" for t in e.iter() if _local(t.tag) == "t")
-    inside = {id(p) for t in body.iter() if _local(t.tag) == "tbl" for p in t.iter()}
-    paragraphs = [text(p) for p in body.iter() if _local(p.tag) == "p" and id(p) not in inside]
-    tables = []
-    for t in (t for t in body.iter() if _local(t.tag) == "tbl"):
-        rows = [[text(c).strip() for c in r if _local(c.tag) == "tc"] for r in t.iter() if _local(r.tag) == "tr"]
-        tables.append((rows[0] if rows else [], rows[1:]))
-    return "\n".join(p for p in paragraphs if p.strip()), tables
+    heading, paragraphs, tables = "", [], []
+
+    def walk(parent):
+        nonlocal heading
+        for e in parent:
+            if _local(e.tag) == "p":
+                paragraphs.append(said := text(e).strip())
+                style = next((value(s) for s in e.iter() if _local(s.tag) == "pStyle"), "")
+                # a style without a definition goes by its id, which has no blanks
+                if said and (name.get(style, "").lower() in HEADING_STYLES or (style not in name and style.lower() in [h.replace(" ", "") for h in HEADING_STYLES])):
+                    heading = said
+            elif _local(e.tag) == "tbl":
+                rows = [[text(c).strip() for c in r if _local(c.tag) == "tc"] for r in e.iter() if _local(r.tag) == "tr"]
+                tables.append((heading, rows[0] if rows else [], rows[1:]))
+            else:
+                walk(e)
+
+    walk(root)
+    return "\n".join(p for p in paragraphs if p), tables
 
 
 def _tables_of(path: str, extension: str, data: bytes) -> Iterator[tuple]:
     name = path.rpartition("/")[2]
     if extension == "csv":
-        yield path, name, None, *csv_table(data)
+        yield path, name, None, None, *csv_table(data)
     elif extension == "xlsx":
         for sheet, headers, rows in xlsx_tables(data):
-            yield path, f"{name}#{sheet}", sheet, headers, rows
+            yield path, f"{name}#{sheet}", sheet, None, headers, rows
     elif extension == "docx":
-        for k, (headers, rows) in enumerate(docx_content(data)[1]):
-            yield path, f"{name}#table{k + 1}", None, headers, rows
+        for k, (heading, headers, rows) in enumerate(docx_content(data)[1]):
+            yield path, f"{name}#table{k + 1}", None, heading, headers, rows
 
 
 def tables(found: DataFrame) -> DataFrame:
@@ -131,8 +151,8 @@ def tables(found: DataFrame) -> DataFrame:
                 try:
                     out += _tables_of(path, extension, bytes(data))
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, csv.Error, ValueError, AttributeError):
-                    out.append((path, path.rpartition("/")[2], None, [], []))
-            yield pd.DataFrame(out, columns=["path", "source_ref", "sheet_name", "headers", "rows"])
+                    out.append((path, path.rpartition("/")[2], None, None, [], []))
+            yield pd.DataFrame(out, columns=["path", "source_ref", "sheet_name", "section_heading", "headers", "rows"])
 
     return found.where(F.col("extension").isin("csv", "xlsx", "docx")).select("path", "extension", "content").mapInPandas(run, TABLES)
 

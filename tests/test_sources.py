@@ -68,3 +68,34 @@ def test_workbook(spark):
     assert [readers.xlsx_tables(bytes(b.content)) for b in sorted(books, key=lambda b: b.path)] == [[("S", ["name", "v", "w"], [["a<b", "1.5", ""]])], [("S", ["name", "v", "w"], [["c", "2.0", "x"]])]]
     whole = writers.workbooks(df.coalesce(1), ["name"], "S").agg({"n": "sum"}).first()[0]
     assert whole == 2
+
+
+def test_docx_in_document_order():
+    p = lambda text, style="": f'<w:p>{f"<w:pPr><w:pStyle w:val={chr(34)}{style}{chr(34)}/></w:pPr>" if style else ""}<w:r><w:t>{text}</w:t></w:r></w:p>'
+    t = lambda *rows: "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = t(("a",), ("1",)) + p("One", "S1") + p("text", "Normal") + t(("b",), ("2",)) + f"<w:sdt><w:sdtContent>{p('Two', 'Heading2')}</w:sdtContent></w:sdt>" + p(" ") + t() + p("odd", "Heading9")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f'<w:styles {ns}><w:style w:styleId="S1"><w:name w:val="Heading 1"/></w:style><w:style w:styleId="Normal"><w:name w:val="Normal"/></w:style></w:styles>')
+    text, tables = readers.docx_content(out.getvalue())
+    assert text == "One\ntext\nTwo\nodd" and tables == [("", ["a"], [["1"]]), ("One", ["b"], [["2"]]), ("Two", [], [])]
+
+
+def test_maintained_workbooks(spark):
+    rows = [(1, 10 + i, i, {"mine": f"M{i}", "production": str(i), **({"late": "x"} if i == 3 else {}), "mine_original_before_apply": "old"}) for i in range(5)] + [(2, 90, 0, {"z": "\x01<&>", "a": None})]
+    records = spark.createDataFrame(rows, "dataset_id long, record_id long, row_index int, data map<string,string>")
+    applied = spark.createDataFrame([(11, "mine"), (13, "late"), (99, "mine")], "record_id long, field_name string")
+    names = spark.createDataFrame([(1, "Output", "a.xlsx"), (2, None, None)], "dataset_id long, name string, source string")
+    books = {b.path: b for b in writers.maintained_workbooks(records, applied, names, "2024-04-01T00:00:00", most=4).collect()}
+    assert {k: b.n for k, b in books.items()} == {"1-000000-maintained.xlsx": 4, "1-000001-maintained.xlsx": 1, "2-000000-maintained.xlsx": 1}
+    (sheet, header, cells), (info, first, more) = readers.xlsx_tables(bytes(books["1-000000-maintained.xlsx"].content))
+    assert (sheet, info) == ("Maintained Data", "Maintainer Info") and sorted(header) == ["late", "mine", "production"]
+    assert first == ["Dataset", "Output"] and more[:2] == [["Source Document", "a.xlsx"], ["Records", "5"]] and more[2] == ["Exported At", "2024-04-01T00:00:00"]
+    at = {h: i for i, h in enumerate(header)}
+    assert [r[at["mine"]] for r in cells] == ["M0", "M1", "M2", "M3"] and cells[3][at["late"]] == "x"
+    with zipfile.ZipFile(io.BytesIO(bytes(books["1-000000-maintained.xlsx"].content))) as z:
+        xml = z.read("xl/worksheets/sheet1.xml").decode()
+        assert xml.count('s="1"') == 3 and xml.count('s="2"') == 2 and 's="2" t="inlineStr"><is><t xml:space="preserve">M1<' in xml and "E2EFDA" in z.read("xl/styles.xml").decode()
+    assert "&lt;&amp;&gt;" in zipfile.ZipFile(io.BytesIO(bytes(books["2-000000-maintained.xlsx"].content))).read("xl/worksheets/sheet1.xml").decode()
