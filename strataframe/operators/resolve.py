@@ -21,6 +21,10 @@ SUBSIDIARY, MINE = ("subsidiary", "company", "company_name"), ("mine", "mine_nam
 # Units by what a value says, and the one where it says nothing.
 SAID = (("tonne", "Tonnes"), ("crore", "Crore"), ("%", "%"), ("bcm", "Million BCM"))
 UNIT = "MT"
+# Why nothing was found.
+NO_METRIC, NO_SUBSIDIARY = "No structured metric identified in query.", "No record found for subsidiary "
+NO_VALUE = "I could not find a sufficiently specific value for that field in the selected document."
+NO_REFERENCE = "I could not find sufficient evidence in the authorized organization reference data."
 
 
 def _get(key: str | Column) -> Column:
@@ -78,7 +82,7 @@ def _mine_names(mine: Column) -> Column:
 
 
 def resolved(questions: DataFrame, records: DataFrame) -> DataFrame:
-    """``questions(question_id, scope, text, subsidiary, year, metric, aggregation)`` to a row each: (question_id, found, calculation, metric_display, subsidiary, mine, value, formatted, unit, record_id).
+    """``questions(question_id, scope, text, subsidiary, year, metric, aggregation)`` to a row each: (question_id, found, calculation, metric_display, subsidiary, mine, value, formatted, unit, record_id, reason).
 
     A question whose text names a mine gets that mine's first row. One that names a subsidiary gets the subsidiary's first row. Any other one gets the first summary row; without one, of the
     table's rows the sum (also where the text says total, and where nothing is asked), the highest, the lowest or the average. Rows count whose cells hold the question's year, in any column; a null year is any.
@@ -98,7 +102,7 @@ def resolved(questions: DataFrame, records: DataFrame) -> DataFrame:
         F.min_by("item", F.when(~F.col("is_document") & number.isNotNull(), F.struct(number.alias("v"), "item"))).alias("lowest"), F.min_by("item", F.when(~F.col("is_document") & number.isNotNull(), F.struct((-number).alias("v"), "item"))).alias("highest"))
     by_subsidiary = rows.where("item.subsidiary is not null").groupBy(*key, F.upper("item.subsidiary").alias("s_")).agg(F.min("item").alias("of_subsidiary"))
     named = rows.select(*key, "item", F.explode(_mine_names(F.col("item.mine"))).alias("m_")).groupBy(*key, "m_").agg(F.min("item").alias("of_mine"))
-    q = questions.select("question_id", F.col("scope").alias("qs_"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.upper("subsidiary").alias("sub_"), F.translate(F.regexp_replace(F.lower("year"), "fy| ", ""), "–", "-").alias("year_"), F.col("metric").alias("qm_"), F.col("aggregation").alias("agg_"))
+    q = questions.select("question_id", F.col("scope").alias("qs_"), F.col("subsidiary").alias("asked_"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.upper("subsidiary").alias("sub_"), F.translate(F.regexp_replace(F.lower("year"), "fy| ", ""), "–", "-").alias("year_"), F.col("metric").alias("qm_"), F.col("aggregation").alias("agg_"))
     same = F.expr("qs_ <=> scope and qm_ = metric and year_ <=> y")
     # a mine's name may stand anywhere in the text: all parts of the text that are as long as some name
     lengths = [r[0] for r in named.select(F.length("m_")).distinct().collect()]  # numbers below the longest name's
@@ -122,7 +126,79 @@ def resolved(questions: DataFrame, records: DataFrame) -> DataFrame:
         "question_id", found.alias("found"), F.when(found, F.when(F.col("kind") == "mine", "lookup").when(F.col("kind").isin("subsidiary", "document"), F.coalesce("agg_", F.lit("lookup"))).otherwise(F.col("kind"))).alias("calculation"),
         F.when(found, F.when(F.col("kind") == "sum", F.concat(F.lit("Total "), "qm_")).when(F.col("kind") == "avg", F.concat(F.lit("Average "), "qm_")).otherwise(F.col("item.display"))).alias("metric_display"),
         F.when(~made, F.col("item.subsidiary")).alias("subsidiary"), F.col("item.mine").alias("mine"), F.when(found, value).alias("value"), F.when(found, F.when(made, F.concat(places, F.lit(" "), "item.unit")).otherwise(F.col("item.formatted"))).alias("formatted"),
-        F.col("item.unit").alias("unit"), F.col("item.record_id").alias("record_id"))
+        F.col("item.unit").alias("unit"), F.col("item.record_id").alias("record_id"),
+        F.when(~found, F.when(F.col("qm_").isNull(), NO_METRIC).when(F.col("kind") == "subsidiary", F.concat(F.lit(NO_SUBSIDIARY), "asked_")).otherwise(NO_VALUE)).alias("reason"))
+
+
+def _either(questions: DataFrame, records: DataFrame) -> DataFrame:
+    """``resolved``, and for questions whose year finds nothing the same without the year; ``year`` is the one that found it."""
+    q = questions.withColumn("question_id", F.struct("question_id", F.lit(0).alias("again")))
+    more = questions.where("year is not null").withColumn("question_id", F.struct("question_id", F.lit(1).alias("again"))).withColumn("year", F.lit(None).cast("string"))
+    both = q.unionByName(more)
+    found = resolved(both, records).join(both.select("question_id", "year"), "question_id")
+    best = F.min_by(F.struct(*[c for c in found.columns if c != "question_id"]), F.struct((~F.col("found")).alias("missed"), "question_id.again"))
+    last = F.max_by("reason", "question_id.again")  # of the attempts
+    return found.groupBy("question_id.question_id").agg(best.alias("r"), last.alias("why")).select("question_id", "r.*", "why").drop("reason").withColumnRenamed("why", "reason")
+
+
+def _shown(value: Column) -> Column:
+    """A number as it is written: one place at least, no exponent."""
+    plain = F.when((F.abs(value) < 1e15) & (value == F.floor(value)), F.concat(F.floor(value).cast("string"), F.lit(".0")))
+    return F.coalesce(plain, F.when((F.abs(value) >= 1e7) | (F.abs(value) < 1e-3), F.regexp_replace(F.format_string("%.6f", value), r"0+$", "")).when(value.isNotNull(), value.cast("string")))
+
+
+def question_years(text: Column) -> Column:
+    """Financial years that a text names, as ``YYYY-YY`` or longer, sorted."""
+    low, pattern = F.lower(text), F.lit(r"\b(?:fy\s*)?(20\d{2})[-–/](\d{2,4})\b")
+    return F.array_sort(F.zip_with(F.regexp_extract_all(low, pattern, 1), F.regexp_extract_all(low, pattern, 2), lambda a, b: F.concat(a, F.lit("-"), b)))
+
+
+def compared_answers(questions: DataFrame, current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """``questions`` as for ``resolved``, over a question's own ``current`` records and the ``baseline`` ones (scope null: everyone's), to (question_id, kind, current_value, baseline_value, difference, pct, answer, confidence).
+
+    Of two years or more in a question's text the least is the baseline's and the greatest the current one; else both sides take ``year``. A side that finds nothing for its year is asked without it. With both values the
+    answer is computed (``compared``); with one it says which is missing (``no_baseline``, ``no_current``); without any there is none (``none``), and chunks must answer.
+    """
+    years = question_years(F.coalesce("text", F.lit("")))
+    q = questions.withColumn("ys_", years)
+    of = lambda at: q.withColumn("year", F.when(F.size("ys_") >= 2, F.element_at("ys_", at)).otherwise(F.col("year"))).drop("ys_")
+    now = _either(of(-1), current).select("question_id", *[F.col(c).alias(f"now_{c}") for c in ("found", "value", "unit", "subsidiary", "year", "reason")])
+    then = _either(of(1).withColumn("scope", F.lit(None).cast("string")), baseline).select("question_id", *[F.col(c).alias(f"then_{c}") for c in ("found", "value", "unit", "year", "reason")])
+    out = questions.select("question_id", "metric", F.col("subsidiary").alias("asked")).join(now, "question_id").join(then, "question_id")
+    both = F.col("now_value").isNotNull() & F.col("then_value").isNotNull()
+    kind = F.when(both, "compared").when(F.col("now_found") & ~F.col("then_found"), "no_baseline").when(F.col("then_found") & ~F.col("now_found"), "no_current").otherwise("none")
+    out = out.withColumn("kind", kind).withColumn("difference", F.when(both, F.round(F.col("now_value") - F.col("then_value"), 2)))
+    out = out.withColumn("pct", F.when(F.col("then_value") != 0, F.round(F.col("difference") / F.col("then_value") * 100, 2)))
+    who = F.coalesce(F.concat(F.coalesce(F.nullif("now_subsidiary", F.lit("")), F.nullif("asked", F.lit(""))), F.lit(" ")), F.lit(""))
+    unit, amount = F.coalesce("now_unit", F.lit(UNIT)), F.format_string("%.2f", F.abs("difference"))
+    text = F.concat(who, F.initcap(F.substring(F.col("metric"), 1, 1)), F.lower(F.substring(F.col("metric"), F.lit(2), F.length("metric"))), F.lit(" was "), _shown(F.col("now_value")), F.lit(" "), unit, F.lit(" in "), F.coalesce("now_year", F.lit("current period")),
+                    F.lit(", compared with "), _shown(F.col("then_value")), F.lit(" "), unit, F.lit(" in "), F.coalesce("then_year", F.lit("baseline period")), F.lit(". The "), F.when(F.col("difference") >= 0, "increase").otherwise("decrease"), F.lit(" was "), amount, F.lit(" "), unit,
+                    F.when(F.col("pct").isNotNull(), F.concat(F.lit(" ("), F.format_string("%.1f", F.abs("pct")), F.lit("%)"))).otherwise(""), F.lit("."))
+    missing = lambda side, value, unit, why, tail: F.concat(F.lit(f"{side} value: "), F.coalesce(_shown(F.col(value)), F.lit("None")), F.lit(" "), F.coalesce(unit, F.lit(UNIT)), F.lit(f". {tail}"), F.lit(" ("), why, F.lit(")."))
+    answer = (
+        F.when(F.col("kind") == "compared", text)
+        .when(F.col("kind") == "no_baseline", missing("Current", "now_value", "now_unit", "then_reason", "I could not calculate this comparison because a valid historical baseline value was not available in the authorized baseline data"))
+        .when(F.col("kind") == "no_current", missing("Baseline", "then_value", "then_unit", "now_reason", "I could not calculate this comparison because a current document value was not available"))
+    )
+    return out.select("question_id", "kind", F.col("now_value").alias("current_value"), F.col("then_value").alias("baseline_value"), "difference", "pct", answer.alias("answer"), F.when(F.col("kind") == "compared", "HIGH").when(F.col("kind") != "none", "LOW").alias("confidence"))
+
+
+def organization_answers(questions: DataFrame, records: DataFrame, titles: DataFrame, found: DataFrame) -> DataFrame:
+    """``questions`` over the reference ``records`` of everyone, then over their chunks: (question_id, query_type, answer, confidence, evidence).
+
+    A value among the records answers with its document (``titles(record_id, document_title)``), with high confidence. Else the first of ``found(question_id, rank, score, content, document_title)``, the chunks that a search of
+    the reference documents gave, is quoted, with the confidence that its score has. Without chunks nothing is found.
+    """
+    every = questions.withColumn("scope", F.lit(None).cast("string"))
+    value = resolved(every, records).where("found").join(titles, "record_id", "left")
+    top = found.groupBy("question_id").agg(F.min(F.struct("rank", "score", "content", "document_title")).alias("top"), F.count("*").alias("chunks"))
+    out = questions.select("question_id").join(value, "question_id", "left").join(top, "question_id", "left")
+    held = F.coalesce("found", F.lit(False))
+    said = F.concat(F.lit("According to the authorized organization historical report ("), F.coalesce("document_title", F.lit("authorized organization records")), F.lit("), "), "metric_display", F.lit(" was "), F.coalesce(F.nullif("formatted", F.lit("")), _shown(F.col("value"))), F.lit(" "), "unit", F.lit("."))
+    quoted = F.concat(F.lit("According to authorized organization reference records in "), F.col("top.document_title"), F.lit(": "), F.substring("top.content", 1, 200), F.lit("."))
+    answer = F.when(held, said).when(F.col("top").isNotNull(), quoted).otherwise(NO_REFERENCE)
+    sure = F.when(held, "HIGH").when(F.col("top.score") >= 1.0, "HIGH").when(F.col("top.score") >= 0.4, "MEDIUM").otherwise("LOW")
+    return out.select("question_id", F.when(held, "STRUCTURED").otherwise("DOCUMENT").alias("query_type"), answer.alias("answer"), sure.alias("confidence"), F.when(held, 1).otherwise(F.coalesce("chunks", F.lit(0))).cast("long").alias("evidence"))
 
 
 # answers from chunks

@@ -133,3 +133,29 @@ def test_answers_from_chunks(spark):
     assert {k for k, _ in rows.values()} == {"fields", "none", "absent", "sentence"}
     for k, text in questions:
         assert rows[k] == slow_answer(text, found[k]), (text, found[k])
+
+
+def test_comparison_takes_years_from_the_question(spark):
+    schema = "scope string, record_id long, row_index int, data map<string,string>"
+    now = [("a", 1, 0, {"subsidiary": "MCL", "production": "204.5", "year": "2024-25"}), ("a", 2, 1, {"subsidiary": "SECL", "production": "12345678.25", "year": "2023-24"}), ("a", 3, 2, {"subsidiary": "NCL", "production": "10"})]
+    then = [(None, 9, 0, {"subsidiary": "MCL", "production": "190", "year": "2022-23"}), (None, 8, 1, {"subsidiary": "ECL", "production": "0", "year": "2022-23"}), (None, 7, 2, {"subsidiary": "NCL", "production": "0"})]
+    q = [(1, "a", "Compare MCL production FY 2024-25 with 2022–23", "MCL", "2024-25", "production", None), (2, "a", "MCL production vs last year", "MCL", "2031-32", "production", None), (3, "a", "compare SECL", "SECL", None, "production", None),
+         (4, "a", "compare ECL", "ECL", None, "production", None), (5, "a", "NCL change", "NCL", None, "production", None), (6, "a", "compare XCL", "XCL", None, "production", None), (7, "a", "compare", None, None, None, None)]
+    rows = {r.question_id: r for r in resolve.compared_answers(spark.createDataFrame(q, QUESTIONS), spark.createDataFrame(now, schema), spark.createDataFrame(then, schema)).collect()}
+    assert rows[1].answer == "MCL Production was 204.5 MT in 2024-25, compared with 190.0 MT in 2022-23. The increase was 14.50 MT (7.6%)." and (rows[1].difference, rows[1].pct) == (14.5, 7.63)
+    assert rows[2].answer.startswith("MCL Production was 204.5 MT in current period, compared with 190.0 MT in baseline period.") and rows[2].confidence == "HIGH"
+    assert rows[3].kind == "no_baseline" and rows[3].answer.startswith("Current value: 12345678.25 MT. I could not") and rows[3].answer.endswith("(No record found for subsidiary SECL).")
+    assert rows[4].kind == "no_current" and rows[4].answer.startswith("Baseline value: 0.0 MT.") and rows[4].confidence == "LOW"
+    assert rows[5].answer.endswith("The increase was 10.00 MT.") and rows[5].pct is None
+    assert [(rows[k].kind, rows[k].answer, rows[k].confidence) for k in (6, 7)] == [("none", None, None)] * 2
+
+
+def test_organization_answers(spark):
+    records = spark.createDataFrame([(None, 4, 0, {"subsidiary": "MCL", "production": "190", "production_unit": "kt"})], "scope string, record_id long, row_index int, data map<string,string>")
+    q = spark.createDataFrame([(1, "a", "MCL production", "MCL", None, "production", None), (2, "a", "drilling", None, None, "borehole", None), (3, "b", "rain", None, None, None, None), (4, "b", "snow", None, None, None, None)], QUESTIONS)
+    found = spark.createDataFrame([(2, 2, 0.9, "second", "B"), (2, 1, 1.25, "c" * 300, "A"), (3, 1, 0.5, "wet", "C")], "question_id long, rank int, score double, content string, document_title string")
+    titles = spark.createDataFrame([(4, "Report 2022")], "record_id long, document_title string")
+    rows = {r.question_id: tuple(r)[1:] for r in resolve.organization_answers(q, records, titles, found).collect()}
+    assert rows[1] == ("STRUCTURED", "According to the authorized organization historical report (Report 2022), Production was 190 kt.", "HIGH", 1)
+    assert rows[2] == ("DOCUMENT", f"According to authorized organization reference records in A: {'c' * 200}.", "HIGH", 2) and rows[3][2:] == ("MEDIUM", 1)
+    assert rows[4] == ("DOCUMENT", resolve.NO_REFERENCE, "LOW", 0)
