@@ -21,6 +21,8 @@ from strataframe.llm.components import connected_components
 from strataframe.llm.shared import stored
 
 BANDS, ROWS = 20, 5
+#: Words of a text's map of shingles, a power of 2.
+MAPS = 8
 _R = np.random.default_rng(29)
 _A = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _R.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -82,6 +84,9 @@ def rare_candidates(open_: DataFrame, texts: DataFrame, spark: SparkSession, lea
     With shingles in one order for all texts, those in which two texts first agree have places i and j, and no more agree than follow: of sizes x <= y, ``least`` needs
     ceil(least / (1 + least) * (x + y)) of them. So the smaller text is found by its first x - ceil(2 * least / (1 + least) * x) + 1 shingles, among the first
     y - ceil(least * y) + 1 of the larger one. Most shingles of open texts occur once and come first, so they are counted and not moved again.
+
+    Of texts that share such shingles, those leave whose difference is too large for sure: the shingles that occur once in either, and the bits in which two maps of ``64 * MAPS`` bits of their other
+    shingles differ, each of which is a shingle of one text alone at least. So near misses by the thousand, which one template's texts are, make no rows.
     """
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,17 +101,22 @@ def rare_candidates(open_: DataFrame, texts: DataFrame, spark: SparkSession, lea
     shared = tokens.groupBy("s").agg(F.count("*").alias("f"), F.min("p").alias("low"), F.max("p").alias("high")).where("f > 1")
     shared = stored(tokens.join(shared, "s").select("s", "id", "p", "n", "f", (F.col("low") < F.col("high")).alias("mixed")), spark)
     order = F.array_sort(F.collect_list(F.struct("f", "s", "mixed")))  # one text's shingles
-    placed = shared.groupBy("id", "p", "n").agg(order.alias("o")).select("id", "p", "n", F.posexplode("o").alias("k", "e"), (F.col("n") - F.size("o")).alias("own"))
+    slot, bit = F.shiftrightunsigned("s", 6).bitwiseAND(F.lit(MAPS - 1)), F.expr("shiftleft(1L, cast(s & 63 as int))")
+    maps = [F.coalesce(F.bit_or(F.when(slot == i, bit)), F.lit(0).cast("long")).alias(f"m{i}") for i in range(MAPS)]
+    names = ["own", *[f"m{i}" for i in range(MAPS)]]
+    placed = shared.groupBy("id", "p", "n").agg(order.alias("o"), *maps).withColumn("own", F.col("n") - F.size("o")).select("id", "p", "n", *names, F.posexplode("o").alias("k", "e"))
     at = F.col("own") + F.col("k")
     share = least / (1 + least)
-    placed = placed.select("id", "p", "n", F.col("e.s").alias("s"), at.alias("at"), "e.mixed").where(f"mixed and at <= n - ceil({least} * n - 1e-9)").drop("mixed")
+    placed = placed.select("id", "p", "n", *names, F.col("e.s").alias("s"), at.alias("at"), "e.mixed").where(f"mixed and at <= n - ceil({least} * n - 1e-9)").drop("mixed")
     placed = placed.withColumn("few", F.expr(f"at <= n - ceil({2 * share} * n - 1e-9)"))
     # pairs within a component are not asked for: each shingle's largest component meets the others, not itself
     most = placed.groupBy("s", "p").agg(F.count("*").alias("c")).groupBy("s").agg(F.max_by("p", F.struct("c", "p")).alias("most"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     placed = stored(placed.join(most, "s"), spark)
-    x = placed.where("p <> most").select("s", F.col("id").alias("x"), F.col("p").alias("px"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("few").alias("fx"))
-    y = placed.select("s", F.col("id").alias("y"), F.col("p").alias("py"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("few").alias("fy"))
+    x = placed.where("p <> most").select("s", F.col("id").alias("x"), F.col("p").alias("px"), F.col("n").alias("nx"), F.col("at").alias("i"), F.col("few").alias("fx"), *[F.col(c).alias(f"x_{c}") for c in names])
+    y = placed.select("s", F.col("id").alias("y"), F.col("p").alias("py"), F.col("n").alias("ny"), F.col("at").alias("j"), F.col("few").alias("fy"), *[F.col(c).alias(f"y_{c}") for c in names])
     can = f"px <> py and ((nx <= ny and fx) or (ny <= nx and fy)) and least(nx, ny) >= {least} * greatest(nx, ny) and least(nx - i, ny - j) >= ceil({share} * (nx + ny) - 1e-9)"
+    apart = " + ".join(f"bit_count(x_m{i} ^ y_m{i})" for i in range(MAPS))
+    can += f" and x_own + y_own + {apart} <= nx + ny - 2 * ceil({share} * (nx + ny) - 1e-9)"
     return x.join(y, "s").where(can).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
