@@ -175,14 +175,16 @@ def topic_distribution(texts: DataFrame, column: str = "text") -> DataFrame:
 
 
 def dominant_topics(texts: DataFrame, key: str = "doc_id", column: str = "text", keywords: int = 6) -> DataFrame:
-    """(key, topic, keywords): each text's highest topic (the first on ties, a dash without any) and most frequent words, the earlier first on ties."""
-    tokens = texts.select(key, scalars.topic_tokens(F.col(column)).alias("tokens"))
-    best = F.array_max(F.transform(_topic_scores(F.array_distinct("tokens")), lambda x: F.struct(x["score"].alias("score"), (-x["ord"]).alias("ord"), x["topic"].alias("topic"))))
-    topic = tokens.select(key, F.when(best["score"] > 0, best["topic"]).otherwise("—").alias("topic"))
-    counted = tokens.select(key, F.posexplode("tokens").alias("pos", "w")).groupBy(key, "w").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))).where(F.col("r") <= keywords)
-    listed = top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]), ",").alias("keywords"))
-    return topic.join(listed, key, "left").withColumn("keywords", F.coalesce("keywords", F.lit("")))
+    """(key, topic, keywords): each text's highest topic (the first on ties, a dash without any) and most frequent words, the earlier first on ties.
+
+    A text's words with their counts are one list, bounded by its vocabulary, from which both are read; keys are unique.
+    """
+    tokens = texts.select(key, F.posexplode_outer(scalars.topic_tokens(F.col(column))).alias("pos", "w"))
+    counted = tokens.groupBy(key, "w").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    listed = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct((-F.col("n")).alias("n"), "first", "w")))).alias("l"))
+    listed = listed.withColumn("ws", F.transform("l", lambda x: x["w"]))
+    best = F.array_max(F.transform(_topic_scores(F.col("ws")), lambda x: F.struct(x["score"].alias("score"), (-x["ord"]).alias("ord"), x["topic"].alias("topic"))))
+    return listed.select(key, best.alias("best"), "ws").select(key, F.when(F.col("best.score") > 0, F.col("best.topic")).otherwise("—").alias("topic"), F.array_join(F.slice("ws", 1, keywords), ",").alias("keywords"))
 
 
 def _any(q: Column, patterns: list[str]) -> Column:

@@ -425,6 +425,36 @@ def topic_documents(spark, sf_dir):
     return retrieval.dominant_topics(binding.table(spark, sf_dir, "documents")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+#: Documents that speak of topics, by id: some words of one, of two, or of none.
+_SAID = [" ".join(w for w in k if " " not in w) for k in vocab.TOPICS.values()]
+_TOPICAL = f"""documents as (select doc_id, coalesce(text, '') || ' ' || coalesce(array_to_string(list_slice(string_split([{", ".join(f"'{x}'" for x in _SAID)}][doc_id % {len(_SAID) + 1}], ' '), 1, 1 + doc_id % 4), ' '), '') ||
+ case when doc_id % 3 = 0 then ' ' || string_split([{", ".join(f"'{x}'" for x in _SAID)}][1 + doc_id % 2], ' ')[1] else '' end text from main.documents)"""
+
+
+def _topical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, said = F.col("doc_id"), F.array(*map(F.lit, _SAID))
+    words = lambda at, n: F.coalesce(F.array_join(F.slice(F.split(F.get(said, at - 1), " "), 1, n), " "), F.lit(""))
+    more = F.when(i % 3 == 0, F.concat(F.lit(" "), words((1 + i % 2).cast("int"), 1))).otherwise("")
+    return binding.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), words((i % (len(_SAID) + 1)).cast("int"), (1 + i % 4).cast("int")), more).alias("text"))
+
+
+@query(f"""with {_TOPICAL}, {_WORDS}, f as (select w, count(*) n from k group by 1), tp as ({_TOPICS}), s as (select topic, count(f.w) matched, count(*) total, array_to_string(list_slice(list(tp.w order by n desc, place) filter (n is not null), 1, 5), ',') keywords from tp left join f on f.w = tp.w group by 1),
+ q as (select *, matched / cast(total as double) sc from s where matched > 0)
+ select topic, matched, round(sc, 4) score, cast(round_even(round(sc / cast(sum(cast(sc as decimal(18,12))) over () as double) * 100, 9), 0) as int) pct, keywords from q""")
+def topics_said(spark, sf_dir):
+    return retrieval.topic_distribution(_topical(spark, sf_dir))
+
+
+@query(f"""with {_TOPICAL}, l as (select doc_id, list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(text, '(?i)\\bopen[- ]cast\\b', 'opencast', 'g'), '(?i)\\bnon[- ]coking\\b', 'non-coking', 'g')), '[a-zA-Z][a-zA-Z\\-]{{2,}}'), lambda x: x not in ({_STOP})) a from documents),
+ z as (select doc_id, a[i] w, i p from (select doc_id, a, unnest(range(1, len(a) + 1)) i from l)),
+ c as (select doc_id, w, count(*) n, min(p) p from z group by 1, 2), kw as (select doc_id, array_to_string(list_slice(list(w order by n desc, p), 1, 6), ',') keywords from c group by 1),
+ tp as ({_TOPICS}), t as (select topic, count(*) total, min(ord) ord from tp group by 1), h as (select doc_id, topic, count(distinct tp.w) hits from c join tp on c.w = tp.w group by 1, 2),
+ b as (select doc_id, topic, row_number() over (partition by doc_id order by hits / cast(total as double) desc, ord) r from h join t using (topic))
+ select d.doc_id, coalesce(topic, '—') topic, coalesce(keywords, '') keywords from documents d left join (select * from b where r = 1) x on d.doc_id = x.doc_id left join kw on kw.doc_id = d.doc_id""")
+def documents_by_topic(spark, sf_dir):
+    return retrieval.dominant_topics(_topical(spark, sf_dir))
+
+
 _QUESTION = "pathetic thing with anonea worthless"
 _RSTOP = ", ".join(f"'{w}'" for w in vocab.RANK_STOP)
 
