@@ -195,14 +195,15 @@ def is_coking(c: Column) -> Column:
     return s.contains("coking") & ~s.contains("non")
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with so many places, ties of its exact value to even, without grouping."""
+    return F.regexp_replace(F.format_number(value, digits), ",", "")
+
+
 def file_size(size: Column) -> Column:
     """Bytes for people: B, KB, MB, GB."""
-    return (
-        F.when(size < 1024, F.format_string("%d B", size))
-        .when(size < 1024**2, F.format_string("%.1f KB", size / 1024.0))
-        .when(size < 1024**3, F.format_string("%.1f MB", size / 1024.0**2))
-        .otherwise(F.format_string("%.1f GB", size / 1024.0**3))
-    )
+    of = lambda power, name: F.concat(fixed(size / 1024.0**power, 1), F.lit(f" {name}"))
+    return F.when(size < 1024, F.format_string("%d B", size)).when(size < 1024**2, of(1, "KB")).when(size < 1024**3, of(2, "MB")).otherwise(of(3, "GB"))
 
 
 def safe_filename(c: Column) -> Column:

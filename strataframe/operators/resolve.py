@@ -170,10 +170,10 @@ def compared_answers(questions: DataFrame, current: DataFrame, baseline: DataFra
     out = out.withColumn("kind", kind).withColumn("difference", F.when(both, F.round(F.col("now_value") - F.col("then_value"), 2)))
     out = out.withColumn("pct", F.when(F.col("then_value") != 0, F.round(F.col("difference") / F.col("then_value") * 100, 2)))
     who = F.coalesce(F.concat(F.coalesce(F.nullif("now_subsidiary", F.lit("")), F.nullif("asked", F.lit(""))), F.lit(" ")), F.lit(""))
-    unit, amount = F.coalesce("now_unit", F.lit(UNIT)), F.format_string("%.2f", F.abs("difference"))
+    unit, amount = F.coalesce("now_unit", F.lit(UNIT)), scalars.fixed(F.abs("difference"), 2)
     text = F.concat(who, F.initcap(F.substring(F.col("metric"), 1, 1)), F.lower(F.substring(F.col("metric"), F.lit(2), F.length("metric"))), F.lit(" was "), _shown(F.col("now_value")), F.lit(" "), unit, F.lit(" in "), F.coalesce("now_year", F.lit("current period")),
                     F.lit(", compared with "), _shown(F.col("then_value")), F.lit(" "), unit, F.lit(" in "), F.coalesce("then_year", F.lit("baseline period")), F.lit(". The "), F.when(F.col("difference") >= 0, "increase").otherwise("decrease"), F.lit(" was "), amount, F.lit(" "), unit,
-                    F.when(F.col("pct").isNotNull(), F.concat(F.lit(" ("), F.format_string("%.1f", F.abs("pct")), F.lit("%)"))).otherwise(""), F.lit("."))
+                    F.when(F.col("pct").isNotNull(), F.concat(F.lit(" ("), scalars.fixed(F.abs("pct"), 1), F.lit("%)"))).otherwise(""), F.lit("."))
     missing = lambda side, value, unit, why, tail: F.concat(F.lit(f"{side} value: "), F.coalesce(_shown(F.col(value)), F.lit("None")), F.lit(" "), F.coalesce(unit, F.lit(UNIT)), F.lit(f". {tail}"), F.lit(" ("), why, F.lit(")."))
     answer = (
         F.when(F.col("kind") == "compared", text)
