@@ -59,14 +59,40 @@ def detail(records: DataFrame) -> DataFrame:
     return out.select("record_id", "field", get("").alias("current"), get("_original").alias("original"), get("_original_before_apply").alias("before_apply"), get("_original_before_apply").isNotNull().alias("was_maintained"))
 
 
+def record_details(records: DataFrame, provenance: DataFrame, findings: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """A row a record with everything known of it: (record_id, fields, provenance, findings, suggestions, is_maintained).
+
+    ``fields`` are its cells but for the kept originals, each with its value now, the original (the value itself where none was kept), and the value before a correction. ``provenance(record_id,
+    provenance_id, document_id, sheet_name)``, ``findings(record_id, finding_id, issue_type, severity, status)`` and ``suggestions(record_id, suggestion_id, field_name, suggested_value, status)`` are listed by id, the
+    newest suggestion first. A record is maintained if a suggestion for it was applied. The lists are those of one record.
+    """
+    keys = F.filter(F.map_keys("data"), lambda k: ~k.rlike("(_original|_original_before_apply)$"))
+    get = lambda k, suffix: F.try_element_at("data", F.concat(k, F.lit(suffix)))
+    cell = lambda k: F.struct(k.alias("field"), F.coalesce(F.try_element_at("data", k), F.lit("")).alias("current"), F.coalesce(get(k, "_original"), F.try_element_at("data", k), F.lit("")).alias("original"), get(k, "_original_before_apply").alias("before_apply"))
+    out = records.select("record_id", F.transform(keys, cell).alias("fields"))
+    applied = F.bool_or(F.col("status") == "applied").alias("is_maintained")
+    sides = {
+        "provenance": provenance.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("provenance_id", "document_id", "sheet_name"))).alias("provenance")),
+        "findings": findings.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("finding_id", "issue_type", "severity", "status"))).alias("findings")),
+        "suggestions": suggestions.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("suggestion_id", "field_name", "suggested_value", "status")), asc=False).alias("suggestions"), applied),
+    }
+    for name, side in sides.items():
+        out = out.join(side, "record_id", "left").withColumn(name, F.coalesce(name, F.array().cast(side.schema[name].dataType)))
+    return out.withColumn("is_maintained", F.coalesce("is_maintained", F.lit(False)))
+
+
 def first_provenance(records: DataFrame, provenance: DataFrame) -> DataFrame:
     """Records with their first provenance row (by ``provenance_id``), where there is one."""
     one = provenance.withColumn("n_", F.row_number().over(Window.partitionBy("record_id").orderBy("provenance_id"))).where("n_ = 1").drop("n_")
     return records.join(one, "record_id", "left")
 
 
-def drilldown(records: DataFrame, provenance: DataFrame) -> DataFrame:
-    """Records with all their provenance rows, as text in order."""
+def drilldown(records: DataFrame, provenance: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """Records with all their provenance rows, as text in order; with ``documents(document_id, title)`` their titles too."""
+    if documents is not None:
+        titled = provenance.join(documents.select("document_id", "title"), "document_id", "left")
+        titles = titled.groupBy("record_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("provenance_id", F.coalesce("title", F.lit("")).alias("title")))), lambda x: x["title"]), "|").alias("titles"))
+        records = records.join(titles, "record_id", "left")
     every = provenance.groupBy("record_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("provenance_id", "sheet_name"))), lambda x: x["sheet_name"]), "|").alias("sheets"), F.count("*").alias("provenance_count"))
     return records.join(every, "record_id", "left").withColumn("provenance_count", F.coalesce("provenance_count", F.lit(0)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.functions import scalars
-from strataframe.operators import aggregates, answers, catalogue, cleaning, datasets, filters, lifecycle, quality, retrieval
+from strataframe.operators import aggregates, answers, catalogue, cleaning, datasets, filters, lifecycle, quality, retrieval, schema
 from strataframe.plans import binding
 from strataframe.plans.queries import B, SQL, _questions, query
 from strataframe.sources import writers
@@ -166,6 +166,27 @@ def capital_names(spark, sf_dir):
     return cleaning.suggestions(cells).where("issue_type = 'capitalization'").select("record_id", "original_value", "suggested_value")
 
 
+@query("""with o as (select o_orderkey k, o_orderkey % 4 m from orders), l as (select distinct l_orderkey k, l_linenumber n from lineitem)
+ select k record_id, 'now ' || k || case when m = 1 then ' (was ' || k || ', before old)' else ' (was now ' || k || ')' end fields, coalesce((select string_agg('d' || n % 3 || ' S' || n, '|' order by n) from l where l.k = o.k), '') provenance,
+ case m when 2 then 'ERROR open' else '' end findings, case m when 1 then 'production=8 applied|production=7 rejected' when 3 then 'production=9 pending' else '' end suggestions, m = 1 is_maintained from o""")
+def details_of_records(spark, sf_dir):
+    """Orders as records, their lines as provenance, with findings and suggestions by id."""
+    o, k = binding.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id")), F.col("record_id")
+    now = F.concat(F.lit("now "), k)
+    kept = F.create_map(F.lit("production_original"), k.cast("string"), F.lit("production_original_before_apply"), F.lit("old"))
+    records = o.select("record_id", F.when(k % 4 == 1, F.map_concat(F.create_map(F.lit("production"), now), kept)).otherwise(F.create_map(F.lit("production"), now)).alias("data"))
+    line = F.col("l_linenumber").cast("string")
+    provenance = binding.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record_id"), "l_linenumber").distinct().select("record_id", F.col("l_linenumber").alias("provenance_id"), F.concat(F.lit("d"), (F.col("l_linenumber") % 3).cast("string")).alias("document_id"), F.concat(F.lit("S"), line).alias("sheet_name"))
+    findings = o.where("record_id % 4 = 2").select("record_id", k.alias("finding_id"), F.lit("negative").alias("issue_type"), F.lit("ERROR").alias("severity"), F.lit("open").alias("status"))
+    made = lambda rest, i, value, status: o.where(f"record_id % 4 = {rest}").select("record_id", F.lit(i).alias("suggestion_id"), F.lit("production").alias("field_name"), F.lit(value).alias("suggested_value"), F.lit(status).alias("status"))
+    suggestions = made(1, 1, "7", "rejected").unionByName(made(1, 2, "8", "applied")).unionByName(made(3, 1, "9", "pending"))
+    d = schema.record_details(records, provenance, findings, suggestions)
+    text = lambda c, f: F.array_join(F.transform(c, f), "|")
+    return d.select(
+        "record_id", text("fields", lambda x: F.concat(x["current"], F.lit(" (was "), x["original"], F.coalesce(F.concat(F.lit(", before "), x["before_apply"]), F.lit("")), F.lit(")"))).alias("fields"), text("provenance", lambda x: F.concat(x["document_id"], F.lit(" "), x["sheet_name"])).alias("provenance"),
+        text("findings", lambda x: F.concat(x["severity"], F.lit(" "), x["status"])).alias("findings"), text("suggestions", lambda x: F.concat(x["field_name"], F.lit("="), x["suggested_value"], F.lit(" "), x["status"])).alias("suggestions"), "is_maintained")
+
+
 # answers
 
 
