@@ -1,4 +1,4 @@
-"""Column functions over loosely typed cells. All are built-in expressions, so they stay in generated code."""
+"""Column functions over loosely typed cells. All are built-in expressions: no Python in tasks. Those over arrays (``let`` among them) are evaluated outside generated code."""
 
 from __future__ import annotations
 
