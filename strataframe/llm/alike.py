@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataframe.llm.components import connected_components
-from strataframe.llm.shared import stored
+from strataframe.llm.shared import slices, stored
 
 BANDS, ROWS = 20, 5
 #: Words of a text's map of shingles, a power of 2.
@@ -56,7 +56,7 @@ def links(texts: DataFrame, spark: SparkSession, least: float = 0.8, n: int = 5)
     texts = texts.select("id", "text").where("id is not null")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, keys = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if len(s := shingles(t, n)):
@@ -90,7 +90,7 @@ def rare_candidates(open_: DataFrame, texts: DataFrame, spark: SparkSession, lea
     """
 
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingles(t, n).view(np.int64) for t in b.column(2).to_pylist()]
             size = np.array([len(s) for s in sets], np.int64)
             ids, parts = (np.repeat(b.column(k).to_numpy(), size) for k in (0, 1))
@@ -128,7 +128,7 @@ def verified(pairs: DataFrame, texts: DataFrame, spark: SparkSession, least: flo
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, y = None, None
-        for b in batches:
+        for b in slices(batches):
             good = []
             for at, (name, text) in enumerate(zip(b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 if name != known:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from strataframe.llm.shared import stored, table
+from strataframe.llm.shared import slices, stored, table
 
 RUN = 3
 PIECE_WORDS = 10
@@ -35,7 +35,7 @@ _WORD = re.compile(r"\S+\s*")
 #: Null ids take numbers from here on, by their text: after every other document.
 _NULL_IDS = 1 << 62
 #: Distinct words whose hashes a worker keeps.
-KEPT = 400_000
+KEPT = 100_000
 #: Odd bases of the two rolling hashes (any such numbers do).
 _BASES = np.array([0x9E3779B97F4A7C17, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -150,18 +150,11 @@ def _keys(doc_id: str, text: str) -> dict[str, Column]:
     return {"k_": F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_IDS) + F.shiftrightunsigned(t, 3)), "t_": t}
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time, so that Python's objects of a batch of long texts don't all live at once."""
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
-
-
 def span_table(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
     """A row a text that has runs: its key (``k_``, ``t_``) and, run by run, 64 bits of the hash and a number of 32 bits more and the run's place; the second number is -1 where the text had the run before."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _slices(batches):
+        for some in slices(batches):
             h1, h2, n = [], [], []
             for t in some.column(2).to_pylist():
                 _, found = Layout(t).runs(run, least)
@@ -225,7 +218,7 @@ def dedup(docs: DataFrame, spark: SparkSession, run: int = RUN, least: int = LEA
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-        for b in _slices(batches):
+        for b in slices(batches):
             texts, gone = [], []
             for text, starts, every in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 n = 0
