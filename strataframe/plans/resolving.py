@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataframe.operators import resolve
-from strataframe.plans import binding
+from strataframe.operators import index, resolve
+from strataframe.plans import binding, indexing
 from strataframe.plans.queries import _PLACES, query
 
 
@@ -84,3 +84,27 @@ def compared_questions(spark, sf_dir):
     none = F.lit(None).cast("string")
     q = binding.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("question_id"), F.lit("me").alias("scope"), F.lit("Compare production of FY 2005-06 with that of 2002–03").alias("text"), F.col("r_name").alias("subsidiary"), F.lit("2005-06").alias("year"), F.lit("production").alias("metric"), none.alias("aggregation"))
     return resolve.compared_answers(q, rows.where("record_id % 7 <> 0"), rows.where("record_id % 7 = 0").withColumn("scope", none))
+
+
+@query(f"""with {indexing._RANKED}, o as (select o_orderkey k, r_name sub, cast(cast(floor(o_totalprice) as bigint) as varchar) p from {_PLACES}), f as (select sub, min(k) k, arg_min(p, k) p from o where k % 7 = 0 group by 1),
+ z as (select item_id question_id, case when item_id % 4 = 0 then ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST', 'NOWHERE'][item_id % 6 + 1] end sub from benchmark),
+ t as (select question_id, arg_min(chunk_id, "rank") c, arg_min(score, "rank") score, count(*) n from r where "rank" <= 3 and score >= 0.1 group by 1)
+ select z.question_id, case when f.k is not null then 'STRUCTURED' else 'DOCUMENT' end query_type, case when f.k is not null then 'According to the authorized organization historical report (Order ' || f.k || '), Production was ' || f.p || ' MT.'
+   when t.c is not null then 'According to authorized organization reference records in Document ' || t.c || ': ' || substr(d.text, 1, 200) || '.' else 'I could not find sufficient evidence in the authorized organization reference data.' end answer,
+  case when f.k is not null or t.score >= 1 then 'HIGH' when t.score >= 0.4 then 'MEDIUM' else 'LOW' end confidence, case when f.k is not null then 1 else coalesce(t.n, 0) end evidence
+ from z left join f on z.sub = f.sub left join t on t.question_id = z.question_id left join documents d on d.doc_id = t.c""")
+def organization_history(spark, sf_dir):
+    """Passages as questions to the reference: a quarter name a region, whose first reference order answers; the others, and those of no region, are answered by the first of three chunks."""
+    i = F.col("question_id")
+    names = F.element_at(F.array(*map(F.lit, ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "NOWHERE"))), (i % 6 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    asked = indexing._questions(spark, sf_dir)
+    q = asked.select("question_id", none.alias("scope"), "text", F.when(i % 4 == 0, names).alias("subsidiary"), none.alias("year"), F.when(i % 4 == 0, "production").alias("metric"), none.alias("aggregation"))
+    o = binding.table(spark, sf_dir, "orders").join(binding.places(spark, sf_dir), F.expr("o_custkey = c_custkey")).where("o_orderkey % 7 = 0")
+    k = F.col("o_orderkey")
+    records = o.select(none.alias("scope"), k.alias("record_id"), k.alias("row_index"), F.create_map(F.lit("subsidiary"), F.col("r_name"), F.lit("production"), F.floor("o_totalprice").cast("long").cast("string")).alias("data"))
+    titles = o.select(k.alias("record_id"), F.concat(F.lit("Order "), k).alias("document_title"))
+    path, chunks = indexing._folder(spark), indexing._searchable(spark, sf_dir)
+    index.build(chunks, spark, path)
+    found = index.search(spark, path, asked, top=3).join(chunks.select("chunk_id", "content", F.concat(F.lit("Document "), "chunk_id").alias("document_title")), "chunk_id")
+    return resolve.organization_answers(q, records, titles, found)

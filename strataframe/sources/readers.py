@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -38,6 +39,14 @@ def files(spark: SparkSession, path: str, extension: str | None = None) -> DataF
     return reader.load(path).select("path", e.alias("extension"), "length", "content", scalars.signature_ok(e, F.col("content")).alias("signature_ok"), F.sha2("content", 256).alias("sha256"))
 
 
+def inside(root: str, name: str) -> str:
+    """The path of ``name`` below ``root``; one that leads out of it, or is absolute, raises."""
+    place = posixpath.normpath(name.replace("\\", "/"))
+    if not name or place in (".", "..") or place.startswith(("/", "../")) or ":" in place.split("/")[0]:
+        raise ValueError(f"not below {root}: {name}")
+    return f"{root.rstrip('/')}/{place}"
+
+
 def admitted(found: DataFrame, most: int = 50 << 20) -> tuple[DataFrame, DataFrame]:
     """(files to read, rejects with a reason): by extension, size and signature."""
     reason = F.when(~F.col("extension").isin(*EXTENSIONS, "pdf", "png", "jpg", "jpeg"), "extension").when(F.col("length") > most, "size").when(F.col("length") == 0, "empty").when(~F.col("signature_ok"), "signature")

@@ -8,6 +8,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,19 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def seeded(rows: DataFrame, path: str, clear: bool = False) -> bool:
+    """Fill an empty table with ``rows``; whether that was done. One that has rows stays as it is, unless it is to be cleared first."""
+    spark = rows.sparkSession
+    try:
+        filled = not spark.read.schema(rows.schema).parquet(path).isEmpty()
+    except AnalysisException:
+        filled = False
+    if filled and not clear:
+        return False
+    rows.write.mode("overwrite").parquet(path)
+    return True
+
+
 def removed(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows without those of ``ids(document_id)``; reference rows are protected and stay."""
     return rows.join(ids.select("document_id", F.lit(True).alias("gone_")).distinct(), "document_id", "left").where("gone_ is null or is_reference").drop("gone_")

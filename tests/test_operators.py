@@ -286,3 +286,11 @@ def test_plain_years_are_the_columns(spark, one):
         assert (tuple(r) if r else None) == filters.scalars.financial_year_of(text)
         if r:
             assert spark.createDataFrame([(text,)], "c string").where(filters.same_year(F.col("c"), text)).count() == 1
+
+
+def test_unknown_functions_and_fields_raise(records):
+    for call in (lambda: aggregates.measure("median", "production"), lambda: filters.checked_field("salary", records.columns), lambda: aggregates.total(records, "", "production")):
+        with pytest.raises(ValueError):
+            call()
+    assert filters.checked_field("production", records.columns) == "production"
+    assert filters.filter_records(records, {"salary": "9", "subsidiary": "ALL".title(), "mine": None}).count() == filters.filter_records(records).count()

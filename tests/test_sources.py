@@ -1,6 +1,8 @@
 import io
 import zipfile
 
+import pytest
+
 from strataframe.operators import quality
 from strataframe.sources import readers, writers
 from strataframe.streaming.ingest import ingest
@@ -99,3 +101,20 @@ def test_maintained_workbooks(spark):
         xml = z.read("xl/worksheets/sheet1.xml").decode()
         assert xml.count('s="1"') == 3 and xml.count('s="2"') == 2 and 's="2" t="inlineStr"><is><t xml:space="preserve">M1<' in xml and "E2EFDA" in z.read("xl/styles.xml").decode()
     assert "&lt;&amp;&gt;" in zipfile.ZipFile(io.BytesIO(bytes(books["2-000000-maintained.xlsx"].content))).read("xl/worksheets/sheet1.xml").decode()
+
+
+def test_seeds_fill_an_empty_table_once(spark, tmp_path):
+    (tmp_path / "seed.json").write_text('[{"mine": "A", "production": 1.5}, {"mine": "B"}]')
+    rows, path = readers.seed(spark, str(tmp_path / "seed.json"), "mine string, production double"), str(tmp_path / "t")
+    assert [tuple(r) for r in rows.orderBy("mine").collect()] == [("A", 1.5), ("B", None)]
+    assert writers.seeded(rows, path) and not writers.seeded(rows.where("mine = 'A'"), path) and spark.read.parquet(path).count() == 2
+    assert writers.seeded(rows.where("mine = 'A'"), path, clear=True) and spark.read.parquet(path).count() == 1
+    empty = str(tmp_path / "e")
+    assert writers.seeded(rows.where("false"), empty) and writers.seeded(rows, empty)
+
+
+def test_names_stay_below_the_root():
+    assert readers.inside("/data/", "a/./b.csv") == "/data/a/b.csv" and readers.inside("s3://x", "a\\b/../c") == "s3://x/a/c"
+    for bad in ("", ".", "..", "../x", "a/../../x", "/etc/passwd", "\\x", "C:\\x", "file:/x"):
+        with pytest.raises(ValueError):
+            readers.inside("/data", bad)
