@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, spark: SparkSession, sample: int =
     one = labels.where(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     one = one.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(one, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    rows = statistics(texts).orderBy("doc_id").select("y", "q_.*").collect()  # `sample` rows of numbers
+    rows = sorted(statistics(texts).select("doc_id", "y", "q_.*").collect(), key=lambda r: r.doc_id)  # `sample` rows of numbers
     y = np.array([r.y for r in rows], float)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
