@@ -294,3 +294,9 @@ def test_unknown_functions_and_fields_raise(records):
             call()
     assert filters.checked_field("production", records.columns) == "production"
     assert filters.filter_records(records, {"salary": "9", "subsidiary": "ALL".title(), "mine": None}).count() == filters.filter_records(records).count()
+
+
+def test_chunks_keep_the_letter_v(spark):
+    """White space alone is stripped around sentences: a ``v`` at either end stays."""
+    got = retrieval.chunk_texts(spark.createDataFrame([(1, "vequance le v. ve quir rev\n\n\x0bvav\x0b")], "document_id int, text string")).collect()
+    assert [(c.content, c.section_heading) for c in got] == [("vequance le v. ve quir rev vav", "vav")]
