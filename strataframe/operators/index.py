@@ -1,8 +1,8 @@
 """An index of chunks that is kept up by fingerprint, and an inverted index that ranks batches of questions.
 
 The chunk index is a ledger: each run appends the chunks of documents that are new or changed, and a document's current chunks are those of the last run
-that has it. The inverted index has a row a term and chunk, sorted by term, and a row a term and block of chunks with what the block can
-score at most; questions join to terms and blocks first, and only blocks that can still reach a question's first places are read.
+that has it. The inverted index has a row a term and block of chunks, with the term's chunks and what the block can score at most; questions
+join to terms, a question's best block gives it a limit, and chunks are scored in their blocks, which only those that can still be among the first leave.
 """
 
 from __future__ import annotations
@@ -79,26 +79,28 @@ def index_documents(spark: SparkSession, documents: DataFrame, path: str, run: s
 def build(chunks: DataFrame, spark: SparkSession, path: str, block: int = 1024) -> None:
     """Index ``chunks(chunk_id long, scopes array<string>, content, section_heading)`` below ``path``; a chunk is found in each of its scopes.
 
-    ``postings`` (scope, term, block, chunk_id, tf, dl) are dealt to files by ranges of terms, so a common term is many files and a rare one part of a file; ``blocks``
-    (scope, term, block, n, most, least) have the highest frequency and the shortest chunk; ``scopes`` (scope, n, avgdl) their sizes; ``texts`` what the bonuses need, in folders.
-    A block has about ``block`` chunks of its scope.
+    ``postings`` (scope, term, block, n, most, least, tokens, entries) has a row a term of a block, with what the block can score at most (the highest frequency and the shortest chunk) beside its chunks; ``scopes``
+    (scope, n, avgdl) has their sizes; ``texts`` what the bonuses need, in folders. A block has about ``block`` chunks.
+
+    Texts go to their block before they are cut into tokens, so words are counted and listed where they are: a text is moved once, and no row a word is.
     """
     heading = F.coalesce("section_heading", F.lit(""))
+    n = chunks.count()
+    blocks, drawers = max(1, -(-n // block)), max(1, -(-n // (16 * block)))
+    hashed = F.xxhash64("chunk_id")
     tokens = F.concat(scalars.rank_tokens(F.coalesce("content", F.lit(""))), scalars.rank_tokens(heading))
-    each = chunks.select("chunk_id", F.explode(F.array_distinct("scopes")).alias("scope"), tokens.alias("tokens"))
-    each = each.withColumn("dl", F.size("tokens"))
-    scopes = each.groupBy("scope").agg(F.count("*").alias("n"), F.greatest(F.lit(1.0), F.avg("dl")).alias("avgdl"))
+    placed = chunks.select("chunk_id", F.array_distinct("scopes").alias("scopes"), "content", "section_heading", F.pmod(hashed, F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
+    words = placed.select("block", "chunk_id", "scopes", tokens.alias("tokens")).select("block", "chunk_id", "scopes", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    counted = words.groupBy("block", "chunk_id", "scopes", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    each = counted.select("block", "term", F.explode("scopes").alias("scope"), F.struct("chunk_id", "tf", "dl").alias("e"))
+    listed = each.groupBy("scope", "term", "block").agg(F.count("*").alias("n"), F.max("e.tf").alias("most"), F.min("e.dl").alias("least"), F.sum("e.tf").alias("tokens"), F.collect_list("e").alias("entries"))  # a block's chunks
+    listed.sortWithinPartitions("scope", "term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    held = spark.read.parquet(f"{path}/postings").groupBy("scope").agg(F.sum("tokens").alias("tokens"))
+    sizes = chunks.select(F.explode(F.array_distinct("scopes")).alias("scope")).groupBy("scope").agg(F.count("*").alias("n"))
+    scopes = sizes.join(held, "scope", "left").select("scope", "n", F.greatest(F.lit(1.0), F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avgdl"))
     scopes.write.mode("overwrite").parquet(f"{path}/scopes")
-    every = spark.read.parquet(f"{path}/scopes")
-    number = F.pmod(F.xxhash64("chunk_id"), F.ceil(F.col("n") / block)).cast("int")
-    placed = each.join(every.select("scope", "n"), "scope").withColumn("block", number).drop("n")
-    postings = placed.select("scope", "block", "chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("scope", "term", "block", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    postings.repartitionByRange("term", "scope", "block").sortWithinPartitions("term", "scope", "block").write.mode("overwrite").parquet(f"{path}/postings")
-    found = spark.read.parquet(f"{path}/postings").groupBy("scope", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"))
-    found.repartitionByRange("term", "scope").sortWithinPartitions("term", "scope").write.mode("overwrite").parquet(f"{path}/blocks")
-    drawers = max(1, -(-(every.agg(F.max("n")).first()[0] or 0) // (16 * block)))
     spark.range(1).select(F.lit(drawers).alias("drawers")).write.mode("overwrite").parquet(f"{path}/meta")
-    drawer = F.pmod(F.xxhash64("chunk_id"), F.lit(drawers)).cast("int")
+    drawer = F.pmod(hashed, F.lit(drawers)).cast("int")
     chunks.select("chunk_id", F.lower(F.coalesce("content", F.lit(""))).alias("low"), F.lower(heading).alias("head"), drawer.alias("drawer")).repartition("drawer").write.partitionBy("drawer").mode("overwrite").parquet(f"{path}/texts")
 
 
@@ -113,36 +115,35 @@ def search(spark: SparkSession, path: str, questions: DataFrame, top: int = 5, l
     Statistics are of the question's scope. A token asked for twice counts twice; +0.5 if the tokens, with spaces between, stand in the content, +0.3 if one stands in the heading. Ties
     go to the smaller chunk. Questions without tokens, null ones and those of an unknown scope have no results.
 
-    All questions are answered together. The best block of each by its bound is scored first; its places give the question a limit, and of the other blocks only those
-    whose bound reaches it are read. Texts are looked at where a chunk can still be among the first, in the folders that hold such chunks.
+    All questions are answered together. The best block of each by its bound is scored first; its places give the question a limit. The lists of the terms that are asked for go to
+    their blocks, where chunks are scored, and only those that reach the limit leave. Texts are looked at where a chunk can still be among the first, in the folders that hold such chunks.
     """
     top = max(1, min(MOST, top))
     tokens = stored(questions.select("question_id", "scope", scalars.rank_tokens(F.col("text")).alias("tokens")).where("size(tokens) > 0"), spark)
     asked = tokens.select("question_id", "scope", F.explode("tokens").alias("term")).groupBy("question_id", "scope", "term").agg(F.count("*").alias("times"))
-    scopes = spark.read.parquet(f"{path}/scopes").withColumnRenamed("n", "chunks")
-    asked = stored(asked.join(scopes, "scope"), spark)
-    # what each block can give
-    met = stored(asked.join(spark.read.parquet(f"{path}/blocks"), ["scope", "term"]), spark)
+    asked = stored(asked.join(spark.read.parquet(f"{path}/scopes").withColumnRenamed("n", "chunks"), "scope"), spark)
+    terms = stored(asked.select("scope", "term").distinct(), spark)
+    postings = spark.read.parquet(f"{path}/postings").join(terms, ["scope", "term"], "left_semi")
     idf = F.log(1.0 + (F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    rare = met.groupBy("question_id", "term").agg(F.sum("n").alias("df"), F.first("times").alias("times"), F.first("chunks").alias("chunks"), F.first("avgdl").alias("avgdl"), F.first("scope").alias("scope"))
+    rare = asked.join(postings.groupBy("scope", "term").agg(F.sum("n").alias("df")), ["scope", "term"])
     rare = stored(rare.select("question_id", "scope", "term", "avgdl", (idf * F.col("times")).alias("gain")), spark)
-    bounds = met.select("question_id", "term", "block", "most", "least").join(rare.select("question_id", "term", "gain", "avgdl"), ["question_id", "term"])
-    bounds = stored(bounds.groupBy("question_id", "block").agg(F.sum(F.col("gain") * _weight(F.col("most"), F.col("least"))).alias("bound")), spark)
-    postings = spark.read.parquet(f"{path}/postings")
+    # what each block can give
+    bound = F.sum(F.col("gain") * _weight(F.col("most"), F.col("least"))).alias("bound")
+    best = postings.select("scope", "term", "block", "most", "least").join(rare, ["scope", "term"]).groupBy("question_id", "block").agg(bound)
+    best = stored(best.groupBy("question_id").agg(F.max_by("block", F.struct("bound", -F.col("block"))).alias("block")), spark)
+    # a block's lists come together, so that its chunks are scored where they are
+    lists = postings.select("scope", "term", "block", "entries").repartition("block")
 
-    def scored(blocks: DataFrame) -> DataFrame:
-        wanted = rare.join(blocks.select("question_id", "block"), "question_id")
-        hits = postings.join(wanted, ["scope", "term", "block"])
-        return hits.groupBy("question_id", "chunk_id").agg(F.sum(F.col("gain") * _weight(F.col("tf"), F.col("dl"))).alias("base"))
+    def scored(wanted: DataFrame, on: list[str]) -> DataFrame:
+        hits = lists.join(wanted, on).select("block", "question_id", "gain", "avgdl", F.inline("entries"))
+        return hits.groupBy("block", "question_id", "chunk_id").agg(F.sum(F.col("gain") * _weight(F.col("tf"), F.col("dl"))).alias("base")).drop("block")
 
-    best = bounds.groupBy("question_id").agg(F.max_by("block", F.struct("bound", -F.col("block"))).alias("block"))
-    first = stored(scored(best), spark)
+    near = F.col("limit").isNull() | (F.col("base") + PHRASE + HEADING + 1e-6 >= F.col("limit"))
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("base")))
-    limits = first.withColumn("r", place).where(F.col("r") == top).select("question_id", F.col("base").alias("limit"))
-    rest = bounds.join(best, ["question_id", "block"], "left_anti").join(limits, "question_id", "left").where(F.col("limit").isNull() | (F.col("bound") + PHRASE + HEADING + 1e-6 >= F.col("limit")))
-    found = stored(first.unionByName(scored(rest)), spark)
-    limits = found.withColumn("r", place).where(F.col("r") == top).select("question_id", F.col("base").alias("limit"))
-    found = found.join(limits, "question_id", "left").where(F.col("limit").isNull() | (F.col("base") + PHRASE + HEADING + 1e-6 >= F.col("limit"))).drop("limit")
+    limited = lambda rows: rows.withColumn("r", place).where(F.col("r") == top).select("question_id", F.col("base").alias("limit"))
+    limits = stored(limited(scored(rare.join(best, "question_id"), ["scope", "term", "block"])), spark)
+    found = stored(scored(rare, ["scope", "term"]).join(limits, "question_id", "left").where(near).drop("limit"), spark)
+    found = found.join(limited(found), "question_id", "left").where(near).drop("limit")
     # bonuses of those that are left
     drawers = spark.read.parquet(f"{path}/meta").first()[0]
     found = stored(found.join(tokens.select("question_id", "tokens"), "question_id").withColumn("drawer", F.pmod(F.xxhash64("chunk_id"), F.lit(drawers)).cast("int")), spark)

@@ -73,6 +73,15 @@ def test_bounds_leave_blocks_out_and_texts_are_looked_up(spark, tmp_path):
     assert not spark.read.parquet(f"{path}/postings").columns.count("content") and len({f for f in spark.read.parquet(f"{path}/texts").inputFiles()}) > 1
 
 
+def test_a_row_a_term_and_block(spark, corpus, tmp_path):
+    """Words are listed where their block's texts are: no row a word is stored, and the lists hold every chunk once."""
+    index.build(spark.createDataFrame(corpus, CHUNKS), spark, str(tmp_path / "i"), block=16)
+    rows = spark.read.parquet(str(tmp_path / "i" / "postings")).collect()
+    assert len(rows) == len({(r.scope, r.term, r.block) for r in rows}) and all(r.n == len(r.entries) and r.most == max(e.tf for e in r.entries) and r.least == min(e.dl for e in r.entries) for r in rows)
+    want = {(s, t, c[0], bag.count(t), len(bag)) for c in corpus for bag in [tokens(c[2]) + tokens(c[3])] for t in bag for s in c[1]}
+    assert {(r.scope, r.term, e.chunk_id, e.tf, e.dl) for r in rows for e in r.entries} == want and sum(r.n for r in rows) == len(want)
+
+
 def test_narrative_context(spark, tmp_path):
     chunks = spark.createDataFrame([(i, ["all"], t, None) for i, t in enumerate(["coal output rose", "coal output of the mine fell and fell again", "rail", "coal"])], CHUNKS).withColumn("source_ref", F.concat(F.lit("c"), "chunk_id"))
     index.build(chunks, spark, str(tmp_path / "i"))
