@@ -56,11 +56,13 @@ def numeric_and_unit(c: Column) -> Column:
 
 def normalize_numeric(c: Column) -> Column:
     """struct(value, unit) of the first run of digits, commas and dots; ``N.A. 45`` has none, its first run being a dot."""
-    s = F.trim(c)
-    run = _found(s, r"[-+]?[\d,.]+(?:[eE][-+]?\d+)?")
-    value = F.regexp_replace(run, ",", "").try_cast("double")
-    rest = F.nullif(F.trim(F.substring(s, F.position(run, s) + F.length(run), F.length(s))), F.lit(""))
-    return F.struct(value.alias("value"), F.when(value.isNotNull(), rest).alias("unit"))
+
+    def found(s: Column, run: Column) -> Column:
+        value = F.regexp_replace(run, ",", "").try_cast("double")
+        rest = F.trim(F.substring(s, F.position(run, s) + F.length(run), F.length(s)))
+        return let(value, lambda v: F.struct(v.alias("value"), F.when(v.isNotNull() & (rest != ""), rest).alias("unit")))
+
+    return let(F.trim(c), lambda s: let(F.regexp_extract(s, r"[-+]?[\d,.]+(?:[eE][-+]?\d+)?", 0), lambda run: found(s, F.nullif(run, F.lit("")))))
 
 
 def normalized_unit(unit: Column) -> Column:
@@ -141,19 +143,20 @@ def concept(name: Column) -> Column:
 
 def normalize_cell(value: Column, concept_: Column) -> Column:
     """struct(original, value, unit, normalized_unit) of a cell under its concept."""
-    raw = F.trim(F.coalesce(value, F.lit("")))
-    number = normalize_numeric(raw)
     measured = concept_.isin(*vocab.MEASURED)
-    text = F.trim(F.regexp_replace(raw, r"\s+", " "))
-    out = (
-        F.when(raw == "", F.lit(None).cast("string"))
-        .when(concept_ == "financial_year", F.coalesce(normalize_financial_year(raw), raw))
-        .when(concept_ == "reporting_period", F.coalesce(normalize_financial_year(raw), normalize_date(raw), raw))
-        .when(measured, number["value"].cast("string"))
-        .otherwise(text)
-    )
-    unit = F.when(measured, number["unit"])
-    return F.struct(raw.alias("original"), out.alias("value"), unit.alias("unit"), normalized_unit(unit).alias("normalized_unit"))
+
+    def cell(raw: Column, number: Column) -> Column:
+        out = (
+            F.when(raw == "", F.lit(None).cast("string"))
+            .when(measured, number["value"].cast("string"))
+            .when(concept_ == "financial_year", F.coalesce(normalize_financial_year(raw), raw))
+            .when(concept_ == "reporting_period", F.coalesce(normalize_financial_year(raw), normalize_date(raw), raw))
+            .otherwise(F.trim(F.regexp_replace(raw, r"\s+", " ")))
+        )
+        return F.struct(raw.alias("original"), out.alias("value"), number["unit"].alias("unit"), F.when(number["unit"].isNotNull(), normalized_unit(number["unit"])).alias("normalized_unit"))
+
+    # each is found once, though it is named often
+    return let(F.trim(F.coalesce(value, F.lit(""))), lambda raw: let(F.when(measured, normalize_numeric(raw)), lambda number: cell(raw, number)))
 
 
 def coordinate(c: Column) -> Column:

@@ -23,7 +23,7 @@ def cell_issues(row: Column, header: Column, concept: Column, value: Column) ->
     issue = lambda name, severity: _issue(name, severity, row, header, value)
     return (
         F.when(F.coalesce(F.trim(value), F.lit("")) == "", None)
-        .when(concept.isin(*vocab.CHECKED), F.when(number.isNull(), issue("invalid_numeric", "ERROR")).when(concept.isin(*vocab.NON_NEGATIVE) & (number < 0), issue("suspicious_value", "WARNING")))
+        .when(concept.isin(*vocab.CHECKED), scalars.let(number, lambda n: F.when(n.isNull(), issue("invalid_numeric", "ERROR")).when(concept.isin(*vocab.NON_NEGATIVE) & (n < 0), issue("suspicious_value", "WARNING"))))
         .when(concept.isin("latitude", "longitude", "coordinates"), F.when(at.isNull(), issue("coordinate_error", "WARNING")).when(F.abs(at) > bound, issue("coordinate_error", "ERROR")))
     )
 
@@ -34,7 +34,7 @@ def validate(tables: DataFrame, document_fields: list[str] | None = None) -> Dat
     Empty tables; repeated headers; important fields that neither a table nor the document has; rows with more cells than headers;
     repeated rows; and, by concept of the column, cells that are no number, negative, no coordinate or out of range.
 
-    One pass over the tables gives all but the repeated rows, and finds each column's concept once; those compare digests of rows, not rows.
+    One pass over the tables gives all of them and finds each column's concept once. A table's rows are compared in their own row, each with the one before it in their order: nothing is shuffled.
     """
     has = lambda x: x.isNotNull()
     columns = columns_of(F.col("headers"))
@@ -45,11 +45,9 @@ def validate(tables: DataFrame, document_fields: list[str] | None = None) -> Dat
     missing = F.transform(F.array_except(F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>"), F.transform("columns", lambda c: c["concept"])), lambda f: _issue("missing_required", "INFO", None, f))
     long = F.filter(F.transform("rows", lambda r, i: F.when((F.size(r) > F.size("headers")) & (F.size("headers") > 0), _issue("schema_mismatch", "WARNING", i))), has)
     cells = F.filter(F.flatten(F.transform("rows", lambda r, i: F.transform("columns", lambda c, k: cell_issues(i, c["header"], c["concept"], F.get(r, k))))), has)
-    out = full.select("source_ref", F.inline(F.coalesce(empty, F.concat(repeated, missing, long, cells)).cast(f"array<{_TYPE}>")))
-    digests = tables.select("source_ref", F.posexplode("rows").alias("row_index", "cells")).select("source_ref", "row_index", F.md5(F.to_json("cells")).alias("digest"))
-    first = digests.groupBy("source_ref", "digest").agg(F.min("row_index").alias("first_"), F.count("*").alias("n_")).where("n_ > 1")
-    again = digests.join(first, ["source_ref", "digest"]).where("row_index > first_")
-    return out.unionByName(again.select("source_ref", F.inline(F.array(_issue("duplicate_record", "WARNING", F.col("row_index"))).cast(f"array<{_TYPE}>"))))
+    ordered = F.sort_array(F.transform("rows", lambda r, i: F.struct(r.alias("cells"), i.alias("i"))))
+    again = F.filter(scalars.let(ordered, lambda s: F.transform(s, lambda x, k: F.when((k > 0) & x["cells"].eqNullSafe(F.get(s, k - 1)["cells"]), _issue("duplicate_record", "WARNING", x["i"])))), has)
+    return full.select("source_ref", F.inline(F.coalesce(empty, F.concat(repeated, missing, long, cells, again)).cast(f"array<{_TYPE}>")))
 
 
 def duplicate_rows(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ def column_map(headers: DataFrame) -> DataFrame:
 
 def columns_of(headers: Column) -> Column:
     """Array of struct(header, concept, key) of a table's headers: what a column means, found once for all its rows, and the key of its cells."""
-    return F.transform(headers, lambda h: F.struct(h.alias("header"), scalars.concept(h).alias("concept"), F.coalesce(scalars.concept(h), h, F.lit("")).alias("key")))
+    return F.transform(headers, lambda h: scalars.let(scalars.concept(h), lambda c: F.struct(h.alias("header"), c.alias("concept"), F.coalesce(c, h, F.lit("")).alias("key"))))
 
 
 def normalized_rows(tables: DataFrame) -> DataFrame:
@@ -30,10 +30,11 @@ def normalized_rows(tables: DataFrame) -> DataFrame:
     normal = F.transform("columns", lambda c, i: F.struct(c["key"].alias("key"), scalars.normalize_cell(value(i), F.coalesce(c["concept"], F.lit(""))).alias("n")))
     entry = lambda x, suffix, field: F.struct(F.concat(x["key"], F.lit(suffix)).alias("key"), x["n"][field].alias("value"))
     each = F.flatten(F.transform(normal, lambda x: F.array(entry(x, "", "value"), entry(x, "_original", "original"), entry(x, "_unit", "unit"), entry(x, "_normalized_unit", "normalized_unit"))))
-    rows = rows.select("source_ref", "row_index", F.filter(each, lambda e: e["value"].isNotNull()).alias("e"))
-    keys = F.array_distinct(F.transform("e", lambda e: e["key"]))
-    last = F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter("e", lambda e: e["key"] == k), -1)["value"]))
-    return rows.select("source_ref", "row_index", F.when(F.size(keys) == F.size("e"), F.map_from_entries("e")).otherwise(last).alias("data"))
+    keys = lambda e: F.array_distinct(F.transform(e, lambda x: x["key"]))
+    last = lambda e, ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.element_at(F.filter(e, lambda x: x["key"] == k), -1)["value"]))
+    # cells are normalised once, though their entries are named often
+    data = scalars.let(F.filter(each, lambda x: x["value"].isNotNull()), lambda e: scalars.let(keys(e), lambda ks: F.when(F.size(ks) == F.size(e), F.map_from_entries(e)).otherwise(last(e, ks))))
+    return rows.select("source_ref", "row_index", data.alias("data"))
 
 
 def fields(records: DataFrame, rows: int = 100) -> DataFrame:

@@ -309,3 +309,13 @@ def test_topics_of_texts_need_no_shuffle(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.doc_id: (r.topic, r.keywords) for r in out.collect()}
     assert got[1][1] == "coal,mine,seam,ash" and got[2] == ("—", "") and got[3] == ("—", "") and got[4][1] == "wordaa,wordba,wordca,wordda,wordea,wordfa"
+
+
+def test_cells_are_looked_at_once_and_rows_compared_in_their_table(spark):
+    t = spark.createDataFrame([("a", ["Mine", "Production (MT)"], [["x", "1,250 MT"], ["y", None], ["x", "1,250 MT"], ["y", None], ["y", ""], ["x", "1,250 MT"]]), ("b", ["Mine"], [["x"]])], "source_ref string, headers array<string>, rows array<array<string>>")
+    found = quality.validate(t)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.source_ref, r.row_index) for r in found.where("issue_type = 'duplicate_record'").collect()) == [("a", 2), ("a", 3), ("a", 5)]
+    data = schema.normalized_rows(t)
+    assert data._jdf.queryExecution().optimizedPlan().toString().count("[-+]?[\\d,.]+") == 1
+    assert data.first()["data"] == {"mine": "x", "mine_original": "x", "production": "1250.0", "production_original": "1,250 MT", "production_unit": "MT", "production_normalized_unit": "MT"}
