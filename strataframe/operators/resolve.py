@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import scalars
 from strataframe.operators.aggregates import EXACT
+from strataframe.sources.staging import stored
 
 # Columns that describe a key-value row, patterns of its label by metric (and of what it must not hold), and the names shown.
 LABELS = ("Field", "Metric", "Parameter", "Indicator", "Item", "Key")
@@ -88,20 +89,22 @@ def resolved(questions: DataFrame, records: DataFrame) -> DataFrame:
     table's rows the sum (also where the text says total, and where nothing is asked), the highest, the lowest or the average. Rows count whose cells hold the question's year, in any column; a null year is any.
     Ranks are by row and record. Without a metric, a row or a value nothing is found.
 
-    Records are read once for all questions; the candidates are grouped by scope, metric and year (and mine, and subsidiary) before questions join.
+    Records are read once for all questions, and their candidates grouped by scope, metric, year, subsidiary and mine; what questions join to is made of these groups.
     """
     each = candidates(records)
     each = each.select("scope", "metric", "is_document", "item", F.explode(F.concat(F.array(F.lit(None).cast("string")), "years")).alias("y"))
     key = ["scope", "metric", "y"]
-    rows = each.where(~F.col("is_document"))
     number = F.col("item.number")
-    first_of = lambda cond: F.min(F.when(cond, F.col("item")))
-    whole = each.groupBy(*key).agg(
-        first_of(F.col("is_document")).alias("document"), first_of(~F.col("is_document")).alias("first"), first_of(~F.col("is_document") & number.isNotNull()).alias("counted"),
-        F.sum(F.when(~F.col("is_document"), number.cast(EXACT))).cast("double").alias("total"), F.count(F.when(~F.col("is_document"), number)).alias("n"),
-        F.min_by("item", F.when(~F.col("is_document") & number.isNotNull(), F.struct(number.alias("v"), "item"))).alias("lowest"), F.min_by("item", F.when(~F.col("is_document") & number.isNotNull(), F.struct((-number).alias("v"), "item"))).alias("highest"))
-    by_subsidiary = rows.where("item.subsidiary is not null").groupBy(*key, F.upper("item.subsidiary").alias("s_")).agg(F.min("item").alias("of_subsidiary"))
-    named = rows.select(*key, "item", F.explode(_mine_names(F.col("item.mine"))).alias("m_")).groupBy(*key, "m_").agg(F.min("item").alias("of_mine"))
+    of_row = lambda value, more=F.lit(True): F.when(~F.col("is_document") & more, value)
+    valued = lambda by: F.min(of_row(F.struct(by.alias("v"), "item"), number.isNotNull()))
+    groups = stored(each.groupBy(*key, F.upper("item.subsidiary").alias("s_"), F.col("item.mine").alias("mine_")).agg(
+        F.min(F.when(F.col("is_document"), F.col("item"))).alias("document"), F.min(of_row(F.col("item"))).alias("first"), F.min(of_row(F.col("item"), number.isNotNull())).alias("counted"),
+        F.sum(of_row(number.cast(EXACT))).alias("total"), F.count(of_row(number)).alias("n"), valued(number).alias("lowest"), valued(-number).alias("highest")), questions.sparkSession)
+    whole = groups.groupBy(*key).agg(
+        *[F.min(c).alias(c) for c in ("document", "first", "counted")], F.sum("total").cast("double").alias("total"), F.sum("n").alias("n"), *[F.min(c)["item"].alias(c) for c in ("lowest", "highest")])
+    rows = groups.where("first is not null")
+    by_subsidiary = rows.where("s_ is not null").groupBy(*key, "s_").agg(F.min("first").alias("of_subsidiary"))
+    named = rows.select(*key, "first", F.explode(_mine_names(F.col("mine_"))).alias("m_")).groupBy(*key, "m_").agg(F.min("first").alias("of_mine"))
     q = questions.select("question_id", F.col("scope").alias("qs_"), F.col("subsidiary").alias("asked_"), F.lower(F.coalesce("text", F.lit(""))).alias("low"), F.upper("subsidiary").alias("sub_"), F.translate(F.regexp_replace(F.lower("year"), "fy| ", ""), "–", "-").alias("year_"), F.col("metric").alias("qm_"), F.col("aggregation").alias("agg_"))
     same = F.expr("qs_ <=> scope and qm_ = metric and year_ <=> y")
     # a mine's name may stand anywhere in the text: all parts of the text that are as long as some name

@@ -159,3 +159,13 @@ def test_organization_answers(spark):
     assert rows[1] == ("STRUCTURED", "According to the authorized organization historical report (Report 2022), Production was 190 kt.", "HIGH", 1)
     assert rows[2] == ("DOCUMENT", f"According to authorized organization reference records in A: {'c' * 200}.", "HIGH", 2) and rows[3][2:] == ("MEDIUM", 1)
     assert rows[4] == ("DOCUMENT", resolve.NO_REFERENCE, "LOW", 0)
+
+
+def test_records_are_grouped_once(spark, tmp_path):
+    """What questions join to is made of stored groups, so the records are not read again for each of them."""
+    rows = [("s", i, i, {"subsidiary": "MCL", "mine": f"Mine{i % 3}", "production": str(i), "note": "2023-24"}) for i in range(1, 10)]
+    spark.createDataFrame(rows, "scope string, record_id long, row_index long, data map<string,string>").write.parquet(str(tmp_path / "records"))
+    q = spark.createDataFrame([(1, "s", "how much", None, "2023-24", "production", "max"), (2, "s", "of mine2", None, None, "production", None), (3, "s", "", "mcl", None, "production", None)], QUESTIONS)
+    out = resolve.resolved(q, spark.read.parquet(str(tmp_path / "records")))
+    assert not [f for f in out.inputFiles() if str(tmp_path) in f]
+    assert {r.question_id: r.value for r in out.collect()} == {1: 9.0, 2: 2.0, 3: 1.0}
