@@ -18,6 +18,8 @@ from strataframe.sources.readers import ENCODINGS, sniffed
 
 #: Characters of a file by which its delimiter is found (fixed value).
 SAMPLE = 4096
+#: Records, and characters of lines, after which a task hands on what it has cut.
+ROWS, CHARACTERS = 8192, 4_000_000
 
 
 def ends_inside(line: str, delimiter: str, inside: bool) -> bool:
@@ -65,61 +67,55 @@ def file_forms(spark: SparkSession, path: str) -> DataFrame:
     return encodings.join(head, "path", "left").mapInArrow(run, "path string, encoding string, delimiter string")
 
 
-class _Walk:
-    """Goes along the lines of a partition, split by split."""
-
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
-        self.batches = batches
-
-    def __iter__(self) -> Iterator[tuple[tuple, Iterator[str]]]:
-        """(path, split, what is known of the split; a list of its lines as text), split by split; a split is held in memory, which Spark bounds by bytes."""
-        now, held = None, []
-        for b in self.batches:
-            names = b.schema.names
-            columns = [b.column(i).to_pylist() for i in range(b.num_columns)]
-            for row in zip(*columns, strict=True):
-                r = dict(zip(names, row, strict=True))
-                key = (r["path"], r["split"])
-                if now is not None and key != now[0]:
-                    yield now[1], held
-                    held = []
-                now = (key, r)
-                held.append(r["value"].decode(r["encoding"] if r["split"] == 0 or r["encoding"] != ENCODINGS[0] else "utf-8"))
-        if now is not None:
-            yield now[1], held
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, str]]:
+    """(what is known of its split, line as text) of each line of a partition, split by split; the lines of a split have the same object. A batch is held, not a split."""
+    key, known = None, {}
+    for b in batches:
+        columns = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+        for k, (path, split, value) in enumerate(zip(columns["path"], columns["split"], columns["value"], strict=True)):
+            if key != (path, split):
+                key, known = (path, split), {n: c[k] for n, c in columns.items() if n != "value"}
+            yield known, value.decode(known["encoding"] if split == 0 or known["encoding"] != ENCODINGS[0] else "utf-8")
 
 
 def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = []
-    for r, lines in _Walk(batches):
-        row = {"path": r["path"], "split": r["split"]}
-        for name, inside in (("outside", False), ("inside", True)):
-            starts = 0
-            for line in lines:
-                starts += not inside
-                inside = ends_inside(line, r["delimiter"], inside)
-            row |= {f"from_{name}": inside, f"starts_{name}": starts}
-        out.append(row)
     kind = pa.schema([("path", pa.string()), ("split", pa.int64()), ("from_outside", pa.bool_()), ("starts_outside", pa.int64()), ("from_inside", pa.bool_()), ("starts_inside", pa.int64())])
+    out, now = [], None
+    for r, line in _walk(batches):
+        if r is not now:
+            now, row = r, {"path": r["path"], "split": r["split"], "from_outside": False, "starts_outside": 0, "from_inside": True, "starts_inside": 0}
+            out.append(row)
+        for name in ("outside", "inside"):
+            inside = row[f"from_{name}"]
+            row[f"starts_{name}"] += not inside
+            row[f"from_{name}"] = ends_inside(line, r["delimiter"], inside)
     yield pa.RecordBatch.from_pylist(out, kind)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records and pieces of records: (path, record, whole, split, text, delimiter)."""
     kind = pa.schema([("path", pa.string()), ("record", pa.int64()), ("whole", pa.bool_()), ("split", pa.int64()), ("text", pa.string()), ("delimiter", pa.string())])
-    for r, lines in _Walk(batches):
-        inside, record, held, out = r["inside"], r["before"] - 1, [], []
-        begins = not inside
-        for k, line in enumerate(lines):
-            if not inside and k:
-                out.append((record, begins, "\n".join(held)))
-                held, begins = [], True
-            record += not inside
-            held.append(line)
-            inside = ends_inside(line, r["delimiter"], inside)
-        # the last one may go on in the next split, and the first may have begun before
-        out.append((record, begins and not inside, "\n".join(held)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([r["path"]] * len(out), [o[0] for o in out], [o[1] for o in out], [r["split"]] * len(out), [o[2] for o in out], [r["delimiter"]] * len(out)), kind.types, strict=True)], schema=kind)
+    out, now, size = [], None, 0
+    done = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kind.types, strict=True)], schema=kind)
+    piece = lambda whole: (now["path"], record, whole, now["split"], "\n".join(held), now["delimiter"])
+    for r, line in _walk(batches):
+        if r is not now:
+            if now is not None:  # the last one may go on in the next split, and the first may have begun before
+                out.append(piece(begins and not inside))
+            now, inside, record, held = r, r["inside"], r["before"] - 1, []
+            begins = not inside
+        elif not inside:
+            out.append(piece(begins))
+            held, begins = [], True
+        record += not inside
+        held.append(line)
+        size += len(line)
+        inside = ends_inside(line, r["delimiter"], inside)
+        if out and (len(out) >= ROWS or size >= CHARACTERS):
+            yield done(out)
+            out, size = [], 0
+    if now is not None:
+        yield done([*out, piece(begins and not inside)])
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,3 +56,23 @@ def test_many_splits_read_as_one(spark, small_splits, tmp_path):
 def test_delimiters_are_sniffed(spark, tmp_path):
     assert [readers.sniffed(x) for x in ("a;b\n1;2\n", "a\tb,c\n1\t2,3\n", "a|b\n", "", "word")] == [";", readers.sniffed("a\tb,c\n1\t2,3\n"), "|", ",", ","]
     assert readers.csv_table(b"Mine;Output\nA;1,5\nB;2,5\n") == (["Mine", "Output"], [["A", "1,5"], ["B", "2,5"]])
+
+
+def test_a_split_is_not_held(monkeypatch):
+    """Records leave while their split is read: of forty batches of one split a few are taken before the first are handed on."""
+    monkeypatch.setattr(split_csv, "ROWS", 64)
+    import pyarrow as pa
+
+    lines, taken = [f'{i},"a' if i % 3 == 0 else f'{i}"' if i % 3 == 1 else f"{i},b" for i in range(4000)], []
+
+    def batches():
+        for at in range(0, len(lines), 100):
+            taken.append(at)
+            some = lines[at : at + 100]
+            yield pa.RecordBatch.from_pydict({"path": ["p"] * 100, "split": [0] * 100, "value": [x.encode() for x in some], "encoding": ["utf-8"] * 100, "delimiter": [","] * 100, "inside": [False] * 100, "before": [0] * 100})
+
+    cut = split_csv._cut(batches())
+    first = next(cut)
+    assert len(taken) < 4 and first.num_rows >= 64
+    texts = first.column(4).to_pylist() + [t for b in cut for t in b.column(4).to_pylist()]
+    assert "\n".join(texts) == "\n".join(lines) and texts[0] == '0,"a\n1"' and len(texts) == 2667
